@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing
+from . import langid, packing, zip_warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,9 +17,27 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = zip_warc.round_trip(_table(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_packing": op6_packing}
+    return {"op6_packing": op6_packing, "op8_langid": op8_langid, "op10_warc": op10_warc}
+
+
+OP10_SQL = """
+with k as (select page_id, url, coalesce(html, '') as html from pages),
+d as (select page_id, url, cast(octet_length(encode(html)) as bigint) as payload_bytes, sha256(html) as payload_digest,
+  min(page_id) over (partition by sha256(html)) as first from k)
+select page_id, payload_bytes, payload_digest, case when payload_bytes >= 100 and first <> page_id then 'revisit' else 'response' end as record_type,
+  case when payload_bytes >= 100 and first <> page_id then first end as refers_to, url from d
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_warc": OP10_SQL}
