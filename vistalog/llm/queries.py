@@ -6,13 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, packing, zip_warc
+from . import hyperminhash, langid, packing, secrets, zip_warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperminhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.summary(secrets.scan(_table(spark, sf_dir, "documents")))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), with_ids=False)
 
@@ -27,7 +35,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_packing": op6_packing, "op8_langid": op8_langid, "op10_warc": op10_warc}
+    return {"op4_minhash": op4_minhash, "op5_secrets": op5_secrets, "op6_packing": op6_packing, "op8_langid": op8_langid, "op10_warc": op10_warc}
 
 
 OP10_SQL = """
