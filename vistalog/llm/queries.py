@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hyperminhash, langid, packing, secrets, zip_warc
+from . import hyperminhash, langid, nearvectors, packing, secrets, zip_warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_nearvectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearvectors.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperminhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -35,7 +39,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_minhash": op4_minhash, "op5_secrets": op5_secrets, "op6_packing": op6_packing, "op8_langid": op8_langid, "op10_warc": op10_warc}
+    return {"op1_nearvectors": op1_nearvectors, "op4_minhash": op4_minhash, "op5_secrets": op5_secrets, "op6_packing": op6_packing, "op8_langid": op8_langid, "op10_warc": op10_warc}
 
 
 OP10_SQL = """
