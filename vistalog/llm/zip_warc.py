@@ -202,7 +202,10 @@ def write_packages(planned: DataFrame, folder: str) -> DataFrame:
 
 
 def read_packages(packages: DataFrame) -> DataFrame:
-    """Every record of the packages listed in column ``package``; digests of payloads that were read are verified."""
+    """Every record of the packages listed in column ``package``; digests of payloads that were read are verified.
+
+    Each package is a task, whatever the size of their list; so its rows are counted first.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("package", pa.string()), ("at", pa.int64()), ("size", pa.int64())])
@@ -226,7 +229,7 @@ def read_packages(packages: DataFrame) -> DataFrame:
                     if rows:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds.types, strict=True)], schema=kinds)
 
-    return packages.select("package").repartition("package").mapInArrow(run, RECORDS)
+    return packages.select("package").repartition(max(1, packages.count())).mapInArrow(run, RECORDS)
 
 
 def round_trip(pages: DataFrame, least: int = 100) -> DataFrame:
