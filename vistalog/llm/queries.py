@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import hyperminhash, langid, nearvectors, packing, secrets, zip_warc
+from . import hyperminhash, langid, nearvectors, packing, pagetext, secrets, zip_warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,13 +34,17 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
+def op9_pagetext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pagetext.extract(_table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = zip_warc.round_trip(_table(spark, sf_dir, "pages"))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_nearvectors": op1_nearvectors, "op4_minhash": op4_minhash, "op5_secrets": op5_secrets, "op6_packing": op6_packing, "op8_langid": op8_langid, "op10_warc": op10_warc}
+    return {"op1_nearvectors": op1_nearvectors, "op4_minhash": op4_minhash, "op5_secrets": op5_secrets, "op6_packing": op6_packing, "op8_langid": op8_langid, "op9_pagetext": op9_pagetext, "op10_warc": op10_warc}
 
 
 OP10_SQL = """
