@@ -6,9 +6,11 @@ candidates, the share of equal registers, corrected for chance collisions, estim
 passes is confirmed on full sets.
 
 Steps: equal sets become one class; each class's bands are counted; in each shared band every member meets one
-hub, the member that shares most; then members of a band that are still apart meet each other. So a group of
-copies costs a number of pairs in proportion to its size, and no link between different texts that share a band
-is left untested unless both are already in one component.
+hub, the member that shares most; then members of a band that are still apart meet. In a small band they meet in
+pairs. In a large one those outside its largest component meet all members in tiles of bounded size, where estimate
+and full sets are compared in place and one link for each pair of components comes out. So pairs stay in proportion to
+the bands' members, and no link between different texts that share a band is left untested unless both are already
+in one component.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -25,6 +28,8 @@ from .common import components, mix64, slices, written
 
 BUCKETS, ROWS, MANTISSA = 256, 8, 10
 BANDS = BUCKETS // ROWS
+#: Members up to which a band's pairs are listed, and rows of either side of a tile.
+SMALL, TILE = 12, 1024
 _WEIGHT = mix64(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _BAND_WEIGHT = (mix64(np.arange(1000, 1000 + BUCKETS, dtype=np.uint64)) | np.uint64(1)).reshape(BANDS, ROWS)
 _BAND_SALT = mix64(np.arange(5000, 5000 + BANDS, dtype=np.uint64))
@@ -140,8 +145,7 @@ def likely(pairs: DataFrame, classes: DataFrame, least: float, deviations: float
                 part = batch.slice(i, j - i)
                 x, y = (np.frombuffer(b"".join(part.column(k).to_pylist()), np.uint16).reshape(-1, BUCKETS) for k in (4, 5))
                 got = estimate(x, y, part.column(2).to_numpy().astype(float), part.column(3).to_numpy().astype(float))
-                filled = np.maximum(((x > 0) | (y > 0)).sum(1), 1)
-                good = got >= least - deviations * np.sqrt(least * (1 - least) / filled)
+                good = got >= _margin(((x > 0) | (y > 0)).sum(1), least, deviations)
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(good)), part.column(1).filter(pa.array(good))], ["a", "b"])
 
     side = lambda k: classes.select(F.col("rep").alias(k), F.col("n").alias(f"n_{k}"), F.col("registers").alias(f"r_{k}"))
@@ -167,6 +171,73 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "s_a", "s_b").mapInArrow(run, "a long, b long")
 
 
+def _margin(filled: np.ndarray, least: float, deviations: float) -> np.ndarray:
+    return least - deviations * np.sqrt(least * (1 - least) / np.maximum(filled, 1))
+
+
+def meet(group: pd.DataFrame, percent: int, deviations: float = 5.0) -> pd.DataFrame:
+    """Links (a, b) between components that a tile's rows show: ``asks`` rows against the others.
+
+    A pair is looked at in the first band that it shares only, and not once its components are joined by a link found
+    before. Rows have band, rep, n, at (component), registers, members (set) and asks.
+    """
+    asks, told = group[group["asks"]], group[~group["asks"]]
+    if not len(asks) or not len(told):
+        return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
+    matrix = lambda rows: np.frombuffer(b"".join(rows["registers"].tolist()), np.uint16).reshape(-1, BUCKETS)
+    x, y = matrix(asks), matrix(told)
+    key_x, key_y = band_keys(x), band_keys(y)
+    band = np.uint64(np.int64(group["band"].iloc[0]).astype(np.uint64))
+    rep_x, rep_y, n_x, n_y = asks["rep"].to_numpy(), told["rep"].to_numpy(), asks["n"].to_numpy(), told["n"].to_numpy()
+    sets = [np.frombuffer(v, np.uint64) for v in [*asks["members"], *told["members"]]]
+    known, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    offset = np.concatenate([[0], np.cumsum([len(v) for v in sets])])
+    asked, marked = set(rep_x.tolist()), np.zeros(len(known), bool)
+    both = np.array([r in asked for r in rep_y.tolist()])
+    names, place = np.unique(np.concatenate([asks["at"].to_numpy(), told["at"].to_numpy()]), return_inverse=True)
+    group_of = np.arange(len(names))
+    at_y, out = place[len(asks) :], []
+    column = (key_y == band).argmax(1)
+    for i in range(len(asks)):
+        mine = group_of[place[i]]
+        size_ok = 100 * np.minimum(n_x[i], n_y) >= percent * np.maximum(n_x[i], n_y)
+        todo = np.flatnonzero(size_ok & (group_of[at_y] != mine) & (~both | (rep_x[i] < rep_y)))
+        todo = todo[(key_x[i] == key_y[todo]).argmax(1) == column[todo]]
+        if not len(todo):
+            continue
+        near, other = y[todo], np.broadcast_to(x[i], (len(todo), BUCKETS))
+        got = estimate(other, near, np.full(len(todo), float(n_x[i])), n_y[todo].astype(float))
+        good = got >= _margin(((near > 0) | (other > 0)).sum(1), percent / 100, deviations)
+        todo = todo[good][np.argsort(-got[good], kind="stable")]
+        own = flat[offset[i] : offset[i + 1]]
+        marked[own] = True
+        while len(todo):
+            now, todo = todo[:64], todo[64:]
+            spans = [flat[offset[len(asks) + j] : offset[len(asks) + j + 1]] for j in now.tolist()]
+            inter = np.add.reduceat(marked[np.concatenate(spans)].astype(np.int64), np.concatenate([[0], np.cumsum([len(v) for v in spans])[:-1]]))
+            linked = 100 * inter >= percent * (n_x[i] + n_y[now] - inter)
+            for j in now[linked].tolist():
+                if (theirs := group_of[at_y[j]]) != group_of[place[i]]:
+                    out.append((rep_x[i], rep_y[j]))
+                    group_of[group_of == theirs] = group_of[place[i]]
+            todo = todo[group_of[at_y[todo]] != group_of[place[i]]]
+        marked[own] = False
+    return pd.DataFrame(np.array(out, np.int64).reshape(-1, 2), columns=["a", "b"])
+
+
+def _met_in_tiles(large: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) found between the rows of ``large`` (band, rep, n, at, size) that are apart."""
+    most = large.groupBy("band", "at").agg(F.count("*").alias("c")).groupBy("band").agg(F.max(F.struct("c", (-F.col("at")).alias("neg"))).alias("m"), F.sum("c").alias("all"))
+    parts = lambda n: F.ceil(F.greatest(n, F.lit(1)) / TILE).cast("int")
+    sized = most.select("band", (-F.col("m.neg")).alias("main"), parts(F.col("all") - F.col("m.c")).alias("n_i"), parts(F.col("all")).alias("n_j"))
+    rows = large.join(sized, "band").join(classes.select("rep", "registers"), "rep").join(sets, "rep")
+    part = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "rep"), F.col(n)).cast("int")
+    columns = ["band", "i", "j", "rep", "n", "at", "registers", "members"]
+    asks = rows.where("at <> main").withColumn("i", part(1, "n_i")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n_j") - 1))).select(*columns, F.lit(True).alias("asks"))
+    told = rows.withColumn("j", part(2, "n_j")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n_i") - 1))).select(*columns, F.lit(False).alias("asks"))
+    return asks.union(told).groupBy("band", "i", "j").applyInPandas(lambda g: meet(g, percent), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of ``docs`` (doc_id, text).
 
@@ -198,14 +269,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85) -> DataF
     first = confirmed(likely(pairs, classes, least), sets, percent).checkpoint()
 
     so_far = components(first)
-    placed = shared.where("size > 2").join(so_far.select(F.col("node").alias("rep"), "component"), "rep", "left").select("band", "rep", "n", F.coalesce("component", "rep").alias("at"))
+    placed = shared.where("size > 2").join(so_far.select(F.col("node").alias("rep"), "component"), "rep", "left").select("band", "rep", "n", "size", F.coalesce("component", "rep").alias("at"))
     apart = placed.groupBy("band").agg(F.min("at").alias("low"), F.max("at").alias("high")).where("low < high").select("band")
     placed = written(placed.join(apart, "band", "left_semi"), "apart")
-    x, y = (placed.select("band", F.col("rep").alias(k), F.col("n").alias(f"n_{k}"), F.col("at").alias(f"at_{k}")) for k in ("a", "b"))
+    few = placed.where(F.col("size") <= SMALL)
+    x, y = (few.select("band", F.col("rep").alias(k), F.col("n").alias(f"n_{k}"), F.col("at").alias(f"at_{k}")) for k in ("a", "b"))
     more = x.join(y, "band").where("a < b and at_a <> at_b").where(similar).select("a", "b").distinct()
     more = more.join(pairs, ["a", "b"], "left_anti")
     second = confirmed(likely(written(more, "more"), classes, least), sets, percent).checkpoint()
-    found = components(first.union(second))
+    third = _met_in_tiles(placed.where(F.col("size") > SMALL), classes, sets, percent).checkpoint()
+    found = components(first.union(second).union(third))
 
     groups = classes.select("set_a", "set_b", "copies", "rep").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").where("copies > 1 or component is not null")
     groups = groups.select("set_a", "set_b", F.coalesce("component", "rep").alias("component"))
