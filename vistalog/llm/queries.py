@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hyperminhash, langid, licenses, nearvectors, packing, pagetext, secrets, zip_warc
+from . import hyperminhash, langid, licenses, nearvectors, packing, pagetext, pieces, secrets, zip_warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(_table(spark, sf_dir, "documents"), with_ids=False)
+
+
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
@@ -48,7 +52,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_nearvectors": op1_nearvectors, "op3_licenses": op3_licenses, "op4_minhash": op4_minhash, "op5_secrets": op5_secrets, "op6_packing": op6_packing, "op8_langid": op8_langid, "op9_pagetext": op9_pagetext, "op10_warc": op10_warc}
+    return {"op1_nearvectors": op1_nearvectors, "op3_licenses": op3_licenses, "op4_minhash": op4_minhash, "op5_secrets": op5_secrets, "op6_packing": op6_packing, "op7_pieces": op7_pieces, "op8_langid": op8_langid, "op9_pagetext": op9_pagetext, "op10_warc": op10_warc}
 
 
 OP10_SQL = """
