@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hyperminhash, langid, licenses, nearvectors, packing, pagetext, pieces, secrets, zip_warc
+from . import hyperminhash, langid, licenses, mjpeg, nearvectors, packing, pagetext, pieces, secrets, zip_warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_nearvectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearvectors.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op2_mjpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mjpeg.summary(mjpeg.read(mjpeg.store(_table(spark, sf_dir, "documents")), with_payload=False))
+
+
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
@@ -52,7 +56,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_nearvectors": op1_nearvectors, "op3_licenses": op3_licenses, "op4_minhash": op4_minhash, "op5_secrets": op5_secrets, "op6_packing": op6_packing, "op7_pieces": op7_pieces, "op8_langid": op8_langid, "op9_pagetext": op9_pagetext, "op10_warc": op10_warc}
+    return {"op1_nearvectors": op1_nearvectors, "op2_mjpeg": op2_mjpeg, "op3_licenses": op3_licenses, "op4_minhash": op4_minhash, "op5_secrets": op5_secrets, "op6_packing": op6_packing, "op7_pieces": op7_pieces, "op8_langid": op8_langid, "op9_pagetext": op9_pagetext, "op10_warc": op10_warc}
 
 
 OP10_SQL = """
