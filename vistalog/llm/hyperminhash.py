@@ -285,3 +285,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85) -> DataF
     out = sketched.select("doc_id", "n_shingles", "set_a", "set_b").join(groups, ["set_a", "set_b"], "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+def deduplicated(docs: DataFrame, width: int = 5, percent: int = 85) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that near_duplicates() keeps: one document of each group.
+
+    Rows that repeat both doc_id and text are one document; rows without a doc_id, of which none can be named, stay.
+    """
+    kept = near_duplicates(docs, width, percent).where("kept").select("doc_id").distinct()
+    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return named.unionByName(docs.where("doc_id is null"))

@@ -185,6 +185,24 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
     return base.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
 
 
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that classify() does not reject; text is one of the columns."""
+    shipped = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shipped.value
+        for batch in batches:
+            texts = [t or "" for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
+            keep = np.zeros(len(texts), bool)
+            for a, b in slices([len(t) + 1 for t in texts], _BATCH):
+                if m.languages:
+                    p, has = scores(m, texts[a:b])
+                    keep[a:b] = has & (p.max(1) >= m.least)
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def identify(docs: DataFrame, per_language: int = 1500) -> DataFrame:
     """Train on a bounded sample of ``docs`` (doc_id, text, lang) and classify all of them; see sample() and classify()."""
     return classify(docs, train(*sample(docs, per_language)))
