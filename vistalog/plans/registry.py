@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import logs
+from . import logs, scenes
 
-AREAS = (logs,)
+AREAS = (logs, scenes)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
