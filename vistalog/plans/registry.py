@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import logs, scenes
+from . import detection, logs, scenarios, scenes
 
-AREAS = (logs, scenes)
+AREAS = (logs, scenes, detection, scenarios)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
