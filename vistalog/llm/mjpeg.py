@@ -27,7 +27,7 @@ from .common import slices
 
 SIDE, INTERVAL, FPS = 32, 4, 25
 BLOCKS = (SIDE // 8) ** 2
-_BATCH = 1 << 21
+_BATCH = 1 << 20
 
 # The typical Huffman tables of ITU-T T.81, annex K (code counts by length, then symbols).
 DC_LUMA = (bytes.fromhex("00010501010101010100000000000000"), bytes(range(12)))
