@@ -1,0 +1,154 @@
+"""Packing, pieces, secrets, licences and languages against plain versions."""
+
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pyarrow.parquet as pq
+import pytest
+
+from vistalog.llm import langid, licenses, packing, pieces, secrets
+
+SMALL = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def texts():
+    return pq.read_table(f"{SMALL}/documents.parquet").column("text").to_pylist()
+
+
+def test_ids_equal_the_tokenizer(texts):
+    t = packing.tokenizer(*packing.public_vocabulary())
+    rnd = random.Random(1)
+    letters = " \n\t'sdtmreval'' 12½²ª-.!éÄ\xa1$<|>\r　中́\x85\xa0"
+    mixed = texts + ["".join(rnd.choice(letters) for _ in range(rnd.randint(1, 30))) for _ in range(3000)] + ["<|endoftext|>", ""]
+    mixed += [a + chr(c) + b for c in range(9, 0x250) for a, b in (("", " x"), ("b", "1"), (" ", "."), ("'", "s"))]
+    want = [np.array(e.ids, "<u4").tobytes() for e in t.slow.encode_batch(mixed, add_special_tokens=False)]
+    assert t.encode(mixed) == want
+
+
+def test_pieces_of_documents_cover_their_ids(spark, texts):
+    df = spark.read.parquet(f"{SMALL}/documents.parquet")
+    t = packing.tokenizer(*packing.public_vocabulary())
+    want = dict(zip((r["doc_id"] for r in df.select("doc_id").collect()), t.encode([r["text"] for r in df.select("text").collect()]), strict=True))
+    got = collections.defaultdict(list)
+    for r in packing.pack(df).collect():
+        got[r["doc_id"]].append(r)
+    for key, ids in want.items():
+        ids = np.append(np.frombuffer(ids, "<u4"), [1]).astype("<u4")
+        at = 0
+        for r in sorted(got[key], key=lambda r: r["start"]):
+            own = ids[at : at + r["length"]]
+            assert r["start"] == at and r["length"] & (r["length"] - 1) == 0 and r["length"] <= 2048 and r["offset"] == 0
+            assert r["ids"] == own.tolist() and r["ids_crc32"] == zlib.crc32(own.tobytes()) and r["doc_tokens"] == len(ids)
+            at += r["length"]
+        assert at == len(ids)
+
+
+def test_write_buckets(spark, tmp_path):
+    packing.write_buckets(packing.pack(spark.read.parquet(f"{SMALL}/documents.parquet")), str(tmp_path / "b"))
+    for r in spark.read.parquet(str(tmp_path / "b")).groupBy("bucket").agg({"length": "max"}).collect():
+        assert r["max(length)"] == 1 << r["bucket"]
+
+
+def test_segmentations_follow_the_lattice():
+    m = pieces.model(pieces.public_model(), 0.5)
+
+    def every(s):
+        if not s:
+            yield (), 0.0
+        for n in range(1, len(s) + 1):
+            h = m._key(np.array([ord(c) for c in s[:n]], np.uint64))
+            k = min(np.searchsorted(m.keys, h), len(m.keys) - 1)
+            if m.keys[k] == h:
+                for rest, w in every(s[n:]):
+                    yield (int(m.ids[k]), *rest), w + m.weights[k]
+
+    table = dict(every("▁the"))
+    total = sum(np.exp(w) for w in table.values())
+    seen = collections.Counter(tuple(v.tolist()) for v in m.sample(["the"] * 20_000, list(range(20_000))))
+    assert set(seen) <= set(table)
+    assert all(abs(seen[s] / 20_000 - np.exp(w) / total) < 0.015 for s, w in table.items())
+
+
+def test_segmentations_are_reproducible_and_lossless(texts):
+    m = pieces.model(pieces.public_model(), 0.5)
+    whole = m.sample(texts, list(range(len(texts))))
+    part = m.sample(texts[50:90], list(range(50, 90)))
+    assert all((a == b).all() for a, b in zip(whole[50:90], part, strict=True))
+    assert [m.decode(v) for v in whole] == texts
+    assert any((a.shape != b.shape) or (a != b).any() for a, b in zip(m.sample(texts, ["other"] * len(texts)), whole, strict=True))
+
+
+def test_base_spans_are_leftmost_and_filtered():
+    def plain(text):
+        kinds = (r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", r"AKIA[A-Z0-9]+", r"[0-9a-f]+")
+        out = []
+        for k, p in enumerate(kinds):
+            for m in re.finditer(p, text, re.ASCII | (re.I if k == 0 else 0)):
+                if (k == 0 and len(m[2]) >= 8) or (k == 1 and len(m[0]) >= 16) or (k == 2 and len(m[0]) >= 32):
+                    out.append((m.start(), k, m.end()))
+        return sorted(out)
+
+    rnd = random.Random(2)
+    parts = ["token", " = ", ":", '"', "secret", "PassWord", "api_key", "AKIA", "ABCDEFGH12345678", "0123456789abcdef", "x", " ", "toKen", "ſecret", "=", "abcdefgh", "\n", "é"]
+    for _ in range(3000):
+        t = "".join(rnd.choice(parts) for _ in range(rnd.randint(1, 14)))
+        assert [s[:3] for s in secrets.base_spans(t)] == plain(t), t
+
+
+def test_novel_strings_in_sensitive_context():
+    m = secrets.novelty(secrets.IDENTIFIERS)
+    find = lambda t: [t[a:e] for a, _, e, _ in secrets.novel_spans(t, secrets.base_spans(t), m, 0.6)]
+    assert find("the client secret, given by mail, was Zk39xQp0aLw83mVb71TyRc today") == ["Zk39xQp0aLw83mVb71TyRc"]
+    assert find("the access token user_account_configuration_1 is a name") == []
+    assert find("an id Zk39xQp0aLw83mVb71TyRc without context") == []
+    assert find("private key Zk39xQp0aLw83mVb71TyRc and again Zk39xQp0aLw83mVb71TyRc") in ([], ["Zk39xQp0aLw83mVb71TyRc"])
+
+
+def test_summary_and_redaction(spark):
+    t = 'é token = "abcdefgh1" AKIAABCDEFGH1234 ' + "0" * 40
+    df = spark.createDataFrame([(1, t, len(t)), (2, "clean", 5), (3, None, None)], "doc_id long, text string, n_chars long")
+    r = {x["doc_id"]: x for x in secrets.summary(secrets.scan(df)).collect()}
+    want = ",".join(f"{secrets.KINDS[k]}:{a}:{e}" for a, k, e, _ in secrets.base_spans(t))
+    assert r[1]["base_sha256"] == hashlib.sha256(want.encode()).hexdigest() and r[1]["spans"] == want and (r[1]["n_assign"], r[1]["n_access"], r[1]["n_hex"]) == (1, 1, 1)
+    assert r[2]["base_sha256"] == r[3]["base_sha256"] == hashlib.sha256(b"").hexdigest()
+    out = {x["doc_id"]: x for x in secrets.redact(df).collect()}
+    assert out[1]["text"] == 'é token = "<secret>" <secret> <secret>' and out[1]["n_chars"] == len(out[1]["text"])
+    assert out[2]["text"] == "clean" and out[3]["text"] is None
+
+
+def test_licence_bounds_lose_nothing():
+    for n in range(1, 60):
+        low, high = licenses.bounds(n, 0.8)
+        for m in range(1, 120):
+            assert (low <= m <= high) == (2 * min(n, m) / (n + m) >= 0.8)
+
+
+def test_licence_units(spark):
+    mit = licenses.TEMPLATES["MIT"].replace("\n", " ")
+    rows = [(1, f"intro\n\n{mit}\n\nReleased under the MIT License.\nend"), (2, mit.upper()), (3, "Released under no MIT license at all, sorry"), (4, None)]
+    got = {(r["doc_id"], r["unit"], r["licence"], round(r["dice"], 2)) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {(1, "paragraph", "MIT", 1.0), (1, "line", "MIT", 1.0), (1, "line", "MIT notice", 1.0), (2, "text", "MIT", 1.0)} <= got
+    assert not any(d in (3, 4) for d, *_ in got)
+
+
+def test_languages_are_told_apart(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = langid.identify(df).join(df.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert sum(r["lang_pred"] == r["lang"] for r in rows) / len(rows) > 0.97
+    assert sum(r["rejected"] for r in rows) / len(rows) < 0.02
+    model = langid.train(*langid.sample(df))
+    p, has = langid.scores(model, ["Привет мир это текст на русском языке", "12 34", ""])
+    assert p[0].max() < 0.5 and has.tolist() == [True, False, False]
+
+
+def test_predictions_do_not_use_labels(spark):
+    df = spark.read.parquet(f"{SMALL}/documents.parquet")
+    model = langid.train(*langid.sample(df))
+    plain = langid.classify(df, model).select("lang_pred", "score").collect()
+    changed = langid.classify(df.selectExpr("doc_id + 1000 as doc_id", "text", "'xx' as lang", "'y' as source"), model).select("lang_pred", "score").collect()
+    assert plain == changed

@@ -7,6 +7,7 @@ most 2 min(a, b) / (a + b), only templates whose size lies between a t / (2 - t)
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -78,7 +79,8 @@ def bigrams_of(text: str) -> list[str]:
 
 def bounds(n: int, least: float) -> tuple[int, int]:
     """Smallest and largest size of a set whose Dice coefficient with a set of ``n`` elements can reach ``least``."""
-    return -int(-n * least / (2 - least) // 1), int(n * (2 - least) / least)
+    slack = 1e-9  # so that rounding excludes no size that reaches the threshold exactly
+    return math.ceil(n * least / (2 - least) - slack), math.floor(n * (2 - least) / least + slack)
 
 
 def normalised(text: Column) -> Column:
