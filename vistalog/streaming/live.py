@@ -17,12 +17,10 @@ def frame_stream(spark, path: str, schema: str, files_per_trigger: int = 1) -> D
 def live_segments(frames: DataFrame, gap: str = "500 milliseconds", delay: str = "10 seconds") -> DataFrame:
     """Segments of each sequence cut where frames are more than ``gap`` apart, given out once the watermark has passed.
 
-    A session window ends its gap after its last frame, and frames exactly the gap apart would start a new one; so
-    the gap is a microsecond more, as the batch operator cuts only at longer gaps.
+    Frames exactly the gap apart are in one session window, as the batch operator has it.
     """
-    width = f"{gap} 1 microsecond"
     marked = frames.withWatermark("ts", delay)
-    out = marked.groupBy("sequence_id", F.session_window("ts", width)).agg(F.count("*").alias("frame_count"), F.min("timestamp_us").alias("start_us"), F.max("timestamp_us").alias("end_us"))
+    out = marked.groupBy("sequence_id", F.session_window("ts", gap)).agg(F.count("*").alias("frame_count"), F.min("timestamp_us").alias("start_us"), F.max("timestamp_us").alias("end_us"))
     return out.drop("session_window")
 
 
