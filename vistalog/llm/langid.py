@@ -86,7 +86,7 @@ def train(texts: list[str], languages: list[str], dim: int = 16, epochs: int = 1
     rng = np.random.default_rng(seed)
     y = np.array([names.index(v) for v in languages])
     rows: list[tuple[np.ndarray, np.ndarray]] = []
-    for a, b in slices([len(t) for t in texts], _BATCH):
+    for a, b in slices([len(t) for t in texts], _BATCH // 5):
         grams, _ = subwords(texts[a:b])
         bins = np.concatenate([g for g, _ in grams])
         owner = np.concatenate([o for _, o in grams])
@@ -94,13 +94,13 @@ def train(texts: list[str], languages: list[str], dim: int = 16, epochs: int = 1
         cut = np.searchsorted(packed, np.arange(b - a + 1) * BINS)
         for i in range(b - a):
             c = counts[cut[i] : cut[i + 1]]
-            rows.append((packed[cut[i] : cut[i + 1]] % BINS, c / max(1, c.sum())))
+            rows.append(((packed[cut[i] : cut[i + 1]] % BINS).astype(np.int32), (c / max(1, c.sum())).astype(np.float32)))
     order = rng.permutation(len(rows))
     held = order[: len(rows) // 5]
     fit = order[len(rows) // 5 :]
     weight = np.bincount(y[fit], minlength=len(names)).astype(float)
     weight = len(fit) / np.maximum(weight, 1) / len(names)
-    embed = np.zeros((BINS, dim))
+    embed = np.zeros((BINS, dim), np.float32)
     soft, bias = rng.normal(size=(dim, len(names))), np.zeros(len(names))
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
@@ -117,7 +117,7 @@ def train(texts: list[str], languages: list[str], dim: int = 16, epochs: int = 1
             soft -= 0.1 * step * np.outer(v, p)
             bias -= 0.01 * step * p
             embed[bins] -= step * 50 * share[:, None] * back
-    table = (embed @ soft).T.astype(np.float32).copy()
+    table = (embed.astype(float) @ soft).T.astype(np.float32).copy()
     logits = np.array([(table[:, b].astype(float) @ s) + bias for b, s in (rows[i] for i in held)]).reshape(-1, len(names))
 
     def chances(t: float) -> np.ndarray:
@@ -127,14 +127,23 @@ def train(texts: list[str], languages: list[str], dim: int = 16, epochs: int = 1
 
     truth = y[held]
     grid = np.geomspace(0.05, 20, 60)
-    best = min(grid, key=lambda t: -np.log(np.maximum(chances(t)[np.arange(len(held)), truth], 1e-12)).mean()) if len(held) else 1.0
+    # As in Platt's scaling, targets keep a share of one in n + 2 for the other classes, so that a faultless
+    # calibration set doesn't make all scores 1.
+    other = 1 / (len(held) + 2)
+
+    def loss(t: float) -> float:
+        logs = np.log(np.maximum(chances(t), 1e-12))
+        own = logs[np.arange(len(held)), truth]
+        return -((1 - other) * own + other * (logs.sum(1) - own) / max(1, len(names) - 1)).mean()
+
+    best = min(grid, key=loss) if len(held) else 1.0
     p = chances(best)
     right = np.sort(p.max(1)[p.argmax(1) == truth]) if len(held) else np.zeros(0)
     least = min(0.5, float(right[int(false_reject * len(right))])) if len(right) else 0.0
     return Model(names, table, bias, float(best), least)
 
 
-def sample(docs: DataFrame, per_language: int = 1500) -> tuple[list[str], list[str]]:
+def sample(docs: DataFrame, per_language: int = 700) -> tuple[list[str], list[str]]:
     """Texts and labels to learn from: about ``per_language`` rows of each language, the documented bound.
 
     Only rows with text, a language and crc32(doc_id as text) mod 5 other than 0 count. Which ones are taken
@@ -203,6 +212,6 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
     return docs.mapInArrow(run, docs.schema)
 
 
-def identify(docs: DataFrame, per_language: int = 1500) -> DataFrame:
+def identify(docs: DataFrame, per_language: int = 700) -> DataFrame:
     """Train on a bounded sample of ``docs`` (doc_id, text, lang) and classify all of them; see sample() and classify()."""
     return classify(docs, train(*sample(docs, per_language)))
