@@ -77,8 +77,8 @@ def train(texts: list[str], languages: list[str], dim: int = 16, epochs: int = 1
 
     Unseen bins keep a zero embedding, so that text of an unknown language gets an unsure score. The temperature
     minimises the calibration rows' loss. The least score kept is the one below which at most ``false_reject`` of the
-    rightly recognised calibration rows lie, and one half at most: a score is a probability, so a row above it is
-    more likely right than wrong. Without rows the model has no language.
+    rightly recognised calibration rows lie, and 0.4 at most, so that only texts unlike
+    all languages go, whose scores lie near those of chance. Without rows the model has no language.
     """
     names = sorted(set(languages))
     if not names:
@@ -139,7 +139,7 @@ def train(texts: list[str], languages: list[str], dim: int = 16, epochs: int = 1
     best = min(grid, key=loss) if len(held) else 1.0
     p = chances(best)
     right = np.sort(p.max(1)[p.argmax(1) == truth]) if len(held) else np.zeros(0)
-    least = min(0.5, float(right[int(false_reject * len(right))])) if len(right) else 0.0
+    least = min(0.4, float(right[int(false_reject * len(right))])) if len(right) else 0.0
     return Model(names, table, bias, float(best), least)
 
 
