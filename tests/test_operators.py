@@ -42,6 +42,13 @@ def test_gaps_and_windows_at_their_bounds(spark):
     assert sorted((r["frame_id"], r["chunk"]) for r in segment.window_chunks(g, 5, 20).collect()) == [("a", 0), ("c", 1), ("d", 1)]
 
 
+@pytest.mark.parametrize("bucket", [1, 7, 50, 1000])
+def test_bucketed_gaps_equal_plain_ones(spark, bucket):
+    _, df = frames(spark, 6, 80)
+    g = segment.group_frames(df, "log")
+    assert sorted(segment.bucketed_gap_chunks(g, 9, bucket).select("frame_id", "chunk").collect()) == sorted(segment.gap_chunks(g, 9).select("frame_id", "chunk").collect())
+
+
 def test_segment_ids(spark):
     df = spark.createDataFrame([("a", 0, "x", "s/1 b", 0), ("b", 10, "x", "s/1 b", 1)], FRAME)
     assert {r["segment_id"] for r in segment.segments(df, "log", "sequence").collect()} == {"s/1 b"}

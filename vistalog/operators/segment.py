@@ -39,6 +39,26 @@ def gap_chunks(grouped: DataFrame, max_gap_us: int) -> DataFrame:
     return grouped.withColumn("cut", cut).withColumn("chunk", F.sum("cut").over(w)).drop("cut")
 
 
+def bucketed_gap_chunks(grouped: DataFrame, max_gap_us: int, bucket_us: int) -> DataFrame:
+    """As gap_chunks(), for groups too long for one task: rows are ordered within time buckets only.
+
+    Each bucket's first row is compared with the last time of the group's bucket before, and chunks count on from the
+    cuts of earlier buckets; both come from a table of one row a bucket.
+    """
+    if bucket_us <= 0:
+        raise ValueError("buckets must have a width")
+    key = ["group_key", "_bucket"]
+    rows = grouped.withColumn("_bucket", F.floor(F.col("timestamp_us") / bucket_us))
+    in_order, by_bucket = Window.partitionBy(*key).orderBy(*ORDER), Window.partitionBy("group_key").orderBy("_bucket")
+    ends = rows.groupBy(*key).agg(F.min("timestamp_us").alias("_low"), F.max("timestamp_us").alias("_high"))
+    first = ends.select(*key, F.coalesce((F.col("_low") - F.lag("_high").over(by_bucket) > max_gap_us).cast("long"), F.lit(0).cast("long")).alias("_first"))
+    local = rows.withColumn("_cut", (F.col("timestamp_us") - F.lag("timestamp_us").over(in_order) > max_gap_us).cast("long"))
+    inside = local.groupBy(*key).agg(F.coalesce(F.sum("_cut"), F.lit(0)).alias("_cuts"))
+    offsets = inside.join(first, key).withColumn("_before", F.sum(F.col("_cuts") + F.col("_first")).over(by_bucket) - F.col("_cuts")).select(*key, "_before")
+    counted = local.withColumn("_here", F.sum(F.coalesce("_cut", F.lit(0))).over(in_order))
+    return counted.join(offsets, key).withColumn("chunk", (F.col("_before") + F.col("_here")).cast("long")).select(*grouped.columns, "chunk")
+
+
 def window_chunks(grouped: DataFrame, duration_us: int, stride_us: int | None = None) -> DataFrame:
     """Windows [start + k stride, + duration) from each group's first frame; a frame is in as many as hold it, or in none."""
     stride = stride_us or duration_us
@@ -116,11 +136,11 @@ def first_built(segments: DataFrame, samples: DataFrame, most: int | None = None
     return kept.orderBy("start_us", "group_key", "segment_index").limit(most) if most else kept
 
 
-def segments(frames: DataFrame, raw_log_id: str = "log", strategy: str = "gap_based", max_gap_us: int = 500_000, duration_us: int = 10_000_000, stride_us: int | None = None, max_duration_us: int | None = None, max_frame_count: int | None = None, min_frame_count: int = 1, min_duration_us: int = 0, **grouping) -> DataFrame:
-    """The whole chain: frames with their segment_id."""
+def segments(frames: DataFrame, raw_log_id: str = "log", strategy: str = "gap_based", max_gap_us: int = 500_000, duration_us: int = 10_000_000, stride_us: int | None = None, max_duration_us: int | None = None, max_frame_count: int | None = None, min_frame_count: int = 1, min_duration_us: int = 0, bucket_us: int | None = None, **grouping) -> DataFrame:
+    """The whole chain: frames with their segment_id. ``bucket_us`` cuts very long groups for gaps by time."""
     grouped = group_frames(frames, raw_log_id, **grouping)
     if strategy == "gap_based":
-        chunks = gap_chunks(grouped, max_gap_us)
+        chunks = bucketed_gap_chunks(grouped, max_gap_us, bucket_us) if bucket_us else gap_chunks(grouped, max_gap_us)
     elif strategy == "fixed_window":
         chunks = window_chunks(grouped, duration_us, stride_us)
     elif strategy == "sequence":

@@ -77,6 +77,10 @@ def g3_gap_segments(spark, d):
 G3 = f"{_SEGMENTED} {_ROLLUP}"
 
 
+def g3_bucketed_segments(spark, d):
+    return _segment_rows(_gaps(spark, d, min_frame_count=2, bucket_us=24 * HOUR))
+
+
 def _windows(spark, d, duration, stride):
     return _segment_rows(G.segments(_frames(spark, d), "log", "fixed_window", duration_us=duration, stride_us=stride))
 
@@ -381,6 +385,7 @@ QUERIES = {
     "g1_grouped_frames": (g1_grouped, G1),
     "g2_sequence_segments": (g2_sequence_segments, G2),
     "g3_gap_segments": (g3_gap_segments, G3),
+    "g3_bucketed_segments": (g3_bucketed_segments, G3),
     "g4_overlapping_windows": (g4_overlapping_windows, _windows_sql(48 * HOUR, 24 * HOUR)),
     "g4_windows_with_holes": (g4_windows_with_holes, _windows_sql(48 * HOUR, 72 * HOUR)),
     "g5_limited_segments": (g5_limited_segments, G5),
