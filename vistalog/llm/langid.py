@@ -15,7 +15,7 @@ from .common import slices
 
 BINS, SIZES = 1 << 16, (2, 3, 4)
 UNKNOWN = "und"
-_BATCH = 1_000_000
+_BATCH = 400_000
 
 
 class Model(NamedTuple):
@@ -86,7 +86,7 @@ def train(texts: list[str], languages: list[str], dim: int = 16, epochs: int = 1
     rng = np.random.default_rng(seed)
     y = np.array([names.index(v) for v in languages])
     rows: list[tuple[np.ndarray, np.ndarray]] = []
-    for a, b in slices([len(t) for t in texts], _BATCH // 5):
+    for a, b in slices([len(t) for t in texts], _BATCH // 2):
         grams, _ = subwords(texts[a:b])
         bins = np.concatenate([g for g, _ in grams])
         owner = np.concatenate([o for _, o in grams])

@@ -13,7 +13,7 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,7 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 #: Characters whose classes the fast path knows; a text with any other goes to the tokenizer itself.
 _OTHER = re.compile("[^\t\n\r\x20-\x7e\xa1-\xac\xae-ɏ]")
 _TOP = 0x250
-_BATCH = 1_500_000
+_BATCH = 1_000_000
 
 
 def _classes() -> np.ndarray:
@@ -77,12 +77,10 @@ class ByteTokenizer:
     with characters outside the Latin blocks go through ``tokenizers`` whole.
     """
 
-    def __init__(self, path: str, ranks: str, pattern: str, words: int = 600_000):
+    def __init__(self, path: str, ranks: str, pattern: str, words: int = 250_000):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.slow = Tokenizer.from_file(path)
-        self.slow.encode_special_tokens = True
+        self.path = path
         with open(ranks, "rb") as f:
             merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.one = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=merges, special_tokens={})
@@ -90,6 +88,15 @@ class ByteTokenizer:
         self.salt = mix64(np.arange(1, _TOP + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         self.powers = np.zeros(0, np.uint64)
 
+    @cached_property
+    def slow(self):
+        """The tokenizer itself, loaded when a text first needs it."""
+        from tokenizers import Tokenizer
+
+        out = Tokenizer.from_file(self.path)
+        out.encode_special_tokens = True
+        return out
+
     def _ids(self, word: str) -> bytes:
         return np.array(self.one.encode_ordinary(word), "<u4").tobytes()
 
