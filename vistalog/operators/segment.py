@@ -97,11 +97,20 @@ def split_by_limits(chunks: DataFrame, max_duration_us: int | None = None, max_f
     return sorted_fold(chunks, ["group_key", "chunk"], ORDER, ["timestamp_us"], start, "part", "long")
 
 
-def drop_short(parts: DataFrame, min_frame_count: int = 1, min_duration_us: int = 0) -> DataFrame:
-    """Leave out parts with too few frames or too short a time."""
+def drop_short(parts: DataFrame, min_frame_count: int = 1, min_duration_us: int = 0, long_groups: bool = False) -> DataFrame:
+    """Leave out parts with too few frames or too short a time.
+
+    Windows keep the partitioning by group, so that this needs no shuffle of its own; with ``long_groups`` the parts are
+    aggregated and joined, which spreads a group over tasks.
+    """
     key = ["group_key", "chunk", "part"]
-    good = parts.groupBy(*key).agg(F.count("*").alias("n"), (F.max("timestamp_us") - F.min("timestamp_us")).alias("span")).where((F.col("n") >= min_frame_count) & (F.col("span") >= min_duration_us))
-    return parts.join(good.select(*key), key, "left_semi")
+    n, span = F.count("*"), F.max("timestamp_us") - F.min("timestamp_us")
+    if long_groups:
+        good = parts.groupBy(*key).agg(n.alias("_n"), span.alias("_span")).where((F.col("_n") >= min_frame_count) & (F.col("_span") >= min_duration_us))
+        return parts.join(good.select(*key), key, "left_semi")
+    w = Window.partitionBy(*key)
+    marked = parts.withColumn("_n", F.count("*").over(w)).withColumn("_span", F.max("timestamp_us").over(w) - F.min("timestamp_us").over(w))
+    return marked.where((F.col("_n") >= min_frame_count) & (F.col("_span") >= min_duration_us)).drop("_n", "_span")
 
 
 def segment_id(raw_log_id: str, strategy: str, group_key: Column, index: Column) -> Column:
@@ -110,12 +119,15 @@ def segment_id(raw_log_id: str, strategy: str, group_key: Column, index: Column)
     return F.when(index == 0, group_key).otherwise(numbered) if strategy == "sequence" else numbered
 
 
-def number_segments(parts: DataFrame, raw_log_id: str, strategy: str) -> DataFrame:
-    """Frames with segment_id; numbers count the group's surviving parts."""
-    keys = parts.select("group_key", "chunk", "part").distinct()
-    index = (F.row_number().over(Window.partitionBy("group_key").orderBy("chunk", "part")) - 1).cast("long")
-    named = keys.withColumn("segment_index", index).withColumn("segment_id", segment_id(raw_log_id, strategy, F.col("group_key"), F.col("segment_index")))
-    return parts.join(named, ["group_key", "chunk", "part"])
+def number_segments(parts: DataFrame, raw_log_id: str, strategy: str, long_groups: bool = False) -> DataFrame:
+    """Frames with segment_id; numbers count the group's surviving parts. With ``long_groups`` only the list of parts is
+    numbered in one task a group, and joined."""
+    by = Window.partitionBy("group_key").orderBy("chunk", "part")
+    named = lambda df: df.withColumn("segment_id", segment_id(raw_log_id, strategy, F.col("group_key"), F.col("segment_index")))
+    if long_groups:
+        keys = parts.select("group_key", "chunk", "part").distinct()
+        return parts.join(named(keys.withColumn("segment_index", (F.row_number().over(by) - 1).cast("long"))), ["group_key", "chunk", "part"])
+    return named(parts.withColumn("segment_index", (F.dense_rank().over(by) - 1).cast("long")))
 
 
 def rollup(segmented: DataFrame) -> DataFrame:
@@ -147,5 +159,6 @@ def segments(frames: DataFrame, raw_log_id: str = "log", strategy: str = "gap_ba
         chunks = sequence_chunks(grouped)
     else:
         raise ValueError(f"unknown strategy {strategy}")
-    parts = drop_short(split_by_limits(chunks, max_duration_us, max_frame_count), min_frame_count, min_duration_us)
-    return number_segments(parts, raw_log_id, strategy)
+    long_groups = bucket_us is not None
+    parts = drop_short(split_by_limits(chunks, max_duration_us, max_frame_count), min_frame_count, min_duration_us, long_groups)
+    return number_segments(parts, raw_log_id, strategy, long_groups)
