@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .asof import DIRECTIONS, asof
@@ -71,20 +71,24 @@ def sample_id(samples: DataFrame) -> DataFrame:
     return samples.withColumn("sample_id", F.format_string("%s-sample-%06d", "segment_id", "anchor_index"))
 
 
+def keeps(drop_empty: bool = True, required: Sequence[str] = ()) -> Column:
+    """True for a sample that stays: not empty, and if channels are required, without one that is missing."""
+    full = F.col("frame_count") > 0 if drop_empty else F.lit(True)
+    return full & ~F.arrays_overlap("missing_channels", F.array(*[F.lit(c) for c in required])) if required else full
+
+
 def kept_samples(samples: DataFrame, drop_empty: bool = True, required: Sequence[str] = ()) -> DataFrame:
-    """Samples without the empty ones and, if channels are required, without those that miss one; numbers stay."""
-    out = samples.where("frame_count > 0") if drop_empty else samples
-    if required:
-        out = out.where(~F.arrays_overlap("missing_channels", F.array(*[F.lit(c) for c in required])))
-    return out
+    """The samples that stay; their numbers do too."""
+    return samples.where(keeps(drop_empty, required))
 
 
-def grouping_report(samples: DataFrame, kept: DataFrame) -> DataFrame:
-    """Per segment: samples before and after, dropped, with missing channels, and frames of those kept."""
-    before = samples.groupBy("segment_id").agg(F.count("*").alias("before"), F.count_if(F.size("missing_channels") > 0).alias("with_missing"))
-    after = kept.groupBy("segment_id").agg(F.count("*").alias("after"), F.sum("frame_count").alias("associated_frames"))
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return before.join(after, "segment_id", "left").select("segment_id", "before", zero("after"), (F.col("before") - F.coalesce("after", F.lit(0))).alias("dropped"), "with_missing", zero("associated_frames"))
+def grouping_report(samples: DataFrame, drop_empty: bool = True, required: Sequence[str] = ()) -> DataFrame:
+    """Per segment, in one aggregation: samples before and after, dropped, with missing channels, and frames of those kept."""
+    stays = keeps(drop_empty, required)
+    return samples.groupBy("segment_id").agg(
+        F.count("*").alias("before"), F.count_if(stays).alias("after"), F.count_if(~stays).alias("dropped"), F.count_if(F.size("missing_channels") > 0).alias("with_missing"),
+        F.coalesce(F.sum(F.when(stays, F.col("frame_count"))), F.lit(0)).alias("associated_frames"),
+    )
 
 
 def grouping_totals(report: DataFrame) -> DataFrame:

@@ -322,8 +322,7 @@ J11 = f"{_SAMPLES} select segment_id, anchor_index, frame_count from kept"
 
 
 def j12_grouping_report(spark, d):
-    samples = _samples(spark, d)
-    return J.grouping_totals(J.grouping_report(samples, J.kept_samples(samples, True, ["click"])))
+    return J.grouping_totals(J.grouping_report(_samples(spark, d), True, ["click"]))
 
 
 J12 = f"""{_SAMPLES},
