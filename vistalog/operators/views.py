@@ -94,7 +94,8 @@ def split(rows: DataFrame, key: str, shares: Sequence[tuple[str, int]] = (("trai
     """Rows with a split by a hash of ``key``, so that a key is always in the same one; shares are parts of 100."""
     if sum(n for _, n in shares) != 100:
         raise ValueError("shares must add up to 100")
-    slot, top, out = F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(100)), 0, None
+    digits = F.substring(F.sha2(F.col(key).cast("string").cast("binary"), 256), 1, 8)
+    slot, top, out = F.conv(digits, 16, 10).cast("long") % 100, 0, None
     for name, n in shares:
         top += n
         out = F.when(slot < top, name) if out is None else out.when(slot < top, name)

@@ -229,6 +229,15 @@ def e11_run_record(spark, d):
     return out.withColumn("evaluated_scene_ids", F.array_join("evaluated_scene_ids", ",")).withColumn("skipped_scene_ids", F.array_join("skipped_scene_ids", ","))
 
 
+_PARTS, _, _JUDGED = E2.partition(f"{_INDEX},")[2].rpartition("\nselect j.*")
+E11 = f"""{_SAMPLE}, {_SHARDS}, {_INDEX}, {_PARTS}, judged as (select j.*{_JUDGED}),
+t as (select sum(tp) as tp, sum(fp) as fp from samples), st as (select coalesce(eval_scene_id, scene_id) as scene_id, bool_or(eligibility = 'eligible') as evaluated from judged group by 1),
+ids as (select evaluated, scene_id, row_number() over (partition by evaluated order by scene_id) as rn from st)
+select 'precision' as primary_metric, round(coalesce(tp / nullif(tp + fp, 0)::double, 0), 6) as primary_value, (select count(*) from st where evaluated) as evaluated_scene_count,
+  coalesce((select string_agg(scene_id, ',' order by scene_id) from ids where evaluated and rn <= 3), '') as evaluated_scene_ids, (select count(*) from st where not evaluated) as skipped_scene_count,
+  coalesce((select string_agg(scene_id, ',' order by scene_id) from ids where not evaluated and rn <= 3), '') as skipped_scene_ids from t"""
+
+
 def e13_metric_catalogue(spark, d):
     runs = view(spark, d, "evaluation_runs").select("run_id", F.lit("detection").alias("task"), F.explode(F.create_map(F.lit("precision"), F.col("precision_value"), F.lit("false_positives"), F.col("sample_count").cast("double"))).alias("metric", "value"))
     return runs.join(F.broadcast(E.metric_specs(spark)), ["task", "metric"]).select("run_id", "metric", "value", "direction")
@@ -243,6 +252,15 @@ def x2_scene_comparison(spark, d):
     return E.compare_scenes(a, moved, DISTANCE)
 
 
+_MOVED = _BOXES.replace("gt as (select * from annotations where category in ('c1', 'c2', 'c3'))", "gt as (select * from annotations)").replace(
+    "good as (select * from predictions where coalesce(lifting_status, '') <> 'failed')",
+    "good as (select annotation_id as prediction_id, scene_id, sample_id, category, x + 0.01::double * (gt_pos % 40) as x, y, z, gt_pos as pred_pos from annotations where gt_pos % 6 <> 0)",
+)
+X2 = f"""with recursive {_MOVED}, m as (select scene_id, count(*) as tp from matched join gt using (annotation_id) group by scene_id), g as (select scene_id, count(*) as n from gt group by scene_id), p as (select scene_id, count(*) as n from good group by scene_id),
+e as (select g.scene_id, round(avg(sqrt((g.x-p.x)*(g.x-p.x) + (g.y-p.y)*(g.y-p.y) + (g.z-p.z)*(g.z-p.z))), 6) as geometry_error from gt g join good p on p.prediction_id = g.annotation_id group by g.scene_id)
+select scene_id, round(coalesce(2.0::double * coalesce(tp, 0) / nullif(coalesce(g.n, 0) + coalesce(p.n, 0), 0), 0), 6) as annotation_f1, geometry_error from g full join p using (scene_id) left join m using (scene_id) left join e using (scene_id)"""
+
+
 def x6_label_quality(spark, d):
     return E.label_quality(view(spark, d, "annotations"), view(spark, d, "predictions"), DISTANCE)
 
@@ -280,9 +298,9 @@ QUERIES = {
     "e8_class_metrics": (e8_class_metrics, f"with recursive {_BOXES}, {_cells('category')} select *, {_RATES} from c"),
     "e9_run_totals": (e9_run_totals, E9),
     "e10_run_status": (e10_run_status, E10),
-    "e11_run_record": (e11_run_record, None),
+    "e11_run_record": (e11_run_record, E11),
     "e13_metric_catalogue": (e13_metric_catalogue, E13),
     "o8_compare": (o8_compare, O8),
-    "x2_scene_comparison": (x2_scene_comparison, None),
+    "x2_scene_comparison": (x2_scene_comparison, X2),
     "x6_label_quality": (x6_label_quality, X6),
 }

@@ -251,6 +251,20 @@ def j5_frames_once(spark, d):
     return J.associate_once(anchors, frames, J.target_channels(frames), "nearest", 3 * HOUR).select("segment_id", "anchor_index", "channel", "frame_id", "offset_us")
 
 
+J5 = f"""{_ANCHORS},
+near as (select a.segment_id, a.channel, a.anchor_index, a.timestamp_us, s.frame_id, s.timestamp_us as frame_us, s.pos from asks a join segmented s on s.segment_id = a.segment_id and s.channel = a.channel and abs(s.timestamp_us - a.timestamp_us) <= {3 * HOUR}),
+asked as (select *, dense_rank() over (partition by segment_id, channel order by anchor_index) as k from near),
+turns as (select distinct segment_id, channel, k, anchor_index from asked),
+walk as (
+  select segment_id, channel, cast(0 as bigint) as k, []::bigint[] as taken, null::bigint as anchor_index, null::varchar as frame_id, null::bigint as frame_us from (select distinct segment_id, channel from asked)
+  union all
+  select w.segment_id, w.channel, w.k + 1, case when b.pos is null then w.taken else list_append(w.taken, b.pos) end, t.anchor_index, b.frame_id, b.frame_us
+  from walk w join turns t on t.segment_id = w.segment_id and t.channel = w.channel and t.k = w.k + 1
+  left join lateral (select x.pos, x.frame_id, x.frame_us from asked x where x.segment_id = w.segment_id and x.channel = w.channel and x.k = w.k + 1 and not list_contains(w.taken, x.pos)
+    order by abs(x.frame_us - x.timestamp_us), x.frame_us, x.pos limit 1) b on true)
+select a.segment_id, a.anchor_index, a.channel, w.frame_id, w.frame_us - a.timestamp_us as offset_us from asks a left join walk w on w.segment_id = a.segment_id and w.channel = a.channel and w.anchor_index = a.anchor_index"""
+
+
 def _samples(spark, d):
     return J.missing_channels(_associated(spark, d))
 
@@ -402,7 +416,7 @@ QUERIES = {
     "j2_nearest_frames": (j2_nearest_frames, f"{_NEAREST} {_OUT}"),
     "j3_previous_frames": (j3_previous_frames, f"{_assoc_sql('s.timestamp_us <= a.timestamp_us')} {_OUT}"),
     "j4_next_frames": (j4_next_frames, f"{_assoc_sql('s.timestamp_us >= a.timestamp_us')} {_OUT}"),
-    "j5_frames_once": (j5_frames_once, None),
+    "j5_frames_once": (j5_frames_once, J5),
     "j6_missing_channels": (j6_missing_channels, J6),
     "j7_calibrated_frames": (j7_calibrated_frames, J7),
     "j8_nearest_pose": (j8_nearest_pose, J8),

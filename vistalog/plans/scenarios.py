@@ -216,6 +216,9 @@ def x5_split(spark, d):
     return L.split(view(spark, d, "scenes"), "scene_id").groupBy("dataset_id", "split").agg(F.count("*").alias("scenes"))
 
 
+X5 = f"""with {ctes('scenes')}, s as (select dataset_id, cast('0x' || substr(sha256(scene_id), 1, 8) as bigint) % 100 as slot from scenes)
+select dataset_id, case when slot < 80 then 'train' when slot < 90 then 'val' else 'test' end as split, count(*) as scenes from s group by all"""
+
 QUERIES = {
     "m1_filter_reasons": (m1_filter_reasons, f"{_CANDIDATES} select scene_id, reasons from r"),
     "m1_rejected": (m1_rejected, f"{_CANDIDATES} select scene_id, reasons from r where reasons <> ''"),
@@ -240,5 +243,5 @@ QUERIES = {
     "x3_predicates": (x3_predicates, X3),
     "x3_ego_speed": (x3_ego_speed, X3S),
     "x4_strategies": (x4_strategies, X4),
-    "x5_split": (x5_split, None),
+    "x5_split": (x5_split, X5),
 }
