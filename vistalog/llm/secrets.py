@@ -6,7 +6,6 @@ identifiers: words, names and repeated strings add little, keys and tokens add n
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
