@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import partial
 
 from pyspark.sql import functions as F
 
@@ -31,6 +32,12 @@ _SOURCE = {
         concat('f', cast(o_orderkey % 110 as string)) as lidar_frame_id, o_orderpriority as category, o_totalprice as score, cast(o_custkey % 40 as double) as x1, cast(o_custkey % 30 as double) as y1,
         cast(o_custkey % 40 + 60 as double) as x2, cast(o_custkey % 30 + 60 as double) as y2, case when o_orderkey % 13 = 0 then null else 1600 end as width, 900 as height, o_orderkey % 41 = 0 as lift_failed from orders where o_orderkey < 3000""",
 }
+# The whole tables: a detection for each order, dealt over all lidar frames, and a pose for nine of ten frames of all.
+_SOURCE["all_detections"] = _SOURCE["detections"].replace("concat('f', cast(o_orderkey % 110 as string))", "concat('f', cast(o_orderkey % lidar_frames as string))").replace(
+    "from orders where o_orderkey < 3000", "from orders cross join (select max(cast(floor(vec_id / 5.0) as bigint)) + 1 as lidar_frames from embeddings) n"
+)
+_SOURCE["all_data"] = _SOURCE["src_data"].replace("cast(event_id % 50 as string)", "cast(event_id as string)")
+_SOURCE["all_poses"] = _SOURCE["src_poses"].replace("event_id < 45", "event_id % 10 <> 9")
 
 
 def _sql(name: str, duck: bool) -> str:
@@ -51,6 +58,13 @@ def _with(*names):
     return "with " + ",\n".join(f"{n} as ({_sql(n, True)})" for n in names)
 
 
+def _whole(sql, **views):
+    """``sql`` with the views named by keys in place replaced by those of the whole tables."""
+    for name, whole in views.items():
+        sql = sql.replace(f"{name} as ({_sql(name, True)})", f"{name} as ({_sql(whole, True)})")
+    return sql
+
+
 def _ordered(spark, d):
     return I.ordered_samples(_view(spark, d, "src_scenes"), _view(spark, d, "src_samples"))
 
@@ -90,16 +104,16 @@ m as (select *, coalesce(tb, timestamp_us) - coalesce(ta, timestamp_us) as dt fr
 select token, round(case when ok then (coalesce(xb, x) - coalesce(xa, x)) / s end * 1e6, 6) as vx, round(case when ok then (coalesce(yb, y) - coalesce(ya, y)) / s end * 1e6, 6) as vy, round(case when ok then (coalesce(zb, z) - coalesce(za, z)) / s end * 1e6, 6) as vz from g"""
 
 
-def _frames(spark, d, channels=I.TARGET_CHANNELS):
-    return I.sensor_frames(_ordered(spark, d), *[_view(spark, d, n) for n in ("src_data", "src_calibrations", "src_sensors", "src_poses")], channels)
+def _frames(spark, d, channels=I.TARGET_CHANNELS, data="src_data", poses="src_poses"):
+    return I.sensor_frames(_ordered(spark, d), *[_view(spark, d, n) for n in (data, "src_calibrations", "src_sensors", poses)], channels)
 
 
 _FRAMES = f"""{_ORDERED}, f as (select d.token as frame_id, o.scene_id, o.sample_id, d.channel, case lower(trim(s.modality)) when 'camera' then 'camera' when 'lidar' then 'lidar' when 'radar' then 'radar' else case when d.channel like 'CAM%' then 'camera' when d.channel like 'LIDAR%' then 'lidar' when d.channel like 'RADAR%' then 'radar' else 'unknown' end end as modality,
   d.timestamp_us, d.calibrated_sensor_token as calibration_id, p.timestamp_us as pose_us, d.width, d.height, d.raw_log_id, d.sequence_id, d.pos from src_data d join ordered o on o.token = d.sample_token join src_calibrations c on c.token = d.calibrated_sensor_token left join src_sensors s on s.token = c.sensor_token left join src_poses p on p.token = d.ego_pose_token)"""
 
 
-def i4_sensor_frames(spark, d):
-    return _frames(spark, d).select("frame_id", "sample_id", "channel", "modality", "calibration_id", "pose_us", "width", "height")
+def i4_sensor_frames(spark, d, **views):
+    return _frames(spark, d, **views).select("frame_id", "sample_id", "channel", "modality", "calibration_id", "pose_us", "width", "height")
 
 
 I4 = f"""{_FRAMES} select frame_id, sample_id, channel, modality, calibration_id, pose_us, case when modality = 'camera' then nullif(width, 0) end as width, case when modality = 'camera' then nullif(height, 0) end as height from f where channel in ('CAM_FRONT', 'LIDAR_TOP')"""
@@ -159,24 +173,24 @@ def s9_sensor_uris(spark, d):
 _SENSORS = {"camera_rotation": (0.5, -0.5, 0.5, -0.5), "camera_translation": (0.1, 0.0, 0.2), "lidar_rotation": (0.7071067811865476, 0.0, 0.0, 0.7071067811865476), "lidar_translation": (0.0, 0.0, 0.3), "ego_rotation": (0.8775825618903728, 0.0, 0.0, 0.479425538604203), "ego_translation": (10.0, 20.0, 0.5)}
 
 
-def _detections(spark, d):
-    out = _view(spark, d, "detections")
+def _detections(spark, d, name="detections"):
+    out = _view(spark, d, name)
     for name, value in _SENSORS.items():
         out = out.withColumn(name, F.array(*[F.lit(v) for v in value]))
     k = ((50.0, 0.0, 50.0), (0.0, 50.0, 45.0), (0.0, 0.0, 1.0))
     return out.withColumn("intrinsic", F.array(*[F.array(*[F.lit(v) for v in r]) for r in k]))
 
 
-def d8_scaled_boxes(spark, d):
-    boxes = D.scaled_boxes(_detections(spark, d), 1200)
+def d8_scaled_boxes(spark, d, name="detections"):
+    boxes = D.scaled_boxes(_detections(spark, d, name), 1200)
     return boxes.select("detection_id", *[F.round(c, 6).alias(c) for c in ("bx1", "by1", "bx2", "by2")])
 
 
 D8 = f"""{_with("detections")} select detection_id, round(x1 / least(1200 / greatest(width, height)::double, 1.0), 6) as bx1, round(y1 / least(1200 / greatest(width, height)::double, 1.0), 6) as by1, round(x2 / least(1200 / greatest(width, height)::double, 1.0), 6) as bx2, round(y2 / least(1200 / greatest(width, height)::double, 1.0), 6) as by2 from detections"""
 
 
-def _frustum(spark, d):
-    return D.frustum_points(_detections(spark, d), _view(spark, d, "lidar_points"))
+def _frustum(spark, d, name="detections"):
+    return D.frustum_points(_detections(spark, d, name), _view(spark, d, "lidar_points"))
 
 
 # The sensors above turn (x, y, z) into ego (-y, x, z + 0.3), and that into camera (-ey, 0.2 - ez, ex - 0.1).
@@ -186,20 +200,20 @@ c as (select *, -ey as cx, 0.2 - ez as cy, ex - 0.1 as cz from e), i as (select
 g as (select detection_id, count(*) as frustum_point_count from i group by detection_id having count(*) >= 3), frustum as (select i.*, frustum_point_count from i join g using (detection_id))"""
 
 
-def d9_ego_points(spark, d):
-    return _frustum(spark, d).select("detection_id", "point_pos", *[F.round(c, 6).alias(c) for c in ("ex", "ey", "ez")])
+def d9_ego_points(spark, d, name="detections"):
+    return _frustum(spark, d, name).select("detection_id", "point_pos", *[F.round(c, 6).alias(c) for c in ("ex", "ey", "ez")])
 
 
-def d10_frustum_counts(spark, d):
-    return _frustum(spark, d).groupBy("detection_id").agg(F.count("*").alias("points"))
+def d10_frustum_counts(spark, d, name="detections"):
+    return _frustum(spark, d, name).groupBy("detection_id").agg(F.count("*").alias("points"))
 
 
-def d11_clusters(spark, d):
-    return D.clustered(_frustum(spark, d), 0.15, 3).groupBy("detection_id").agg(F.count("*").alias("points"))
+def d11_clusters(spark, d, name="detections"):
+    return D.clustered(_frustum(spark, d, name), 0.15, 3).groupBy("detection_id").agg(F.count("*").alias("points"))
 
 
-def d12_boxes(spark, d):
-    b = D.boxes(_frustum(spark, d))
+def d12_boxes(spark, d, name="detections"):
+    b = D.boxes(_frustum(spark, d, name))
     r = lambda c, i, n: F.round(F.element_at(c, i), 6).alias(n)
     return b.select("detection_id", r("translation", 1, "tx"), r("translation", 2, "ty"), r("translation", 3, "tz"), r("size", 1, "sx"), r("size", 2, "sy"), F.round("yaw", 6).alias("yaw"), "cluster_point_count")
 
@@ -209,8 +223,8 @@ q as (select *, 1 - 2 * 0.479425538604203 * 0.479425538604203 as cs, 2 * 0.87758
 select detection_id, round(cs * mx - sn * my + 10, 6) as tx, round(sn * mx + cs * my + 20, 6) as ty, round(mz + 0.5, 6) as tz, round(sx, 6) as sx, round(sy, 6) as sy, round(0.5 * atan2(2 * cov, dv), 6) as yaw, n as cluster_point_count from q"""
 
 
-def d13_liftable(spark, d):
-    return D.liftable(_detections(spark, d)).select("detection_id")
+def d13_liftable(spark, d, name="detections"):
+    return D.liftable(_detections(spark, d, name)).select("detection_id")
 
 
 def _echo(**_):
@@ -230,8 +244,8 @@ def d5_categories(spark, d):
     return N.cleaned(N.detect(images, _echo)).select("token", "raw_pos", "category", "score", "x1", "y1")
 
 
-def d6_prediction_records(spark, d):
-    out = D.prediction_records(_detections(spark, d), D.boxes(_frustum(spark, d)))
+def d6_prediction_records(spark, d, name="detections"):
+    out = D.prediction_records(_detections(spark, d, name), D.boxes(_frustum(spark, d, name)))
     return out.select("prediction_id", "category", "lifting_method", "lifting_status", "cluster_point_count", F.round(F.element_at("translation", 1), 6).alias("tx"))
 
 
@@ -260,3 +274,9 @@ QUERIES = {
     "d12_boxes": (d12_boxes, D12),
     "d13_liftable": (d13_liftable, f"{_with('detections')} select detection_id from detections where width is not null"),
 }
+# The same over the whole tables; the queries above stop at an order number or pose, as their SQL does.
+_LIFTING = ("d6_prediction_records", "d8_scaled_boxes", "d9_ego_points", "d10_frustum_counts", "d11_clusters", "d12_boxes", "d13_liftable")
+for _name in _LIFTING:
+    _query, _twin = QUERIES[_name]
+    QUERIES[_name.replace("_", "_all_", 1)] = (partial(_query, name="all_detections"), _twin and _whole(_twin, detections="all_detections"))
+QUERIES["i4_all_sensor_frames"] = (partial(i4_sensor_frames, data="all_data", poses="all_poses"), _whole(I4, src_data="all_data", src_poses="all_poses"))
