@@ -22,3 +22,26 @@ def test_detections_name_all_lidar_frames(spark, sf):
 def test_poses_of_all_frames(spark):
     tokens = ingestion._view(spark, MIDDLE, "all_poses").count(), ingestion._view(spark, MIDDLE, "all_data").select("ego_pose_token").distinct().count()
     assert tokens == (9000, 10000)
+
+
+def test_raw_log_headers_count_all_frames(spark):
+    rows = registry.queries()["i6_all_raw_log_headers"](spark, MIDDLE).collect()
+    assert sum(r["frame_count"] for r in rows) == spark.read.parquet(f"{MIDDLE}/events.parquet").count()
+
+
+def test_all_scenes_get_a_verdict(spark):
+    scenes = spark.read.parquet(f"{MIDDLE}/orders.parquet").count()
+    assert registry.queries()["d1_all_scene_selection"](spark, MIDDLE).count() == scenes
+    summary = registry.queries()["d2_all_selection_summary"](spark, MIDDLE).collect()[0]
+    assert summary["inspected_count"] == summary["total_count"] == scenes and summary["selected_count"] > 1000
+
+
+def test_all_samples_of_a_camera_are_selected(spark):
+    lines = spark.read.parquet(f"{MIDDLE}/lineitem.parquet").where("l_returnflag = 'A'")
+    assert registry.queries()["d3_all_samples"](spark, MIDDLE).count() == lines.select("l_orderkey", "l_linenumber").distinct().count() > 3000
+
+
+def test_selected_scenes_stay_selected_in_comparisons(spark):
+    chosen = registry.queries()["d1_all_scene_selection"](spark, MIDDLE).where("selected").select("scene_id")
+    compared = registry.queries()["o8_all_compare"](spark, MIDDLE).where("selected").select("scene_id")
+    assert chosen.exceptAll(compared).isEmpty() and compared.exceptAll(chosen).isEmpty()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from ..operators import evaluate as E
@@ -25,17 +27,17 @@ n as (select *, coalesce(sum(case when reason is null then 1 else 0 end) over (o
 selection as (select scene_id, pos, reason is null as selected, reason, sample_count, annotation_count from n where before < 1000)"""
 
 
-def _selection(spark, d):
-    return D.select_scenes(_manifests(spark, d), None, True, 2, None, 1000)
+def _selection(spark, d, most=1000):
+    return D.select_scenes(_manifests(spark, d), None, True, 2, None, most)
 
 
-def d1_scene_selection(spark, d):
-    return _selection(spark, d).select("scene_id", "selected", "reason")
+def d1_scene_selection(spark, d, most=1000):
+    return _selection(spark, d, most).select("scene_id", "selected", "reason")
 
 
-def d2_selection_summary(spark, d):
+def d2_selection_summary(spark, d, most=1000):
     total = view(spark, d, "scenes").count()
-    return D.selection_summary(_selection(spark, d), total).withColumn("skipped_scene_ids", F.array_join("skipped_scene_ids", ","))
+    return D.selection_summary(_selection(spark, d, most), total).withColumn("skipped_scene_ids", F.array_join("skipped_scene_ids", ","))
 
 
 D2 = f"""{_SELECTED} select count(case when selected then 1 end) as selected_count, count(case when not selected then 1 end) as skipped_count, count(*) as inspected_count, (select count(*) from scenes) as total_count,
@@ -48,9 +50,9 @@ def _placed(spark, d):
     return f.withColumn("pos", F.crc32(F.col("frame_id").cast("binary"))).withColumn("scene_pos", F.col("scene_id").cast("long")).withColumn("sample_pos", F.substring_index("sample_id", "-s", -1).cast("long"))
 
 
-def d3_samples(spark, d):
+def d3_samples(spark, d, most=3000):
     frames = _placed(spark, d).withColumn("pos", F.col("frame_id"))
-    return D.select_samples(frames, "CAM_FRONT", True, 3000).select("scene_id", "sample_id", "camera_frame_id", "lidar_frame_id")
+    return D.select_samples(frames, "CAM_FRONT", True, most).select("scene_id", "sample_id", "camera_frame_id", "lidar_frame_id")
 
 
 D3 = f"""with {_MANIFESTS}, c as (select scene_id, sample_id, max(frame_id) as camera_frame_id from sample_frames where channel = 'CAM_FRONT' group by all), l as (select scene_id, sample_id, max(frame_id) as lidar_frame_id from sample_frames where channel = 'LIDAR_TOP' group by all)
@@ -271,8 +273,8 @@ r as (select {_RATES} from t) select precision, recall, coalesce(round(2 * preci
 round((select count(distinct sample_id) from good) / (select count(distinct sample_id) from (select sample_id from annotations union all select sample_id from predictions))::double, 6) as labeling_coverage from r"""
 
 
-def o8_compare(spark, d):
-    selection = _selection(spark, d).select("scene_id", "selected", "reason")
+def o8_compare(spark, d, most=1000):
+    selection = _selection(spark, d, most).select("scene_id", "selected", "reason")
     evaluated = view(spark, d, "scenes").where("frame_count % 3 = 1").select("scene_id")
     return L.compare_runs(selection, evaluated)
 
@@ -304,3 +306,7 @@ QUERIES = {
     "x2_scene_comparison": (x2_scene_comparison, X2),
     "x6_label_quality": (x6_label_quality, X6),
 }
+# The same without a cap.
+for _name in ("d1_scene_selection", "d2_selection_summary", "d3_samples", "o8_compare"):
+    _query, _twin = QUERIES[_name]
+    QUERIES[_name.replace("_", "_all_", 1)] = (partial(_query, most=None), _twin.replace(" where before < 1000)", ")").replace(" limit 3000", ""))

@@ -129,8 +129,8 @@ I5 = f"""{_ORDERED}, r as (select calibrated_sensor_token, channel, pos, row_num
 select calibrated_sensor_token, channel, pos, 'last' as wins from r where b = 1 union all select calibrated_sensor_token, channel, pos, 'first' from r where a = 1"""
 
 
-def i6_raw_log_headers(spark, d):
-    data = I.first_sequences(_view(spark, d, "src_data"), 60).withColumn("modality", I.modality(F.lit(None).cast("string"), F.col("channel")))
+def i6_raw_log_headers(spark, d, most=60):
+    data = I.first_sequences(_view(spark, d, "src_data"), most).withColumn("modality", I.modality(F.lit(None).cast("string"), F.col("channel")))
     out = I.raw_log_header(data)
     return out.withColumn("channels", F.array_join("channels", ",")).withColumn("modalities", F.array_join("modalities", ","))
 
@@ -280,3 +280,4 @@ for _name in _LIFTING:
     _query, _twin = QUERIES[_name]
     QUERIES[_name.replace("_", "_all_", 1)] = (partial(_query, name="all_detections"), _twin and _whole(_twin, detections="all_detections"))
 QUERIES["i4_all_sensor_frames"] = (partial(i4_sensor_frames, data="all_data", poses="all_poses"), _whole(I4, src_data="all_data", src_poses="all_poses"))
+QUERIES["i6_all_raw_log_headers"] = (partial(i6_raw_log_headers, most=None), I6.replace(" limit 60)", ")"))
