@@ -21,9 +21,12 @@ _FLAGS = re.ASCII | re.IGNORECASE
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", _FLAGS)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
-SENSITIVE = re.compile(r"passw|passphrase|secret|token|api_?key|apikey|private|credential|bearer|authorization|signature|access_?key", _FLAGS)
+SENSITIVE = re.compile(r"passw|passphrase|secret|token|api[\x20_-]?key|private|credential|bearer|authorization|signature|access[\x20_-]?key", _FLAGS)
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-_REACH, _AROUND = 64, 256
+RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}(?:\.[A-Za-z0-9+/_=-]+)*")
+BEGIN = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY[A-Z ]*)-----")
+KEY_LINES = re.compile(r"(?:\s*[A-Za-z0-9+/]{16,}={0,2}(?!\S))+(?:\s+[A-Za-z0-9+/]{1,15}={1,2}(?!\S))?")
+_AROUND = 256
 
 #: Priming text: identifiers and words usual in code and configuration.
 IDENTIFIERS = """
@@ -89,21 +92,58 @@ def base_spans(text: str) -> list[tuple[int, int, int, int]]:
     return sorted(out)
 
 
+def key_blocks(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the body of each private key block; without its END line, of the key lines after BEGIN."""
+    out = []
+    for m in BEGIN.finditer(text) if "PRIVATE KEY" in text else ():
+        following = text.find("-----BEGIN ", m.end())
+        end = text.find(f"-----END {m[1]}-----", m.end(), following if following >= 0 else len(text))
+        body = text[m.end() : end] if end >= 0 else ""
+        # Key lines fill most of a block; a text that only names both marks is none.
+        if 2 * sum(len(c) for c in CANDIDATE.findall(body)) <= len("".join(body.split())):
+            lines = KEY_LINES.match(text, m.end())
+            body = lines.group() if lines else ""
+        if body.strip():
+            at = m.end() + len(body) - len(body.lstrip())
+            out.append((at, at + len(body.strip())))
+    return out
+
+
+def wordlike(s: str) -> bool:
+    """Whether a string without digits can be words: letters of one case, or mostly runs of three or more of one case."""
+    return s.lower() == s or s.upper() == s or sum(map(len, re.findall("[A-Z]?[a-z]{3,}|[A-Z]{3,}", s))) >= 0.7 * len(s)
+
+
 def novel_spans(text: str, base: list[tuple[int, int, int, int]], measure: Novelty, least: float) -> list[tuple[int, int, int, int]]:
-    """Candidates near a sensitive word that no base span covers and whose novelty is at least ``least``.
+    """Private key blocks, and candidates that no base span covers and whose novelty is at least ``least``, if the text
+    has a sensitive word anywhere.
 
-    A candidate has 16 characters or more, a letter and a digit, and starts within 64 characters of the word's end.
+    A candidate has 16 characters or more, a letter, and a digit unless it is not like words. What dots join to a novel
+    candidate belongs to it up to the last candidate, and all of it if it starts as encoded JSON does.
     """
-    out, seen = [], -1
-    for word in SENSITIVE.finditer(text):
-        for m in CANDIDATE.finditer(text, max(seen, word.end())):
-            if m.start() > word.end() + _REACH:
-                break
-            seen = m.end()
-            s = m.group()
-            if re.search("[0-9]", s) and re.search("[A-Za-z]", s) and not any(a <= m.start() < e for a, _, e, _ in base) and measure(text, m.start(), m.end()) >= least:
-                out.append((m.start(), 3, m.end(), m.start()))
-    return out
+    if not SENSITIVE.search(text):
+        return []
+    blocks = key_blocks(text)
+    out = [(a, 3, e, a) for a, e in blocks]
+    covers, k, reach = sorted([(a, e) for a, _, e, _ in base] + blocks), 0, 0
+
+    def novel(m: re.Match) -> bool:
+        s = m.group()
+        return bool(re.search("[A-Za-z]", s)) and (bool(re.search("[0-9]", s)) or not wordlike(s)) and measure(text, m.start(), m.end()) >= least
+
+    for run in RUN.finditer(text):
+        start = None
+        for m in CANDIDATE.finditer(text, run.start(), run.end()):
+            while k < len(covers) and covers[k][0] <= m.start():
+                reach, k = max(reach, covers[k][1]), k + 1
+            if reach <= m.start() and start is None and novel(m):
+                start = m.start()
+            last = m.end()
+        if start is not None:
+            whole = text.startswith("eyJ", run.start())
+            start, last = (run.start(), run.end()) if whole else (start, last)
+            out.append((start, 3, last, start))
+    return sorted(out)
 
 
 def scan(docs: DataFrame, least: float = 0.6, identifiers: str = IDENTIFIERS, keep: tuple[str, ...] = ()) -> DataFrame:
