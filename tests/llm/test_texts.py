@@ -161,6 +161,21 @@ def test_licence_units(spark):
     assert not any(d in (3, 4) for d, *_ in got)
 
 
+def test_licences_of_several_paragraphs_and_in_sentences(spark):
+    mit = licenses.TEMPLATES["MIT"].replace("\n", " ")
+    a, b = mit.index("The above copyright"), mit.index("THE SOFTWARE IS PROVIDED")
+    mit = f"{mit[:a]}\n\n{mit[a:b]}\n\n{mit[b:]}"
+    other = " ".join(f"word{i}" for i in range(120))
+    bsd = licenses.MORE_TEMPLATES["BSD-3-Clause"].replace("\n", " ").replace("1. R", "\n\n1. R").replace("2. R", "\n\n2. R").replace("3. N", "\n\n3. N").replace("THIS SOFTWARE IS PROVIDED BY", "\n\nTHIS SOFTWARE IS PROVIDED BY")
+    rows = [(1, f"{other}\n\n{mit}\n\n{other}"), (2, "Copyright 2020 Foo. Released under the MIT License."), (3, "first\nThis page was written in spring. Released under the MIT License."), (4, f"{other}\n\n{bsd}\n\n{other}"), (5, None), (6, f"{other}\n\n{other}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = licenses.scan_passages(df)
+    got = {(r["doc_id"], r["unit"], r["position"], r["parts"], r["licence"], round(r["dice"], 2)) for r in found.collect()}
+    assert {(1, "paragraphs", 1, 3, "MIT", 1.0), (2, "sentence", 0, 2, "MIT notice", 1.0), (3, "sentence", 1, 2, "MIT notice", 1.0), (4, "paragraphs", 1, 5, "BSD-3-Clause", 1.0)} <= got
+    assert {d for d, *_ in got} == {1, 2, 3, 4}
+    assert licenses.scan(df).exceptAll(licenses.scan_passages(df, templates=licenses.TEMPLATES).where("parts is null").drop("parts")).isEmpty()
+
+
 def test_languages_are_told_apart(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = langid.identify(df).join(df.select("doc_id", "lang"), "doc_id").where("held_out").collect()

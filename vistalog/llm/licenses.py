@@ -70,6 +70,15 @@ warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Gen
     "MPL-2.0 notice": "This work is licensed under the Mozilla Public License, version 2.0.",
 }
 
+#: Beside those of the SQL form.
+MORE_TEMPLATES = {
+    "BSD-3-Clause": TEMPLATES["BSD-2-Clause"].replace(
+        "THIS SOFTWARE IS PROVIDED",
+        """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote
+products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED""",
+    )
+}
+
 
 def bigrams_of(text: str) -> list[str]:
     """Sorted distinct word bigrams of a template."""
@@ -102,6 +111,32 @@ def units(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(every).alias("u")).select("doc_id", "u.*")
 
 
+def passages(docs: DataFrame, low: int, high: int) -> DataFrame:
+    """doc_id, unit, position, words and parts: runs of two or more paragraphs, and the sentences of lines that have several.
+
+    ``position`` is that of the first paragraph or of the line, ``parts`` the number of paragraphs or, from 1, that of
+    the sentence. Runs have ``low`` to ``high`` bigrams, repeated ones included; paragraphs without words are in none.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    unit = lambda name, position, parts, words: F.struct(F.lit(name).alias("unit"), position.cast("long").alias("position"), parts.cast("int").alias("parts"), words.alias("words"))
+    split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.split(text, r"\n[ \t\r]*\n").alias("bodies"))
+    filled = F.filter(F.transform("bodies", lambda x, i: F.struct(i.alias("at"), normalised(x).alias("body"))), lambda p: p["body"] != "")
+    several = split.where(F.size("bodies") > 1).select("doc_id", filled.alias("filled")).where(F.size("filled") > 1)
+    several = several.select("doc_id", "filled", F.transform("filled", lambda p: F.size(F.split(p["body"], " "))).alias("sizes"))
+
+    def lengths(i: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("words"), F.lit(0).alias("k"), F.array().cast("array<int>").alias("fit"))
+        fits = lambda a, n: (a["k"] > 0) & (a["words"] + n).between(low + 1, high + 1)
+        step = lambda a, n: F.struct((a["words"] + n).alias("words"), (a["k"] + 1).alias("k"), F.when(fits(a, n), F.concat(a["fit"], F.array(a["k"] + 1))).otherwise(a["fit"]).alias("fit"))
+        return F.aggregate(F.slice("sizes", i, F.lit(high + 1)), zero, step)["fit"]
+
+    run = lambda i, k: unit("paragraphs", F.element_at("filled", i)["at"], k, F.split(F.array_join(F.transform(F.slice("filled", i, k), lambda p: p["body"]), " "), " "))
+    runs = several.select("doc_id", F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.size("filled") - 1), lambda i: F.transform(lengths(i), lambda k: run(i, k))))).alias("u"))
+    sentences = lambda x, i: F.transform(F.split(x, r"(?<=[.!?])[ \t]+"), lambda y, k: unit("sentence", i, k + 1, F.split(normalised(y), " ")))
+    lines = split.select("doc_id", F.explode(F.flatten(F.filter(F.transform(F.split("text", r"\n"), sentences), lambda u: F.size(u) > 1))).alias("u"))
+    return runs.union(lines).select("doc_id", "u.*")
+
+
 def scan(docs: DataFrame, least: float = 0.8, templates: dict[str, str] | None = None) -> DataFrame:
     """doc_id, unit, position, licence, dice and n_bigrams of each unit whose best template reaches ``least``.
 
@@ -109,19 +144,33 @@ def scan(docs: DataFrame, least: float = 0.8, templates: dict[str, str] | None =
     bigram and is in no row; a null doc_id stays null; repeated rows are found each for itself; other columns are
     ignored. Templates are a parameter of the query, not a table; there is no join and no shuffle.
     """
-    known = [(name, grams, *bounds(len(grams), least)) for name, grams in ((k, bigrams_of(v)) for k, v in sorted((templates or TEMPLATES).items())) if grams]
+    return _reaching(units(docs), least, templates or TEMPLATES)
+
+
+def scan_passages(docs: DataFrame, least: float = 0.8, templates: dict[str, str] | None = None) -> DataFrame:
+    """What ``scan`` finds, and beside it runs of paragraphs and sentences in lines, with a column parts (null for scan's units)."""
+    templates = templates or TEMPLATES | MORE_TEMPLATES
+    totals = [n for n in (len(re.findall("[A-Za-z0-9]+", v)) - 1 for v in templates.values()) if n > 0]
+    # Repeats count in these bounds: a text may have as many more bigrams than its template as its set may.
+    low, high = min(bounds(len(g), least)[0] for g in map(bigrams_of, templates.values()) if g), max(bounds(n, least)[1] for n in totals)
+    every = units(docs).withColumn("parts", F.lit(None).cast("int")).unionByName(passages(docs, low, high))
+    return _reaching(every, least, templates, "parts")
+
+
+def _reaching(parts: DataFrame, least: float, templates: dict[str, str], *more: str) -> DataFrame:
+    known = [(name, grams, *bounds(len(grams), least)) for name, grams in ((k, bigrams_of(v)) for k, v in sorted(templates.items())) if grams]
     if not known:
         raise ValueError("there must be a template of two words at least")
     table = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(len(g)).alias("n"), F.lit(low).alias("low"), F.lit(high).alias("high"), F.array(*map(F.lit, g)).alias("grams")) for name, g, low, high in known])
     low, high = min(k[2] for k in known), max(k[3] for k in known)
     # An array of one set is exploded so that Spark computes the set once, not for each template that is compared.
-    sized = units(docs).where(F.size("words") > low).select("doc_id", "unit", "position", F.explode(F.array(bigrams(F.col("words")))).alias("grams"))
+    sized = parts.where(F.size("words") > low).select("doc_id", "unit", "position", *more, F.explode(F.array(bigrams(F.col("words")))).alias("grams"))
     sized = sized.where(F.size("grams").between(low, high)).withColumn("n_bigrams", F.size("grams").cast("long"))
     fit = F.filter(table, lambda t: F.col("n_bigrams").between(t["low"], t["high"]))
     compared = F.transform(fit, lambda t: F.struct((2.0 * F.size(F.array_intersect(F.col("grams"), t["grams"])) / (F.col("n_bigrams") + t["n"])).alias("dice"), t["name"].alias("name")))
     best = F.aggregate(compared, F.struct(F.lit(0.0).alias("dice"), F.lit("").alias("name")), lambda a, x: F.when(x["dice"] > a["dice"], x).otherwise(a))
-    found = sized.select("doc_id", "unit", "position", "n_bigrams", best.alias("best")).where(F.col("best.dice") >= least)
-    return found.select("doc_id", "unit", "position", F.col("best.name").alias("licence"), F.col("best.dice").alias("dice"), "n_bigrams")
+    found = sized.select("doc_id", "unit", "position", *more, "n_bigrams", best.alias("best")).where(F.col("best.dice") >= least)
+    return found.select("doc_id", "unit", "position", *more, F.col("best.name").alias("licence"), F.col("best.dice").alias("dice"), "n_bigrams")
 
 
 def oracle(least: float = 0.8) -> str:

@@ -26,6 +26,10 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
 
+def op3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_passages(_table(spark, sf_dir, "documents"))
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperminhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -56,7 +60,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_nearvectors": op1_nearvectors, "op2_mjpeg": op2_mjpeg, "op3_licenses": op3_licenses, "op4_minhash": op4_minhash, "op5_secrets": op5_secrets, "op6_packing": op6_packing, "op7_pieces": op7_pieces, "op8_langid": op8_langid, "op9_pagetext": op9_pagetext, "op10_warc": op10_warc}
+    return {"op1_nearvectors": op1_nearvectors, "op2_mjpeg": op2_mjpeg, "op3_licenses": op3_licenses, "op3_passages": op3_passages, "op4_minhash": op4_minhash, "op5_secrets": op5_secrets, "op6_packing": op6_packing, "op7_pieces": op7_pieces, "op8_langid": op8_langid, "op9_pagetext": op9_pagetext, "op10_warc": op10_warc}
 
 
 OP10_SQL = """
