@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -14,19 +15,33 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where that is unset (local tests) a temporary folder is made and set.
+    Only where that is unset and the master is local (tests) a temporary folder is made and set; a cluster must name one.
     """
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not at:
         at = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="spark-")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(at)
     return at
 
 
+#: Spark's own bounds of an Arrow batch, and those that fit beside a heap that is in use: a batch exists several times, in
+#: the JVM, in the worker and as Python strings.
+_ARROW = {"maxRecordsPerBatch": ("10000", "2000"), "maxBytesPerBatch": ("67108864b", "4194304b")}
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches of the session in rows and bytes where it has Spark's defaults; other settings stay."""
+    for name, (default, bound) in _ARROW.items():
+        if spark.conf.get(f"spark.sql.execution.arrow.{name}") == default:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", bound)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")

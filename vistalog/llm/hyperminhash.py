@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, mix64, slices, written
+from .common import bounded_batches, components, mix64, slices, written
 
 BUCKETS, ROWS, MANTISSA = 256, 8, 10
 BANDS = BUCKETS // ROWS
@@ -247,6 +247,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85) -> DataF
     a doc_id are one node. A row with a null doc_id gets the component of its set's other rows, else null, and is
     not kept. An empty table gives an empty one; other columns are ignored. Runs jobs that write to the shared folder.
     """
+    bounded_batches(docs.sparkSession)
     sketched = written(sketch(docs, width), "sketches")
     keyed = sketched.where("doc_id is not null and n_shingles > 0")
     classes = keyed.groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "n_shingles", "registers")).alias("r"), F.count("*").alias("copies"))

@@ -11,11 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import bounded_batches, slices
 
 BINS, SIZES = 1 << 16, (2, 3, 4)
 UNKNOWN = "und"
-_BATCH = 400_000
+_BATCH = 100_000
 
 
 class Model(NamedTuple):
@@ -86,7 +86,7 @@ def train(texts: list[str], languages: list[str], dim: int = 16, epochs: int = 1
     rng = np.random.default_rng(seed)
     y = np.array([names.index(v) for v in languages])
     rows: list[tuple[np.ndarray, np.ndarray]] = []
-    for a, b in slices([len(t) for t in texts], _BATCH // 2):
+    for a, b in slices([len(t) for t in texts], 2 * _BATCH):
         grams, _ = subwords(texts[a:b])
         bins = np.concatenate([g for g, _ in grams])
         owner = np.concatenate([o for _, o in grams])
@@ -170,6 +170,7 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
     counts as held out. Repeated rows get equal values; other columns are ignored.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     shipped = spark.sparkContext.broadcast(model)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(True)).alias("held_out"), F.col("text").cast("string").alias("text"))
 
@@ -196,6 +197,7 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs``, with all their columns, that classify() does not reject; text is one of the columns."""
+    bounded_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,13 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, slices
+from .common import bounded_batches, mix64, slices
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, bucket int"
 #: Characters whose classes the fast path knows; a text with any other goes to the tokenizer itself.
 _OTHER = re.compile("[^\t\n\r\x20-\x7e\xa1-\xac\xae-ɏ]")
 _TOP = 0x250
-_BATCH = 1_000_000
+_BATCH = 250_000
 
 
 def _classes() -> np.ndarray:
@@ -74,10 +74,11 @@ class ByteTokenizer:
     """Ids of a byte-level vocabulary: equal to ``tokenizers`` on its file, but words are looked up once a batch.
 
     ``path`` is the tokenizers file; ``ranks`` the same vocabulary as ranks, which encodes single words. Texts
-    with characters outside the Latin blocks go through ``tokenizers`` whole.
+    with characters outside the Latin blocks go through ``tokenizers`` whole. ``words`` bounds the known words, of at most
+    32 characters each.
     """
 
-    def __init__(self, path: str, ranks: str, pattern: str, words: int = 250_000):
+    def __init__(self, path: str, ranks: str, pattern: str, words: int = 40_000):
         import tiktoken
 
         self.path = path
@@ -118,7 +119,7 @@ class ByteTokenizer:
             found = known.get(k)
             if found is None:
                 found = self._ids(joined[s : s + n])
-                if len(known) < self.words:
+                if len(known) < self.words and n <= 32:
                     known[k] = found
             ids.append(found)
         flat = np.frombuffer(b"".join(ids), "<u4")
@@ -174,6 +175,7 @@ def pack(docs: DataFrame, most: int = 2048, end_id: int = 1, vocabulary: tuple[s
     """
     if most < 1 or most & (most - 1):
         raise ValueError("most must be a power of two")
+    bounded_batches(docs.sparkSession)
     files = vocabulary or public_vocabulary()
     end = np.array([end_id], "<u4").tobytes()
     kinds = [pa.int64()] * 5 + [pa.int32()]
@@ -184,7 +186,7 @@ def pack(docs: DataFrame, most: int = 2048, end_id: int = 1, vocabulary: tuple[s
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             keys = batch.column(0).to_pylist()
-            for a, b in slices([len(t) + 1 for t in texts], 8 * _BATCH):
+            for a, b in slices([len(t) + 1 for t in texts], 4 * _BATCH):
                 cols: list[list] = [[] for _ in range(7)]
                 for key, ids in zip(keys[a:b], encode(texts[a:b]), strict=True):
                     data = ids + end

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, slices
+from .common import bounded_batches, mix64, slices
 
 MARK, LITERAL, _BYTES = 0x2581, 0x110000, 1 << 24
 _K = np.uint64(0x9E3779B97F4A7C15)
@@ -202,6 +202,7 @@ def encode(docs: DataFrame, path: str | None = None, alpha: float = 0.5, with_id
     other columns are ignored. There is no shuffle.
     """
     at = path or public_model()
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(at, alpha)

@@ -15,6 +15,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 #: Kinds in the order in which spans with one start are listed.
 KINDS = ("assign", "access", "hex", "novel")
 _FLAGS = re.ASCII | re.IGNORECASE
@@ -153,6 +155,8 @@ def scan(docs: DataFrame, least: float = 0.6, identifiers: str = IDENTIFIERS, ke
     null or empty text has no span; repeated rows get equal spans; other columns are left out. There is no shuffle.
     """
 
+    bounded_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         measure = novelty(identifiers)
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("secret_start", pa.int64())]))
@@ -189,6 +193,8 @@ def redact(docs: DataFrame, mark: str = "<secret>", least: float = 0.6) -> DataF
     unchanged; a null text stays null.
     """
 
+    bounded_batches(docs.sparkSession)
+
     def clean(text: str | None, measure: Novelty) -> str | None:
         if not text:
             return text
