@@ -19,10 +19,13 @@ def target_channels(frames: DataFrame, required: Sequence[str] = ()) -> DataFram
 
 
 def associate(anchors: DataFrame, frames: DataFrame, targets: DataFrame, strategy: str = "nearest", tolerance_us: int = 100_000) -> DataFrame:
-    """A row for each anchor and target channel, with frame_id and offset_us of the frame within tolerance, or null."""
+    """A row for each anchor and target channel, with frame_id and offset_us of the frame within tolerance, or null.
+
+    Time buckets of ten tolerances cut long segments, so no task holds a whole one.
+    """
     asks = anchors.join(targets, "segment_id")
     side = frames.select("segment_id", "channel", "timestamp_us", "pos", "frame_id")
-    joined = asof(asks, side, ["segment_id", "channel"], strategy, tolerance_us)
+    joined = asof(asks, side, ["segment_id", "channel"], strategy, tolerance_us, bucket_us=max(1, 10 * tolerance_us))
     return joined.withColumn("frame_id", F.col("found.frame_id")).withColumn("offset_us", F.col("found.timestamp_us") - F.col("timestamp_us")).drop("found")
 
 

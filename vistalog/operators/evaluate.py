@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .folds import sorted_fold
+from .totals import with_totals
 
 SUPPORTED = ("vehicle.car", "human.pedestrian", "movable_object.barrier")
 #: Higher is better unless lower is named; by task.
@@ -131,17 +132,21 @@ def with_rates(counted: DataFrame) -> DataFrame:
 
 
 def run_totals(sample_metrics: DataFrame) -> DataFrame:
-    """One row over the samples that have an eligible shard."""
+    """One row over the samples of center_distance()."""
     total = sample_metrics.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tp", "fp", "fn", "distance_sum")], F.count("*").alias("evaluated_samples"))
     return with_rates(total.withColumn("evaluable_predictions", F.col("tp") + F.col("fp")).withColumn("ground_truth", F.col("tp") + F.col("fn")))
 
 
 @evaluator("center_distance")
-def center_distance(annotations: DataFrame, predictions: DataFrame, distance: float = 2.0, prefixes: Sequence[str] = SUPPORTED) -> DataFrame:
-    """Metrics of each sample that has a prediction."""
-    samples = predictions.select("sample_id").distinct()
+def center_distance(annotations: DataFrame, predictions: DataFrame, distance: float = 2.0, prefixes: Sequence[str] = SUPPORTED, judged: DataFrame | None = None) -> DataFrame:
+    """Metrics of each sample that has an eligible shard, once however many shards name it; without ``judged``, the
+    result of eligibility(), of each sample that has a prediction."""
+    if judged is None:
+        samples = predictions.select("sample_id").distinct()
+    else:
+        samples = judged.where("eligibility = 'eligible'").select(F.col("payload_sample_id").alias("sample_id")).distinct()
     gt = supported(annotations, prefixes).join(samples, "sample_id", "left_semi")
-    good = evaluable(predictions)
+    good = evaluable(predictions).join(samples, "sample_id", "left_semi")
     counted = counts(gt, good, matches(gt, good, distance), ["sample_id"])
     return with_rates(samples.join(counted, "sample_id", "left").fillna(0, ["tp", "fp", "fn"]).fillna(0.0, ["distance_sum"]))
 
@@ -150,34 +155,34 @@ def run_status(index: DataFrame, eligible: DataFrame, policy: str = "skip") -> D
     """status and reason of a run, in one row: skipped, or with policy fail failed, without ground truth or anything evaluable."""
     if policy not in ("skip", "fail"):
         raise ValueError("policy must be skip or fail")
-    gt = index.agg(F.count_if("has_gt").alias("with_gt")).withColumn("k", F.lit(1))
-    n = eligible.where("eligibility = 'eligible'").agg(F.count("*").alias("eligible")).withColumn("k", F.lit(1))
+    gt = index.agg(F.count_if("has_gt").alias("with_gt"))
+    n = eligible.where("eligibility = 'eligible'").agg(F.count("*").alias("eligible"))
     reason = F.when(F.col("with_gt") == 0, "no_ground_truth_in_dataset").when(F.col("eligible") == 0, "no_evaluable_samples")
-    return gt.join(n, "k").select(F.when(reason.isNull(), "succeeded").otherwise("skipped" if policy == "skip" else "failed").alias("status"), reason.alias("reason"))
+    return with_totals(gt, n).select(F.when(reason.isNull(), "succeeded").otherwise("skipped" if policy == "skip" else "failed").alias("status"), reason.alias("reason"))
 
 
 def run_record(sample_metrics: DataFrame, judged: DataFrame, listed: int = 50) -> DataFrame:
     """The run's primary metric with evaluated and skipped scenes: counts whole, ids of the first ``listed`` only."""
-    total = run_totals(sample_metrics).select(F.lit("precision").alias("primary_metric"), F.col("precision").alias("primary_value")).withColumn("k", F.lit(1))
+    total = run_totals(sample_metrics).select(F.lit("precision").alias("primary_metric"), F.col("precision").alias("primary_value"))
     state = judged.groupBy(F.coalesce("eval_scene_id", "scene_id").alias("scene_id")).agg(F.bool_or(F.col("eligibility") == "eligible").alias("evaluated"))
 
     def part(good: Column, name: str) -> DataFrame:
         own = state.where(good)
-        ids = own.orderBy("scene_id").limit(listed).agg(F.sort_array(F.collect_list("scene_id")).alias(f"{name}_scene_ids")).withColumn("k", F.lit(1))
-        return own.agg(F.count("*").alias(f"{name}_scene_count")).withColumn("k", F.lit(1)).join(ids, "k")
+        ids = own.orderBy("scene_id").limit(listed).agg(F.sort_array(F.collect_list("scene_id")).alias(f"{name}_scene_ids"))
+        return with_totals(own.agg(F.count("*").alias(f"{name}_scene_count")), ids)
 
-    return total.join(part(F.col("evaluated"), "evaluated"), "k").join(part(~F.col("evaluated"), "skipped"), "k").drop("k")
+    return with_totals(with_totals(total, part(F.col("evaluated"), "evaluated")), part(~F.col("evaluated"), "skipped"))
 
 
 def label_quality(annotations: DataFrame, predictions: DataFrame, distance: float = 2.0) -> DataFrame:
     """Precision, recall, F1 and the share of samples with a label, in one row, of labels made automatically."""
     good = evaluable(predictions)
-    one = lambda df: df.withColumn("k", F.lit(1))
-    total = with_rates(counts(one(annotations), one(good), one(matches(annotations, good, distance)), ["k"]))
-    every = one(annotations.select("sample_id").union(predictions.select("sample_id")).agg(F.countDistinct("sample_id").alias("samples")))
-    some = one(good.agg(F.countDistinct("sample_id").alias("labelled")))
+    by_class = counts(annotations, good, matches(annotations, good, distance), ["category"])
+    total = with_rates(by_class.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tp", "fp", "fn", "distance_sum")]))
+    every = annotations.select("sample_id").union(predictions.select("sample_id")).agg(F.countDistinct("sample_id").alias("samples"))
+    some = good.agg(F.countDistinct("sample_id").alias("labelled"))
     f1 = F.coalesce(F.round(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), 6), F.lit(0.0))
-    return total.join(every, "k").join(some, "k").select("precision", "recall", f1.alias("f1"), F.round(_ratio("labelled", F.col("samples")), 6).alias("labeling_coverage"))
+    return with_totals(with_totals(total, every), some).select("precision", "recall", f1.alias("f1"), F.round(_ratio("labelled", F.col("samples")), 6).alias("labeling_coverage"))
 
 
 def compare_scenes(left: DataFrame, right: DataFrame, distance: float = 2.0) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,13 +45,31 @@ def frustum_points(detections: DataFrame, points: DataFrame) -> DataFrame:
     return inside.select("detection_id", "point_pos", "ex", "ey", "ez", "ego_rotation", "ego_translation").join(enough, "detection_id")
 
 
+def _neighbours(points: np.ndarray, eps: float) -> list[np.ndarray]:
+    """Indexes of the points within ``eps`` of each point; many points are looked up in a grid of cells of that width."""
+    n = len(points)
+    if n <= 64:
+        close = ((points[:, None, :] - points[None, :, :]) ** 2).sum(2) <= eps * eps
+        return [np.flatnonzero(r) for r in close]
+    cells: dict[tuple[int, int, int], list[int]] = {}
+    at = [tuple(c) for c in np.floor(points / eps).astype(np.int64).tolist()]
+    for i, c in enumerate(at):
+        cells.setdefault(c, []).append(i)
+    out: list[np.ndarray] = [np.zeros(0, np.int64)] * n
+    for (x, y, z), own in cells.items():
+        around = np.array(sorted(j for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) for j in cells.get((x + a, y + b, z + c), ())))
+        for i in own:
+            out[i] = around[((points[around] - points[i]) ** 2).sum(1) <= eps * eps]
+    return out
+
+
 def largest_cluster(points: np.ndarray, eps: float = 0.5, min_samples: int = 3) -> np.ndarray:
     """Mask of the largest density cluster, the first of equal ones; all points if there is none.
 
     A core point has ``min_samples`` points within ``eps``, itself included; a cluster is what core points reach.
     """
     n = len(points)
-    near = [np.flatnonzero(((points - p) ** 2).sum(1) <= eps * eps) for p in points]
+    near = _neighbours(points, eps)
     core = np.array([len(x) >= min_samples for x in near], bool)
     label, found = np.full(n, -1), 0
     for i in range(n):
@@ -69,13 +89,34 @@ def largest_cluster(points: np.ndarray, eps: float = 0.5, min_samples: int = 3)
 
 
 def clustered(frustum: DataFrame, eps: float = 0.5, min_samples: int = 3) -> DataFrame:
-    """The frustum points of each detection's largest cluster; a detection's points are few."""
+    """The frustum points of each detection's largest cluster.
 
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("point_pos", kind="stable")
-        return pdf[largest_cluster(pdf[["ex", "ey", "ez"]].to_numpy(), eps, min_samples)]
+    Rows are partitioned by detection and sorted, so a task holds a batch and one detection's points, which one lidar
+    sweep bounds, and detections are handled many a batch.
+    """
 
-    return frustum.groupBy("detection_id").applyInPandas(keep, frustum.schema)
+    def keep(part: pa.Table) -> pa.Table:
+        ids = part.column("detection_id").to_numpy(zero_copy_only=False)
+        xyz = np.stack([part.column(c).to_numpy() for c in ("ex", "ey", "ez")], axis=1)
+        starts = np.append(0, np.flatnonzero(ids[1:] != ids[:-1]) + 1)
+        masks = [largest_cluster(xyz[a:b], eps, min_samples) for a, b in zip(starts, np.append(starts[1:], len(ids)), strict=True)]
+        return part.filter(pa.array(np.concatenate(masks)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            if not rows.num_rows:
+                continue
+            ids = rows.column("detection_id").to_numpy(zero_copy_only=False)
+            last = int(np.flatnonzero(ids != ids[-1])[-1]) + 1 if (ids != ids[-1]).any() else 0
+            held = rows.slice(last)
+            if last:
+                yield from keep(rows.slice(0, last).combine_chunks()).to_batches()
+        if held is not None:
+            yield from keep(held.combine_chunks()).to_batches()
+
+    return frustum.repartition("detection_id").sortWithinPartitions("detection_id", "point_pos").mapInArrow(run, frustum.schema)
 
 
 def boxes(points: DataFrame) -> DataFrame:

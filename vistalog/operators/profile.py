@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .totals import with_totals
+
 
 def category_histogram(annotations: DataFrame) -> DataFrame:
     """Annotations by scene and category; a null or empty category is unknown."""
@@ -31,11 +33,11 @@ def totals(scenes: DataFrame, scene_channels: DataFrame) -> DataFrame:
     """Batch totals and the sorted union of channels, in one row."""
     counts = scenes.agg(F.count("*").alias("scene_count"), F.sum("sample_count").alias("sample_count"), F.sum("frame_count").alias("frame_count"), F.sum("annotation_count").alias("annotation_count"))
     channels = scene_channels.join(scenes.select("scene_id"), "scene_id", "left_semi").agg(F.sort_array(F.collect_set("channel")).alias("channels"))
-    return counts.withColumn("k", F.lit(1)).join(channels.withColumn("k", F.lit(1)), "k").drop("k")
+    return with_totals(counts, channels)
 
 
 def channel_profile(frames: DataFrame) -> DataFrame:
     """Scenes, samples and frames of each channel, and the share of all scenes that have it."""
-    every = frames.agg(F.countDistinct("scene_id").alias("of")).withColumn("k", F.lit(1))
+    every = frames.agg(F.countDistinct("scene_id").alias("of"))
     counts = frames.groupBy("channel").agg(F.countDistinct("scene_id").alias("scene_count"), F.countDistinct("sample_id").alias("sample_count"), F.count("*").alias("frame_count"))
-    return counts.withColumn("k", F.lit(1)).join(every, "k").select("channel", "scene_count", "sample_count", "frame_count", (F.col("scene_count") / F.col("of")).alias("scene_coverage"))
+    return with_totals(counts, every).select("channel", "scene_count", "sample_count", "frame_count", (F.col("scene_count") / F.col("of")).alias("scene_coverage"))

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .totals import with_totals
+
 #: Filters that a profile sets unless the caller does.
 PROFILES: dict[str, dict] = {"detection_ready": {"has_ground_truth": True, "min_annotation_count": 1, "validated": True}, "no_gt_candidates": {"has_ground_truth": False}, "dense_gt": {"has_ground_truth": True}, "all": {}}
 
@@ -54,8 +56,7 @@ def score(candidates: DataFrame, required_channels: Sequence[str] = ()) -> DataF
 
     Ground truth .30, validation .25 or .15, channels .20 or .10, density up to .15 against the densest, completeness .10.
     """
-    most = candidates.agg(F.max("annotation_count").alias("most")).withColumn("k", F.lit(1))
-    c = candidates.withColumn("k", F.lit(1)).join(most, "k").drop("k")
+    c = with_totals(candidates, candidates.agg(F.max("annotation_count").alias("most")))
     gt = F.when(F.col("selectable"), F.lit(0.30)).otherwise(F.lit(0.0))
     valid = F.when(F.col("validation_status") == "ready", F.lit(0.25)).when(F.col("validation_status") == "warning", F.lit(0.15)).otherwise(F.lit(0.0))
     if required_channels:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .totals import with_totals
+
 
 def select_scenes(scenes: DataFrame, requested: Sequence[str] | None = None, ground_truth: bool = True, min_annotation_count: int = 1, sources: Sequence[str] | None = None, max_scenes: int | None = None) -> DataFrame:
     """Scenes in manifest order (pos) with selected and the reason why not; after ``max_scenes`` selected none is judged.
@@ -25,19 +27,22 @@ def select_scenes(scenes: DataFrame, requested: Sequence[str] | None = None, gro
     out = scenes.withColumn("reason", reason).withColumn("selected", F.col("reason").isNull())
     if max_scenes is None:
         return out
-    before = F.coalesce(F.sum(F.col("selected").cast("int")).over(Window.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return out.withColumn("_before", before).where(F.col("_before") < max_scenes).drop("_before")
+    last = out.where("selected").select("pos").orderBy("pos").limit(max_scenes).agg(F.count("*").alias("_n"), F.max("pos").alias("_last"))
+    return with_totals(out, last).where((F.col("_n") < max_scenes) | (F.col("pos") <= F.col("_last"))).drop("_n", "_last")
+
 
+def selection_summary(selection: DataFrame, total: DataFrame, listed: int = 100) -> DataFrame:
+    """Counts of a selection, with the first skipped scenes by position; the count of skipped ones is whole.
 
-def selection_summary(selection: DataFrame, total: int, listed: int = 100) -> DataFrame:
-    """Counts of a selection, with the first skipped scenes by position; the count of skipped ones is whole."""
+    ``total`` is one row with total_count, the number of all scenes.
+    """
     pick = F.col("selected")
     skipped = selection.where(~pick).orderBy("pos").limit(listed).agg(F.array_sort(F.collect_list(F.struct("pos", "scene_id", "reason"))).alias("skipped"))
     counts = selection.agg(
-        F.count_if(pick).alias("selected_count"), F.count_if(~pick).alias("skipped_count"), F.count("*").alias("inspected_count"), F.lit(total).cast("long").alias("total_count"),
+        F.count_if(pick).alias("selected_count"), F.count_if(~pick).alias("skipped_count"), F.count("*").alias("inspected_count"),
         F.coalesce(F.sum(F.when(pick, F.col("sample_count"))), F.lit(0)).alias("sample_count"), F.coalesce(F.sum(F.when(pick, F.col("annotation_count"))), F.lit(0)).alias("annotation_count"),
     )
-    return counts.withColumn("k", F.lit(1)).join(skipped.withColumn("k", F.lit(1)), "k").select(*counts.columns, F.transform("skipped", lambda s: s["scene_id"]).alias("skipped_scene_ids"))
+    return with_totals(with_totals(counts, total.select("total_count")), skipped).select(*counts.columns, "total_count", F.transform("skipped", lambda s: s["scene_id"]).alias("skipped_scene_ids"))
 
 
 def unknown_scenes(requested: DataFrame, scenes: DataFrame) -> DataFrame:

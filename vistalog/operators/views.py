@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .totals import with_totals
+
 STATUSES = ("running", "failed", "succeeded", "pending")
 KINDS = ("job", "pipeline_run", "execution")
 
@@ -22,12 +24,27 @@ def leaderboard(runs: DataFrame, order: str = "desc", limit: int = 50, offset: i
     by = F.col("value").desc_nulls_last() if order == "desc" else F.col("value").asc_nulls_last()
     if global_rank:
         valued = page.withColumn("value", value)
-        ranks = valued.select("value").distinct().withColumn("rank", F.dense_rank().over(Window.orderBy(by)).cast("long"))
-        ranks = ranks.select(F.col("value").alias("_value"), "rank")
-        return valued.join(ranks, F.col("value").eqNullSafe(F.col("_value"))).drop("_value")
+        return valued.join(_dense_ranks(valued.select("value").distinct(), by, order), F.col("value").eqNullSafe(F.col("_value"))).drop("_value")
     return page.withColumn("value", value).withColumn("rank", F.row_number().over(Window.orderBy(by, F.col("created_us").desc(), "run_id")).cast("long"))
 
 
+def _dense_ranks(values: DataFrame, by: Column, order: str) -> DataFrame:
+    """_value and rank of distinct doubles: ranked in ranges, and then the ranges' counts are added up.
+
+    A range is a step of 1/64 of the binary logarithm on either side of zero, so there are some hundred thousand at most
+    for all doubles, however many values there are; only their counts meet in one task.
+    """
+    v = F.col("value")
+    size = F.floor(F.log2(F.abs(v)) * 64).cast("long") + 100_000
+    slot = F.when(v.isNull(), None).when(F.isnan(v), 1_000_000).when(v == 0, 0).when(F.abs(v) == float("inf"), 500_000 * F.signum(v).cast("long")).otherwise(F.signum(v).cast("long") * size).cast("long")
+    placed = values.withColumn("_slot", slot)
+    first = F.col("_slot").desc_nulls_last() if order == "desc" else F.col("_slot").asc_nulls_last()
+    counts = placed.groupBy("_slot").agg(F.count("*").alias("_n"))
+    starts = counts.withColumn("_before", F.sum("_n").over(Window.orderBy(first)) - F.col("_n")).select(F.col("_slot").alias("_s"), "_before")
+    ranked = placed.withColumn("_in", F.row_number().over(Window.partitionBy("_slot").orderBy(by)))
+    return ranked.join(starts, F.col("_slot").eqNullSafe(F.col("_s"))).select(v.alias("_value"), (F.col("_before") + F.col("_in")).cast("long").alias("rank"))
+
+
 def status_counts(jobs: DataFrame) -> DataFrame:
     """A row for each kind with the number of rows in each status; executions have no pending ones."""
     counts = jobs.where(F.col("status").isin(*STATUSES)).groupBy("kind").pivot("status", list(STATUSES)).count().na.fill(0)
@@ -84,7 +101,7 @@ def distribution(left: DataFrame, right: DataFrame, by: str) -> DataFrame:
 
     A value that one side lacks counts there as one in a million for the index.
     """
-    share = lambda df, n: df.groupBy(by).agg(F.count("*").alias("c")).withColumn("k", F.lit(1)).join(df.agg(F.count("*").alias("of")).withColumn("k", F.lit(1)), "k").select(by, (F.col("c") / F.col("of")).alias(n))
+    share = lambda df, n: with_totals(df.groupBy(by).agg(F.count("*").alias("c")), df.agg(F.count("*").alias("of"))).select(by, (F.col("c") / F.col("of")).alias(n))
     both = share(left, "left_share").join(share(right, "right_share"), by, "full").na.fill(0.0)
     a, b = F.greatest("left_share", F.lit(1e-6)), F.greatest("right_share", F.lit(1e-6))
     return both.withColumn("difference", F.col("right_share") - F.col("left_share")).withColumn("l1", F.abs("difference")).withColumn("psi", F.round((b - a) * F.log(b / a), 9))

@@ -24,19 +24,19 @@ def _manifests(spark, d):
 _MANIFESTS = f"{ctes('scenes', 'scene_channels', 'sample_frames')}, m as (select s.*, cast(scene_id as bigint) as pos, scene_id in (select scene_id from scene_channels) as has_manifest from scenes s)"
 _SELECTED = f"""with {_MANIFESTS}, r as (select *, case when not has_manifest then 'scene_manifest_not_found' when not has_ground_truth or annotation_count < 2 then 'scene_has_no_ground_truth' end as reason from m),
 n as (select *, coalesce(sum(case when reason is null then 1 else 0 end) over (order by pos rows between unbounded preceding and 1 preceding), 0) as before from r),
-selection as (select scene_id, pos, reason is null as selected, reason, sample_count, annotation_count from n where before < 1000)"""
+selection as (select scene_id, pos, reason is null as selected, reason, sample_count, annotation_count from n)"""
 
 
-def _selection(spark, d, most=1000):
+def _selection(spark, d, most=None):
     return D.select_scenes(_manifests(spark, d), None, True, 2, None, most)
 
 
-def d1_scene_selection(spark, d, most=1000):
+def d1_scene_selection(spark, d, most=None):
     return _selection(spark, d, most).select("scene_id", "selected", "reason")
 
 
-def d2_selection_summary(spark, d, most=1000):
-    total = view(spark, d, "scenes").count()
+def d2_selection_summary(spark, d, most=None):
+    total = view(spark, d, "scenes").agg(F.count("*").alias("total_count"))
     return D.selection_summary(_selection(spark, d, most), total).withColumn("skipped_scene_ids", F.array_join("skipped_scene_ids", ","))
 
 
@@ -50,13 +50,13 @@ def _placed(spark, d):
     return f.withColumn("pos", F.crc32(F.col("frame_id").cast("binary"))).withColumn("scene_pos", F.col("scene_id").cast("long")).withColumn("sample_pos", F.substring_index("sample_id", "-s", -1).cast("long"))
 
 
-def d3_samples(spark, d, most=3000):
+def d3_samples(spark, d, most=None):
     frames = _placed(spark, d).withColumn("pos", F.col("frame_id"))
     return D.select_samples(frames, "CAM_FRONT", True, most).select("scene_id", "sample_id", "camera_frame_id", "lidar_frame_id")
 
 
 D3 = f"""with {_MANIFESTS}, c as (select scene_id, sample_id, max(frame_id) as camera_frame_id from sample_frames where channel = 'CAM_FRONT' group by all), l as (select scene_id, sample_id, max(frame_id) as lidar_frame_id from sample_frames where channel = 'LIDAR_TOP' group by all)
-select scene_id, sample_id, camera_frame_id, lidar_frame_id from c left join l using (scene_id, sample_id) order by cast(scene_id as bigint), cast(split_part(sample_id, '-s', 2) as bigint) limit 3000"""
+select scene_id, sample_id, camera_frame_id, lidar_frame_id from c left join l using (scene_id, sample_id) order by cast(scene_id as bigint), cast(split_part(sample_id, '-s', 2) as bigint)"""
 
 
 def s5_first_samples(spark, d):
@@ -157,7 +157,7 @@ _INDEX = "index as (select scene_id, count(case when category = 'c1' then 1 end)
 
 
 def e2_eligibility(spark, d):
-    return E.eligibility(_shards(spark, d), _gt_index(spark, d), view(spark, d, "annotations").select("sample_id", "scene_id").distinct())
+    return _judged(spark, d)
 
 
 E2 = f"""with {ctes('annotations', 'predictions')}, {_SHARDS}, {_INDEX}, ss as (select distinct sample_id, scene_id from annotations),
@@ -186,16 +186,27 @@ def e6_matches(spark, d):
     return E.matches(_gt(spark, d), _good(spark, d), DISTANCE)
 
 
+def _judged(spark, d):
+    return E.eligibility(_shards(spark, d), _gt_index(spark, d), view(spark, d, "annotations").select("sample_id", "scene_id").distinct())
+
+
 def _sample_metrics(spark, d):
-    return E.center_distance(view(spark, d, "annotations"), view(spark, d, "predictions"), DISTANCE, CLASSES)
+    return E.center_distance(view(spark, d, "annotations"), view(spark, d, "predictions"), DISTANCE, CLASSES, _judged(spark, d))
 
 
 def e7_sample_metrics(spark, d):
     return _sample_metrics(spark, d)
 
 
-_SAMPLE = f"""with recursive {_BOXES}, {_cells('sample_id')},
+_PREDICTED = f"""with recursive {_BOXES}, {_cells('sample_id')},
 samples as (select s.sample_id, coalesce(tp, 0) as tp, coalesce(fp, 0) as fp, coalesce(fn, 0) as fn, coalesce(distance_sum, 0.0) as distance_sum from (select distinct sample_id from predictions) s left join c using (sample_id))"""
+_PARTS, _, _STATE = E2.partition(f"{_INDEX},")[2].rpartition("\nselect j.*")
+_SAMPLE = f"""{_PREDICTED.rpartition("samples as")[0]}{_SHARDS}, {_INDEX}, {_PARTS}, judged as (select j.*{_STATE}),
+samples as (select s.sample_id, coalesce(tp, 0) as tp, coalesce(fp, 0) as fp, coalesce(fn, 0) as fn, coalesce(distance_sum, 0.0) as distance_sum from (select distinct payload_sample_id as sample_id from judged where eligibility = 'eligible') s left join c using (sample_id))"""
+
+
+def e12_evaluator(spark, d):
+    return E.get_evaluator("center_distance")(view(spark, d, "annotations"), view(spark, d, "predictions"), DISTANCE, CLASSES)
 
 
 def e8_class_metrics(spark, d):
@@ -226,14 +237,11 @@ select case when reason is null then 'succeeded' else bad end as status, reason,
 
 
 def e11_run_record(spark, d):
-    judged = E.eligibility(_shards(spark, d), _gt_index(spark, d), view(spark, d, "annotations").select("sample_id", "scene_id").distinct())
-    out = E.run_record(_sample_metrics(spark, d), judged, 3)
+    out = E.run_record(_sample_metrics(spark, d), _judged(spark, d), 3)
     return out.withColumn("evaluated_scene_ids", F.array_join("evaluated_scene_ids", ",")).withColumn("skipped_scene_ids", F.array_join("skipped_scene_ids", ","))
 
 
-_PARTS, _, _JUDGED = E2.partition(f"{_INDEX},")[2].rpartition("\nselect j.*")
-E11 = f"""{_SAMPLE}, {_SHARDS}, {_INDEX}, {_PARTS}, judged as (select j.*{_JUDGED}),
-t as (select sum(tp) as tp, sum(fp) as fp from samples), st as (select coalesce(eval_scene_id, scene_id) as scene_id, bool_or(eligibility = 'eligible') as evaluated from judged group by 1),
+E11 = f"""{_SAMPLE}, t as (select sum(tp) as tp, sum(fp) as fp from samples), st as (select coalesce(eval_scene_id, scene_id) as scene_id, bool_or(eligibility = 'eligible') as evaluated from judged group by 1),
 ids as (select evaluated, scene_id, row_number() over (partition by evaluated order by scene_id) as rn from st)
 select 'precision' as primary_metric, round(coalesce(tp / nullif(tp + fp, 0)::double, 0), 6) as primary_value, (select count(*) from st where evaluated) as evaluated_scene_count,
   coalesce((select string_agg(scene_id, ',' order by scene_id) from ids where evaluated and rn <= 3), '') as evaluated_scene_ids, (select count(*) from st where not evaluated) as skipped_scene_count,
@@ -273,7 +281,7 @@ r as (select {_RATES} from t) select precision, recall, coalesce(round(2 * preci
 round((select count(distinct sample_id) from good) / (select count(distinct sample_id) from (select sample_id from annotations union all select sample_id from predictions))::double, 6) as labeling_coverage from r"""
 
 
-def o8_compare(spark, d, most=1000):
+def o8_compare(spark, d, most=None):
     selection = _selection(spark, d, most).select("scene_id", "selected", "reason")
     evaluated = view(spark, d, "scenes").where("frame_count % 3 = 1").select("scene_id")
     return L.compare_runs(selection, evaluated)
@@ -301,12 +309,14 @@ QUERIES = {
     "e9_run_totals": (e9_run_totals, E9),
     "e10_run_status": (e10_run_status, E10),
     "e11_run_record": (e11_run_record, E11),
+    "e12_evaluator": (e12_evaluator, f"{_PREDICTED} select *, {_RATES} from samples"),
     "e13_metric_catalogue": (e13_metric_catalogue, E13),
     "o8_compare": (o8_compare, O8),
     "x2_scene_comparison": (x2_scene_comparison, X2),
     "x6_label_quality": (x6_label_quality, X6),
 }
-# The same without a cap.
-for _name in ("d1_scene_selection", "d2_selection_summary", "d3_samples", "o8_compare"):
+# Where the cap is what is asked for.
+for _name, _capped in (("d1_scene_selection", "d1_capped_selection"), ("d2_selection_summary", "d2_capped_summary"), ("o8_compare", "o8_capped_compare")):
     _query, _twin = QUERIES[_name]
-    QUERIES[_name.replace("_", "_all_", 1)] = (partial(_query, most=None), _twin.replace(" where before < 1000)", ")").replace(" limit 3000", ""))
+    QUERIES[_capped] = (partial(_query, most=1000), _twin.replace("annotation_count from n)", "annotation_count from n where before < 1000)"))
+QUERIES["d3_capped_samples"] = (partial(d3_samples, most=3000), f"{D3} limit 3000")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from functools import partial
 
 from pyspark.sql import functions as F
 
@@ -18,26 +17,20 @@ _SOURCE = {
     "src_samples": "select cast(event_id as string) as token, concat('u', cast(user_id as string)) as scene_token, US(ts) as timestamp_us from events where event_id % 2 = 0",
     "src_data": """select concat('d', cast(event_id as string)) as token, cast(event_id - event_id % 2 as string) as sample_token, US(ts) as timestamp_us,
         case event_type when 'view' then 'CAM_FRONT' when 'click' then 'LIDAR_TOP' when 'error' then 'RADAR_FRONT' else 'CAM_BACK' end as channel,
-        concat('samples/', cast(event_id as string), '.bin') as filename, concat('cs', cast(event_id % 7 as string)) as calibrated_sensor_token, concat('p', cast(event_id % 50 as string)) as ego_pose_token,
+        concat('samples/', cast(event_id as string), '.bin') as filename, concat('cs', cast(event_id % 7 as string)) as calibrated_sensor_token, concat('p', cast(event_id as string)) as ego_pose_token,
         cast(event_id % 3 * 800 as int) as width, cast(event_id % 4 * 300 as int) as height, event_id as pos, concat('log', cast(user_id % 5 as string)) as raw_log_id, cast(user_id as string) as sequence_id from events""",
     "src_calibrations": "select distinct concat('cs', cast(event_id % 6 as string)) as token, concat('s', cast(event_id % 6 % 4 as string)) as sensor_token from events",
     "src_sensors": "select distinct concat('s', cast(event_id % 3 as string)) as token, case event_id % 3 when 0 then 'camera' when 1 then 'Lidar ' else 'sonar' end as modality from events",
-    "src_poses": "select concat('p', cast(event_id as string)) as token, US(ts) as timestamp_us from events where event_id < 45",
+    "src_poses": "select concat('p', cast(event_id as string)) as token, US(ts) as timestamp_us from events where event_id % 10 <> 9",
     "src_boxes": """select concat(cast(l_orderkey as string), '-', cast(l_partkey as string), '-', cast(l_suppkey as string), '-', cast(l_linenumber as string)) as token, cast(l_partkey % 1000 * 2 as string) as sample_token,
         cast(l_orderkey as string) as instance_token, concat(l_returnflag, '.', l_linestatus) as category, US(l_shipdate) as timestamp_us, l_quantity as x, l_tax as y, l_discount as z,
         concat(l_returnflag, ',', l_linestatus, ',x') as attribute_list from lineitem""",
     "src_attributes": "select distinct l_returnflag as token, concat('name-', l_returnflag) as name from lineitem union select distinct l_linestatus, concat('name-', l_linestatus) from lineitem",
     "lidar_points": "select concat('f', cast(cast(floor(vec_id / 5.0) as bigint) as string)) as frame_id, vec_id * 21 + K as point_pos, EL3(1) as x, EL3(2) as y, EL3(3) as z from embeddings",
     "detections": """select concat('det-', cast(o_orderkey as string)) as detection_id, concat('sample-', cast(o_orderkey % 97 as string)) as sample_id, cast(cast(floor(o_orderkey / 97.0) as bigint) as int) as det_pos,
-        concat('f', cast(o_orderkey % 110 as string)) as lidar_frame_id, o_orderpriority as category, o_totalprice as score, cast(o_custkey % 40 as double) as x1, cast(o_custkey % 30 as double) as y1,
-        cast(o_custkey % 40 + 60 as double) as x2, cast(o_custkey % 30 + 60 as double) as y2, case when o_orderkey % 13 = 0 then null else 1600 end as width, 900 as height, o_orderkey % 41 = 0 as lift_failed from orders where o_orderkey < 3000""",
+        concat('f', cast(o_orderkey % lidar_frames as string)) as lidar_frame_id, o_orderpriority as category, o_totalprice as score, cast(o_custkey % 40 as double) as x1, cast(o_custkey % 30 as double) as y1,
+        cast(o_custkey % 40 + 60 as double) as x2, cast(o_custkey % 30 + 60 as double) as y2, case when o_orderkey % 13 = 0 then null else 1600 end as width, 900 as height, o_orderkey % 41 = 0 as lift_failed from orders cross join (select max(cast(floor(vec_id / 5.0) as bigint)) + 1 as lidar_frames from embeddings) n""",
 }
-# The whole tables: a detection for each order, dealt over all lidar frames, and a pose for nine of ten frames of all.
-_SOURCE["all_detections"] = _SOURCE["detections"].replace("concat('f', cast(o_orderkey % 110 as string))", "concat('f', cast(o_orderkey % lidar_frames as string))").replace(
-    "from orders where o_orderkey < 3000", "from orders cross join (select max(cast(floor(vec_id / 5.0) as bigint)) + 1 as lidar_frames from embeddings) n"
-)
-_SOURCE["all_data"] = _SOURCE["src_data"].replace("cast(event_id % 50 as string)", "cast(event_id as string)")
-_SOURCE["all_poses"] = _SOURCE["src_poses"].replace("event_id < 45", "event_id % 10 <> 9")
 
 
 def _sql(name: str, duck: bool) -> str:
@@ -58,13 +51,6 @@ def _with(*names):
     return "with " + ",\n".join(f"{n} as ({_sql(n, True)})" for n in names)
 
 
-def _whole(sql, **views):
-    """``sql`` with the views named by keys in place replaced by those of the whole tables."""
-    for name, whole in views.items():
-        sql = sql.replace(f"{name} as ({_sql(name, True)})", f"{name} as ({_sql(whole, True)})")
-    return sql
-
-
 def _ordered(spark, d):
     return I.ordered_samples(_view(spark, d, "src_scenes"), _view(spark, d, "src_samples"))
 
@@ -104,16 +90,16 @@ m as (select *, coalesce(tb, timestamp_us) - coalesce(ta, timestamp_us) as dt fr
 select token, round(case when ok then (coalesce(xb, x) - coalesce(xa, x)) / s end * 1e6, 6) as vx, round(case when ok then (coalesce(yb, y) - coalesce(ya, y)) / s end * 1e6, 6) as vy, round(case when ok then (coalesce(zb, z) - coalesce(za, z)) / s end * 1e6, 6) as vz from g"""
 
 
-def _frames(spark, d, channels=I.TARGET_CHANNELS, data="src_data", poses="src_poses"):
-    return I.sensor_frames(_ordered(spark, d), *[_view(spark, d, n) for n in (data, "src_calibrations", "src_sensors", poses)], channels)
+def _frames(spark, d, channels=I.TARGET_CHANNELS):
+    return I.sensor_frames(_ordered(spark, d), *[_view(spark, d, n) for n in ("src_data", "src_calibrations", "src_sensors", "src_poses")], channels)
 
 
 _FRAMES = f"""{_ORDERED}, f as (select d.token as frame_id, o.scene_id, o.sample_id, d.channel, case lower(trim(s.modality)) when 'camera' then 'camera' when 'lidar' then 'lidar' when 'radar' then 'radar' else case when d.channel like 'CAM%' then 'camera' when d.channel like 'LIDAR%' then 'lidar' when d.channel like 'RADAR%' then 'radar' else 'unknown' end end as modality,
   d.timestamp_us, d.calibrated_sensor_token as calibration_id, p.timestamp_us as pose_us, d.width, d.height, d.raw_log_id, d.sequence_id, d.pos from src_data d join ordered o on o.token = d.sample_token join src_calibrations c on c.token = d.calibrated_sensor_token left join src_sensors s on s.token = c.sensor_token left join src_poses p on p.token = d.ego_pose_token)"""
 
 
-def i4_sensor_frames(spark, d, **views):
-    return _frames(spark, d, **views).select("frame_id", "sample_id", "channel", "modality", "calibration_id", "pose_us", "width", "height")
+def i4_sensor_frames(spark, d):
+    return _frames(spark, d).select("frame_id", "sample_id", "channel", "modality", "calibration_id", "pose_us", "width", "height")
 
 
 I4 = f"""{_FRAMES} select frame_id, sample_id, channel, modality, calibration_id, pose_us, case when modality = 'camera' then nullif(width, 0) end as width, case when modality = 'camera' then nullif(height, 0) end as height from f where channel in ('CAM_FRONT', 'LIDAR_TOP')"""
@@ -129,16 +115,20 @@ I5 = f"""{_ORDERED}, r as (select calibrated_sensor_token, channel, pos, row_num
 select calibrated_sensor_token, channel, pos, 'last' as wins from r where b = 1 union all select calibrated_sensor_token, channel, pos, 'first' from r where a = 1"""
 
 
-def i6_raw_log_headers(spark, d, most=60):
+def i6_raw_log_headers(spark, d, most=None):
     data = I.first_sequences(_view(spark, d, "src_data"), most).withColumn("modality", I.modality(F.lit(None).cast("string"), F.col("channel")))
     out = I.raw_log_header(data)
     return out.withColumn("channels", F.array_join("channels", ",")).withColumn("modalities", F.array_join("modalities", ","))
 
 
-I6 = f"""{_ORDERED}, q as (select sequence_id from src_data group by sequence_id order by min(pos) limit 60), x as (select *, lower(split_part(channel, '_', 1)) as m from src_data semi join q using (sequence_id))
+I6 = f"""{_ORDERED}, q as (select sequence_id from src_data group by sequence_id order by min(pos)), x as (select *, lower(split_part(channel, '_', 1)) as m from src_data semi join q using (sequence_id))
 select raw_log_id, count(*) as frame_count, count(distinct sequence_id) as sequence_count, string_agg(distinct channel, ',' order by channel) as channels, string_agg(distinct case m when 'cam' then 'camera' else m end, ',' order by case m when 'cam' then 'camera' else m end) as modalities, min(timestamp_us) as start_us, max(timestamp_us) as end_us from x group by raw_log_id"""
 
 
+def i6_first_sequences(spark, d):
+    return i6_raw_log_headers(spark, d, 60)
+
+
 def i7_modalities(spark, d):
     return _frames(spark, d, None).groupBy("channel", "modality").agg(F.count("*").alias("frames"))
 
@@ -173,24 +163,24 @@ def s9_sensor_uris(spark, d):
 _SENSORS = {"camera_rotation": (0.5, -0.5, 0.5, -0.5), "camera_translation": (0.1, 0.0, 0.2), "lidar_rotation": (0.7071067811865476, 0.0, 0.0, 0.7071067811865476), "lidar_translation": (0.0, 0.0, 0.3), "ego_rotation": (0.8775825618903728, 0.0, 0.0, 0.479425538604203), "ego_translation": (10.0, 20.0, 0.5)}
 
 
-def _detections(spark, d, name="detections"):
-    out = _view(spark, d, name)
+def _detections(spark, d):
+    out = _view(spark, d, "detections")
     for name, value in _SENSORS.items():
         out = out.withColumn(name, F.array(*[F.lit(v) for v in value]))
     k = ((50.0, 0.0, 50.0), (0.0, 50.0, 45.0), (0.0, 0.0, 1.0))
     return out.withColumn("intrinsic", F.array(*[F.array(*[F.lit(v) for v in r]) for r in k]))
 
 
-def d8_scaled_boxes(spark, d, name="detections"):
-    boxes = D.scaled_boxes(_detections(spark, d, name), 1200)
+def d8_scaled_boxes(spark, d):
+    boxes = D.scaled_boxes(_detections(spark, d), 1200)
     return boxes.select("detection_id", *[F.round(c, 6).alias(c) for c in ("bx1", "by1", "bx2", "by2")])
 
 
 D8 = f"""{_with("detections")} select detection_id, round(x1 / least(1200 / greatest(width, height)::double, 1.0), 6) as bx1, round(y1 / least(1200 / greatest(width, height)::double, 1.0), 6) as by1, round(x2 / least(1200 / greatest(width, height)::double, 1.0), 6) as bx2, round(y2 / least(1200 / greatest(width, height)::double, 1.0), 6) as by2 from detections"""
 
 
-def _frustum(spark, d, name="detections"):
-    return D.frustum_points(_detections(spark, d, name), _view(spark, d, "lidar_points"))
+def _frustum(spark, d):
+    return D.frustum_points(_detections(spark, d), _view(spark, d, "lidar_points"))
 
 
 # The sensors above turn (x, y, z) into ego (-y, x, z + 0.3), and that into camera (-ey, 0.2 - ez, ex - 0.1).
@@ -200,36 +190,53 @@ c as (select *, -ey as cx, 0.2 - ez as cy, ex - 0.1 as cz from e), i as (select
 g as (select detection_id, count(*) as frustum_point_count from i group by detection_id having count(*) >= 3), frustum as (select i.*, frustum_point_count from i join g using (detection_id))"""
 
 
-def d9_ego_points(spark, d, name="detections"):
-    return _frustum(spark, d, name).select("detection_id", "point_pos", *[F.round(c, 6).alias(c) for c in ("ex", "ey", "ez")])
+def d9_ego_points(spark, d):
+    return _frustum(spark, d).select("detection_id", "point_pos", *[F.round(c, 6).alias(c) for c in ("ex", "ey", "ez")])
+
 
+def d10_frustum_counts(spark, d):
+    return _frustum(spark, d).groupBy("detection_id").agg(F.count("*").alias("points"))
 
-def d10_frustum_counts(spark, d, name="detections"):
-    return _frustum(spark, d, name).groupBy("detection_id").agg(F.count("*").alias("points"))
 
+def _clustered(spark, d):
+    return D.clustered(_frustum(spark, d), 0.15, 3)
 
-def d11_clusters(spark, d, name="detections"):
-    return D.clustered(_frustum(spark, d, name), 0.15, 3).groupBy("detection_id").agg(F.count("*").alias("points"))
 
+def d11_clusters(spark, d):
+    return _clustered(spark, d).groupBy("detection_id").agg(F.count("*").alias("points"))
 
-def d12_boxes(spark, d, name="detections"):
-    b = D.boxes(_frustum(spark, d, name))
+
+# Core points within eps reach each other; another point belongs to the first cluster that has a core point within eps.
+_CLUSTERS = f"""{_FRUSTUM.replace("with ", "with recursive ", 1)}, near as (select a.detection_id, a.point_pos as p, b.point_pos as q from frustum a join frustum b on a.detection_id = b.detection_id
+  and (a.ex-b.ex)*(a.ex-b.ex) + (a.ey-b.ey)*(a.ey-b.ey) + (a.ez-b.ez)*(a.ez-b.ez) <= 0.15::double * 0.15::double),
+core as (select detection_id, p from near group by detection_id, p having count(*) >= 3),
+steps as (select n.* from near n semi join core c on c.detection_id = n.detection_id and c.p = n.p semi join core e on e.detection_id = n.detection_id and e.p = n.q),
+reach as (select detection_id, p, p as q from core union select r.detection_id, r.p, s.q from reach r join steps s on s.detection_id = r.detection_id and s.p = r.q),
+cores as (select detection_id, p, min(q) as cluster from reach group by detection_id, p),
+placed as (select n.detection_id, n.p, min(c.cluster) as cluster from near n join cores c on c.detection_id = n.detection_id and c.p = n.q where not exists (select 1 from core x where x.detection_id = n.detection_id and x.p = n.p) group by n.detection_id, n.p
+  union all select * from cores),
+largest as (select detection_id, cluster from (select detection_id, cluster, row_number() over (partition by detection_id order by count(*) desc, cluster) as rn from placed group by detection_id, cluster) where rn = 1),
+cluster as (select f.* from frustum f left join placed p on p.detection_id = f.detection_id and p.p = f.point_pos left join largest l on l.detection_id = f.detection_id where l.cluster is null or p.cluster = l.cluster)"""
+
+
+def d12_boxes(spark, d):
+    b = D.boxes(_clustered(spark, d))
     r = lambda c, i, n: F.round(F.element_at(c, i), 6).alias(n)
     return b.select("detection_id", r("translation", 1, "tx"), r("translation", 2, "ty"), r("translation", 3, "tz"), r("size", 1, "sx"), r("size", 2, "sy"), F.round("yaw", 6).alias("yaw"), "cluster_point_count")
 
 
-D12 = f"""{_FRUSTUM}, b as (select detection_id, avg(ex) as mx, avg(ey) as my, avg(ez) as mz, max(ex) - min(ex) as sx, max(ey) - min(ey) as sy, covar_pop(ex, ey) as cov, var_pop(ex) - var_pop(ey) as dv, count(*) as n from frustum group by detection_id),
+D12 = f"""{_CLUSTERS}, b as (select detection_id, avg(ex) as mx, avg(ey) as my, avg(ez) as mz, max(ex) - min(ex) as sx, max(ey) - min(ey) as sy, covar_pop(ex, ey) as cov, var_pop(ex) - var_pop(ey) as dv, count(*) as n from cluster group by detection_id),
 q as (select *, 1 - 2 * 0.479425538604203 * 0.479425538604203 as cs, 2 * 0.8775825618903728 * 0.479425538604203 as sn from b)
 select detection_id, round(cs * mx - sn * my + 10, 6) as tx, round(sn * mx + cs * my + 20, 6) as ty, round(mz + 0.5, 6) as tz, round(sx, 6) as sx, round(sy, 6) as sy, round(0.5 * atan2(2 * cov, dv), 6) as yaw, n as cluster_point_count from q"""
 
 
-def d13_liftable(spark, d, name="detections"):
-    return D.liftable(_detections(spark, d, name)).select("detection_id")
+def d13_liftable(spark, d):
+    return D.liftable(_detections(spark, d)).select("detection_id")
 
 
 def _echo(**_):
     def model(uris):
-        return [[{"label": (" Car", "person", "cat")[sum(u.encode()) % 3], "score": (sum(u.encode()) % 1000) / 999.0, "x1": float(len(u)), "y1": 1.04, "x2": 30.0, "y2": 40.0}] * (sum(u.encode()) % 3) for u in uris]
+        return [[{"label": (" Car", "person", "cat")[sum(u.encode()) % 3], "score": (sum(u.encode()) % 1000) / 999.0, "x1": float(len(u)), "y1": 1.04, "x2": 30.0, "y2": 40.0}] * (sum(u.encode()) % 4) for u in uris]
 
     return model
 
@@ -244,8 +251,13 @@ def d5_categories(spark, d):
     return N.cleaned(N.detect(images, _echo)).select("token", "raw_pos", "category", "score", "x1", "y1")
 
 
-def d6_prediction_records(spark, d, name="detections"):
-    out = D.prediction_records(_detections(spark, d, name), D.boxes(_frustum(spark, d, name)))
+_ECHO = f"""{_with("src_data")}, u as (select token, filename, length(filename) as n, list_sum(list_transform(string_split(filename, ''), lambda c: ascii(c))) as s from src_data where channel = 'CAM_FRONT')"""
+D5 = f"""{_ECHO} select token, cast(unnest(generate_series(0, cast(s % 4 as bigint) - 1)) as integer) as raw_pos, case s % 3 when 0 then 'vehicle.car' else 'human.pedestrian.adult' end as category,
+  round((s % 1000) / 999.0::double, 4) as score, n::double as x1, 1.0::double as y1 from u where s % 4 > 0 and s % 3 < 2"""
+
+
+def d6_prediction_records(spark, d):
+    out = D.prediction_records(_detections(spark, d), D.boxes(_clustered(spark, d)))
     return out.select("prediction_id", "category", "lifting_method", "lifting_status", "cluster_point_count", F.round(F.element_at("translation", 1), 6).alias("tx"))
 
 
@@ -260,24 +272,18 @@ QUERIES = {
     "i4_sensor_frames": (i4_sensor_frames, I4),
     "i5_registry": (i5_registry, I5),
     "i6_raw_log_headers": (i6_raw_log_headers, I6),
+    "i6_first_sequences": (i6_first_sequences, I6.replace("order by min(pos))", "order by min(pos) limit 60)")),
     "i7_modalities": (i7_modalities, f"{_FRAMES} select channel, modality, count(*) as frames from f group by all"),
     "i8_scene_rollup": (i8_scene_rollup, f"{_ROLLUP} select *, annotation_count > 0 as has_ground_truth, case when annotation_count > 0 then 'source' end as ground_truth_source from r"),
     "i9_ingest_totals": (i9_ingest_totals, I9),
     "s9_sensor_uris": (s9_sensor_uris, f"{_ORDERED} select token, 'file:///data/raw/' || filename as uri from src_data"),
-    "d4_inference": (d4_inference, None),
-    "d5_categories": (d5_categories, None),
+    "d4_inference": (d4_inference, f"{_ECHO} select token, cast(s % 4 as bigint) as detections from u"),
+    "d5_categories": (d5_categories, D5),
     "d6_prediction_records": (d6_prediction_records, D6),
     "d8_scaled_boxes": (d8_scaled_boxes, D8),
     "d9_ego_points": (d9_ego_points, f"{_FRUSTUM} select detection_id, point_pos, round(ex, 6) as ex, round(ey, 6) as ey, round(ez, 6) as ez from frustum"),
     "d10_frustum_counts": (d10_frustum_counts, f"{_FRUSTUM} select detection_id, frustum_point_count as points from g"),
-    "d11_clusters": (d11_clusters, None),
+    "d11_clusters": (d11_clusters, f"{_CLUSTERS} select detection_id, count(*) as points from cluster group by detection_id"),
     "d12_boxes": (d12_boxes, D12),
     "d13_liftable": (d13_liftable, f"{_with('detections')} select detection_id from detections where width is not null"),
 }
-# The same over the whole tables; the queries above stop at an order number or pose, as their SQL does.
-_LIFTING = ("d6_prediction_records", "d8_scaled_boxes", "d9_ego_points", "d10_frustum_counts", "d11_clusters", "d12_boxes", "d13_liftable")
-for _name in _LIFTING:
-    _query, _twin = QUERIES[_name]
-    QUERIES[_name.replace("_", "_all_", 1)] = (partial(_query, name="all_detections"), _twin and _whole(_twin, detections="all_detections"))
-QUERIES["i4_all_sensor_frames"] = (partial(i4_sensor_frames, data="all_data", poses="all_poses"), _whole(I4, src_data="all_data", src_poses="all_poses"))
-QUERIES["i6_all_raw_log_headers"] = (partial(i6_raw_log_headers, most=None), I6.replace(" limit 60)", ")"))

@@ -19,7 +19,8 @@ def _frames(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _gaps(spark: SparkSession, d: str, **more) -> DataFrame:
-    return G.segments(_frames(spark, d), "log", "gap_based", max_gap_us=GAP, **more)
+    """Segments by gaps; frames without a sequence are one large group, so groups are cut by time."""
+    return G.segments(_frames(spark, d), "log", "gap_based", max_gap_us=GAP, **{"bucket_us": 96 * HOUR} | more)
 
 
 def _joined(channels: str = "channels") -> object:
@@ -71,7 +72,7 @@ G2 = f"{_WITH}, parts as (select *, 0 as chunk, 0 as part from grouped),{_number
 
 
 def g3_gap_segments(spark, d):
-    return _segment_rows(_gaps(spark, d, min_frame_count=2))
+    return _segment_rows(_gaps(spark, d, min_frame_count=2, bucket_us=None))
 
 
 G3 = f"{_SEGMENTED} {_ROLLUP}"
@@ -81,6 +82,16 @@ def g3_bucketed_segments(spark, d):
     return _segment_rows(_gaps(spark, d, min_frame_count=2, bucket_us=24 * HOUR))
 
 
+def g8_segments(spark, d):
+    """Segments with their frames in order, in order of start."""
+    segmented = _gaps(spark, d, min_frame_count=2)
+    ids = segmented.groupBy("segment_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("timestamp_us", "pos", "frame_id"))), lambda s: s["frame_id"]), ",").alias("frame_ids"))
+    return G.rollup(segmented).join(ids, "segment_id").select("segment_id", "start_us", "end_us", "frame_ids", _joined()).orderBy("start_us", "segment_id")
+
+
+G8 = f"""{_SEGMENTED} select segment_id, min(timestamp_us) as start_us, max(timestamp_us) as end_us, string_agg(frame_id, ',' order by timestamp_us, pos) as frame_ids, string_agg(distinct channel, ',' order by channel) as channels from segmented group by segment_id"""
+
+
 def _windows(spark, d, duration, stride):
     return _segment_rows(G.segments(_frames(spark, d), "log", "fixed_window", duration_us=duration, stride_us=stride))
 
@@ -405,7 +416,7 @@ QUERIES = {
     "g5_counted_segments": (g5_counted_segments, G5C),
     "g6_short_segments": (g6_short_segments, G6),
     "g7_segment_ids": (g7_segment_ids, G7),
-    "g8_segments": (g3_gap_segments, G3),
+    "g8_segments": (g8_segments, G8),
     "g9_built_segments": (g9_built_segments, G9),
     "a1_channel_anchors": (a1_channel_anchors, A1),
     "a2_interval_anchors": (a2_interval_anchors, A2),

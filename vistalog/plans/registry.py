@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import detection, ingestion, logs, scenarios, scenes
+from . import detection, files, ingestion, logs, scenarios, scenes
 
-AREAS = (ingestion, logs, scenes, detection, scenarios)
+AREAS = (files, ingestion, logs, scenes, detection, scenarios)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

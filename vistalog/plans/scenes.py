@@ -58,11 +58,17 @@ def v8_verdicts(spark, d):
 
 
 def v9_batch_verdict(spark, d):
-    return V.batch_verdict(v8_verdicts(spark, d), unreadable=2)
+    """The verdict over all scenes, over those without an error, over the spotless ones, and over none."""
+    verdicts = v8_verdicts(spark, d)
+    of = lambda rows, name, n=0: V.batch_verdict(rows, unreadable=n).withColumn("batch", F.lit(name))
+    good = verdicts.where("error_count = 0")
+    return of(verdicts, "all", 2).union(of(good, "without errors")).union(of(good.where("warning_count = 0"), "spotless")).union(of(verdicts.where("error_count < 0"), "none"))
 
 
-V9 = f"""{_VERDICTS} select count(*) as scene_count, 'failed' as status, cast(sum(error_count) + 2 as bigint) as error_count, cast(sum(warning_count) as bigint) as warning_count,
-cast(sum(error_count) + 2 + sum(warning_count) as bigint) as issue_count from verdicts"""
+V9 = f"""{_VERDICTS}, b as (select 'all' as batch, 2 as extra, * from verdicts union all select 'without errors', 0, * from verdicts where error_count = 0 union all select 'spotless', 0, * from verdicts where error_count = 0 and warning_count = 0),
+names as (select * from (values ('all', 2), ('without errors', 0), ('spotless', 0), ('none', 0)) t(batch, extra)),
+t as (select n.batch, count(b.batch) as scene_count, coalesce(sum(error_count), 0) + n.extra + case when count(b.batch) = 0 and n.extra = 0 then 1 else 0 end as e, coalesce(sum(warning_count), 0) as w from names n left join b on b.batch = n.batch group by n.batch, n.extra)
+select batch, scene_count, case when e > 0 then 'failed' when w > 0 then 'warning' else 'ready' end as status, cast(e as bigint) as error_count, cast(w as bigint) as warning_count, cast(e + w as bigint) as issue_count from t"""
 
 
 def v10_required_channels(spark, d):

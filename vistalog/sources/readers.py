@@ -18,11 +18,14 @@ def snake(df: DataFrame) -> DataFrame:
     return df.toDF(*[re.sub(r"(?<!^)([A-Z])", lambda m: "_" + m[1].lower(), c) for c in df.columns])
 
 
-def source_tables(spark: SparkSession, root: str, scene_names: Sequence[str] | None = None, max_scenes: int | None = None, kind: str = "nuscenes") -> dict[str, DataFrame]:
-    """The relational JSON tables of a scene-structured dataset; scenes by name, and the first ``max_scenes`` in source order."""
+def source_tables(spark: SparkSession, root: str, scene_names: Sequence[str] | None = None, max_scenes: int | None = None, kind: str = "nuscenes", lines: bool = False) -> dict[str, DataFrame]:
+    """The relational JSON tables of a scene-structured dataset; scenes by name, and the first ``max_scenes`` in source order.
+
+    With ``lines`` a file has a document a line, which lets Spark split it; else a file is one array, read in one task.
+    """
     if kind != "nuscenes":
         raise ValueError(f"unsupported source format {kind}")
-    out = {name: spark.read.schema(schema).json(f"{root}/{name}.json", multiLine=True) for name, schema in schemas.SOURCE.items()}
+    out = {name: spark.read.schema(schema).json(f"{root}/{name}.json", multiLine=not lines) for name, schema in schemas.SOURCE.items()}
     scenes = out["scene"].withColumn("pos", F.monotonically_increasing_id())
     if scene_names is not None:
         scenes = scenes.where(F.col("name").isin(*scene_names))
@@ -30,22 +33,22 @@ def source_tables(spark: SparkSession, root: str, scene_names: Sequence[str] | N
     return out
 
 
-def raw_log(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """raw_frames, calibrations and ego_poses of raw-log documents; pos is the place in the document."""
-    docs = spark.read.schema(schemas.RAW_LOG).json(path, multiLine=True)
+def raw_log(spark: SparkSession, path: str, lines: bool = False) -> dict[str, DataFrame]:
+    """raw_frames, calibrations and ego_poses of raw-log documents, one a file or with ``lines`` one a line; pos is the place in the document."""
+    docs = spark.read.schema(schemas.RAW_LOG).json(path, multiLine=not lines)
     part = lambda array: snake(docs.select("rawLogId", F.posexplode(array).alias("pos", "v")).select("rawLogId", F.col("pos").cast("long").alias("pos"), "v.*"))
     return {"raw_frames": part("frames"), "calibrations": part("calibrations"), "ego_poses": part("egoPoses")}
 
 
-def scene_manifests(spark: SparkSession, expected: DataFrame, path: str) -> DataFrame:
+def scene_manifests(spark: SparkSession, expected: DataFrame, path: str, lines: bool = False) -> DataFrame:
     """Expected scenes (scene_id) with their manifests under ``path``; one that is missing gives has_manifest false, not an error."""
-    docs = snake(spark.read.schema(schemas.SCENE).option("ignoreMissingFiles", True).json(path, multiLine=True))
+    docs = snake(spark.read.schema(schemas.SCENE).option("ignoreMissingFiles", True).json(path, multiLine=not lines))
     return expected.join(docs.withColumn("has_manifest", F.lit(True)), "scene_id", "left").withColumn("has_manifest", F.coalesce("has_manifest", F.lit(False)))
 
 
-def predictions(spark: SparkSession, path: str) -> DataFrame:
+def predictions(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """A row for each prediction of the per-sample files, in list order; a file without sample_id or predictions is an error."""
-    docs = spark.read.schema(schemas.PREDICTIONS).json(path, multiLine=True)
+    docs = spark.read.schema(schemas.PREDICTIONS).json(path, multiLine=not lines)
     broken = F.col("sample_id").isNull() | F.col("predictions").isNull()
     checked = docs.withColumn("predictions", F.when(broken, F.raise_error(F.lit("a prediction file lacks sample_id or predictions"))).otherwise(F.col("predictions")))
     rows = checked.select("scene_id", "sample_id", F.posexplode("predictions").alias("pred_pos", "p"))
