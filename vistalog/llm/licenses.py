@@ -1,16 +1,25 @@
 """Licence scans with DataFrame functions alone: Dice coefficient of word bigrams against licence templates.
 
-The whole text, its paragraphs and its lines are units. A unit's words are its runs of ASCII letters and digits,
-lower-cased; its set is that of its distinct word bigrams. Since the Dice coefficient of sets of a and b elements is at
-most 2 min(a, b) / (a + b), only templates whose size lies between a t / (2 - t) and a (2 - t) / t are compared.
+The whole text, its paragraphs, its lines, the sentences of its lines and runs of lines are units. A unit's words are its
+runs of ASCII letters and digits, lower-cased; its set is that of its distinct word bigrams. Since the Dice coefficient
+of sets of a and b elements is at most 2 min(a, b) / (a + b), only templates whose size lies between a t / (2 - t) and
+a (2 - t) / t are compared. By the same bound a unit that reaches t has t / (2 - t) of a template's bigrams at least, and
+so a certain number of its long words: a text without them is left out before any unit is made (see marks()).
+
+A run of lines is sought for each template: lines of which half the bigrams are the template's, with at most two others
+between them. So a licence is found within a longer text, in paragraphs, as comments and above code, and work is linear
+in the lines. Of runs that overlap the best one counts.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
+from functools import lru_cache
+from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Published licence texts and the notices by which works name them.
@@ -49,7 +58,14 @@ source versions must be plainly marked as such, and must not be misrepresented a
 may not be removed or altered from any source distribution.""",
     "Unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify,
 publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose,
-commercial or non-commercial, and by any means.""",
+commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this
+software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit
+of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of
+relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED
+"AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE
+USE OR OTHER DEALINGS IN THE SOFTWARE. For more information, please refer to http://unlicense.org""",
     "Apache-2.0 header": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in
 compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required
 by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT
@@ -70,14 +86,25 @@ warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Gen
     "MPL-2.0 notice": "This work is licensed under the Mozilla Public License, version 2.0.",
 }
 
-#: Beside those of the SQL form.
-MORE_TEMPLATES = {
-    "BSD-3-Clause": TEMPLATES["BSD-2-Clause"].replace(
-        "THIS SOFTWARE IS PROVIDED",
-        """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote
+TEMPLATES["BSD-3-Clause"] = TEMPLATES["BSD-2-Clause"].replace(
+    "THIS SOFTWARE IS PROVIDED",
+    """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote
 products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED""",
-    )
-}
+)
+for _name, _licence, _version in (("GPL-2.0", "General", "2"), ("LGPL-2.1", "Lesser General", "2.1"), ("LGPL-3.0", "Lesser General", "3"), ("AGPL-3.0", "Affero General", "3")):
+    TEMPLATES[f"{_name} header"] = re.sub(r"GNU\s+General\s+Public", f"GNU {_licence} Public", TEMPLATES["GPL-3.0 header"]).replace("version 3 of", f"version {_version} of")
+    TEMPLATES[f"{_name} notice"] = f"This work is licensed under the GNU {_licence} Public License, version {_version}."
+TEMPLATES["MPL-2.0 header"] = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
+distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."""
+TEMPLATES["BSD-2-Clause notice"] = "Released under the BSD 2-Clause License."
+#: The licences that are long, one a file, as their publishers give them.
+LONG = Path(__file__).with_name("licences")
+
+
+@lru_cache(maxsize=1)
+def public_templates() -> dict[str, str]:
+    """Every template by name: those above and the long texts."""
+    return TEMPLATES | {p.stem: p.read_text(encoding="utf-8") for p in sorted(LONG.glob("*.txt"))}
 
 
 def bigrams_of(text: str) -> list[str]:
@@ -102,92 +129,154 @@ def bigrams(words: Column) -> Column:
     return F.when(F.size(words) < 2, F.array().cast("array<string>")).otherwise(F.array_distinct(F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat_ws(" ", a, b))))
 
 
-def units(docs: DataFrame) -> DataFrame:
-    """doc_id, unit, position and words: the whole text, its paragraphs if there are several, its lines if there are several."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    kind = lambda name, parts: F.transform(parts, lambda x, i: F.struct(F.lit(name).alias("unit"), i.cast("long").alias("position"), F.split(normalised(x), " ").alias("words")))
-    several = lambda name, parts: F.when(F.size(parts) > 1, kind(name, parts)).otherwise(kind(name, F.array().cast("array<string>")))
-    every = F.concat(kind("text", F.array(text)), several("paragraph", F.split(text, r"\n[ \t\r]*\n")), several("line", F.split(text, r"\n")))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(every).alias("u")).select("doc_id", "u.*")
+def marks(grams: list[str], least: float) -> tuple[list[str], int]:
+    """Long words of a template, and how many of them a unit must have to reach ``least``.
 
+    A unit that reaches it has a share t / (2 - t) of the template's bigrams. If the words' bigrams are so many that the
+    rest does not make up that share, some must be there; the number is that of the most frequent words whose bigrams
+    close the gap. Words of six letters count, and shorter ones, longest first, only where those are too few.
+    """
+    needed, own = bounds(len(grams), least)[0], {}
+    for g in grams:
+        for w in set(g.split(" ")):
+            own.setdefault(w, set()).add(g)
+    words, covered = [], set()
+    for w in sorted(own, key=lambda w: (-len(w), w)):
+        if len(w) < 6 and len(grams) - len(covered) < needed:
+            break
+        words.append(w)
+        covered |= own[w]
+    gap, many = needed - (len(grams) - len(covered)), 0
+    for n in sorted((len(own[w]) for w in words), reverse=True):
+        if gap <= 0:
+            break
+        gap, many = gap - n, many + 1
+    return sorted(words), many
 
-def passages(docs: DataFrame, low: int, high: int) -> DataFrame:
-    """doc_id, unit, position, words and parts: runs of two or more paragraphs, and the sentences of lines that have several.
 
-    ``position`` is that of the first paragraph or of the line, ``parts`` the number of paragraphs or, from 1, that of
-    the sentence. Runs have ``low`` to ``high`` bigrams, repeated ones included; paragraphs without words are in none.
-    """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    unit = lambda name, position, parts, words: F.struct(F.lit(name).alias("unit"), position.cast("long").alias("position"), parts.cast("int").alias("parts"), words.alias("words"))
-    split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.split(text, r"\n[ \t\r]*\n").alias("bodies"))
-    filled = F.filter(F.transform("bodies", lambda x, i: F.struct(i.alias("at"), normalised(x).alias("body"))), lambda p: p["body"] != "")
-    several = split.where(F.size("bodies") > 1).select("doc_id", filled.alias("filled")).where(F.size("filled") > 1)
-    several = several.select("doc_id", "filled", F.transform("filled", lambda p: F.size(F.split(p["body"], " "))).alias("sizes"))
-
-    def lengths(i: Column) -> Column:
-        zero = F.struct(F.lit(0).alias("words"), F.lit(0).alias("k"), F.array().cast("array<int>").alias("fit"))
-        fits = lambda a, n: (a["k"] > 0) & (a["words"] + n).between(low + 1, high + 1)
-        step = lambda a, n: F.struct((a["words"] + n).alias("words"), (a["k"] + 1).alias("k"), F.when(fits(a, n), F.concat(a["fit"], F.array(a["k"] + 1))).otherwise(a["fit"]).alias("fit"))
-        return F.aggregate(F.slice("sizes", i, F.lit(high + 1)), zero, step)["fit"]
-
-    run = lambda i, k: unit("paragraphs", F.element_at("filled", i)["at"], k, F.split(F.array_join(F.transform(F.slice("filled", i, k), lambda p: p["body"]), " "), " "))
-    runs = several.select("doc_id", F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.size("filled") - 1), lambda i: F.transform(lengths(i), lambda k: run(i, k))))).alias("u"))
-    sentences = lambda x, i: F.transform(F.split(x, r"(?<=[.!?])[ \t]+"), lambda y, k: unit("sentence", i, k + 1, F.split(normalised(y), " ")))
-    lines = split.select("doc_id", F.explode(F.flatten(F.filter(F.transform(F.split("text", r"\n"), sentences), lambda u: F.size(u) > 1))).alias("u"))
-    return runs.union(lines).select("doc_id", "u.*")
+def marked(docs: DataFrame, templates: dict[str, str], least: float) -> DataFrame:
+    """Rows of ``docs`` (doc_id, text) that have enough of some template's long words; others can't reach ``least``."""
+    rules = [marks(bigrams_of(v), least) for v in templates.values()]
+    if any(k < 1 for _, k in rules):
+        return docs
+    every = F.split(F.lit(" ".join(sorted({w for words, _ in rules for w in words}))), " ")
+    table = F.from_json(F.lit(json.dumps([{"words": words, "k": k} for words, k in sorted(set((tuple(w), k) for w, k in rules))])), "array<struct<words:array<string>,k:int>>")
+    found = F.array_intersect(F.split(normalised(F.col("text")), " "), every)
+    some = docs.withColumn("_found", F.explode(F.array(found))).where(F.size("_found") >= min(k for _, k in rules))
+    return some.where(F.exists(table, lambda t: (F.size("_found") >= t["k"]) & (F.size(F.array_intersect("_found", t["words"])) >= t["k"]))).drop("_found")
 
 
-def scan(docs: DataFrame, least: float = 0.8, templates: dict[str, str] | None = None) -> DataFrame:
-    """doc_id, unit, position, licence, dice and n_bigrams of each unit whose best template reaches ``least``.
+def units(docs: DataFrame) -> DataFrame:
+    """doc_id, unit, position, parts and words: the whole text, its paragraphs and lines if there are several, and the
+    sentences of lines that have several. parts is null but for sentences, where it counts from 1 in the line.
 
-    Ties go to the first licence by name. Positions count from 0. A null or empty text, or a unit of one word, has no
-    bigram and is in no row; a null doc_id stays null; repeated rows are found each for itself; other columns are
-    ignored. Templates are a parameter of the query, not a table; there is no join and no shuffle.
+    Lines without a word, such as blank ones or bare comment marks, part paragraphs.
     """
-    return _reaching(units(docs), least, templates or TEMPLATES)
+    kind = lambda name, parts: F.transform(parts, lambda x, i: F.struct(F.lit(name).alias("unit"), i.cast("long").alias("position"), F.lit(None).cast("int").alias("parts"), F.split(normalised(x), " ").alias("words")))
+    several = lambda name, parts: F.when(F.size(parts) > 1, kind(name, parts)).otherwise(kind(name, F.array().cast("array<string>")))
+    sentence = lambda i: lambda y, k: F.struct(F.lit("sentence").alias("unit"), i.cast("long").alias("position"), (k + 1).cast("int").alias("parts"), F.split(normalised(y), " ").alias("words"))
+    sentences = F.flatten(F.filter(F.transform(F.split("text", r"\n"), lambda x, i: F.transform(F.split(x, r"(?<=[.!?])[ \t]+"), sentence(i))), lambda u: F.size(u) > 1))
+    every = F.concat(kind("text", F.array("text")), several("paragraph", F.split("text", _PARTING)), several("line", F.split("text", r"\n")), sentences)
+    return docs.select("doc_id", F.explode(every).alias("u")).select("doc_id", "u.*")
 
 
-def scan_passages(docs: DataFrame, least: float = 0.8, templates: dict[str, str] | None = None) -> DataFrame:
-    """What ``scan`` finds, and beside it runs of paragraphs and sentences in lines, with a column parts (null for scan's units)."""
-    templates = templates or TEMPLATES | MORE_TEMPLATES
-    totals = [n for n in (len(re.findall("[A-Za-z0-9]+", v)) - 1 for v in templates.values()) if n > 0]
-    # Repeats count in these bounds: a text may have as many more bigrams than its template as its set may.
-    low, high = min(bounds(len(g), least)[0] for g in map(bigrams_of, templates.values()) if g), max(bounds(n, least)[1] for n in totals)
-    every = units(docs).withColumn("parts", F.lit(None).cast("int")).unionByName(passages(docs, low, high))
-    return _reaching(every, least, templates, "parts")
+_PARTING = r"\n[^A-Za-z0-9\n]*\n"
 
 
-def _reaching(parts: DataFrame, least: float, templates: dict[str, str], *more: str) -> DataFrame:
+def _table(templates: dict[str, str], least: float) -> Column:
     known = [(name, grams, *bounds(len(grams), least)) for name, grams in ((k, bigrams_of(v)) for k, v in sorted(templates.items())) if grams]
     if not known:
         raise ValueError("there must be a template of two words at least")
-    table = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(len(g)).alias("n"), F.lit(low).alias("low"), F.lit(high).alias("high"), F.array(*map(F.lit, g)).alias("grams")) for name, g, low, high in known])
-    low, high = min(k[2] for k in known), max(k[3] for k in known)
+    rows = [{"name": name, "n": len(g), "low": low, "high": high, "grams": g} for name, g, low, high in known]
+    return F.from_json(F.lit(json.dumps(rows)), "array<struct<name:string,n:int,low:int,high:int,grams:array<string>>>")
+
+
+def _best(sized: DataFrame, table: Column, least: float, only: str | None = None) -> DataFrame:
+    """Rows of ``sized`` (grams and more) with licence, dice and n_bigrams, where a template, or that named by ``only``, reaches ``least``."""
     # An array of one set is exploded so that Spark computes the set once, not for each template that is compared.
-    sized = parts.where(F.size("words") > low).select("doc_id", "unit", "position", *more, F.explode(F.array(bigrams(F.col("words")))).alias("grams"))
-    sized = sized.where(F.size("grams").between(low, high)).withColumn("n_bigrams", F.size("grams").cast("long"))
-    fit = F.filter(table, lambda t: F.col("n_bigrams").between(t["low"], t["high"]))
+    sized = sized.withColumn("grams", F.explode(F.array("grams"))).withColumn("n_bigrams", F.size("grams").cast("long"))
+    fit = F.filter(table, lambda t: F.col("n_bigrams").between(t["low"], t["high"]) & ((t["name"] == F.col(only)) if only else F.lit(True)))
     compared = F.transform(fit, lambda t: F.struct((2.0 * F.size(F.array_intersect(F.col("grams"), t["grams"])) / (F.col("n_bigrams") + t["n"])).alias("dice"), t["name"].alias("name")))
     best = F.aggregate(compared, F.struct(F.lit(0.0).alias("dice"), F.lit("").alias("name")), lambda a, x: F.when(x["dice"] > a["dice"], x).otherwise(a))
-    found = sized.select("doc_id", "unit", "position", *more, "n_bigrams", best.alias("best")).where(F.col("best.dice") >= least)
-    return found.select("doc_id", "unit", "position", *more, F.col("best.name").alias("licence"), F.col("best.dice").alias("dice"), "n_bigrams")
+    found = sized.withColumn("best", best).where(F.col("best.dice") >= least)
+    return found.withColumn("licence", F.col("best.name")).withColumn("dice", F.col("best.dice")).drop("best", "grams")
+
+
+def runs(docs: DataFrame, table: Column, least: float) -> DataFrame:
+    """doc_id, unit, position, parts, licence, dice and n_bigrams of the runs of lines that reach ``least``.
+
+    ``position`` is that of the first line, ``parts`` the number of lines with words from the first to the last.
+    """
+    filled = F.filter(F.transform(F.split("text", r"\n"), lambda x, i: F.struct(i.cast("long").alias("at"), normalised(x).alias("body"))), lambda p: p["body"] != "")
+    lines = docs.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", F.posexplode(filled).alias("idx", "line")).select("row", "doc_id", "idx", "line.*")
+    # As many rows as the templates have bigrams, a parameter of the query.
+    known = docs.sparkSession.range(1).select(F.explode(table).alias("t")).select(F.col("t.name").alias("name"), F.explode("t.grams").alias("gram"))
+    grams = lines.select("row", "idx", F.explode(F.array(bigrams(F.split("body", " ")))).alias("own")).select("row", "idx", F.size("own").alias("n"), F.explode("own").alias("gram"))
+    near = grams.join(F.broadcast(known), "gram").groupBy("row", "idx", "n", "name").agg(F.count("*").alias("hits")).where(2 * F.col("hits") >= F.col("n"))
+    order = Window.partitionBy("row", "name").orderBy("idx")
+    islands = near.withColumn("cut", (F.coalesce(F.col("idx") - F.lag("idx").over(order), F.lit(0)) > 3).cast("int")).withColumn("island", F.sum("cut").over(order))
+    spans = islands.groupBy("row", "name", "island").agg(F.min("idx").alias("first"), F.max("idx").alias("last")).where("last > first").select("row", "name", "first", "last")
+    whole = lines.join(spans, "row").where("idx between first and last").groupBy("row", "doc_id", "name", "first", "last").agg(F.array_sort(F.collect_list(F.struct("idx", "at", "body"))).alias("own"))
+    words = F.split(F.array_join(F.transform("own", lambda p: p["body"]), " "), " ")
+    sized = whole.select("row", "doc_id", "name", "first", "last", F.element_at("own", 1)["at"].alias("position"), bigrams(words).alias("grams"))
+    found = _best(sized, table, least, only="name")
+    other = found.select("row", *[F.col(c).alias(f"o_{c}") for c in ("first", "last", "dice", "licence")])
+    better = (F.col("o_dice") > F.col("dice")) | (F.col("o_dice") == F.col("dice")) & (F.struct("o_first", "o_last", "o_licence") < F.struct("first", "last", "licence"))
+    best = found.join(other, (found["row"] == other["row"]) & (F.col("o_first") <= F.col("last")) & (F.col("first") <= F.col("o_last")) & better, "left_anti")
+    return best.select("doc_id", F.lit("run").alias("unit"), "position", (F.col("last") - F.col("first") + 1).cast("int").alias("parts"), "licence", "dice", "n_bigrams")
+
+
+def scan(docs: DataFrame, least: float = 0.8, templates: dict[str, str] | None = None) -> DataFrame:
+    """doc_id, unit, position, parts, licence, dice and n_bigrams of each unit whose best template reaches ``least``.
+
+    Ties go to the first licence by name. Positions count from 0. A null or empty text, or a unit of one word, has no
+    bigram and is in no row; a null doc_id stays null; repeated rows are found each for itself; other columns are
+    ignored. Templates are a parameter of the query, not a table; texts that have the templates' words are shuffled by
+    row for their runs, others not at all.
+    """
+    templates = templates or public_templates()
+    table = _table(templates, least)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    chosen = marked(texts, {k: v for k, v in templates.items() if bigrams_of(v)}, least)
+    sizes = [bounds(len(g), least) for g in map(bigrams_of, templates.values()) if g]
+    low, high = min(a for a, _ in sizes), max(b for _, b in sizes)
+    sized = units(chosen).where(F.size("words") > low).select("doc_id", "unit", "position", "parts", F.explode(F.array(bigrams(F.col("words")))).alias("grams")).where(F.size("grams").between(low, high))
+    found = _best(sized, table, least)
+    return found.select("doc_id", "unit", "position", "parts", "licence", "dice", "n_bigrams").unionByName(runs(chosen, table, least))
 
 
 def oracle(least: float = 0.8) -> str:
-    """The same result in DuckDB's SQL, by joins on bigrams."""
-    rows = ", ".join(f"('{name}', '{g}', {len(grams)})" for name, grams in ((k, bigrams_of(v)) for k, v in sorted(TEMPLATES.items())) for g in grams)
+    """The same result in DuckDB's SQL, by joins on bigrams and without the search for long words."""
+    lists = ", ".join(f"('{name}', string_split('{'|'.join(grams)}', '|'), {len(grams)})" for name, grams in ((k, bigrams_of(v)) for k, v in sorted(public_templates().items())))
+    words = lambda body: f"string_split(lower(trim(regexp_replace({body}, '[^A-Za-z0-9]+', ' ', 'g'))), ' ')"
+    grams = "list_distinct(list_transform(generate_series(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1]))"
     return f"""
-with t(name, gram, n) as (values {rows}),
+with tl(name, grams, n) as (values {lists}), t as (select name, n, unnest(grams) as gram from tl),
 d as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
 parts as (
   select r, doc_id, 'text' as unit, [text] as bodies from d
-  union all select r, doc_id, 'paragraph', regexp_split_to_array(text, '\\n[ \\t\\r]*\\n') from d
+  union all select r, doc_id, 'paragraph', regexp_split_to_array(text, '\\n[^A-Za-z0-9\\n]*\\n') from d
   union all select r, doc_id, 'line', string_split(text, chr(10)) from d),
-u as (select r, doc_id, unit, cast(unnest(generate_series(0, len(bodies) - 1)) as bigint) as position, unnest(bodies) as body from parts where unit = 'text' or len(bodies) > 1),
-w as (select r, doc_id, unit, position, string_split(lower(trim(regexp_replace(body, '[^A-Za-z0-9]+', ' ', 'g'))), ' ') as words from u),
-g as (select r, doc_id, unit, position, list_distinct(list_transform(generate_series(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1])) as grams from w where len(words) > 1),
-e as (select r, doc_id, unit, position, cast(len(grams) as bigint) as n_bigrams, unnest(grams) as gram from g),
-c as (select r, doc_id, unit, position, n_bigrams, name, 2.0::double * count(*) / (n_bigrams + n) as dice from e join t using (gram) group by r, doc_id, unit, position, n_bigrams, name, n),
-b as (select *, row_number() over (partition by r, unit, position order by dice desc, name) as best from c)
-select doc_id, unit, position, name as licence, dice, n_bigrams from b where best = 1 and dice >= {least}
+u as (select r, doc_id, unit, cast(unnest(generate_series(0, len(bodies) - 1)) as bigint) as position, cast(null as integer) as parts, unnest(bodies) as body from parts where unit = 'text' or len(bodies) > 1),
+ln as (select r, doc_id, cast(unnest(generate_series(0, len(b) - 1)) as bigint) as position, unnest(b) as body from (select r, doc_id, string_split(text, chr(10)) as b from d)),
+se as (select r, doc_id, position, string_split(regexp_replace(body, '([.!?])[ \\t]+', '\\1' || chr(1), 'g'), chr(1)) as b from ln),
+su as (select r, doc_id, 'sentence' as unit, position, cast(unnest(generate_series(1, len(b))) as integer) as parts, unnest(b) as body from se where len(b) > 1),
+w as (select r, doc_id, unit, position, parts, {words('body')} as words from (select * from u union all select * from su)),
+g as (select r, doc_id, unit, position, parts, {grams} as grams from w where len(words) > 1),
+e as (select r, doc_id, unit, position, parts, cast(len(grams) as bigint) as n_bigrams, unnest(grams) as gram from g),
+c as (select r, doc_id, unit, position, parts, n_bigrams, name, 2.0::double * count(*) / (n_bigrams + n) as dice from e join t using (gram) group by r, doc_id, unit, position, parts, n_bigrams, name, n),
+b as (select *, row_number() over (partition by r, unit, position, parts order by dice desc, name) as best from c),
+lw as (select r, doc_id, position, row_number() over (partition by r order by position) as idx, words from (select r, doc_id, position, {words('body')} as words from ln) where words <> ['']),
+lg as (select r, idx, len(gs) as n, unnest(gs) as gram from (select r, idx, {grams} as gs from lw where len(words) > 1)),
+m as (select r, idx, name from lg join t using (gram) group by r, idx, lg.n, name having 2 * count(*) >= lg.n),
+cut as (select *, case when idx - lag(idx) over (partition by r, name order by idx) > 3 then 1 else 0 end as c from m),
+isl as (select *, sum(c) over (partition by r, name order by idx) as island from cut),
+sp as (select r, name, min(idx) as first, max(idx) as last from isl group by r, name, island having max(idx) > min(idx)),
+rw as (select s.r, s.name, s.first, s.last, l.doc_id, min(l.position) as position, flatten(list(l.words order by l.idx)) as words from sp s join lw l on l.r = s.r and l.idx between s.first and s.last group by all),
+rg as (select * exclude (words), {grams} as gs from rw),
+re as (select * exclude (gs), len(gs) as n_bigrams, unnest(gs) as gram from rg),
+rd as (select re.r, re.name, first, last, doc_id, position, n_bigrams, 2.0::double * count(*) / (n_bigrams + t.n) as dice from re join t on t.gram = re.gram and t.name = re.name group by re.r, re.name, first, last, doc_id, position, n_bigrams, t.n having 2.0::double * count(*) / (n_bigrams + t.n) >= {least})
+select doc_id, unit, position, parts, name as licence, dice, n_bigrams from b where best = 1 and dice >= {least}
+union all select doc_id, 'run', position, cast(last - first + 1 as integer), name, dice, n_bigrams from rd a
+where not exists (select 1 from rd o where o.r = a.r and o.first <= a.last and a.first <= o.last and (o.dice > a.dice or (o.dice = a.dice and (o.first, o.last, o.name) < (a.first, a.last, a.name))))
 """
