@@ -6,7 +6,9 @@ identifiers: words, names and repeated strings add little, keys and tokens add n
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -59,7 +61,7 @@ string struct style subject submit subscribe subscription success suffix summary
 tag target task template tenant test text theme thread time timeout timestamp title token total trace transaction
 transfer transform trigger true type undefined unique unit update upload url user username utils uuid valid validate
 validation value variable vector vendor version view virtual visible volume warning web webhook widget width window
-worker workflow workspace write xml yaml zone abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789
+worker workflow workspace write xml yaml zone src main java javascript python daily weekly monthly yearly module parser abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789
 access_key = "" api_key = "" client_secret = "" password = "" private_key = "" refresh_token = "" secret = "" token = ""
 """
 
@@ -111,17 +113,49 @@ def key_blocks(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def wordlike(s: str) -> bool:
-    """Whether a string without digits can be words: letters of one case, or mostly runs of three or more of one case."""
-    return s.lower() == s or s.upper() == s or sum(map(len, re.findall("[A-Z]?[a-z]{3,}|[A-Z]{3,}", s))) >= 0.7 * len(s)
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+|[A-Z]")
+_DATE = re.compile(r"(?<![0-9])(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}(?:[T_][0-9]{2}[-:]?[0-9]{2}(?:[-:]?[0-9]{2})?Z?)?(?![0-9])")
+
+
+@lru_cache(maxsize=2)
+def letter_pairs(identifiers: str) -> dict[str, float]:
+    """Bits of a letter after another in the words of ``identifiers``; the empty key is for pairs that never occur."""
+    pairs, firsts = Counter(), Counter()
+    for word in re.findall("[a-z]{3,}", identifiers.lower()):
+        for p in map("".join, zip(word, word[1:], strict=False)):
+            pairs[p] += 1
+            firsts[p[0]] += 1
+    return {p: -math.log2((n + 0.1) / (firsts[p[0]] + 2.6)) for p, n in pairs.items()} | {"": 8.0}
+
+
+def wordlike(s: str, identifiers: str = IDENTIFIERS) -> bool:
+    """Whether three quarters of a string are words, numbers of up to four digits between marks, or a date and time.
+
+    A word is four letters or more in one case, after a capital maybe, whose pairs of letters are usual ones.
+    """
+    bits, n, known = letter_pairs(identifiers), 0, 0
+    for m in _DATE.finditer(s):
+        known += m.end() - m.start()
+    rest = _DATE.sub(lambda m: "-" * len(m.group()), s)
+    for m in _WORD.finditer(rest):
+        t, k = m.group(), m.end() - m.start()
+        n += k
+        if t.isdigit():
+            alone = not (m.start() and rest[m.start() - 1].isalpha()) and not (m.end() < len(rest) and rest[m.end()].isalpha())
+            known += k * (k <= 4 and alone)
+        elif k >= 4:
+            low = t.lower()
+            known += k * (sum(bits.get(low[i : i + 2], bits[""]) for i in range(k - 1)) <= 5.0 * (k - 1))
+    return known >= 0.75 * (n + sum(m.end() - m.start() for m in _DATE.finditer(s)))
 
 
 def novel_spans(text: str, base: list[tuple[int, int, int, int]], measure: Novelty, least: float) -> list[tuple[int, int, int, int]]:
     """Private key blocks, and candidates that no base span covers and whose novelty is at least ``least``, if the text
     has a sensitive word anywhere.
 
-    A candidate has 16 characters or more, a letter, and a digit unless it is not like words. What dots join to a novel
-    candidate belongs to it up to the last candidate, and all of it if it starts as encoded JSON does.
+    A candidate has 16 characters or more and a letter, and is not made of words, since the compressor knows few of a
+    language's words. What dots join to a novel candidate belongs to it up to the last candidate, and all of it if it
+    starts as encoded JSON does.
     """
     if not SENSITIVE.search(text):
         return []
@@ -131,7 +165,7 @@ def novel_spans(text: str, base: list[tuple[int, int, int, int]], measure: Novel
 
     def novel(m: re.Match) -> bool:
         s = m.group()
-        return bool(re.search("[A-Za-z]", s)) and (bool(re.search("[0-9]", s)) or not wordlike(s)) and measure(text, m.start(), m.end()) >= least
+        return bool(re.search("[A-Za-z]", s)) and measure(text, m.start(), m.end()) >= least and not wordlike(s)
 
     for run in RUN.finditer(text):
         start = None
@@ -148,7 +182,7 @@ def novel_spans(text: str, base: list[tuple[int, int, int, int]], measure: Novel
     return sorted(out)
 
 
-def scan(docs: DataFrame, least: float = 0.6, identifiers: str = IDENTIFIERS, keep: tuple[str, ...] = ()) -> DataFrame:
+def scan(docs: DataFrame, least: float = 0.5, identifiers: str = IDENTIFIERS, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, found (array of kind, start, end, secret_start), and the columns named in ``keep``, for each row.
 
     Positions are code points of the whole text, ends exclusive; ``found`` is by start, then kind in KINDS order. A
@@ -186,7 +220,7 @@ def summary(found: DataFrame) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"))
 
 
-def redact(docs: DataFrame, mark: str = "<secret>", least: float = 0.6) -> DataFrame:
+def redact(docs: DataFrame, mark: str = "<secret>", least: float = 0.5) -> DataFrame:
     """``docs`` with each secret in text replaced by ``mark`` and n_chars, if there is one, counted again.
 
     Of an assignment only the value goes. Overlapping spans are one. All rows stay, and texts without a secret are
