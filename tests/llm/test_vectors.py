@@ -26,8 +26,8 @@ def brute(rows, least=0.9):
     return {i: (c, find(i)) for i, c in zip(ids, n, strict=True)}
 
 
-@pytest.mark.parametrize("tile", [2048, 20])
-def test_links_equal_brute_force(spark, tile):
+@pytest.mark.parametrize("tile, per_cell", [(2048, 1024), (20, 1024), (20, 10)])
+def test_links_equal_brute_force(spark, tile, per_cell):
     rng = np.random.default_rng(1)
     rows = []
     for g in range(12):
@@ -36,21 +36,33 @@ def test_links_equal_brute_force(spark, tile):
     rows += [rows[3], rows[3], (np.array(rows[3]) * 2).tolist(), rng.normal(size=8).tolist(), [0.0] * 32, [float("nan")] + [1.0] * 31, [None] + [1.0] * 31, [], None, [float("inf")] * 32]
     rows = list(enumerate(rows))
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "'x' as node", "1 as cell", "2 as links")
-    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in V.near_duplicates(df, probes=32, tile=tile).collect()}
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in V.near_duplicates(df, recall=0.999999, tile=tile, per_cell=per_cell).collect()}
     assert got == brute(rows)
 
 
-def test_recall_at_the_threshold(spark):
+@pytest.mark.parametrize("dim", [64, 256, 768])
+def test_recall_at_the_threshold_is_the_same_at_both_ends(spark, dim):
     rng = np.random.default_rng(2)
-    a = rng.normal(size=(3000, 64))
+    a = rng.normal(size=(1500, dim))
     a /= np.linalg.norm(a, axis=1, keepdims=True)
     o = rng.normal(size=a.shape)
     o -= (o * a).sum(1, keepdims=True) * a
     o /= np.linalg.norm(o, axis=1, keepdims=True)
     b = 0.9001 * a + np.sqrt(1 - 0.9001**2) * o
     rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([a, b]))]
-    n = [r["n_links"] for r in V.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).select("n_links").collect()]
-    assert sum(n) / 6000 >= 0.98
+    n = {r["vec_id"]: r["n_links"] for r in V.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), per_cell=64).select("vec_id", "n_links").collect()}
+    assert all(n[i] == n[i + 1500] for i in range(1500))
+    assert sum(n.values()) / 3000 >= 0.995
+
+
+def test_tables_grow_slowly_with_the_rows():
+    cost = {}
+    for rows in (10**5, 10**6, 10**7, 10**8, 10**9):
+        axes = V.key_axes(rows, 64, 1024)
+        cells = np.prod([2 * m for m in axes])
+        assert 200 < rows / cells < 4000
+        cost[rows] = V.tables_for(axes, 0.9, 0.999)
+    assert cost[10**9] < 40 * cost[10**5]
 
 
 def test_bounds_hold_and_estimates_are_unbiased():

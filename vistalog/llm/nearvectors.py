@@ -5,14 +5,17 @@ product of the vector and its code's direction. From a code and a whole vector f
 their inner product and a confidence bound; only pairs whose upper bound reaches the threshold are computed
 again exactly, in double precision.
 
-Pairs are sought in cells: the signed axes of several fixed rotations. Each vector is at home in the cell of its
-nearest axis and a guest in those of its nearest ``probes`` axes; a vector's links are counted at its home
-alone, so that each is counted once. Equal vectors are one node with a number of copies. A cell with many rows
-is cut into tiles of bounded size, and a tile gives counts and one root for each node, never pairs.
+Pairs are sought in the cells of several tables. A table turns each vector at random, once for each of its keys, and a
+key is the axis that the vector comes nearest to, with its sign; all keys together name the cell. How many axes and keys a
+table has follows from the number of vectors, so that cells stay of one size and work grows a little faster than the
+rows; how many tables there are follows from the share of links at the threshold that must be found. A pair that meets in
+several tables counts in the first. Equal vectors are one node with a number of copies. A cell with many rows is cut into
+tiles of bounded size, and a tile gives counts for both ends of its links and one root for each node, never pairs.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,16 +29,57 @@ from .common import components, slices, written
 
 
 @lru_cache(maxsize=16)
-def rotations(dim: int, count: int, seed: int = 20) -> np.ndarray:
-    """``count`` random rotations side by side, (dim, dim x count)."""
-    rng = np.random.default_rng([seed, dim])
-    return np.concatenate([np.linalg.qr(rng.normal(size=(dim, dim)))[0] for _ in range(count)], axis=1)
+def rotation(dim: int, seed: int = 77) -> np.ndarray:
+    """A random rotation."""
+    return np.linalg.qr(np.random.default_rng([seed, dim]).normal(size=(dim, dim)))[0]
+
+
+def key_axes(rows: int, dim: int, per_cell: int) -> list[int]:
+    """Axes of each key of a table, such that ``rows`` vectors come to about ``per_cell`` a cell; none for so few rows."""
+    out, rest = [], rows / per_cell
+    while rest > 1:
+        out.append(min(dim, max(1, round(rest / 2))))
+        rest /= 2 * out[-1]
+    return out
+
+
+@lru_cache(maxsize=64)
+def meeting(axes: tuple[int, ...], least: float, pairs: int = 20_000) -> float:
+    """The chance that two vectors of cosine ``least`` meet in a table: by simulation, as random axes make all such pairs alike."""
+    chance, rng = 1.0, np.random.default_rng(9)
+    for m in axes:
+        x = rng.standard_normal((pairs, m), dtype=np.float32)
+        y = least * x + np.sqrt(1 - least * least) * rng.standard_normal((pairs, m), dtype=np.float32)
+        chance *= float((_nearest(x) == _nearest(y)).mean())
+    return chance
+
+
+def tables_for(axes: list[int], least: float, recall: float) -> int:
+    """Tables in which all but 1 - ``recall`` of the pairs at the threshold meet once at least."""
+    p = meeting(tuple(axes), least)
+    return 1 if p >= 1 else math.ceil(math.log(1 - recall) / math.log(1 - max(p, 1e-9)))
+
+
+def _nearest(near: np.ndarray) -> np.ndarray:
+    top = np.abs(near).argmax(1)
+    return top * 2 + (near[np.arange(len(near)), top] > 0)
+
+
+def cells_of(unit: np.ndarray, axes: list[int], tables: int) -> np.ndarray:
+    """The cell of each vector in each table, (vector, table)."""
+    dim, out = unit.shape[1], np.zeros((len(unit), tables), np.int64)
+    single = unit.astype(np.float32)
+    for t in range(tables):
+        for k, m in enumerate(axes):
+            turned = single @ np.random.default_rng([20, dim, t, k]).standard_normal((dim, m), dtype=np.float32)
+            out[:, t] = out[:, t] * (2 * m) + _nearest(turned)
+    return out
 
 
 def encode(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Packed codes and correction factors of unit vectors."""
     dim = unit.shape[1]
-    turned = unit @ rotations(dim, 1, seed=77)
+    turned = unit @ rotation(dim)
     return np.packbits(turned > 0, axis=1), np.abs(turned).sum(1) / np.sqrt(dim)
 
 
@@ -44,7 +88,7 @@ def upper_bounds(queries: np.ndarray, codes: np.ndarray, factors: np.ndarray, de
     standard error."""
     dim = queries.shape[1]
     signs = np.unpackbits(codes, axis=1, count=dim).astype(np.float32) * 2 - 1
-    turned = (queries @ rotations(dim, 1, seed=77)).astype(np.float32)
+    turned = (queries @ rotation(dim)).astype(np.float32)
     estimate = (turned @ signs.T) / np.float32(np.sqrt(dim)) / factors.astype(np.float32)
     error = np.sqrt(np.maximum(0, 1 - factors**2)) / factors / np.sqrt(max(dim - 1, 1))
     return estimate + (deviations * error).astype(np.float32)
@@ -68,35 +112,32 @@ def stored(vectors: DataFrame) -> str:
     return "f4" if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else "f8"
 
 
-def place(nodes: DataFrame, probes: int, spins: int) -> DataFrame:
-    """node, copies, dim, cell, home, vector, code and factor for each cell of each node; ``nodes`` has node, copies, embedding."""
+def place(nodes: DataFrame, axes: dict[int, list[int]], tables: dict[int, int]) -> DataFrame:
+    """node, copies, dim, tab, cell, cells, vector, code and factor for each table of each node; ``nodes`` has node, copies, embedding."""
     kind = stored(nodes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in slices([1] * batch.num_rows, 2048):
+            for a, b in slices([1] * batch.num_rows, 512):
                 part = batch.slice(a, b - a)
                 lists = part.column(2)
                 sizes = np.diff(lists.offsets.to_numpy())
                 flat = lists.flatten().to_numpy(zero_copy_only=False)
                 ends = np.cumsum(sizes)
                 for dim in np.unique(sizes).tolist():
-                    rows = np.flatnonzero(sizes == dim)
+                    rows, k = np.flatnonzero(sizes == dim), tables[dim]
                     x = flat[(ends[rows] - dim)[:, None] + np.arange(dim)].astype(kind)
                     unit = _units([x.tobytes()], dim, kind)
                     codes, factors = encode(unit)
-                    near = unit @ rotations(dim, spins)
-                    k = min(probes, near.shape[1])
-                    top = np.argsort(-np.abs(near), axis=1, kind="stable")[:, :k]
-                    cells = top * 2 + (np.take_along_axis(near, top, 1) > 0)
-                    at = np.repeat(rows, k)
-                    raw = [v.tobytes() for v in x]
+                    cells = cells_of(unit, axes[dim], k)
+                    at = pa.array(np.repeat(rows, k))
+                    each = lambda values: pa.array([v.tobytes() for v in values for _ in range(k)], pa.binary())  # noqa: E731, B023
                     yield pa.RecordBatch.from_arrays(
-                        [part.column(0).take(pa.array(at)), part.column(1).take(pa.array(at)), pa.array(np.full(len(at), dim), pa.int32()), pa.array(cells.ravel(), pa.int32()), pa.array(np.tile(np.arange(k) == 0, len(rows))), pa.array([v for v in raw for _ in range(k)], pa.binary()), pa.array([c.tobytes() for c in codes for _ in range(k)], pa.binary()), pa.array(np.repeat(factors, k))],
-                        ["node", "copies", "dim", "cell", "home", "vector", "code", "factor"],
+                        [part.column(0).take(at), part.column(1).take(at), pa.array(np.full(len(at), dim), pa.int32()), pa.array(np.tile(np.arange(k), len(rows)), pa.int32()), pa.array(cells.ravel()), each(cells), each(x), each(codes), pa.array(np.repeat(factors, k))],
+                        ["node", "copies", "dim", "tab", "cell", "cells", "vector", "code", "factor"],
                     )
 
-    return nodes.select("node", "copies", F.col("embedding").cast("array<float>" if kind == "f4" else "array<double>")).mapInArrow(run, "node long, copies long, dim int, cell int, home boolean, vector binary, code binary, factor double")
+    return nodes.select("node", "copies", F.col("embedding").cast("array<float>" if kind == "f4" else "array<double>")).mapInArrow(run, "node long, copies long, dim int, tab int, cell long, cells binary, vector binary, code binary, factor double")
 
 
 def roots(links: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -112,62 +153,75 @@ def roots(links: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         row, col = new_row, new_col
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.9, probes: int = 32, spins: int = 4, deviations: float = 4.5, tile: int = 2048) -> DataFrame:
+def meet(group: pd.DataFrame, least: float, deviations: float, kind: str) -> pd.DataFrame:
+    """node, links and root of the nodes that a tile's rows of one cell link: those of part i against those of part j."""
+    i, j, dim, tab = (int(group[c].iloc[0]) for c in ("i", "j", "dim", "tab"))
+    left = group[group["part"] == i] if i != j else group
+    right = group[group["part"] == j] if i != j else group
+    none = pd.DataFrame({"node": [], "links": [], "root": []}, dtype=np.int64)
+    if not len(left) or not len(right):
+        return none
+    matrix = lambda rows, c, t: np.frombuffer(b"".join(rows[c].tolist()), t).reshape(len(rows), -1)
+    links = np.triu(np.ones((len(left), len(right)), bool), 1) if i == j else np.ones((len(left), len(right)), bool)
+    met_a, met_b = matrix(left, "cells", np.int64), matrix(right, "cells", np.int64)
+    for t in range(tab):
+        links &= met_a[:, t, None] != met_b[None, :, t]
+    if not links.any():
+        return none
+    x, y = _units(left["vector"].tolist(), dim, kind), _units(right["vector"].tolist(), dim, kind)
+    links &= upper_bounds(x, matrix(right, "code", np.uint8), right["factor"].to_numpy(), deviations) >= least
+    at, to = np.nonzero(links)
+    if len(at) > links.size // 100:
+        links &= x @ y.T >= least
+    else:
+        for s in range(0, len(at), 50_000):
+            p, q = at[s : s + 50_000], to[s : s + 50_000]
+            links[p, q] = np.einsum("ij,ij->i", x[p], y[q]) >= least
+    near_a, near_b = links.any(1), links.any(0)
+    links = links[near_a][:, near_b]
+    a, b = left["node"].to_numpy()[near_a], right["node"].to_numpy()[near_b]
+    ids = np.concatenate([a, b])
+    if not len(ids):
+        return none
+    order = np.argsort(ids, kind="stable")
+    rank = np.empty(len(ids), np.int64)
+    rank[order] = np.arange(len(ids))
+    group_of = np.concatenate(roots(links))
+    lowest = np.full(len(ids), len(ids))
+    np.minimum.at(lowest, group_of, rank)
+    counted = [links @ right["copies"].to_numpy()[near_b], left["copies"].to_numpy()[near_a] @ links]
+    return pd.DataFrame({"node": ids, "links": np.concatenate(counted), "root": ids[order][lowest[group_of]]})
+
+
+def near_duplicates(vectors: DataFrame, least: float = 0.9, recall: float = 0.999, deviations: float = 4.5, per_cell: int = 1024, tile: int = 2048) -> DataFrame:
     """vec_id, n_links, component_id and kept for each row of ``vectors`` (vec_id, embedding).
 
     Two rows are linked if their embeddings' cosine is at least ``least``; n_links counts a row's other linked rows,
     component_id is the smallest vec_id reachable and kept marks it. A vector that is null, empty or zero or has a
     null or non-finite component links with nothing, nor do vectors of different dimensions. Repeated rows are
     linked copies. A null vec_id is counted as a copy but heads no component: such a row gets its copies' component,
-    or null. Found links are exact. With the defaults and 64 dimensions a link at the threshold is found at its home
-    in 99 of 100 cases, one of cosine 0.96 in all but one of 2000 (see the tests). More ``spins`` make smaller cells
-    for more rows, more ``probes`` find more. Runs jobs that write to the shared folder.
+    or null. Found links are exact, and both ends count them. Of links at the threshold a share of ``recall`` is found
+    on average, whatever the dimension, and more of nearer ones; all are found among up to ``per_cell`` vectors, which
+    are one cell. Runs jobs that write to the shared folder.
     """
     kind = stored(vectors)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").withColumn("ok", valid(F.col("embedding")))
     key = [F.xxhash64("embedding").alias("k1"), F.xxhash64(F.lit(1), "embedding").alias("k2")]
     same = rows.where("ok").select(*key, "vec_id", "embedding").groupBy("k1", "k2")
     nodes = written(same.agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"), F.first("embedding").alias("embedding")), "vectors")
-    placed = place(nodes.where("node is not null"), probes, spins)
-    size = lambda n: F.ceil(F.greatest(F.col(n), F.lit(1)) / tile).cast("int")
-    counts = placed.groupBy("dim", "cell").agg(F.count_if("home").alias("homes"), F.count("*").alias("guests"))
-    counts = written(counts.where("homes > 0").select("dim", "cell", size("homes").alias("n_i"), size("guests").alias("n_j")), "cells")
-    cut = placed.join(counts, ["dim", "cell"])
-    hashed = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "node"), F.col(n)).cast("int")
-    columns = ["dim", "cell", "node", "copies", "vector", "code", "factor"]
-    asks = cut.where("home").withColumn("i", hashed(1, "n_i")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n_j") - 1))).select(*columns, "i", "j", F.lit(True).alias("asks"))
-    told = cut.withColumn("j", hashed(2, "n_j")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n_i") - 1))).select(*columns, "i", "j", F.lit(False).alias("asks"))
-
-    def meet(group: pd.DataFrame) -> pd.DataFrame:
-        asks = group["asks"].to_numpy()
-        homes, guests = group[asks], group[~asks]
-        if not len(homes) or not len(guests):
-            return pd.DataFrame({"node": [], "links": [], "root": []}, dtype=np.int64)
-        dim = int(group["dim"].iloc[0])
-        x, y = _units(homes["vector"].tolist(), dim, kind), _units(guests["vector"].tolist(), dim, kind)
-        a, b = homes["node"].to_numpy(), guests["node"].to_numpy()
-        codes = np.frombuffer(b"".join(guests["code"].tolist()), np.uint8).reshape(len(guests), -1)
-        links = upper_bounds(x, codes, guests["factor"].to_numpy(), deviations) >= least
-        links &= a[:, None] != b
-        at, to = np.nonzero(links)
-        for s in range(0, len(at), 200_000):
-            p, q = at[s : s + 200_000], to[s : s + 200_000]
-            links[p, q] = np.einsum("ij,ij->i", x[p], y[q]) >= least
-        near_a, near_b = links.any(1), links.any(0)
-        links = links[near_a][:, near_b]
-        a, b = a[near_a], b[near_b]
-        ids = np.concatenate([a, b])
-        order = np.argsort(ids, kind="stable")
-        rank = np.empty(len(ids), np.int64)
-        rank[order] = np.arange(len(ids))
-        row, col = roots(links)
-        lowest = np.full(len(ids), len(ids))
-        np.minimum.at(lowest, np.concatenate([row, col]), rank)
-        root = ids[order][lowest[np.concatenate([row, col])]] if len(ids) else ids
-        counted = links @ guests["copies"].to_numpy()[near_b]
-        return pd.DataFrame({"node": ids, "links": np.concatenate([counted, np.zeros(len(b), np.int64)]), "root": root})
-
-    met = written(asks.union(told).groupBy("dim", "cell", "i", "j").applyInPandas(meet, "node long, links long, root long"), "met")
+    named = nodes.where("node is not null")
+    # A row for each dimension in the table.
+    sizes = {r["dim"]: r["n"] for r in named.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n")).collect()}
+    axes = {dim: key_axes(n, dim, per_cell) for dim, n in sizes.items()}
+    tables = {dim: tables_for(axes[dim], least, recall) for dim in sizes}
+    placed = place(named, axes, tables)
+    counts = placed.groupBy("dim", "tab", "cell").agg(F.count("*").alias("n")).where("n > 1")
+    counts = written(counts.select("dim", "tab", "cell", F.ceil(F.col("n") / tile).cast("int").alias("parts")), "cells")
+    cut = placed.join(counts, ["dim", "tab", "cell"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    tiles = cut.withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other")).drop("parts", "other")
+    found_in = tiles.groupBy("dim", "tab", "cell", "i", "j").applyInPandas(lambda g: meet(g, least, deviations, kind), "node long, links long, root long")
+    met = written(found_in, "met")
     found = components(met.select(F.col("node").alias("a"), F.col("root").alias("b")))
     linked = met.groupBy("node").agg(F.sum("links").alias("links")).join(found, "node", "full")
     known = nodes.select("k1", "k2", "node", "copies").join(linked, "node", "left")
