@@ -5,6 +5,9 @@ lattice falls into those of words, and the forward sums of a word are computed o
 from each word's end; its random numbers are a hash of the row's key, the word's place and the step, so a row is cut
 alike in any batch, partition or retry.
 
+A word of very many characters, as in unbroken text, is worked through in windows: its forward sums are kept, its lattice
+is made again for each window on the way back, so that memory is a few numbers a character.
+
 A space is written as the marker that the model's pieces use, one more stands before the text, and characters without
 a piece, the marker itself among them, become UTF-8 byte pieces; decoding takes all of this back.
 """
@@ -12,12 +15,14 @@ a piece, the marker itself among them, become UTF-8 byte pieces; decoding takes
 from __future__ import annotations
 
 import hashlib
-import zlib
+import math
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +32,8 @@ MARK, LITERAL, _BYTES = 0x2581, 0x110000, 1 << 24
 _K = np.uint64(0x9E3779B97F4A7C15)
 _BATCH = 800_000
 _BITS = 22
+#: Characters from which a word is worked through in windows of so many characters.
+LONG, WINDOW = 4096, 100_000
 
 
 class Model:
@@ -133,20 +140,24 @@ class Model:
         size = np.diff(np.append(begin, len(points)))
         within = np.arange(len(points)) - np.repeat(begin, size)
         key = np.add.reduceat(mix64((points.astype(np.uint64) << np.uint64(32)) + within.astype(np.uint64)), begin)
+        long = np.flatnonzero(size > LONG)
+        key[long] = 0
         _, at, inverse = np.unique(key, return_index=True, return_inverse=True)
-        usize = size[at]
+        usize = np.where(size[at] > LONG, 0, size[at])
         ustart = np.cumsum(usize) - usize
         own = points[np.repeat(begin[at] - ustart, usize) + np.arange(int(usize.sum()))]
         start, end = np.repeat(ustart, usize), np.repeat(ustart + usize, usize)
         weight, piece = self.lattice(own, start, end)
         chances = self.forward(weight, start)
         doc = np.searchsorted(docs, begin, side="right") - 1
-        seed = np.array([zlib.crc32(repr(k).encode()) for k in keys], np.uint64)
+        seed = np.array([xxhash.xxh64_intdigest(repr(k)) for k in keys], np.uint64)
         place = np.arange(len(begin)) - np.searchsorted(begin, docs)[doc]
         state = mix64(seed[doc] * _K + place.astype(np.uint64))
         position, stop = (ustart + usize)[inverse], ustart[inverse]
-        active, step, found = np.arange(len(begin)), 0, []
+        active, step, found = np.flatnonzero(size <= LONG), 0, []
         count = np.zeros(len(begin), np.int64)
+        alone = [self._windowed(points[begin[i] : begin[i] + size[i]], state[i]) for i in long]
+        count[long] = [len(v) for v in alone]
         while len(active):
             u = (mix64(state[active] + np.uint64(step)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
             p = position[active]
@@ -160,11 +171,48 @@ class Model:
         out = np.empty(int(after[-1]), np.int64)
         for k, (who, ids) in enumerate(found):
             out[after[who] - 1 - k] = ids
+        for i, ids in zip(long, alone, strict=True):
+            out[after[i] - len(ids) : after[i]] = ids
         ends = after[np.append(np.searchsorted(begin, docs[1:]), len(begin)) - 1]
         if (out >= _BYTES).any():
             out, ends = self._expanded(out, ends)
         return np.split(out.astype(np.int32), ends[:-1])
 
+    def _window(self, points: np.ndarray, a: int, b: int) -> tuple[list[int], list[int], list[float], list[int]]:
+        """Pieces that end before positions a + 1 to b of one word: where each position's begin, and their lengths, weights and ids."""
+        low = max(0, a - self.longest + 1)
+        part = points[low:b]
+        weight, piece = self.lattice(part, np.zeros(len(part), np.int64), np.full(len(part), len(part)))
+        weight, piece = weight[a - low + 1 :], piece[a - low + 1 :]
+        row, col = np.nonzero(piece >= 0)
+        return np.searchsorted(row, np.arange(b - a + 1)).tolist(), (col + 1).tolist(), weight[row, col].tolist(), piece[row, col].tolist()
+
+    def _windowed(self, points: np.ndarray, state: np.uint64) -> np.ndarray:
+        """sample() for one long word: forward over windows, and back over the same windows."""
+        n, exp, log = len(points), math.exp, math.log
+        total, cuts = array("d", [0.0]) * (n + 1), list(range(0, n, WINDOW))
+        for a in cuts:
+            first, sizes, weights, _ = self._window(points, a, min(n, a + WINDOW))
+            for i in range(len(first) - 1):
+                p = a + i + 1
+                terms = [total[p - sizes[j]] + weights[j] for j in range(first[i], first[i + 1])]
+                top = max(terms)
+                total[p] = top + log(sum([exp(t - top) for t in terms]))
+        out, p, step, drawn = array("l"), n, 0, []
+        for a in reversed(cuts):
+            first, sizes, weights, ids = self._window(points, a, min(n, a + WINDOW))
+            while p > a:
+                if step % 4096 == 0:
+                    drawn = ((mix64(state + np.arange(step, step + 4096, dtype=np.uint64)) >> np.uint64(11)).astype(np.float64) * 2.0**-53).tolist()
+                u, chance = drawn[step % 4096], 0.0
+                for j in range(first[p - a - 1], first[p - a]):
+                    chance += exp(total[p - sizes[j]] + weights[j] - total[p])
+                    if chance > u:
+                        break
+                out.append(ids[j])
+                p, step = p - sizes[j], step + 1
+        return np.frombuffer(out, np.int64)[::-1]
+
     def _expanded(self, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         where = np.flatnonzero(ids >= _BYTES)
         spelled = [chr(MARK if c == LITERAL else c).encode("utf-8", "surrogatepass") for c in (ids[where] - _BYTES).tolist()]
