@@ -7,7 +7,7 @@ passes is confirmed on full sets.
 
 Steps: equal sets become one class; each class's bands are counted; in each shared band every member meets one
 hub, the member that shares most; then members of a band that are still apart meet. In a small band they meet in
-pairs. In a large one those outside its largest component meet all members in tiles of bounded size, where estimate
+pairs. In a large one those outside its largest component meet all members in tiles of bounded rows and bytes, where estimate
 and full sets are compared in place and one link for each pair of components comes out. So pairs stay in proportion to
 the bands' members, and no link between different texts that share a band is left untested unless both are already
 in one component.
@@ -28,8 +28,9 @@ from .common import bounded_batches, components, mix64, slices, written
 
 BUCKETS, ROWS, MANTISSA = 256, 8, 10
 BANDS = BUCKETS // ROWS
-#: Members up to which a band's pairs are listed, and rows of either side of a tile.
-SMALL, TILE = 12, 1024
+#: Members up to which a band's pairs are listed, and rows and bytes of sets of either side of a tile.
+SMALL, TILE, TILE_BYTES = 12, 1024, 8 << 20
+SALTED = 512
 _WEIGHT = mix64(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _BAND_WEIGHT = (mix64(np.arange(1000, 1000 + BUCKETS, dtype=np.uint64)) | np.uint64(1)).reshape(BANDS, ROWS)
 _BAND_SALT = mix64(np.arange(5000, 5000 + BANDS, dtype=np.uint64))
@@ -227,9 +228,10 @@ def meet(group: pd.DataFrame, percent: int, deviations: float = 5.0) -> pd.DataF
 
 def _met_in_tiles(large: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) found between the rows of ``large`` (band, rep, n, at, size) that are apart."""
-    most = large.groupBy("band", "at").agg(F.count("*").alias("c")).groupBy("band").agg(F.max(F.struct("c", (-F.col("at")).alias("neg"))).alias("m"), F.sum("c").alias("all"))
-    parts = lambda n: F.ceil(F.greatest(n, F.lit(1)) / TILE).cast("int")
-    sized = most.select("band", (-F.col("m.neg")).alias("main"), parts(F.col("all") - F.col("m.c")).alias("n_i"), parts(F.col("all")).alias("n_j"))
+    by_part = large.groupBy("band", "at").agg(F.count("*").alias("c"), (8 * F.sum("n")).alias("b"))
+    most = by_part.groupBy("band").agg(F.max(F.struct("c", (-F.col("at")).alias("neg"), "b")).alias("m"), F.sum("c").alias("all"), F.sum("b").alias("bytes"))
+    parts = lambda n, b: F.greatest(F.lit(1), F.ceil(n / TILE), F.ceil(b / TILE_BYTES)).cast("int")
+    sized = most.select("band", (-F.col("m.neg")).alias("main"), parts(F.col("all") - F.col("m.c"), F.col("bytes") - F.col("m.b")).alias("n_i"), parts(F.col("all"), F.col("bytes")).alias("n_j"))
     rows = large.join(sized, "band").join(classes.select("rep", "registers"), "rep").join(sets, "rep")
     part = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "rep"), F.col(n)).cast("int")
     columns = ["band", "i", "j", "rep", "n", "at", "registers", "members"]
@@ -258,9 +260,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85) -> DataF
 
     similar = f"100 * least(n_a, n_b) >= {int(percent)} * greatest(n_a, n_b)"
     reach = shared.groupBy("rep").agg(F.sum("size").alias("reach"))
-    hub = shared.join(reach, "rep").groupBy("band").agg(F.max(F.struct("reach", (-F.col("rep")).alias("neg"), "n")).alias("h"))
-    hub = hub.select("band", (-F.col("h.neg")).alias("hub"), F.col("h.n").alias("n_b"))
-    met = shared.select("band", "rep", F.col("n").alias("n_a")).join(hub, "band").where("rep <> hub").where(similar)
+    hub = shared.join(reach, "rep").groupBy("band").agg(F.max(F.struct("reach", (-F.col("rep")).alias("neg"), "n")).alias("h"), F.max("size").alias("size"))
+    # The members of a large band meet its hub in several tasks.
+    salts = F.ceil(F.col("size") / SALTED).cast("int")
+    hub = hub.select("band", (-F.col("h.neg")).alias("hub"), F.col("h.n").alias("n_b"), F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / SALTED).cast("int") - 1)).alias("salt"))
+    met = shared.select("band", "rep", F.col("n").alias("n_a"), F.pmod(F.xxhash64("rep"), salts).cast("int").alias("salt")).join(hub, ["band", "salt"]).where("rep <> hub").where(similar)
     pairs = written(met.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct(), "pairs")
 
     needed = shared.where("size > 1").select(F.col("rep").alias("doc_id")).distinct()
