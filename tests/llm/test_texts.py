@@ -249,3 +249,43 @@ def test_predictions_do_not_use_labels(spark):
     plain = langid.classify(df, model).select("lang_pred", "score").collect()
     changed = langid.classify(df.selectExpr("doc_id + 1000 as doc_id", "text", "'xx' as lang", "'y' as source"), model).select("lang_pred", "score").collect()
     assert plain == changed
+
+
+def test_a_language_that_was_not_learned_is_rejected(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    two = [r[0] for r in df.where("lang is not null").select("lang").distinct().orderBy("lang").limit(2).collect()]
+    model = langid.train(*langid.sample(df.where(df["lang"].isin(two))))
+    foreign = spark.createDataFrame([(1, "Привет мир это текст на русском языке"), (2, "日本語の文章です")], "doc_id long, text string")
+    assert [r["rejected"] for r in langid.classify(foreign, model).collect()] == [True, True]
+    own = langid.classify(df.where(df["lang"].isin(two)), model)
+    assert own.where("rejected").count() < 0.02 * own.count()
+
+
+def test_too_many_languages_are_an_error(spark):
+    df = spark.createDataFrame([(i, "some text", f"l{i}") for i in range(1, 30)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="more than 5"):
+        langid.sample(df, most_languages=5)
+
+
+def test_language_ties_go_to_the_first_by_name(spark):
+    model = langid.Model(["aa", "bb"], np.zeros((2, langid.BINS), np.float32), np.zeros(2), 1.0, 0.0)
+    assert [r["lang_pred"] for r in langid.classify(spark.createDataFrame([(1, "text")], "doc_id long, text string"), model).collect()] == ["aa"]
+
+
+def test_unbroken_text_is_cut_as_in_one_piece(monkeypatch):
+    m, rnd = pieces.model(pieces.public_model(), 0.5), random.Random(4)
+    words = ["".join(rnd.choices("etaoinshrdlu", k=300)), "日本語の文章です" * 30, "aaaa" * 60]
+    whole = [m.sample([w, f"see {w} here"], [k, k]) for k, w in enumerate(words)]
+    monkeypatch.setattr(pieces, "LONG", 50)
+    for window in (100_000, 37):
+        monkeypatch.setattr(pieces, "WINDOW", window)
+        for k, (w, want) in enumerate(zip(words, whole, strict=True)):
+            got = m.sample([w, f"see {w} here"], [k, k])
+            assert [m.decode(v) for v in got] == [w, f"see {w} here"]
+            assert all((a.tolist() == b.tolist()) for a, b in zip(got, want, strict=True))
+
+
+def test_a_long_unbroken_text_is_lossless():
+    m = pieces.model(pieces.public_model(), 0.5)
+    t = "".join(random.Random(6).choices("abcdefghijklmnopqrstuvwxyz", k=250_000))
+    assert m.decode(m.sample([t], [1])[0]) == t

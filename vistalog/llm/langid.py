@@ -77,8 +77,8 @@ def train(texts: list[str], languages: list[str], dim: int = 16, epochs: int = 1
 
     Unseen bins keep a zero embedding, so that text of an unknown language gets an unsure score. The temperature
     minimises the calibration rows' loss. The least score kept is the one below which at most ``false_reject`` of the
-    rightly recognised calibration rows lie, and 0.4 at most, so that only texts unlike
-    all languages go, whose scores lie near those of chance. Without rows the model has no language.
+    rightly recognised calibration rows lie, and at most a fifth of the way from chance, which is one in the number of
+    languages, to certainty, so that only texts unlike all languages go. Without rows the model has no language.
     """
     names = sorted(set(languages))
     if not names:
@@ -139,20 +139,24 @@ def train(texts: list[str], languages: list[str], dim: int = 16, epochs: int = 1
     best = min(grid, key=loss) if len(held) else 1.0
     p = chances(best)
     right = np.sort(p.max(1)[p.argmax(1) == truth]) if len(held) else np.zeros(0)
-    least = min(0.4, float(right[int(false_reject * len(right))])) if len(right) else 0.0
+    chance = 1 / len(names)
+    least = min(chance + (1 - chance) / 5, float(right[int(false_reject * len(right))])) if len(right) else 0.0
     return Model(names, table, bias, float(best), least)
 
 
-def sample(docs: DataFrame, per_language: int = 700) -> tuple[list[str], list[str]]:
+def sample(docs: DataFrame, per_language: int = 700, most_languages: int = 1000, most_chars: int = 20_000) -> tuple[list[str], list[str]]:
     """Texts and labels to learn from: about ``per_language`` rows of each language, the documented bound.
 
-    Only rows with text, a language and crc32(doc_id as text) mod 5 other than 0 count. Which ones are taken
-    follows from a hash of doc_id, against a share that comes from counts over all rows.
+    Only rows with text of up to ``most_chars`` characters, a language and crc32(doc_id as text) mod 5 other than 0
+    count, so the driver holds at most the product of the three bounds. Which ones are taken follows from a hash of
+    doc_id, against a share that comes from counts over all rows. More than ``most_languages`` languages are an error.
     """
-    known = docs.where("lang is not null and text is not null and doc_id is not null").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
+    known = docs.where("lang is not null and text is not null and doc_id is not null").where(F.length("text") <= most_chars).where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
     counts = known.groupBy("lang").count()
     near = F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("count"))
-    shares = {r["lang"]: r["share"] for r in counts.select("lang", near.alias("share")).limit(1000).collect()}
+    shares = {r["lang"]: r["share"] for r in counts.select("lang", near.alias("share")).orderBy("lang").limit(most_languages + 1).collect()}
+    if len(shares) > most_languages:
+        raise ValueError(f"more than {most_languages} languages")
     if not shares:
         return [], []
     share = F.create_map(*[F.lit(x) for kv in sorted(shares.items()) for x in kv])[F.col("lang")]
@@ -196,7 +200,11 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that classify() does not reject; text is one of the columns."""
+    """The rows of ``docs``, with all their columns, that classify() does not reject; text is one of the columns.
+
+    So a null text, an empty one or one without a letter goes, and every row if the model knows no language. Ties don't
+    matter, repeated rows stay or go together, and an empty table gives an empty one.
+    """
     bounded_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
