@@ -1,5 +1,8 @@
+import collections
 import hashlib
 import io
+import random
+import re
 import zipfile
 
 import pytest
@@ -97,3 +100,65 @@ def test_responses_and_revisits(spark):
 
 def test_every_numbered_query_is_registered():
     assert sorted({int(n[2:].split("_")[0]) for n in queries()}) == list(range(1, 11))
+
+
+def stripped(source):
+    """A page without names and without any element that tells its role."""
+    return re.sub(r"<div[^>]*>", "<div>", re.sub(r"<(/?)(?:nav|article|footer|header|aside|main|section)\b[^>]*>", r"<\1div>", source))
+
+
+def test_templates_are_right_without_tags_and_names(spark):
+    """Of pages that only div, headings, lists and paragraphs make up, the template finds what tags and names tell; some it alone finds."""
+    rows = [(r["page_id"], r["url"], r["html"]) for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    bare = [(i, u, stripped(h)) for i, u, h in rows]
+    schema = "page_id long, url string, html string"
+    want = {r["page_id"]: r["text"] for r in P.extract(spark.createDataFrame(rows, schema)).collect()}
+    got = {r["page_id"]: r["text"] for r in P.extract(spark.createDataFrame(bare, schema)).collect()}
+    alone = {i: P.Page(h).text(None) for i, _, h in bare}
+    assert sum(got[i] == want[i] for i in want) >= 0.99 * len(want)
+    assert sum(got[i] == want[i] != alone[i] for i in want) > sum(alone[i] == want[i] != got[i] for i in want)
+
+
+def test_templates_equal_plain_deduction(spark):
+    """Occurrence vectors kept whole, host by host, give the same templates as their sums."""
+    rnd = random.Random(5)
+    page = lambda h, i: f"<body><div class=top{h}><ul><li>home<li>about</ul></div><div class=c{h}><h1>Title {i}</h1>{''.join('<p>' + ' '.join(rnd.choices(['ab', 'cde', 'fghi'], k=12)) + '</p>' for _ in range(rnd.randint(1, 5)))}<p>All rights are ours</p>{'<div class=related><p>see also</p></div>' if i % 3 else ''}</div><div class=low><p>{i} readers</p></div></body>"
+    rows = [(100 * h + i, f"http://h{h}.org/{i}", page(h, i)) for h in range(4) for i in range(2 + 3 * h)] + [(900, "http://h3.org/x", page(3, 1))]
+    rows.append((901, "http://h3.org/y", rows[-1][2]))
+    hosts = {}
+    for _, url, source in rows:
+        hosts.setdefault(P.host_of(url), {})[source] = P.Page(source)
+    templates = {}
+    for host, pages in hosts.items():
+        vectors, about = {}, {}
+        for source, p in pages.items():
+            named = {e[0] for e in p.elements[1:] if e[4] & P.NAME and not p.elements[e[1]][4] & P.NAME}
+            for path, (n, rank, depth, chars) in p.masses(P.TAG).items():
+                vectors.setdefault((path, False), {})[source] = n
+                old = about.setdefault((path, False), [rank, depth, 0, False])
+                about[path, False] = [max(rank, old[0]), max(depth, old[1]), old[2] + chars, old[3] or path in named]
+            for i, t in p.blocks:
+                if not p.elements[i][4] & P.TAG:
+                    v = vectors.setdefault((P.string_token(p.elements[i][0], t), True), {})
+                    v[source] = v.get(source, 0) + 1
+        classes = collections.Counter(tuple(sorted(v.items())) for v in vectors.values())
+        valid = [k for k, v in vectors.items() if classes[tuple(sorted(v.items()))] > 1 and 2 * len(v) >= len(pages)]
+        if len(pages) < 3:
+            continue
+        total = about[0, False][2]
+        once = [(about[k][0], about[k][1], -k[0]) for k in valid if not k[1] and about[k][0] >= 0 and 0 < about[k][2] and 2 * about[k][2] >= total and sum(vectors[k].values()) == len(vectors[k])]
+        repeated = frozenset(k[0] for k in valid if k[1] and len(vectors[k]) >= 0.9 * len(pages) and len(pages) >= 5)
+        templates[host] = (-max(once)[2], frozenset(k[0] for k in valid if not k[1] and about[k][3]), repeated)
+    want = {i: P.Page(h).text(*templates.get(P.host_of(u), (None,))) for i, u, h in rows}
+    got = {r["page_id"]: r["text"] for r in P.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want and len(templates) == 3
+    assert all("All rights" not in got[i] and "see also" not in got[i] and got[i].startswith("Title") for i in got if i // 100 == 3)
+    assert got[900] == got[901]
+
+
+def test_long_pages(spark):
+    body = "".join(f"<p>paragraph {i} of a long page</p>" for i in range(40_000))
+    df = spark.createDataFrame([(1, "http://a/1", f"<article>{body}</article>"), (2, "http://a/2", "<p>" * 20_000 + "x")], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in P.extract(df).collect()}
+    assert got[1].count("\n") == 39_999 and got[2] == "x"
+    assert {r["page_id"]: r["payload_bytes"] for r in Z.round_trip(df).collect()} == {1: len(f"<article>{body}</article>"), 2: 60_001}
