@@ -17,11 +17,14 @@ import json
 import math
 import re
 from functools import lru_cache
+from itertools import groupby
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: Published licence texts and the notices by which works name them.
 TEMPLATES = {
     "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
@@ -107,6 +110,11 @@ def public_templates() -> dict[str, str]:
     return TEMPLATES | {p.stem: p.read_text(encoding="utf-8") for p in sorted(LONG.glob("*.txt"))}
 
 
+#: Words that many texts have, for which texts are sought last; and bigrams above which a template is long.
+USUAL = frozenset("the of and to in a for by with under is this or that be as are not you it on an any".split())
+LONG_BIGRAMS = 300
+
+
 def bigrams_of(text: str) -> list[str]:
     """Sorted distinct word bigrams of a template."""
     words = [w.lower() for w in re.findall("[A-Za-z0-9]+", text)]
@@ -129,6 +137,15 @@ def bigrams(words: Column) -> Column:
     return F.when(F.size(words) < 2, F.array().cast("array<string>")).otherwise(F.array_distinct(F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat_ws(" ", a, b))))
 
 
+def _words_of(grams: list[str]) -> dict[str, set[str]]:
+    """The bigrams of each word of a template, long words first and usual ones last."""
+    own: dict[str, set[str]] = {}
+    for g in grams:
+        for w in set(g.split(" ")):
+            own.setdefault(w, set()).add(g)
+    return {w: own[w] for w in sorted(own, key=lambda w: (w in USUAL, -len(w), w))}
+
+
 def marks(grams: list[str], least: float) -> tuple[list[str], int]:
     """Long words of a template, and how many of them a unit must have to reach ``least``.
 
@@ -136,12 +153,9 @@ def marks(grams: list[str], least: float) -> tuple[list[str], int]:
     rest does not make up that share, some must be there; the number is that of the most frequent words whose bigrams
     close the gap. Words of six letters count, and shorter ones, longest first, only where those are too few.
     """
-    needed, own = bounds(len(grams), least)[0], {}
-    for g in grams:
-        for w in set(g.split(" ")):
-            own.setdefault(w, set()).add(g)
+    needed, own = bounds(len(grams), least)[0], _words_of(grams)
     words, covered = [], set()
-    for w in sorted(own, key=lambda w: (-len(w), w)):
+    for w in own:
         if len(w) < 6 and len(grams) - len(covered) < needed:
             break
         words.append(w)
@@ -154,16 +168,47 @@ def marks(grams: list[str], least: float) -> tuple[list[str], int]:
     return sorted(words), many
 
 
+def first_marks(grams: list[str], least: float) -> list[str]:
+    """A few of a template's long words of which a unit must have one to reach ``least``, by the same bound."""
+    needed, own, words, covered = bounds(len(grams), least)[0], _words_of(grams), [], set()
+    pool = set(marks(grams, least)[0])
+    while len(grams) - len(covered) >= needed:
+        words.append(max(pool, key=lambda w: (w not in USUAL, len(own[w] - covered) * (2 if len(w) >= 6 else 1), w)))
+        covered |= own[words[-1]]
+        pool.remove(words[-1])
+    return words
+
+
 def marked(docs: DataFrame, templates: dict[str, str], least: float) -> DataFrame:
-    """Rows of ``docs`` (doc_id, text) that have enough of some template's long words; others can't reach ``least``."""
-    rules = [marks(bigrams_of(v), least) for v in templates.values()]
-    if any(k < 1 for _, k in rules):
+    """Rows of ``docs`` (doc_id, text) that have enough of some template's long words; others can't reach ``least``.
+
+    A few words are looked for in the text as it is first, those of long templates only in texts of enough characters;
+    words are cut and counted where one of them is found.
+    """
+    grams = [bigrams_of(v) for v in templates.values()]
+    short, long = [g for g in grams if len(g) <= LONG_BIGRAMS], [g for g in grams if len(g) > LONG_BIGRAMS]
+    if any(marks(g, least)[1] < 1 for g in grams):
         return docs
-    every = F.split(F.lit(" ".join(sorted({w for words, _ in rules for w in words}))), " ")
-    table = F.from_json(F.lit(json.dumps([{"words": words, "k": k} for words, k in sorted(set((tuple(w), k) for w, k in rules))])), "array<struct<words:array<string>,k:int>>")
-    found = F.array_intersect(F.split(normalised(F.col("text")), " "), every)
-    some = docs.withColumn("_found", F.explode(F.array(found))).where(F.size("_found") >= min(k for _, k in rules))
-    return some.where(F.exists(table, lambda t: (F.size("_found") >= t["k"]) & (F.size(F.array_intersect("_found", t["words"])) >= t["k"]))).drop("_found")
+
+    def enough(own: Column, some: list[list[str]]) -> Column:
+        rules = json.dumps([{"words": list(w), "k": k} for w, k in sorted({(tuple(w), k) for w, k in (marks(g, least) for g in some)})])
+        return F.exists(F.from_json(F.lit(rules), "array<struct<words:array<string>,k:int>>"), lambda t: F.size(F.array_intersect(own, t["words"])) >= t["k"])
+
+    def named(some: list[list[str]]) -> Column:
+        first = sorted({w for g in some for w in first_marks(g, least)})
+        by_letter = "|".join(f"{k}(?:{'|'.join(w[1:] for w in own)})" for k, own in groupby(first, key=lambda w: w[0]))
+        return F.col("text").rlike(f"(?i)(?<![a-z0-9])(?:{by_letter})(?![a-z0-9])")
+
+    words = F.col("_words")
+    first, good = F.lit(False), F.lit(False)
+    if short:
+        first, good = first | named(short), good | enough(words, short)
+    if long:
+        low, few = min(bounds(len(g), least)[0] for g in long), min(marks(g, least)[1] for g in long)
+        first = first | (F.length("text") > 2 * low) & named(long)
+        found = F.array_intersect(words, F.split(F.lit(" ".join(sorted({w for g in long for w in marks(g, least)[0]}))), " "))
+        good = good | (F.size(words) > low) & (F.size(found) >= few) & enough(found, long)
+    return docs.where(first).withColumn("_words", F.explode(F.array(F.split(normalised(F.col("text")), " ")))).where(good).drop("_words")
 
 
 def units(docs: DataFrame) -> DataFrame:
@@ -231,13 +276,13 @@ def scan(docs: DataFrame, least: float = 0.8, templates: dict[str, str] | None =
 
     Ties go to the first licence by name. Positions count from 0. A null or empty text, or a unit of one word, has no
     bigram and is in no row; a null doc_id stays null; repeated rows are found each for itself; other columns are
-    ignored. Templates are a parameter of the query, not a table; texts that have the templates' words are shuffled by
-    row for their runs, others not at all.
+    ignored. Templates are a parameter of the query, not a table. Texts that have the templates' words are written to the
+    shared folder and shuffled by row for their runs, others not at all.
     """
     templates = templates or public_templates()
     table = _table(templates, least)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    chosen = marked(texts, {k: v for k, v in templates.items() if bigrams_of(v)}, least)
+    chosen = written(marked(texts, {k: v for k, v in templates.items() if bigrams_of(v)}, least), "marked")
     sizes = [bounds(len(g), least) for g in map(bigrams_of, templates.values()) if g]
     low, high = min(a for a, _ in sizes), max(b for _, b in sizes)
     sized = units(chosen).where(F.size("words") > low).select("doc_id", "unit", "position", "parts", F.explode(F.array(bigrams(F.col("words")))).alias("grams")).where(F.size("grams").between(low, high))
