@@ -26,13 +26,13 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, components, mix64, slices, written
 
-BUCKETS, ROWS, MANTISSA = 256, 8, 10
+BUCKETS, ROWS, MANTISSA = 256, 7, 10
 BANDS = BUCKETS // ROWS
 #: Members up to which a band's pairs are listed, and rows and bytes of sets of either side of a tile.
 SMALL, TILE, TILE_BYTES = 12, 1024, 8 << 20
 SALTED = 512
 _WEIGHT = mix64(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-_BAND_WEIGHT = (mix64(np.arange(1000, 1000 + BUCKETS, dtype=np.uint64)) | np.uint64(1)).reshape(BANDS, ROWS)
+_BAND_WEIGHT = (mix64(np.arange(1000, 1000 + BUCKETS, dtype=np.uint64)) | np.uint64(1))[: BANDS * ROWS].reshape(BANDS, ROWS)
 _BAND_SALT = mix64(np.arange(5000, 5000 + BANDS, dtype=np.uint64))
 
 
@@ -78,7 +78,7 @@ def band_keys(regs: np.ndarray) -> np.ndarray:
     twice = np.minimum.accumulate(np.concatenate([at, at + BUCKETS], axis=1)[:, ::-1], axis=1)[:, ::-1][:, :BUCKETS]
     far = (twice - np.arange(BUCKETS)).astype(np.uint64)
     full = np.take_along_axis(regs, twice % BUCKETS, 1).astype(np.uint64) + far * np.uint64(1 << 16)
-    return mix64((full.reshape(len(regs), BANDS, ROWS) * _BAND_WEIGHT).sum(2) + _BAND_SALT)
+    return mix64((full[:, : BANDS * ROWS].reshape(len(regs), BANDS, ROWS) * _BAND_WEIGHT).sum(2) + _BAND_SALT)
 
 
 def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
