@@ -39,9 +39,10 @@ def brute(texts, percent=85):
     return [find(i) for i in range(len(texts))], [len(s) for s in sets]
 
 
-@pytest.mark.parametrize("tile", [1024, 16])
-def test_components_equal_brute_force(spark, tile, monkeypatch):
+@pytest.mark.parametrize(("tile", "salted"), [(1024, 512), (16, 4)])
+def test_components_equal_brute_force(spark, tile, salted, monkeypatch):
     monkeypatch.setattr(H, "TILE", tile)
+    monkeypatch.setattr(H, "SALTED", salted)
     texts = cloud(1, 6, 40, 4) + cloud(2, 30, 3, 2) + ["a b", "a b", "a  B", "b a", "A b"]
     rows = H.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     roots, sizes = brute(texts)

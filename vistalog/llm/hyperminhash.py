@@ -226,13 +226,24 @@ def meet(group: pd.DataFrame, percent: int, deviations: float = 5.0) -> pd.DataF
     return pd.DataFrame(np.array(out, np.int64).reshape(-1, 2), columns=["a", "b"])
 
 
+def _by_band(rows: DataFrame, one: DataFrame, how: str = "inner") -> DataFrame:
+    """Join of ``rows`` (band, rep, size) with at most one row of ``one`` for each band, which has the band's size too.
+
+    Rows of a large band are dealt over several tasks by a salt, and that band's row of ``one`` is copied to each.
+    """
+    salts = F.ceil(F.col("size") / SALTED).cast("int")
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64("rep"), salts).cast("int"))
+    copied = one.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("size")
+    return dealt.join(copied, ["band", "salt"], how).drop("salt")
+
+
 def _met_in_tiles(large: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) found between the rows of ``large`` (band, rep, n, at, size) that are apart."""
-    by_part = large.groupBy("band", "at").agg(F.count("*").alias("c"), (8 * F.sum("n")).alias("b"))
-    most = by_part.groupBy("band").agg(F.max(F.struct("c", (-F.col("at")).alias("neg"), "b")).alias("m"), F.sum("c").alias("all"), F.sum("b").alias("bytes"))
+    by_part = large.groupBy("band", "at").agg(F.count("*").alias("c"), (8 * F.sum("n")).alias("b"), F.max("size").alias("size"))
+    most = by_part.groupBy("band").agg(F.max(F.struct("c", (-F.col("at")).alias("neg"), "b")).alias("m"), F.sum("c").alias("all"), F.sum("b").alias("bytes"), F.max("size").alias("size"))
     parts = lambda n, b: F.greatest(F.lit(1), F.ceil(n / TILE), F.ceil(b / TILE_BYTES)).cast("int")
-    sized = most.select("band", (-F.col("m.neg")).alias("main"), parts(F.col("all") - F.col("m.c"), F.col("bytes") - F.col("m.b")).alias("n_i"), parts(F.col("all"), F.col("bytes")).alias("n_j"))
-    rows = large.join(sized, "band").join(classes.select("rep", "registers"), "rep").join(sets, "rep")
+    sized = most.select("band", (-F.col("m.neg")).alias("main"), "size", parts(F.col("all") - F.col("m.c"), F.col("bytes") - F.col("m.b")).alias("n_i"), parts(F.col("all"), F.col("bytes")).alias("n_j"))
+    rows = _by_band(large, sized).join(classes.select("rep", "registers"), "rep").join(sets, "rep")
     part = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "rep"), F.col(n)).cast("int")
     columns = ["band", "i", "j", "rep", "n", "at", "registers", "members"]
     asks = rows.where("at <> main").withColumn("i", part(1, "n_i")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n_j") - 1))).select(*columns, F.lit(True).alias("asks"))
@@ -255,16 +266,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85) -> DataF
     classes = keyed.groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "n_shingles", "registers")).alias("r"), F.count("*").alias("copies"))
     classes = written(classes.select("set_a", "set_b", "copies", F.col("r.doc_id").alias("rep"), F.col("r.n_shingles").alias("n"), F.col("r.registers").alias("registers")), "classes")
     every = bands(classes)
-    counts = every.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
+    # Written first, so that the join has two plain shuffles, of which Spark splits a partition that one band makes large.
+    counts = written(every.groupBy("band").agg(F.count("*").alias("size")).where("size > 1"), "counts")
     shared = written(every.join(counts, "band"), "bands")
 
     similar = f"100 * least(n_a, n_b) >= {int(percent)} * greatest(n_a, n_b)"
     reach = shared.groupBy("rep").agg(F.sum("size").alias("reach"))
     hub = shared.join(reach, "rep").groupBy("band").agg(F.max(F.struct("reach", (-F.col("rep")).alias("neg"), "n")).alias("h"), F.max("size").alias("size"))
-    # The members of a large band meet its hub in several tasks.
-    salts = F.ceil(F.col("size") / SALTED).cast("int")
-    hub = hub.select("band", (-F.col("h.neg")).alias("hub"), F.col("h.n").alias("n_b"), F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / SALTED).cast("int") - 1)).alias("salt"))
-    met = shared.select("band", "rep", F.col("n").alias("n_a"), F.pmod(F.xxhash64("rep"), salts).cast("int").alias("salt")).join(hub, ["band", "salt"]).where("rep <> hub").where(similar)
+    hub = hub.select("band", "size", (-F.col("h.neg")).alias("hub"), F.col("h.n").alias("n_b"))
+    met = _by_band(shared.withColumnRenamed("n", "n_a"), hub).where("rep <> hub").where(similar)
     pairs = written(met.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct(), "pairs")
 
     needed = shared.where("size > 1").select(F.col("rep").alias("doc_id")).distinct()
@@ -275,8 +285,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85) -> DataF
 
     so_far = components(first)
     placed = shared.where("size > 2").join(so_far.select(F.col("node").alias("rep"), "component"), "rep", "left").select("band", "rep", "n", "size", F.coalesce("component", "rep").alias("at"))
-    apart = placed.groupBy("band").agg(F.min("at").alias("low"), F.max("at").alias("high")).where("low < high").select("band")
-    placed = written(placed.join(apart, "band", "left_semi"), "apart")
+    apart = placed.groupBy("band").agg(F.min("at").alias("low"), F.max("at").alias("high"), F.max("size").alias("size")).where("low < high").select("band", "size")
+    placed = written(_by_band(placed, apart, "left_semi"), "apart")
     few = placed.where(F.col("size") <= SMALL)
     x, y = (few.select("band", F.col("rep").alias(k), F.col("n").alias(f"n_{k}"), F.col("at").alias(f"at_{k}")) for k in ("a", "b"))
     more = x.join(y, "band").where("a < b and at_a <> at_b").where(similar).select("a", "b").distinct()
