@@ -200,3 +200,30 @@ def test_leaderboard_ranks_a_page(spark):
 def test_links_that_break_time_order(spark):
     df = spark.createDataFrame([("a", "s", 1, "b"), ("b", "s", 2, ""), ("c", "s", 9, "a"), ("d", "s", 5, "zz")], "token string, scene_token string, timestamp_us long, next string")
     assert sorted(r["token"] for r in ingest.broken_links(df).collect()) == ["c", "d"]
+
+
+def test_samples_follow_the_links_of_their_scene(spark):
+    scenes = spark.createDataFrame([("s", "A", "c"), ("t", "B", "x"), ("u", "C", "gone"), ("v", "D", "p"), ("w", "E", "c")], "token string, name string, first_sample_token string")
+    long = [(f"n{i}", "v", f"n{i + 1}") for i in range(40)] + [("n40", "v", None), ("p", "v", "n0")]
+    rows = [("c", "s", "a"), ("a", "s", "b"), ("b", "s", ""), ("other", "s", "b"), ("x", "t", "y"), ("y", "t", "z"), ("z", "t", "x"), ("q", "u", "b"), *long]
+    df = spark.createDataFrame(rows, "token string, scene_token string, next string").withColumn("extra", F.lit(1))
+    got = {r["token"]: r["sample_id"] for r in ingest.linked_samples(scenes, df).collect()}
+    assert got == {"c": "A-s0000", "a": "A-s0001", "b": "A-s0002", "x": "B-s0000", "y": "B-s0001", "z": "B-s0002", "p": "D-s0000"} | {f"n{i}": f"D-s{i + 1:04d}" for i in range(41)}
+    assert ingest.linked_samples(scenes.limit(0), df).count() == ingest.linked_samples(scenes, df.limit(0)).count() == 0
+
+
+def test_trajectories_average_agents(spark):
+    schema = "scene_id string, agent_id string, timestamp_us long, pos long, x double, y double, z double"
+    left = spark.createDataFrame([("s", "a", 0, 0, 0.0, 0.0, 0.0), ("s", "a", 10, 1, 0.0, 0.0, 0.0), ("s", "b", 0, 2, 1.0, 0.0, 0.0), ("t", "a", 0, 3, 0.0, 0.0, 0.0)], schema)
+    right = spark.createDataFrame([("s", "a", 1, 0, 3.0, 4.0, 0.0), ("s", "b", 2, 1, 1.0, 0.0, 1.0), ("t", "a", 90, 2, 0.0, 0.0, 0.0)], schema)
+    got = {r["scene_id"]: (r["trajectory_error"], r["compared_agents"]) for r in evaluate.trajectory_errors(left, right, 9).collect()}
+    assert got == {"s": (3.0, 2), "t": (None, 0)}
+    assert evaluate.trajectory_errors(left.limit(0), right, 9).count() == 0
+
+
+def test_sensor_coverage_counts_both_shares(spark):
+    schema = "scene_id string, sample_id string, channel string"
+    left = spark.createDataFrame([("s", "1", "A"), ("s", "1", "A"), ("s", "2", "A"), ("s", "1", "B"), ("t", "9", "A")], schema)
+    right = spark.createDataFrame([("s", "2", "A"), ("s", "3", "B"), ("u", "1", "A")], schema)
+    got = {r["scene_id"]: (r["channel_coverage"], r["frame_coverage"]) for r in evaluate.sensor_coverage(left, right).collect()}
+    assert got == {"s": (1.0, 0.333333), "t": (0.0, 0.0)}

@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .asof import asof
 from .folds import sorted_fold
 from .totals import with_totals
 
@@ -196,3 +197,25 @@ def compare_scenes(left: DataFrame, right: DataFrame, distance: float = 2.0) ->
     counted = with_rates(counts(left, preds, found, ["scene_id"]))
     f1 = F.coalesce(F.round(F.try_divide(2.0 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), 6), F.lit(0.0))
     return counted.select("scene_id", f1.alias("annotation_f1")).join(error, "scene_id", "full")
+
+
+def trajectory_errors(left: DataFrame, right: DataFrame, tolerance_us: int, bucket_us: int | None = None) -> DataFrame:
+    """Per scene of ``left``: mean displacement of agents (agent_id) on the right, and how many agents were compared.
+
+    Each left place (scene_id, agent_id, timestamp_us, pos, x, y, z) meets the agent's nearest one in time on the right,
+    within ``tolerance_us``. Places are averaged to agents and agents to the scene; without any the error is null.
+    """
+    met = asof(left, right, ["scene_id", "agent_id"], "nearest", tolerance_us, bucket_us=bucket_us)
+    square = lambda c: (F.col(c) - F.col(f"found.{c}")) * (F.col(c) - F.col(f"found.{c}"))
+    apart = met.withColumn("_d", F.sqrt(square("x") + square("y") + square("z")))
+    agents = apart.groupBy("scene_id", "agent_id").agg(F.avg("_d").alias("_d"))
+    return agents.groupBy("scene_id").agg(F.round(F.avg("_d"), 6).alias("trajectory_error"), F.count("_d").alias("compared_agents"))
+
+
+def sensor_coverage(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Per scene of ``left`` (scene_id, sample_id, channel): the shares of its channels, and of the channels of its samples, on the right too."""
+    side = lambda df, here, there: df.select("scene_id", "channel", "sample_id", F.lit(here).alias("_a"), F.lit(there).alias("_b"))
+    seen = side(left, 1, 0).union(side(right, 0, 1)).groupBy("scene_id", "channel", "sample_id").agg(F.max("_a").alias("_a"), F.max("_b").alias("_b"))
+    channels = seen.groupBy("scene_id", "channel").agg(F.max("_a").alias("_a"), F.max("_b").alias("_b"), F.sum("_a").alias("_n"), F.sum(F.col("_a") * F.col("_b")).alias("_both"))
+    scenes = channels.groupBy("scene_id").agg(F.sum("_a").alias("_c"), F.sum(F.col("_a") * F.col("_b")).alias("_cb"), F.sum("_n").alias("_n"), F.sum("_both").alias("_both")).where("_c > 0")
+    return scenes.select("scene_id", F.round(F.col("_cb") / F.col("_c"), 6).alias("channel_coverage"), F.round(F.col("_both") / F.col("_n"), 6).alias("frame_coverage"))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .steps import written
+
 TARGET_CHANNELS = ("CAM_FRONT", "LIDAR_TOP")
 MODALITIES = ("camera", "lidar", "radar")
 
@@ -33,6 +35,35 @@ def broken_links(samples: DataFrame) -> DataFrame:
     return joined.where(~F.coalesce(good, F.lit(False))).select("token", "next")
 
 
+def linked_samples(scenes: DataFrame, samples: DataFrame) -> DataFrame:
+    """Samples (token, scene_token, next) of scenes (token, name, first_sample_token) in the order of the source's links.
+
+    A sample that its scene's first one does not lead to is left out, and so is one that is not of that scene; a token
+    occurs once. Links to samples that are missing, null or empty end a scene. Of several samples with one next, the one
+    that the first leads to counts, and links that lead back end the scene before the first repeated sample.
+    Places are found by doubling: each round follows twice as many links, in joins by token, so a scene of n samples
+    takes log2(n) rounds however its samples are spread over tasks.
+    """
+    heads = scenes.select(F.col("token").alias("scene_token"), F.col("name").alias("scene_id"), F.col("first_sample_token"))
+    own = samples.select("token", "scene_token", "next")
+    target = own.select(F.col("token").alias("next"), F.col("scene_token").alias("_scene"))
+    jump = written(own.join(target, "next").where(F.col("_scene") == F.col("scene_token")).select("token", F.col("next").alias("to")), "links")
+    start = heads.join(samples.select(F.col("token").alias("first_sample_token"), "scene_token"), ["first_sample_token", "scene_token"])
+    placed = written(start.select(F.col("first_sample_token").alias("token"), F.lit(0).cast("long").alias("frame_index")), "places")
+    step = 1
+    while True:
+        ahead = placed.join(jump, "token").select(F.col("to").alias("token"), (F.col("frame_index") + step).alias("frame_index"))
+        both = placed.union(ahead).groupBy("token").agg(F.min("frame_index").alias("frame_index"))
+        grown = written(both, "places")
+        if grown.count() == placed.count():
+            break
+        far = jump.select(F.col("token").alias("to"), F.col("to").alias("_to"))
+        jump = written(jump.join(far, "to").select("token", F.col("_to").alias("to")), "links")
+        placed, step = grown, 2 * step
+    named = samples.join(placed, "token").join(heads.drop("first_sample_token"), "scene_token")
+    return named.withColumn("sample_id", F.format_string("%s-s%04d", "scene_id", "frame_index"))
+
+
 def annotations(ordered: DataFrame, boxes: DataFrame, attributes: DataFrame) -> DataFrame:
     """Boxes of ordered samples with the names of their attributes in order; tokens of unknown attributes are left out."""
     keyed = boxes.join(ordered.select(F.col("token").alias("sample_token"), "scene_id", "sample_id", "timestamp_us"), "sample_token")

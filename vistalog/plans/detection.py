@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import evaluate as E
 from ..operators import select as D
 from ..operators import views as L
-from .adapters import ctes, view
+from .adapters import ctes, table, view
 
 DISTANCE = 0.25
 CLASSES = ("c1", "c2", "c3")
@@ -271,6 +271,35 @@ e as (select g.scene_id, round(avg(sqrt((g.x-p.x)*(g.x-p.x) + (g.y-p.y)*(g.y-p.y
 select scene_id, round(coalesce(2.0::double * coalesce(tp, 0) / nullif(coalesce(g.n, 0) + coalesce(p.n, 0), 0), 0), 6) as annotation_f1, geometry_error from g full join p using (scene_id) left join m using (scene_id) left join e using (scene_id)"""
 
 
+TOLERANCE_US = 7 * 86_400_000_000
+_AGENTS = """select user_id as scene_id, event_type as agent_id, US(ts) as timestamp_us, event_id as pos, value as x, cast(event_id % 7 as double) as y, 0.0 as z from events"""
+
+
+def x2_trajectory_error(spark, d):
+    """Users are scenes and kinds of events agents; the right side lacks every third place, and is later and moved."""
+    events = table(spark, d, "events").withColumn("timestamp_us", F.expr("unix_micros(cast(ts as timestamp))"))
+    left = events.select(F.col("user_id").alias("scene_id"), F.col("event_type").alias("agent_id"), "timestamp_us", F.col("event_id").alias("pos"), F.col("value").alias("x"), (F.col("event_id") % 7).cast("double").alias("y"), F.lit(0.0).alias("z"))
+    right = left.where("pos % 3 <> 0").withColumn("timestamp_us", F.col("timestamp_us") + 1000 * (F.col("pos") % 11)).withColumn("x", F.col("x") + 0.5)
+    return E.trajectory_errors(left, right, TOLERANCE_US, 4 * TOLERANCE_US)
+
+
+X2_TRAJECTORY = f"""with l as ({_AGENTS.replace("US(ts)", "epoch_us(ts)").replace("0.0 as z", "0.0::double as z")}), r as (select scene_id, agent_id, timestamp_us + 1000 * (pos % 11) as t, pos, x + 0.5::double as x, y from l where pos % 3 <> 0),
+m as (select l.scene_id, l.agent_id, l.x, l.y, r.x as rx, r.y as ry, row_number() over (partition by l.pos order by abs(r.t - l.timestamp_us), r.t, r.pos) as rn from l join r on l.scene_id = r.scene_id and l.agent_id = r.agent_id and abs(r.t - l.timestamp_us) <= {TOLERANCE_US}),
+a as (select scene_id, agent_id, avg(sqrt((x - rx) * (x - rx) + (y - ry) * (y - ry))) as e from m where rn = 1 group by all), e as (select scene_id, round(avg(e), 6) as trajectory_error, count(*) as compared_agents from a group by scene_id)
+select s.scene_id, trajectory_error, coalesce(compared_agents, 0) as compared_agents from (select distinct scene_id from l) s left join e using (scene_id)"""
+
+
+def x2_sensor_coverage(spark, d):
+    """The right side has only frames of a known width."""
+    frames = view(spark, d, "sample_frames")
+    return E.sensor_coverage(frames, frames.where("width is not null"))
+
+
+X2_COVERAGE = f"""with {ctes('sample_frames')}, f as (select scene_id, channel, sample_id, max(case when width is not null then 1 else 0 end) as b from sample_frames group by all),
+c as (select scene_id, channel, max(b) as b, count(*) as n, sum(b) as nb from f group by all)
+select scene_id, round(sum(b) / count(*)::double, 6) as channel_coverage, round(sum(nb) / sum(n)::double, 6) as frame_coverage from c group by scene_id"""
+
+
 def x6_label_quality(spark, d):
     return E.label_quality(view(spark, d, "annotations"), view(spark, d, "predictions"), DISTANCE)
 
@@ -313,6 +342,8 @@ QUERIES = {
     "e13_metric_catalogue": (e13_metric_catalogue, E13),
     "o8_compare": (o8_compare, O8),
     "x2_scene_comparison": (x2_scene_comparison, X2),
+    "x2_sensor_coverage": (x2_sensor_coverage, X2_COVERAGE),
+    "x2_trajectory_error": (x2_trajectory_error, X2_TRAJECTORY),
     "x6_label_quality": (x6_label_quality, X6),
 }
 # Where the cap is what is asked for.

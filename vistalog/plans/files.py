@@ -2,30 +2,16 @@
 
 from __future__ import annotations
 
-import os
-import re
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..operators.steps import folder
 from ..sources import readers as R
 from ..sources import writers as W
 from .adapters import ctes, table, view
 
 
-def folder(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share: under ``spark.checkpoint.dir``, or, for a local master alone, a temporary one."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not at:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="spark-")
-    return os.path.join(at, f"{name}-{uuid.uuid4().hex}")
-
-
 def _shaped(df: DataFrame, schema: str) -> DataFrame:
     """``df`` with the fields of ``schema`` that it has; documents leave the others out."""
     fields = df.sparkSession.createDataFrame([], schema).schema

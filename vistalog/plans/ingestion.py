@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import infer as N
@@ -64,6 +65,25 @@ def i1_ordered_samples(spark, d):
     return _ordered(spark, d).select("token", "scene_id", "frame_index", "sample_id")
 
 
+_LINK_ORDER = "case when user_id % 2 = 0 then event_id % 7 else 0 end, ts, event_id"
+
+
+def i1_linked_samples(spark, d):
+    """Links of every second scene leave time order."""
+    events = table(spark, d, "events")
+    w = Window.partitionBy("user_id").orderBy(F.when(F.col("user_id") % 2 == 0, F.col("event_id") % 7).otherwise(0), "ts", "event_id")
+    text = lambda c: F.col(c).cast("string")
+    linked = events.select("user_id", text("event_id").alias("token"), F.coalesce(F.lead(text("event_id")).over(w), F.lit("")).alias("next"), F.row_number().over(w).alias("_n"))
+    linked = linked.withColumn("scene_token", F.concat(F.lit("u"), text("user_id")))
+    first = linked.where("_n = 1").select("scene_token", F.col("token").alias("first_sample_token"))
+    scenes = _view(spark, d, "src_scenes").join(first, F.col("token") == F.col("scene_token")).drop("scene_token")
+    return I.linked_samples(scenes, linked.select("token", "scene_token", "next")).select("token", "scene_id", "frame_index", "sample_id")
+
+
+I1_LINKED = f"""with n as (select cast(event_id as varchar) as token, 'scene-' || cast(user_id as varchar) as scene_id, row_number() over (partition by user_id order by {_LINK_ORDER}) - 1 as frame_index from events)
+select *, scene_id || '-s' || lpad(cast(frame_index as varchar), 4, '0') as sample_id from n"""
+
+
 def _boxes(spark, d):
     boxes = I.registry(_view(spark, d, "src_boxes").withColumn("pos", F.struct("sample_token", "category", "timestamp_us", "x", "y", "z", "attribute_list")), ["token"]).drop("pos")
     return boxes.withColumn("attribute_tokens", F.split("attribute_list", ","))
@@ -267,6 +287,7 @@ case when lift_failed then 'failed' when b.detection_id is not null then 'succee
 
 QUERIES = {
     "i1_ordered_samples": (i1_ordered_samples, f"{_ORDERED} select token, scene_id, frame_index, sample_id from ordered"),
+    "i1_linked_samples": (i1_linked_samples, I1_LINKED),
     "i2_annotations": (i2_annotations, I2),
     "i3_velocities": (i3_velocities, I3),
     "i4_sensor_frames": (i4_sensor_frames, I4),
