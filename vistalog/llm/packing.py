@@ -75,17 +75,18 @@ class ByteTokenizer:
 
     ``path`` is the tokenizers file; ``ranks`` the same vocabulary as ranks, which encodes single words. Texts
     with characters outside the Latin blocks go through ``tokenizers`` whole. ``words`` bounds the known words, of at most
-    32 characters each.
+    32 characters each: sorted hashes, and where the ids of each start in one array.
     """
 
-    def __init__(self, path: str, ranks: str, pattern: str, words: int = 40_000):
+    def __init__(self, path: str, ranks: str, pattern: str, words: int = 250_000):
         import tiktoken
 
         self.path = path
         with open(ranks, "rb") as f:
             merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.one = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=merges, special_tokens={})
-        self.classes, self.words, self.known = _classes(), words, {}
+        self.classes, self.words = _classes(), words
+        self.known, self.begins, self.counts, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, "<u4")
         self.salt = mix64(np.arange(1, _TOP + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         self.powers = np.zeros(0, np.uint64)
 
@@ -98,8 +99,29 @@ class ByteTokenizer:
         out.encode_special_tokens = True
         return out
 
-    def _ids(self, word: str) -> bytes:
-        return np.array(self.one.encode_ordinary(word), "<u4").tobytes()
+    def _lookup(self, keys: np.ndarray, begin: np.ndarray, sizes: np.ndarray, joined: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids in one array, and for each of the distinct ``keys``, in order, where its own start and how many they are."""
+        at = np.searchsorted(self.known, keys)
+        hit = np.zeros(len(keys), bool)
+        if len(self.known):
+            hit = self.known[np.minimum(at, len(self.known) - 1)] == keys
+        offsets, counts = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        offsets[hit], counts[hit] = self.begins[at[hit]], self.counts[at[hit]]
+        new = np.flatnonzero(~hit)
+        if not len(new):
+            return self.flat, offsets, counts
+        ids = [self.one.encode_ordinary(joined[a : a + n]) for a, n in zip(begin[new].tolist(), sizes[new].tolist(), strict=True)]
+        counts[new] = np.fromiter(map(len, ids), np.int64, len(ids))
+        offsets[new] = len(self.flat) + np.cumsum(counts[new]) - counts[new]
+        flat = np.concatenate([self.flat, np.fromiter((i for word in ids for i in word), "<u4", int(counts[new].sum()))])
+        room = self.words - len(self.known)
+        if room > 0:
+            kept = new[sizes[new] <= 32][:room]
+            mine = np.repeat(offsets[kept] - (np.cumsum(counts[kept]) - counts[kept]), counts[kept]) + np.arange(int(counts[kept].sum()))
+            begins = len(self.flat) + np.cumsum(counts[kept]) - counts[kept]
+            self.known, self.begins = np.insert(self.known, at[kept], keys[kept]), np.insert(self.begins, at[kept], begins)
+            self.counts, self.flat = np.insert(self.counts, at[kept], counts[kept]), np.concatenate([self.flat, flat[mine]])
+        return flat, offsets, counts
 
     def _fast(self, texts: list[str]) -> list[bytes]:
         joined = "".join(texts)
@@ -113,18 +135,7 @@ class ByteTokenizer:
         within = np.arange(len(points)) - np.repeat(starts, sizes)
         key = np.add.reduceat(self.salt[points] * self.powers[within], starts)
         distinct, at, inverse = np.unique(key, return_index=True, return_inverse=True)
-        known, ids = self.known, []
-        begin, size = starts[at].tolist(), sizes[at].tolist()
-        for k, s, n in zip(distinct.tolist(), begin, size, strict=True):
-            found = known.get(k)
-            if found is None:
-                found = self._ids(joined[s : s + n])
-                if len(known) < self.words and n <= 32:
-                    known[k] = found
-            ids.append(found)
-        flat = np.frombuffer(b"".join(ids), "<u4")
-        counts = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        offsets = np.cumsum(counts) - counts
+        flat, offsets, counts = self._lookup(distinct, starts[at], sizes[at], joined)
         each = counts[inverse]
         after = np.cumsum(each)
         out = flat[np.repeat(offsets[inverse] - (after - each), each) + np.arange(int(after[-1]))]
