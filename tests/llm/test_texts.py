@@ -289,3 +289,11 @@ def test_a_long_unbroken_text_is_lossless():
     m = pieces.model(pieces.public_model(), 0.5)
     t = "".join(random.Random(6).choices("abcdefghijklmnopqrstuvwxyz", k=250_000))
     assert m.decode(m.sample([t], [1])[0]) == t
+
+
+def test_bounded_words_give_the_same_ids():
+    texts = ["one two three two one", "", "x" * 90 + " it's 12 three", "four  five\n\nsix one"]
+    want = packing.tokenizer(*packing.public_vocabulary()).encode(texts)
+    for words in (0, 3, 100):
+        t = packing.ByteTokenizer(*packing.public_vocabulary(), words=words)
+        assert t.encode(texts) == t.encode(texts) == want and len(t.known) <= words
