@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hyperminhash, langid, licenses, mjpeg, nearvectors, packing, pagetext, pieces, secrets, zip_warc
+from . import heapmeans, hyperminhash, langid, licenses, mjpeg, nearvectors, packing, pagetext, personal, phrases, pieces, secrets, zip_warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,8 +55,20 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(_table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+def op12_heapmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return heapmeans.cluster(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.summary(personal.scan(_table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_nearvectors": op1_nearvectors, "op2_mjpeg": op2_mjpeg, "op3_licenses": op3_licenses, "op4_minhash": op4_minhash, "op5_secrets": op5_secrets, "op6_packing": op6_packing, "op7_pieces": op7_pieces, "op8_langid": op8_langid, "op9_pagetext": op9_pagetext, "op10_warc": op10_warc}
+    return {"op1_nearvectors": op1_nearvectors, "op2_mjpeg": op2_mjpeg, "op3_licenses": op3_licenses, "op4_minhash": op4_minhash, "op5_secrets": op5_secrets, "op6_packing": op6_packing, "op7_pieces": op7_pieces, "op8_langid": op8_langid, "op9_pagetext": op9_pagetext, "op10_warc": op10_warc, "op11_phrases": op11_phrases, "op12_heapmeans": op12_heapmeans, "op13_personal": op13_personal}
 
 
 OP10_SQL = """
@@ -69,4 +81,4 @@ select page_id, payload_bytes, payload_digest, case when payload_bytes >= 100 an
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_licenses": licenses.oracle(), "op10_warc": OP10_SQL}
+    return {"op3_licenses": licenses.oracle(), "op10_warc": OP10_SQL, "op11_phrases": phrases.oracle(), "op12_heapmeans": heapmeans.oracle()}
