@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, mix64, written
@@ -56,7 +56,7 @@ def _by_language(batch: pa.RecordBatch) -> Iterator[tuple[str, list[bytes]]]:
         yield lang, texts.take(pa.array(np.flatnonzero(codes == k))).to_pylist()
 
 
-def vocabulary(texts: DataFrame, seed: int, most: int = 400_000) -> DataFrame:
+def vocabulary(texts: DataFrame, seed: int, most: int = 150_000) -> DataFrame:
     """lang, word, id and f for each word of ``texts`` (lang, text); a task sends on what it has counted when that is ``most`` words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,15 +245,33 @@ def _settled_seed(texts: DataFrame) -> tuple[int, DataFrame]:
     raise RuntimeError("word ids collide under each seed")
 
 
-def _scored(grams: DataFrame, counts: DataFrame, languages: DataFrame) -> DataFrame:
-    """lang, n, g, a and best (score, k, l, r of the weakest cut) of the phrases in ``grams``."""
-    cuts = grams.join(languages, F.col("g")[0] == F.col("id")).select("lang", "n", "g", "a", F.explode(F.sequence(F.lit(1), F.size("g") - 1)).alias("k"))
+def _score(a: str, l: str, r: str) -> Column:
+    """floor(1000 a n / (l r)): products of counts up to 10 ** 14 are exact, and div is a whole division."""
+    return F.expr(f"(cast(1000 as decimal(4, 0)) * cast({a} as decimal(14, 0)) * cast(n as decimal(16, 0))) div (cast({l} as decimal(14, 0)) * cast({r} as decimal(14, 0)))")
+
+
+def _cuts(grams: DataFrame, counts: DataFrame, named: DataFrame) -> DataFrame:
+    """lang, n, g, a, k, right, l, r and most for each cut of the phrases in ``grams``; r is null where the right side is not
+    counted yet, and then at most ``most``, the count of its rarest word."""
+    each = grams.select("g", "a", F.posexplode("g").alias("at", "id")).join(named, "id")
+    words = each.groupBy("g", "a", "lang", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "f"))), lambda x: x["f"]).alias("fs"))
+    cuts = words.select("*", F.explode(F.sequence(F.lit(1), F.size("g") - 1)).alias("k"))
     cuts = cuts.withColumn("left", F.slice("g", F.lit(1), F.col("k"))).withColumn("right", F.slice("g", F.col("k") + 1, F.size("g")))
+    cuts = cuts.withColumn("most", F.array_min(F.slice("fs", F.col("k") + 1, F.size("g"))))
     side = lambda name, f: counts.select(F.col("g").alias(name), F.col("f").alias(f))
-    cuts = cuts.join(side("left", "l"), "left").join(side("right", "r"), "right")
-    # Products of counts up to 10 ** 14 are exact, and div is a whole division.
-    score = F.expr("(cast(1000 as decimal(4, 0)) * cast(a as decimal(14, 0)) * cast(n as decimal(16, 0))) div (cast(l as decimal(14, 0)) * cast(r as decimal(14, 0)))")
-    return cuts.groupBy("lang", "n", "g", "a").agg(F.min(F.struct(score.alias("score"), "k", "l", "r")).alias("best"))
+    return cuts.join(side("left", "l"), "left").join(side("right", "r"), "right", "left").select("lang", "n", "g", "a", "k", "right", "l", "r", "most")
+
+
+def _possible(cuts: DataFrame, best: DataFrame | None, top: int) -> DataFrame:
+    """The cuts of phrases that can be among their language's first ``top``: a side that is not counted has at least the
+    phrase's count and at most that of its rarest word, which bounds scores on both sides."""
+    bounds = cuts.groupBy("lang", "g").agg(F.min(_score("a", "l", "coalesce(r, most)")).alias("low"), F.min(_score("a", "l", "coalesce(r, a)")).alias("high"))
+    known = bounds.select("lang", "low")
+    known = known if best is None else known.union(best.select("lang", "best.score"))
+    by = Window.partitionBy("lang").orderBy(F.desc("low"))
+    last = known.withColumn("place", F.row_number().over(by)).where(F.col("place") == top).select("lang", F.col("low").alias("last"))
+    good = bounds.join(last, "lang", "left").where(F.col("last").isNull() | (F.col("high") >= F.col("last")))
+    return cuts.join(good.select("g"), "g", "left_semi")
 
 
 def _leading(scored: DataFrame, top: int) -> DataFrame:
@@ -292,7 +310,7 @@ def mine(docs: DataFrame, least: int = 100, longest: int = 5, top: int = 2000, s
     if known is None:
         return empty
     ids = written(encoded(texts, known, seed), "ids")
-    named = written(frequent.join(languages, "lang").select("id", "lang", "n", "word"), "named")
+    named = written(frequent.join(languages, "lang").select("id", "lang", "n", "word", "f"), "named")
     counts = frequent.select(F.array("id").alias("g"), "f")
     grams = best = settled = None
     for wave in range(len(shares)):
@@ -312,13 +330,15 @@ def mine(docs: DataFrame, least: int = 100, longest: int = 5, top: int = 2000, s
         grams = own if grams is None else grams.union(own)
         inside = (F.size("g") < longest) & ((F.col("before") != 0) | (F.col("after") != 0))
         free = own.where(~inside)
-        cut = free.select("g", F.explode(F.sequence(F.lit(1), F.size("g") - 1)).alias("k"))
-        open_ends = cut.select(F.slice("g", F.col("k") + 1, F.size("g")).alias("g")).where(F.size("g") > 1).distinct().join(grams, "g", "left_anti")
-        open_ends = written(open_ends, "ends")
+        sides = counts.union(grams.select("g", F.col("a").alias("f"))).dropDuplicates(["g"])
+        cuts = written(_possible(written(_cuts(free.select("g", "a"), sides, named), "cuts"), best, top), "cuts")
+        open_ends = written(cuts.where("r is null").select(F.col("right").alias("g")).distinct(), "ends")
         if not open_ends.isEmpty():
             wanted = {k: f for k in range(1, longest) if (f := Filter.of(_hashed(open_ends, k), "h"))}
-            counts = counts.union(written(counted(ids, wanted, prefixes=False).join(open_ends, "g", "left_semi").select("g", F.col("a").alias("f")), "counts"))
-        scored = _scored(free.select("g", "a"), counts.union(grams.select("g", F.col("a").alias("f"))).dropDuplicates(["g"]), named.select("id", "lang", "n"))
+            more = written(counted(ids, wanted, prefixes=False).join(open_ends, "g", "left_semi").select("g", F.col("a").alias("f")), "counts")
+            counts = counts.union(more)
+            cuts = cuts.join(more.select(F.col("g").alias("right"), "f"), "right", "left").withColumn("r", F.coalesce("r", "f"))
+        scored = cuts.groupBy("lang", "n", "g", "a").agg(F.min(F.struct(_score("a", "l", "r").alias("score"), "k", "l", "r")).alias("best"))
         best = written(_leading(scored if best is None else best.union(scored), top), "best")
         # What is left of a language starts with words of later waves: the rarest of them bounds its scores.
         rest = frequent.where(F.col("wave") > wave).groupBy("lang").agg(F.min("f").alias("next")).join(languages, "lang")
