@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .asof import DIRECTIONS, asof
 from .folds import sorted_fold
+from .steps import written
 
 
 def target_channels(frames: DataFrame, required: Sequence[str] = ()) -> DataFrame:
@@ -29,38 +30,78 @@ def associate(anchors: DataFrame, frames: DataFrame, targets: DataFrame, strateg
     return joined.withColumn("frame_id", F.col("found.frame_id")).withColumn("offset_us", F.col("found.timestamp_us") - F.col("timestamp_us")).drop("found")
 
 
-def associate_once(anchors: DataFrame, frames: DataFrame, targets: DataFrame, strategy: str = "nearest", tolerance_us: int = 100_000) -> DataFrame:
-    """As associate(), but a frame serves one anchor: anchors choose in order among frames not yet used.
+def _chosen(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The pairs that anchors choose in order, each the best frame that is neither used yet nor in ``_used``.
 
-    Only frames within tolerance can be chosen, so candidates come from a join on time buckets of that width; the
-    choice is a fold over each segment and channel in order.
+    A frame that has fallen behind all that anchors can reach is forgotten, so the state is as wide as the tolerance.
     """
-    if strategy not in DIRECTIONS:
-        raise ValueError(f"strategy must be one of {', '.join(DIRECTIONS)}")
-    width = max(1, tolerance_us)
-    asks = anchors.join(targets, "segment_id").withColumn("slot", F.floor(F.col("timestamp_us") / width))
-    side = frames.select("segment_id", "channel", F.col("timestamp_us").alias("frame_us"), "pos", "frame_id", F.explode(F.array(*[F.floor(F.col("timestamp_us") / width) + d for d in (-1, 0, 1)])).alias("slot"))
-    gap = F.col("frame_us") - F.col("timestamp_us")
-    near = {"nearest": F.abs(gap) <= tolerance_us, "previous": (gap <= 0) & (gap >= -tolerance_us), "next": (gap >= 0) & (gap <= tolerance_us)}[strategy]
-    pairs = asks.join(side, ["segment_id", "channel", "slot"]).where(near).select("segment_id", "channel", "anchor_index", "timestamp_us", "frame_us", "pos", "frame_id")
 
     def start():
-        used, done = set(), None
+        used, done, most = None, None, 64
 
-        def step(anchor: int, frame: str) -> bool:
-            nonlocal done
+        def step(anchor: int, frame: str, frame_us: int, low: int, before: list[str] | None) -> bool:
+            nonlocal used, done, most
+            if used is None:
+                used = dict.fromkeys(before or ())
             if anchor == done or frame in used:
                 return False
-            used.add(frame)
-            done = anchor
+            used[frame], done = frame_us, anchor
+            if len(used) > most:
+                used = {f: t for f, t in used.items() if t is None or t >= low}
+                most = 2 * len(used) + 64
             return True
 
         return step
 
-    ranked = pairs.withColumn("gap", F.abs(F.col("frame_us") - F.col("timestamp_us")))
-    chosen = sorted_fold(ranked, ["segment_id", "channel"], ["anchor_index", "gap", "frame_us", "pos"], ["anchor_index", "frame_id"], start, "chosen", "boolean")
-    chosen = chosen.where("chosen").select("segment_id", "channel", "anchor_index", "frame_id", "frame_us")
-    out = asks.drop("slot").join(chosen, ["segment_id", "channel", "anchor_index"], "left")
+    inputs = ["anchor_index", "frame_id", "frame_us", "_low", "_used"]
+    folded = sorted_fold(pairs, keys, ["anchor_index", "_gap", "frame_us", "pos"], inputs, start, "_chosen", "boolean")
+    return folded.where("_chosen").drop("_chosen", "_used")
+
+
+def associate_once(anchors: DataFrame, frames: DataFrame, targets: DataFrame, strategy: str = "nearest", tolerance_us: int = 100_000, rounds: int = 6) -> DataFrame:
+    """As associate(), but a frame serves one anchor: anchors choose in order among frames not yet used.
+
+    Only frames within tolerance can be chosen, so candidates come from a join on time buckets of that width. The choice
+    folds over wider buckets at once, each as if the bucket before had used none of its frames; then the buckets for which
+    that was wrong are folded again from what the bucket before did use, until none is. What an anchor chooses reaches
+    few anchors after it, so few buckets are wrong; keys with buckets still wrong after ``rounds`` are folded whole, in order.
+    ``anchor_index`` follows time. Runs jobs that write to the shared folder.
+    """
+    if strategy not in DIRECTIONS:
+        raise ValueError(f"strategy must be one of {', '.join(DIRECTIONS)}")
+    width = max(1, tolerance_us)
+    asks = anchors.join(targets, "segment_id").withColumn("slot", F.floor(F.col("timestamp_us") / width))
+    side = frames.select("segment_id", "channel", F.col("timestamp_us").alias("frame_us"), "pos", "frame_id", F.explode(F.array(*[F.floor(F.col("timestamp_us") / width) + d for d in (-1, 0, 1)])).alias("slot"))
+    gap = F.col("frame_us") - F.col("timestamp_us")
+    near = {"nearest": F.abs(gap) <= tolerance_us, "previous": (gap <= 0) & (gap >= -tolerance_us), "next": (gap >= 0) & (gap <= tolerance_us)}[strategy]
+    pairs = asks.join(side, ["segment_id", "channel", "slot"]).where(near)
+    key, wide = ["segment_id", "channel"], 64 * width
+    pairs = pairs.select(*key, "anchor_index", "frame_us", "pos", "frame_id", F.abs(gap).alias("_gap"), (F.col("timestamp_us") - tolerance_us).alias("_low"), F.floor(F.col("timestamp_us") / wide).alias("_bucket"))
+    pairs, none = written(pairs, "pairs"), F.lit(None).cast("array<string>")
+    chosen = written(_chosen(pairs.withColumn("_used", none), [*key, "_bucket"]), "chosen")
+    # What a bucket has used of the next one's frames; buckets are wider than two tolerances, so no other can.
+    passed = lambda df: df.where(F.col("frame_us") >= (F.col("_bucket") + 1) * wide - tolerance_us).groupBy(*key, (F.col("_bucket") + 1).alias("_bucket")).agg(F.array_sort(F.collect_list("frame_id")).alias("_used"))
+    assumed = None
+    for last in (False,) * rounds + (True,):
+        now = passed(chosen)
+        if assumed is None:
+            wrong = now
+        else:
+            both = now.join(assumed.withColumnRenamed("_used", "_old"), [*key, "_bucket"], "full")
+            wrong = both.where(~F.col("_used").eqNullSafe(F.col("_old"))).select(*key, "_bucket", "_used")
+        wrong = written(wrong.join(pairs.select(*key, "_bucket").distinct(), [*key, "_bucket"], "left_semi"), "wrong")
+        if wrong.isEmpty():
+            break
+        if last:
+            again = wrong.select(*key).distinct()
+            redone = _chosen(pairs.join(again, key, "left_semi").withColumn("_used", none), key)
+            chosen = chosen.join(again, key, "left_anti").unionByName(redone)
+        else:
+            assumed = written(now, "assumed")
+            redone = _chosen(pairs.join(wrong, [*key, "_bucket"]), [*key, "_bucket"])
+            chosen = written(chosen.join(wrong, [*key, "_bucket"], "left_anti").unionByName(redone), "chosen")
+    chosen = chosen.select(*key, "anchor_index", "frame_id", "frame_us")
+    out = asks.drop("slot").join(chosen, [*key, "anchor_index"], "left")
     return out.withColumn("offset_us", F.col("frame_us") - F.col("timestamp_us")).drop("frame_us")
 
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .asof import asof
 from .folds import sorted_fold
+from .steps import written
 from .totals import with_totals
 
 SUPPORTED = ("vehicle.car", "human.pedestrian", "movable_object.barrier")
@@ -84,16 +85,50 @@ def evaluable(predictions: DataFrame) -> DataFrame:
     return predictions.where(~F.col("lifting_status").eqNullSafe("failed"))
 
 
-def matches(annotations: DataFrame, predictions: DataFrame, distance: float = 2.0) -> DataFrame:
-    """Greedy matches: predictions in list order each take the nearest box of their sample and category not yet taken.
+def candidates(annotations: DataFrame, predictions: DataFrame, distance: float) -> DataFrame:
+    """Pairs of one sample and category that are at most ``distance`` apart.
 
-    Of equal distances the first box counts; a match is at most ``distance`` apart. A farther box is never matched, so
-    only pairs within it are candidates; the choice is a fold over each sample and category in order.
+    Pairs meet by cells of that width on the ground: a box is copied to the nine cells around it, a prediction looks in its
+    own, so pairs that are made are near those that are found, however many boxes a sample has.
     """
-    g = annotations.select("sample_id", "category", "gt_pos", "annotation_id", F.struct("x", "y", "z").alias("g"))
-    p = predictions.select("sample_id", "category", "pred_pos", "prediction_id", F.struct("x", "y", "z").alias("p"))
+    cell = lambda c, d=0: F.floor(F.col(c) / max(distance, 1e-6)) + d
+    placed = lambda df: df.where(F.greatest(F.abs("x"), F.abs("y")) < 1e12 * max(distance, 1e-6))
+    around = F.explode(F.array(*[F.struct(cell("x", a).alias("_x"), cell("y", b).alias("_y")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
+    g = placed(annotations).select("sample_id", "category", "gt_pos", "annotation_id", F.struct("x", "y", "z").alias("g"), around.alias("_c")).select("*", "_c.*").drop("_c")
+    p = placed(predictions).select("sample_id", "category", "pred_pos", "prediction_id", F.struct("x", "y", "z").alias("p"), cell("x").alias("_x"), cell("y").alias("_y"))
     square = lambda c: (F.col(f"p.{c}") - F.col(f"g.{c}")) * (F.col(f"p.{c}") - F.col(f"g.{c}"))
-    pairs = p.join(g, ["sample_id", "category"]).withColumn("distance", F.sqrt(square("x") + square("y") + square("z"))).where(F.col("distance") <= distance).drop("p", "g")
+    pairs = p.join(g, ["sample_id", "category", "_x", "_y"]).withColumn("distance", F.sqrt(square("x") + square("y") + square("z")))
+    return pairs.where(F.col("distance") <= distance).drop("p", "g", "_x", "_y")
+
+
+def matches(annotations: DataFrame, predictions: DataFrame, distance: float = 2.0, rounds: int = 4) -> DataFrame:
+    """Greedy matches: predictions in list order each take the nearest box of their sample and category not yet taken.
+
+    Of equal distances the first box counts; a match is at most ``distance`` apart. A prediction whose nearest free box no
+    earlier free prediction can take is sure of it, so all such are settled at once, in rounds whose number follows
+    from chains of overlapping predictions, not from the size of a sample. Pairs that ``rounds`` leave open are settled by a
+    fold over their sample and category in order. Pairs at infinite places, or beyond 1e12 distances, don't match. Runs jobs
+    that write to the shared folder.
+    """
+    key, pred, box = ["sample_id", "category"], ["sample_id", "category", "pred_pos"], ["sample_id", "category", "gt_pos"]
+    left = written(candidates(annotations, predictions, distance), "pairs")
+    out = left.limit(0)
+    for _ in range(rounds):
+        nearest = F.min(F.struct("distance", "gt_pos")).over(Window.partitionBy(*pred))
+        first = F.min("pred_pos").over(Window.partitionBy(*box))
+        marked = left.withColumn("_near", nearest["gt_pos"]).withColumn("_first", first)
+        sure = written(marked.where((F.col("_near") == F.col("gt_pos")) & (F.col("_first") == F.col("pred_pos"))).drop("_near", "_first"), "sure")
+        out = out.unionByName(sure)
+        left = written(left.join(sure.select(*pred), pred, "left_anti").join(sure.select(*box), box, "left_anti"), "pairs")
+        if left.isEmpty():
+            break
+    else:
+        out = out.unionByName(_folded(left, key))
+    return out.select("sample_id", "category", "prediction_id", "annotation_id", F.round("distance", 6).alias("distance"))
+
+
+def _folded(pairs: DataFrame, key: Sequence[str]) -> DataFrame:
+    """The greedy choice over each key in order."""
 
     def start():
         taken, done = set(), None
@@ -108,8 +143,7 @@ def matches(annotations: DataFrame, predictions: DataFrame, distance: float = 2.
 
         return step
 
-    chosen = sorted_fold(pairs, ["sample_id", "category"], ["pred_pos", "distance", "gt_pos"], ["pred_pos", "gt_pos"], start, "matched", "boolean").where("matched")
-    return chosen.select("sample_id", "category", "prediction_id", "annotation_id", F.round("distance", 6).alias("distance"))
+    return sorted_fold(pairs, key, ["pred_pos", "distance", "gt_pos"], ["pred_pos", "gt_pos"], start, "matched", "boolean").where("matched").drop("matched")
 
 
 def _ratio(a: str, b: Column) -> Column:

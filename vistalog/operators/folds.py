@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 _ARROW = {"long": pa.int64(), "boolean": pa.bool_()}
@@ -31,3 +33,30 @@ def sorted_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], inputs
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, f"{fields}, `{name}` {kind}")
+
+
+def key_starts(table: pa.Table, keys: Sequence[str]) -> np.ndarray:
+    """Where a new key begins in sorted rows; the first row begins one."""
+    new = np.zeros(table.num_rows, bool)
+    new[:1] = True
+    for k in keys:
+        column = table.column(k).combine_chunks()
+        new[1:] |= pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
+    return new
+
+
+def whole_keys(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[pa.Table]:
+    """Tables of sorted rows in which all rows of a key are together; a batch and one key's rows are held."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        rows = pa.Table.from_batches(held[-1:] if len(held) == 1 else [*held[-2:]])
+        starts = np.flatnonzero(key_starts(rows, keys))
+        last = int(starts[-1]) - (rows.num_rows - batch.num_rows)
+        if last > 0 or (len(held) > 1 and last == 0):
+            yield pa.Table.from_batches([*held[:-1], batch.slice(0, last)]).combine_chunks()
+            held = [batch.slice(last)]
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()

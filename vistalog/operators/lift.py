@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import backward, forward, yaw_quaternion
+from ..functions.geometry import forward, rotation, yaw_quaternion
 
 MIN_FRUSTUM_POINTS = 3
 
@@ -26,23 +26,53 @@ def liftable(detections: DataFrame) -> DataFrame:
     return detections.dropna(subset=list(needs))
 
 
-def frustum_points(detections: DataFrame, points: DataFrame) -> DataFrame:
+_SENSORS = ("camera_rotation", "camera_translation", "lidar_rotation", "lidar_translation", "ego_rotation", "ego_translation", "intrinsic")
+
+
+def projected(views: DataFrame, points: DataFrame) -> DataFrame:
+    """view, point_pos, ego coordinates ex, ey, ez and image place u, v of the points that a view's camera can see.
+
+    ``views`` (view, lidar_frame_id and sensor columns) meet ``points`` (frame_id, point_pos, x, y, z) on the lidar frame;
+    a point is seen if it is over 0.1 in front of the camera and above the ground.
+    """
+    # Matrices are made once a view, below the join.
+    turn = {f"{n}{i}{j}": c for n, q in (("l", "lidar_rotation"), ("c", "camera_rotation")) for i, row in enumerate(rotation(F.col(q))) for j, c in enumerate(row)}
+    move = {f"{n}{i}": F.element_at(q, i + 1) for n, q in (("lt", "lidar_translation"), ("ct", "camera_translation")) for i in range(3)}
+    lens = {f"k{i}{j}": F.element_at(F.element_at("intrinsic", i + 1), j + 1) for i in range(3) for j in range(3)}
+    known = views.select("view", F.col("lidar_frame_id").alias("frame_id"), *[c.alias(n) for n, c in {**turn, **move, **lens}.items()])
+    joined = known.join(points, "frame_id")
+    dot = lambda m, v: sum((F.col(a) * F.col(b) for a, b in zip(m[1:], v[1:], strict=True)), F.col(m[0]) * F.col(v[0]))
+    joined = joined.withColumns({f"e{x}": dot([f"l{i}{j}" for j in range(3)], "xyz") + F.col(f"lt{i}") for i, x in enumerate("xyz")})
+    joined = joined.withColumns({f"d{i}": F.col(f"e{x}") - F.col(f"ct{i}") for i, x in enumerate("xyz")})
+    seen = joined.withColumns({f"c{x}": dot([f"c{j}{i}" for j in range(3)], ["d0", "d1", "d2"]) for i, x in enumerate("xyz")}).where("cz > 0.1 and ez > 0")
+    k = lambda r: dot([f"k{r}{j}" for j in range(3)], ["cx", "cy", "cz"])
+    return seen.select("view", "point_pos", "ex", "ey", "ez", (k(0) / k(2)).alias("u"), (k(1) / k(2)).alias("v"))
+
+
+def frustum_points(detections: DataFrame, points: DataFrame, cell: int = 64) -> DataFrame:
     """Points in each detection's frustum, in ego coordinates ex, ey, ez, for detections that have enough of them.
 
-    ``detections`` (detection_id, lidar_frame_id, box and sensor columns) meet ``points`` (frame_id, point_pos, x, y, z) on
-    the lidar frame; a point counts if it is over 0.1 in front of the camera, above the ground and projects into the box.
+    Detections of one lidar frame and the same sensors are a view, and points are projected once a view. Boxes meet the
+    projected points by image cells of ``cell`` pixels: a box is listed in the cells that it overlaps, a point is in one, so
+    pairs that are made are near those inside.
     """
     boxes = scaled_boxes(liftable(detections)) if "bx1" not in detections.columns else liftable(detections)
-    joined = boxes.join(points.withColumnRenamed("frame_id", "lidar_frame_id"), "lidar_frame_id")
-    ego = forward(F.col("lidar_rotation"), F.col("lidar_translation"), [F.col("x"), F.col("y"), F.col("z")])
-    joined = joined.select("*", *[c.alias(n) for c, n in zip(ego, ("ex", "ey", "ez"), strict=True)])
-    cam = backward(F.col("camera_rotation"), F.col("camera_translation"), [F.col("ex"), F.col("ey"), F.col("ez")])
-    joined = joined.select("*", *[c.alias(n) for c, n in zip(cam, ("cx", "cy", "cz"), strict=True)]).where("cz > 0.1 and ez > 0")
-    k = lambda r: sum(F.element_at(F.element_at("intrinsic", r), i + 1) * F.col(c) for i, c in enumerate(("cx", "cy", "cz")))
-    u, v = k(1) / k(3), k(2) / k(3)
-    inside = joined.where(u.between(F.col("bx1"), F.col("bx2")) & v.between(F.col("by1"), F.col("by2")))
+    sensors = ["lidar_frame_id", *_SENSORS]
+    boxes = boxes.withColumn("view", F.sha2(F.to_json(F.struct(*sensors)), 256))
+    views = boxes.groupBy("view").agg(*[F.first(c).alias(c) for c in sensors])
+    # Boxes of a view bound the places where a point can be of use; a box has at most 128 cells a side.
+    bounds = boxes.groupBy("view").agg(F.min("bx1").alias("_x1"), F.max("bx2").alias("_x2"), F.min("by1").alias("_y1"), F.max("by2").alias("_y2"))
+    bounds = bounds.withColumn("_cell", F.greatest(F.lit(float(cell)), (F.col("_x2") - F.col("_x1")) / 128, (F.col("_y2") - F.col("_y1")) / 128))
+    at = lambda c: F.floor(F.col(c) / F.col("_cell"))
+    span = lambda a, b: F.explode(F.when(F.col(a) <= F.col(b), F.sequence(at(a), at(b))))
+    listed = boxes.select("detection_id", "view", "bx1", "bx2", "by1", "by2").join(bounds.select("view", "_cell"), "view").select("*", span("bx1", "bx2").alias("_u"))
+    listed = listed.select("detection_id", "view", "bx1", "bx2", "by1", "by2", "_u", span("by1", "by2").alias("_v"))
+    seen = projected(views, points).join(bounds, "view").where(F.col("u").between(F.col("_x1"), F.col("_x2")) & F.col("v").between(F.col("_y1"), F.col("_y2")))
+    seen = seen.select("view", "point_pos", "ex", "ey", "ez", "u", "v", at("u").alias("_u"), at("v").alias("_v"))
+    inside = seen.join(listed, ["view", "_u", "_v"]).where(F.col("u").between(F.col("bx1"), F.col("bx2")) & F.col("v").between(F.col("by1"), F.col("by2")))
     enough = inside.groupBy("detection_id").agg(F.count("*").alias("frustum_point_count")).where(F.col("frustum_point_count") >= MIN_FRUSTUM_POINTS)
-    return inside.select("detection_id", "point_pos", "ex", "ey", "ez", "ego_rotation", "ego_translation").join(enough, "detection_id")
+    kept = inside.select("detection_id", "point_pos", "ex", "ey", "ez").join(enough, "detection_id")
+    return kept.join(boxes.select("detection_id", "ego_rotation", "ego_translation"), "detection_id").select("detection_id", "point_pos", "ex", "ey", "ez", "ego_rotation", "ego_translation", "frustum_point_count")
 
 
 def _neighbours(points: np.ndarray, eps: float) -> list[np.ndarray]:

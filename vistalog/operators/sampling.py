@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .folds import sorted_fold
+from .chains import chained
 
 _ORDER = ("timestamp_us", "anchor_pos")
 
@@ -35,22 +35,10 @@ def every_nth(anchors: DataFrame, n: int) -> DataFrame:
 
 
 def spaced(anchors: DataFrame, gap_us: int | None) -> DataFrame:
-    """Keep an anchor that is the first or at least ``gap_us`` after the last one kept: a fold over each segment in order."""
+    """Keep an anchor that is the first or at least ``gap_us`` after the last one kept: a path over time buckets (see chains)."""
     if not gap_us:
         return anchors
-
-    def start():
-        last = None
-
-        def step(t: int) -> bool:
-            nonlocal last
-            keep = last is None or t - last >= gap_us
-            last = t if keep else last
-            return keep
-
-        return step
-
-    return sorted_fold(anchors, ["segment_id"], _ORDER, ["timestamp_us"], start, "_keep", "boolean").where("_keep").drop("_keep")
+    return chained(anchors, ["segment_id"], _ORDER, gap_us - 1).where("first").drop("first", "part")
 
 
 def capped(anchors: DataFrame, most: int | None) -> DataFrame:

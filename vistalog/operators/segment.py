@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .folds import sorted_fold
+from .chains import chained
 
 ORDER = ("timestamp_us", "pos")
 _MARK = {"sequence": "seq", "gap_based": "gap", "fixed_window": "win"}
@@ -74,27 +74,15 @@ def window_chunks(grouped: DataFrame, duration_us: int, stride_us: int | None =
 def split_by_limits(chunks: DataFrame, max_duration_us: int | None = None, max_frame_count: int | None = None) -> DataFrame:
     """Add part: a new one where a frame would exceed the count, or lies strictly more than the duration after the part's first.
 
-    Each cut starts anew, so a duration needs a fold over the chunk in order; a count alone is a division.
+    A count alone is a division; a duration is a path along each frame's next cut, over time buckets, so that one long
+    chunk is many tasks (see chains).
     """
-    w = Window.partitionBy("group_key", "chunk").orderBy(*ORDER)
     if not max_duration_us and not max_frame_count:
         return chunks.withColumn("part", F.lit(0).cast("long"))
     if not max_duration_us:
+        w = Window.partitionBy("group_key", "chunk").orderBy(*ORDER)
         return chunks.withColumn("part", F.floor((F.row_number().over(w) - 1) / max_frame_count))
-
-    def start():
-        part, first, count = -1, 0, 0
-
-        def step(t: int) -> int:
-            nonlocal part, first, count
-            if part < 0 or t - first > max_duration_us or (max_frame_count and count + 1 > max_frame_count):
-                part, first, count = part + 1, t, 0
-            count += 1
-            return part
-
-        return step
-
-    return sorted_fold(chunks, ["group_key", "chunk"], ORDER, ["timestamp_us"], start, "part", "long")
+    return chained(chunks, ["group_key", "chunk"], ORDER, max_duration_us, max_frame_count).drop("first")
 
 
 def drop_short(parts: DataFrame, min_frame_count: int = 1, min_duration_us: int = 0, long_groups: bool = False) -> DataFrame:
