@@ -48,14 +48,12 @@ def bucketed_gap_chunks(grouped: DataFrame, max_gap_us: int, bucket_us: int) ->
     if bucket_us <= 0:
         raise ValueError("buckets must have a width")
     key = ["group_key", "_bucket"]
-    rows = grouped.withColumn("_bucket", F.floor(F.col("timestamp_us") / bucket_us))
     in_order, by_bucket = Window.partitionBy(*key).orderBy(*ORDER), Window.partitionBy("group_key").orderBy("_bucket")
-    ends = rows.groupBy(*key).agg(F.min("timestamp_us").alias("_low"), F.max("timestamp_us").alias("_high"))
-    first = ends.select(*key, F.coalesce((F.col("_low") - F.lag("_high").over(by_bucket) > max_gap_us).cast("long"), F.lit(0).cast("long")).alias("_first"))
-    local = rows.withColumn("_cut", (F.col("timestamp_us") - F.lag("timestamp_us").over(in_order) > max_gap_us).cast("long"))
-    inside = local.groupBy(*key).agg(F.coalesce(F.sum("_cut"), F.lit(0)).alias("_cuts"))
-    offsets = inside.join(first, key).withColumn("_before", F.sum(F.col("_cuts") + F.col("_first")).over(by_bucket) - F.col("_cuts")).select(*key, "_before")
-    counted = local.withColumn("_here", F.sum(F.coalesce("_cut", F.lit(0))).over(in_order))
+    local = grouped.withColumn("_bucket", F.floor(F.col("timestamp_us") / bucket_us)).withColumn("_cut", F.coalesce((F.col("timestamp_us") - F.lag("timestamp_us").over(in_order) > max_gap_us).cast("long"), F.lit(0)))
+    ends = local.groupBy(*key).agg(F.min("timestamp_us").alias("_low"), F.max("timestamp_us").alias("_high"), F.sum("_cut").alias("_cuts"))
+    first = F.coalesce((F.col("_low") - F.lag("_high").over(by_bucket) > max_gap_us).cast("long"), F.lit(0))
+    offsets = ends.withColumn("_first", first).select(*key, (F.sum(F.col("_cuts") + F.col("_first")).over(by_bucket) - F.col("_cuts")).alias("_before"))
+    counted = local.withColumn("_here", F.sum("_cut").over(in_order))
     return counted.join(offsets, key).withColumn("chunk", (F.col("_before") + F.col("_here")).cast("long")).select(*grouped.columns, "chunk")
 
 
@@ -85,18 +83,9 @@ def split_by_limits(chunks: DataFrame, max_duration_us: int | None = None, max_f
     return chained(chunks, ["group_key", "chunk"], ORDER, max_duration_us, max_frame_count).drop("first")
 
 
-def drop_short(parts: DataFrame, min_frame_count: int = 1, min_duration_us: int = 0, long_groups: bool = False) -> DataFrame:
-    """Leave out parts with too few frames or too short a time.
-
-    Windows keep the partitioning by group, so that this needs no shuffle of its own; with ``long_groups`` the parts are
-    aggregated and joined, which spreads a group over tasks.
-    """
-    key = ["group_key", "chunk", "part"]
-    n, span = F.count("*"), F.max("timestamp_us") - F.min("timestamp_us")
-    if long_groups:
-        good = parts.groupBy(*key).agg(n.alias("_n"), span.alias("_span")).where((F.col("_n") >= min_frame_count) & (F.col("_span") >= min_duration_us))
-        return parts.join(good.select(*key), key, "left_semi")
-    w = Window.partitionBy(*key)
+def drop_short(parts: DataFrame, min_frame_count: int = 1, min_duration_us: int = 0) -> DataFrame:
+    """Leave out parts with too few frames or too short a time; windows keep the partitioning by group, so there is no shuffle."""
+    w = Window.partitionBy("group_key", "chunk", "part")
     marked = parts.withColumn("_n", F.count("*").over(w)).withColumn("_span", F.max("timestamp_us").over(w) - F.min("timestamp_us").over(w))
     return marked.where((F.col("_n") >= min_frame_count) & (F.col("_span") >= min_duration_us)).drop("_n", "_span")
 
@@ -107,15 +96,11 @@ def segment_id(raw_log_id: str, strategy: str, group_key: Column, index: Column)
     return F.when(index == 0, group_key).otherwise(numbered) if strategy == "sequence" else numbered
 
 
-def number_segments(parts: DataFrame, raw_log_id: str, strategy: str, long_groups: bool = False) -> DataFrame:
-    """Frames with segment_id; numbers count the group's surviving parts. With ``long_groups`` only the list of parts is
-    numbered in one task a group, and joined."""
+def number_segments(parts: DataFrame, raw_log_id: str, strategy: str) -> DataFrame:
+    """Frames with segment_id; numbers count the group's surviving parts."""
     by = Window.partitionBy("group_key").orderBy("chunk", "part")
-    named = lambda df: df.withColumn("segment_id", segment_id(raw_log_id, strategy, F.col("group_key"), F.col("segment_index")))
-    if long_groups:
-        keys = parts.select("group_key", "chunk", "part").distinct()
-        return parts.join(named(keys.withColumn("segment_index", (F.row_number().over(by) - 1).cast("long"))), ["group_key", "chunk", "part"])
-    return named(parts.withColumn("segment_index", (F.dense_rank().over(by) - 1).cast("long")))
+    numbered = parts.withColumn("segment_index", (F.dense_rank().over(by) - 1).cast("long"))
+    return numbered.withColumn("segment_id", segment_id(raw_log_id, strategy, F.col("group_key"), F.col("segment_index")))
 
 
 def rollup(segmented: DataFrame) -> DataFrame:
@@ -147,6 +132,13 @@ def segments(frames: DataFrame, raw_log_id: str = "log", strategy: str = "gap_ba
         chunks = sequence_chunks(grouped)
     else:
         raise ValueError(f"unknown strategy {strategy}")
-    long_groups = bucket_us is not None
-    parts = drop_short(split_by_limits(chunks, max_duration_us, max_frame_count), min_frame_count, min_duration_us, long_groups)
-    return number_segments(parts, raw_log_id, strategy, long_groups)
+    parts = split_by_limits(chunks, max_duration_us, max_frame_count)
+    if bucket_us is None:
+        return number_segments(drop_short(parts, min_frame_count, min_duration_us), raw_log_id, strategy)
+    # One table of parts says which stay and numbers them, so rows meet it in one join.
+    key = ["group_key", "chunk", "part"]
+    sizes = parts.groupBy(*key).agg(F.count("*").alias("_n"), (F.max("timestamp_us") - F.min("timestamp_us")).alias("_span"))
+    good = sizes.where((F.col("_n") >= min_frame_count) & (F.col("_span") >= min_duration_us)).select(*key)
+    index = (F.row_number().over(Window.partitionBy("group_key").orderBy("chunk", "part")) - 1).cast("long")
+    named = good.withColumn("segment_index", index).withColumn("segment_id", segment_id(raw_log_id, strategy, F.col("group_key"), F.col("segment_index")))
+    return parts.join(named, key)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import associate as J
 from ..operators import sampling as A
 from ..operators import segment as G
+from ..operators.steps import written
 from .adapters import ctes, view
 
 HOUR = 3_600_000_000
@@ -154,8 +155,13 @@ def g7_segment_ids(spark, d):
 G7 = f"{_SEGMENTED} select frame_id, segment_id, cast(segment_index as bigint) as segment_index from segmented"
 
 
-def _anchored(spark, d):
-    frames = _gaps(spark, d, min_frame_count=2)
+def _segmented(spark, d):
+    """Segments built once, for queries that use them several times."""
+    return written(_gaps(spark, d, min_frame_count=2), "segmented")
+
+
+def _anchored(spark, d, frames=None):
+    frames = _segmented(spark, d) if frames is None else frames
     return frames, A.capped(A.channel_anchors(frames, "view"), None)
 
 
@@ -224,8 +230,8 @@ def j1_target_channels(spark, d):
     return J.target_channels(_gaps(spark, d, min_frame_count=2))
 
 
-def _associated(spark, d, strategy="nearest"):
-    frames, anchors = _anchored(spark, d)
+def _associated(spark, d, strategy="nearest", frames=None):
+    frames, anchors = _anchored(spark, d, frames)
     return J.associate(anchors, frames, J.target_channels(frames), strategy, 3 * HOUR)
 
 
@@ -385,9 +391,10 @@ from r group by segment_id"""
 
 
 def j14_scenes(spark, d):
-    segs = G.rollup(_gaps(spark, d, min_frame_count=2))
-    kept = J.kept_samples(_samples(spark, d), True, ["click"])
-    frames = _associated(spark, d).where("frame_id is not null").join(kept, ["segment_id", "anchor_index"], "left_semi")
+    segmented = _segmented(spark, d)
+    segs, associated = G.rollup(segmented), written(_associated(spark, d, frames=segmented), "associated")
+    kept = J.kept_samples(J.missing_channels(associated), True, ["click"])
+    frames = associated.where("frame_id is not null").join(kept, ["segment_id", "anchor_index"], "left_semi")
     return J.assemble(segs, kept, frames).select("segment_id", "start_us", "end_us", "sample_count", "frame_count", _joined())
 
 
