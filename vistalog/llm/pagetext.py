@@ -5,9 +5,9 @@ tag and its class, id and role, and counts containers among their like siblings.
 host's distinct pages are equal form an equivalence class. A class is valid if it has two tokens or more and lies on
 most of the pages; since a path holds its ancestors' paths, valid classes nest into the host's template. Its elements
 that each page has once bound the slots. The content slot is the deepest of them that holds half of the host's text,
-one that is marked as an article or main element before others, and what remains in it is the main text: without strings
-that the template repeats, without parts that HTML marks as no text of the page, and without slots of the template
-whose names say so. Names decide nothing else, unless a host has too few pages for a template or a page is off its
+one that is marked as an article or main element before others, and what remains in it is the main text: without
+containers of which the template has the whole text, without parts that HTML marks as no text of the page, and without slots of
+the template whose names say so. A string that pages repeat stays where it stands among others that differ, as headings do. Names decide nothing else, unless a host has too few pages for a template or a page is off its
 host's template; such a page is read by the same rule on itself alone.
 
 Occurrence vectors never meet in one place: sums of page hashes stand for them, so a host with most of the pages is
@@ -54,7 +54,8 @@ COMMENT = re.compile(r"(?:^|[\s_-])(?:comments?|reply|replies)(?:$|[\s_-])", re.
 class Page:
     """Block elements of a page, as (path, parent, rank, depth, aside), and its text blocks, as (element, text).
 
-    rank is 2 for an article, 1 for a main element, -1 for a leaf that can't hold a page's text, -2 for a title, else 0.
+    rank is 2 for an article, 1 for a main element, -1 for a leaf that can't hold a page's text, -2 for a title and -3 for a
+    lesser heading, else 0.
     aside has bit TAG under an element that HTML sets aside, and bit NAME under one whose class, id or role does.
     """
 
@@ -147,7 +148,7 @@ class Page:
                     hidden = True
                 elif re.search(r"display\s*:\s*none", value, re.I):
                     hidden = True
-        rank = 2 if name == "article" or body else 1 if name == "main" or "main" in label.split() else -2 if name in ("h1", "h2") else -1 if name in LEAF else 0
+        rank = 2 if name == "article" or body else 1 if name == "main" or "main" in label.split() else -2 if name in ("h1", "h2") else -3 if name in ("h3", "h4", "h5", "h6") else -1 if name in LEAF else 0
         if rank > 0:
             aside |= NAME * bool(COMMENT.search(label))
         elif name == "header":
@@ -196,13 +197,27 @@ class Page:
                     out[k] = out[k] or e[2] == -2 and e[1] == self.elements[i][1]
         return out
 
+    def constant(self, inside: list[bool], root: int, repeated: frozenset[int]) -> list[bool]:
+        """Whether each element lies in a container in the slot whose blocks the template repeats, all of them, headings and more."""
+        varies, holds = [False] * len(self.elements), [False] * len(self.elements)
+        for i, t in self.blocks:
+            marks = holds if string_token(self.elements[i][0], t) in repeated else varies
+            if marks is varies or self.elements[i][2] >= -1:
+                while i >= 0 and not marks[i]:
+                    marks[i], i = True, self.elements[i][1]
+        out = [False]
+        for i, (path, parent, rank, _, _) in enumerate(self.elements[1:], 1):
+            out.append(out[parent] or (inside[i] and path != root and rank == 0 and holds[i] and not varies[i]))
+        return out
+
     def slot(self, root: int, template: frozenset[int], repeated: frozenset[int]) -> str:
         """Blocks of the template's content slot, one a line."""
         inside, named = self.inside(root), [False]
+        constant = self.constant(inside, root, repeated)
         for path, parent, _, _, aside in self.elements[1:]:
             begins = bool(aside & NAME) and not self.elements[parent][4] & NAME
             named.append(named[parent] or begins and path in template)
-        return "\n".join(t for i, t in self.blocks if inside[i] and not self.elements[i][4] & TAG and not named[i] and string_token(self.elements[i][0], t) not in repeated)
+        return "\n".join(t for i, t in self.blocks if inside[i] and not self.elements[i][4] & TAG and not named[i] and not constant[i])
 
     def text(self, root: int | None, template: frozenset[int] = frozenset(), repeated: frozenset[int] = frozenset()) -> str:
         """What slot() gives, or without a template or off it the blocks of the page's own content that don't stand aside."""
@@ -260,14 +275,13 @@ def tokens(pages: DataFrame) -> DataFrame:
     return pages.select("url", "html").mapInArrow(run, "host string, token long, text boolean, rank int, depth int, named boolean, n long, chars long, v1 long, v2 long")
 
 
-def choose(summed: DataFrame, pages: int = 3, share: float = 0.5, repeats: float = 0.9, string_pages: int = 5) -> DataFrame:
+def choose(summed: DataFrame, pages: int = 3, share: float = 0.5, repeats: float = 0.9) -> DataFrame:
     """host, root, template and repeated (arrays of paths and of string tokens) of each host with at least ``pages`` pages.
 
     ``summed`` has host, token, text, rank, depth, named, pages, n, chars, v1, v2. Classes are the tokens of a host with
     equal vectors. Of the paths in valid classes that pages have once and that hold half of the host's text, which are
     nested, the root is the deepest article, else the deepest main element, else the deepest of all. ``template`` has the
-    paths of valid classes that names set aside. A string repeats if a valid class holds it on ``repeats`` of at least
-    ``string_pages`` pages.
+    paths of valid classes that names set aside. A string repeats if a valid class holds it on ``repeats`` of the pages.
     """
     size = summed.groupBy("host", "pages", "n", "v1", "v2").agg(F.count("*").alias("large"))
     whole = summed.where("token = 0 and not text").select("host", F.col("pages").alias("of"), F.col("chars").alias("total")).where(F.col("of") >= pages)
@@ -275,7 +289,7 @@ def choose(summed: DataFrame, pages: int = 3, share: float = 0.5, repeats: float
     slot = valid.where(~F.col("text") & (F.col("chars") > 0) & (F.col("rank") >= 0) & (F.col("n") == F.col("pages")) & (2 * F.col("chars") >= F.col("total")))
     order = F.struct("rank", "depth", (-F.col("token")).alias("neg"))
     roots = slot.groupBy("host").agg((-F.max(order)["neg"]).alias("root"))
-    repeated = F.col("text") & (F.col("pages") >= repeats * F.col("of")) & (F.col("of") >= string_pages)
+    repeated = F.col("text") & (F.col("pages") >= repeats * F.col("of"))
     parts = valid.where(repeated | F.col("named")).groupBy("host").agg(F.sort_array(F.collect_list(F.when(F.col("named"), F.col("token")))).alias("template"), F.sort_array(F.collect_list(F.when(repeated, F.col("token")))).alias("repeated"))
     return roots.join(parts, "host", "left")
 
