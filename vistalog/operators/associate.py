@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.geometry import mix, slerp
 from .asof import DIRECTIONS, asof
 from .folds import sorted_fold
 from .steps import written
@@ -176,6 +177,22 @@ def interpolated_pose(frames: DataFrame, poses: DataFrame, tolerance_us: int = 1
     return both.withColumn("x", x).drop("p", "q")
 
 
+def interpolated_transform(frames: DataFrame, poses: DataFrame, tolerance_us: int = 100_000) -> DataFrame:
+    """Frames with translation and rotation between the poses before and after, both within tolerance.
+
+    Translations lie on the straight line and rotations (w, x, y, z) on the shorter arc, in proportion to time; a pose of equal
+    time is taken as it is, with its rotation normalised. Without a pose on each side both are null.
+    """
+    bucket = max(1, 10 * tolerance_us)
+    before = asof(frames, poses, [], "previous", tolerance_us, bucket_us=bucket).withColumnRenamed("found", "_p")
+    both = asof(before, poses, [], "next", tolerance_us, bucket_us=bucket).withColumnRenamed("found", "_q")
+    share = (F.col("timestamp_us") - F.col("_p.timestamp_us")) / F.nullif(F.col("_q.timestamp_us") - F.col("_p.timestamp_us"), F.lit(0))
+    both = both.withColumn("_share", F.when(F.col("_p").isNotNull() & F.col("_q").isNotNull(), F.coalesce(share, F.lit(0.0))))
+    known = F.col("_share").isNotNull()
+    moved = both.withColumn("translation", F.when(known, mix(F.col("_p.translation"), F.col("_q.translation"), F.col("_share"), 3)))
+    return moved.withColumn("rotation", F.when(known, slerp(F.col("_p.rotation"), F.col("_q.rotation"), F.col("_share")))).drop("_p", "_q", "_share")
+
+
 def _posed(joined: DataFrame) -> DataFrame:
     return joined.withColumn("ego_pose_id", F.col("found.ego_pose_id")).drop("found")
 

@@ -107,6 +107,31 @@ def distribution(left: DataFrame, right: DataFrame, by: str) -> DataFrame:
     return both.withColumn("difference", F.col("right_share") - F.col("left_share")).withColumn("l1", F.abs("difference")).withColumn("psi", F.round((b - a) * F.log(b / a), 9))
 
 
+def distribution_sets(left: DataFrame, right: DataFrame, by: Sequence[Sequence[str]]) -> DataFrame:
+    """distribution() over several sets of columns in one pass over both versions.
+
+    A row for each value of each set: ``compared`` names the set's columns, joined by ``+``, columns outside it are null, and
+    total_left and total_right are the rows of each version. A null value counts as one of its own. Shares of a version
+    without rows are 0.
+    """
+    sets = [list(s) for s in by]
+    columns = list(dict.fromkeys(c for s in sets for c in s))
+    side = lambda df, n: df.select(*columns, F.lit(n).alias("_left"))
+    both = side(left, 1).unionByName(side(right, 0))
+    count = lambda n: F.count_if(F.col("_left") == n)
+    apart = F.concat(*[F.grouping(c).cast("string") for c in columns])
+    counted = both.groupingSets([[], *[[F.col(c) for c in s] for s in sets]], *columns).agg(count(1).alias("_a"), count(0).alias("_b"), apart.alias("_set"))
+    named = {"".join("0" if c in s else "1" for c in columns): "+".join(s) for s in sets}
+    totals = counted.where(F.col("_set") == "1" * len(columns)).select(F.col("_a").alias("total_left"), F.col("_b").alias("total_right"))
+    compared = F.create_map(*[F.lit(x) for pair in named.items() for x in pair])[F.col("_set")]
+    # The set without columns has one row, if there are rows at all.
+    out = with_totals(counted.where(F.col("_set") != "1" * len(columns)), totals.agg(*[F.max(c).alias(c) for c in ("total_left", "total_right")]))
+    share = lambda n, of: F.coalesce(F.try_divide(F.col(n), F.col(of)), F.lit(0.0))
+    out = out.select(compared.alias("compared"), *columns, "total_left", "total_right", share("_a", "total_left").alias("left_share"), share("_b", "total_right").alias("right_share"))
+    a, b = F.greatest("left_share", F.lit(1e-6)), F.greatest("right_share", F.lit(1e-6))
+    return out.withColumn("difference", F.col("right_share") - F.col("left_share")).withColumn("l1", F.abs("difference")).withColumn("psi", F.round((b - a) * F.log(b / a), 9))
+
+
 def split(rows: DataFrame, key: str, shares: Sequence[tuple[str, int]] = (("train", 80), ("val", 10), ("test", 10))) -> DataFrame:
     """Rows with a split by a hash of ``key``, so that a key is always in the same one; shares are parts of 100."""
     if sum(n for _, n in shares) != 100:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +10,8 @@ from .. import schemas
 from ..operators.steps import folder
 from ..sources import readers as R
 from ..sources import writers as W
+from ..sources.arrays import json_array
+from ..sources.ranges import lidar_points, write_lidar_points
 from .adapters import ctes, table, view
 
 
@@ -90,7 +93,47 @@ def s8_reset_version(spark, d):
     return spark.read.parquet(path).select(*scenes.columns)
 
 
+def s1_split_arrays(spark, d):
+    """Files that are one array each, and one trailing mark, read by ranges far smaller than a file."""
+    path = folder(spark, "arrays")
+    kind = "token string, note struct<text:string,list:array<string>>, size long"
+    note = F.struct(F.concat(F.lit('a "quoted" [\\] {'), "channel", F.lit("},")).alias("text"), F.array("frame_id", F.lit('\\"]')).alias("list"))
+    rows = view(spark, d, "raw_frames").select(F.col("frame_id").alias("token"), note.alias("note"), F.col("timestamp_us").alias("size"))
+    lines = rows.select(F.to_json(F.struct("*")).alias("value")).repartition(3, "value")
+
+    def bracketed(batches):
+        held = "["
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                if held != "[":
+                    yield pa.RecordBatch.from_arrays([pa.array([held])], ["value"])
+                    held = ""
+                held += text
+        yield pa.RecordBatch.from_arrays([pa.array([held + "]"])], ["value"])
+
+    lines.mapInArrow(bracketed, "value string").write.option("lineSep", ",").text(path)
+    return json_array(spark, path, kind, 100_000).select("token", F.col("note.text").alias("text"), F.col("note.list")[1].alias("second"), "size")
+
+
+S1A = rf"""with {ctes('raw_frames')} select frame_id as token, 'a "quoted" [\] {{' || channel || '}},' as text, '\"]' as second, timestamp_us as size from raw_frames"""
+
+
+def s6_lidar_points(spark, d):
+    """Embeddings as sweeps of points, written as binary files and read again by ranges smaller than a file."""
+    path = folder(spark, "lidar")
+    rows = table(spark, d, "embeddings").select(F.concat(F.lit("sweep"), (F.col("vec_id") % 7).cast("string")).alias("frame_id"), "vec_id", F.posexplode("embedding").alias("k", "v"))
+    points = rows.where("k % 3 = 0").select("frame_id", (F.col("vec_id") * 100 + F.col("k")).alias("point_pos"), F.col("v").cast("double").alias("x"), F.col("k").cast("double").alias("y"), (F.col("vec_id") % 1000).cast("double").alias("z"))
+    write_lidar_points(points, path)
+    return lidar_points(spark, path, 50_000).select("frame_id", "point_pos", F.round("x", 6).alias("x"), "y", "z")
+
+
+S6 = """with p as (select 'sweep' || cast(vec_id % 7 as varchar) as frame_id, vec_id, unnest(embedding) as v, generate_subscripts(embedding, 1) - 1 as k from embeddings)
+select frame_id, row_number() over (partition by frame_id order by vec_id * 100 + k) - 1 as point_pos, round(cast(v as double), 6) as x, cast(k as double) as y, cast(vec_id % 1000 as double) as z from p where k % 3 = 0"""
+
+
 QUERIES = {
+    "s1_split_arrays": (s1_split_arrays, S1A),
+    "s6_lidar_points": (s6_lidar_points, S6),
     "s1_source_tables": (s1_source_tables, S1),
     "s2_raw_log": (s2_raw_log, S2),
     "s3_scene_manifests": (s3_scene_manifests, S3),

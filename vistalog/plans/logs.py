@@ -336,6 +336,30 @@ select f.frame_id, round(case when a.t = b.t then b.x else b.x + (b.ft - b.t) /
 from raw_frames f left join (select * from a where rn = 1) a using (frame_id) left join (select * from b where rn = 1) b using (frame_id)"""
 
 
+def x7_interpolated_transform(spark, d):
+    """Poses turn with their value, about an axis between x and z, and some quaternions stand for the far arc."""
+    angle, far = F.col("x") / 40, F.when(F.col("pos") % 2 == 0, -1.0).otherwise(1.0)
+    rotation = F.array(far * F.cos(angle / 2), far * 0.6 * F.sin(angle / 2), F.lit(0.0), far * 0.8 * F.sin(angle / 2))
+    poses = view(spark, d, "ego_poses").select("ego_pose_id", "timestamp_us", "pos", F.array("x", F.col("x") * 2, F.col("pos").cast("double")).alias("translation"), rotation.alias("rotation"))
+    out = J.interpolated_transform(_frames(spark, d), poses, 360_000_000)
+    r = lambda c, i, n: F.round(F.element_at(c, i), 6).alias(n)
+    # The sign of a quaternion is free: the first part that is not zero is made positive.
+    sign = F.when(F.element_at("rotation", 1) < 0, -1.0).otherwise(1.0)
+    out = out.withColumn("turned", F.transform("rotation", lambda c: c * sign))
+    return out.select("frame_id", *[r("translation", i + 1, f"t{n}") for i, n in enumerate("xyz")], *[r("turned", i + 1, f"r{n}") for i, n in enumerate("wxyz")])
+
+
+X7T = f"""{_WITH},
+poses as (select *, case when pos % 2 = 0 then -1.0 else 1.0 end::double as s, x / 80 as h from ego_poses), p as (select timestamp_us as t, pos, x, x * 2 as y, pos::double as z, s * cos(h) as qw, s * 0.6::double * sin(h) as qx, s * 0.8::double * sin(h) as qz from poses),
+a as (select f.frame_id, p.*, row_number() over (partition by f.frame_id order by p.t, p.pos) as rn from raw_frames f join p on p.t between f.timestamp_us and f.timestamp_us + 360000000),
+b as (select f.frame_id, p.*, row_number() over (partition by f.frame_id order by p.t desc, p.pos) as rn from raw_frames f join p on p.t between f.timestamp_us - 360000000 and f.timestamp_us),
+m as (select f.frame_id, coalesce((f.timestamp_us - b.t) / nullif(a.t - b.t, 0)::double, 0.0) as k, b.x as bx, b.y as b_y, b.z as bz, a.x as ax, a.y as a_y, a.z as az, b.qw as bw, b.qx as bqx, b.qz as bqz, a.qw * sg as aw, a.qx * sg as aqx, a.qz * sg as aqz, least(abs(dt), 1.0) as dot
+  from raw_frames f join (select * from a where rn = 1) a using (frame_id) join (select * from b where rn = 1) b using (frame_id), lateral (select a.qw * b.qw + a.qx * b.qx + a.qz * b.qz as dt), lateral (select case when dt < 0 then -1.0 else 1.0 end::double as sg)),
+w as (select *, case when dot > 1 - 1e-10 then 1 - k else sin((1 - k) * acos(dot)) / nullif(sin(acos(dot)), 0) end as wb, case when dot > 1 - 1e-10 then k else sin(k * acos(dot)) / nullif(sin(acos(dot)), 0) end as wa from m),
+q as (select *, wb * bw + wa * aw as rw, wb * bqx + wa * aqx as rx, wb * bqz + wa * aqz as rz from w), n as (select *, sqrt(rw * rw + rx * rx + rz * rz) * case when rw < 0 then -1 else 1 end as l from q)
+select f.frame_id, round(bx * (1 - k) + ax * k, 6) as tx, round(b_y * (1 - k) + a_y * k, 6) as ty, round(bz * (1 - k) + az * k, 6) as tz, round(rw / l, 6) as rw, round(rx / l, 6) as rx, case when l is not null then 0.0::double end as ry, round(rz / l, 6) as rz from raw_frames f left join n using (frame_id)"""
+
+
 def j10_image_metadata(spark, d):
     frames = view(spark, d, "sample_frames").withColumn("fileformat", F.lit(None).cast("string"))
     return J.image_metadata(frames).select("frame_id", "channel", F.col("image.width").alias("width"), F.col("image.height").alias("height"), F.col("image").isNotNull().alias("has_image"))
@@ -447,4 +471,5 @@ QUERIES = {
     "j14_scenes": (j14_scenes, J14),
     "j15_segment_frames": (j15_segment_frames, J15),
     "x7_interpolated_pose": (x7_interpolated_pose, X7),
+    "x7_interpolated_transform": (x7_interpolated_transform, X7T),
 }

@@ -182,6 +182,19 @@ b as (select channel, count(*) / sum(count(*)) over ()::double as right_share fr
 select *, right_share - left_share as difference, abs(right_share - left_share) as l1, round((greatest(right_share, 1e-6) - greatest(left_share, 1e-6)) * ln(greatest(right_share, 1e-6) / greatest(left_share, 1e-6)), 9) as psi from j"""
 
 
+def x1_distribution_sets(spark, d):
+    rows = view(spark, d, "scenes").join(view(spark, d, "scene_channels"), "scene_id").withColumn("size_class", F.least("sample_count", F.lit(4)))
+    left, right = rows.where("dataset_id = 'ds-1'"), rows.where("dataset_id = 'ds-2' and channel <> 'RADAR_FRONT'")
+    return L.distribution_sets(left, right, [["channel"], ["size_class"], ["channel", "size_class"]])
+
+
+X1S = f"""with {ctes('scenes', 'scene_channels')}, s as (select dataset_id, channel, least(sample_count, 4) as size_class from scenes join scene_channels using (scene_id) where dataset_id = 'ds-1' or dataset_id = 'ds-2' and channel <> 'RADAR_FRONT'),
+g as (select channel, size_class, grouping(channel, size_class) as k, count(*) filter (dataset_id = 'ds-1') as a, count(*) filter (dataset_id = 'ds-2') as b from s group by grouping sets ((), (channel), (size_class), (channel, size_class))),
+t as (select a as total_left, b as total_right from g where k = 3),
+h as (select case k when 1 then 'channel' when 2 then 'size_class' else 'channel+size_class' end as compared, channel, size_class, total_left, total_right, a / total_left::double as left_share, b / total_right::double as right_share from g, t where k <> 3)
+select *, right_share - left_share as difference, abs(right_share - left_share) as l1, round((greatest(right_share, 1e-6) - greatest(left_share, 1e-6)) * ln(greatest(right_share, 1e-6) / greatest(left_share, 1e-6)), 9) as psi from h"""
+
+
 def x3_predicates(spark, d):
     c = _candidates(spark, d).withColumn("end_us", F.col("created_us") + 10)
     c = c.withColumn("start_us", F.col("created_us"))
@@ -240,6 +253,7 @@ QUERIES = {
     "o7_run_results": (o7_run_results, O7),
     "o9_lineage": (o9_lineage, O9),
     "x1_distribution": (x1_distribution, X1),
+    "x1_distribution_sets": (x1_distribution_sets, X1S),
     "x3_predicates": (x3_predicates, X3),
     "x3_ego_speed": (x3_ego_speed, X3S),
     "x4_strategies": (x4_strategies, X4),

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
+from .arrays import json_array
+from .ranges import lidar_points  # noqa: F401
 
 
 def snake(df: DataFrame) -> DataFrame:
@@ -18,15 +18,21 @@ def snake(df: DataFrame) -> DataFrame:
     return df.toDF(*[re.sub(r"(?<!^)([A-Z])", lambda m: "_" + m[1].lower(), c) for c in df.columns])
 
 
-def source_tables(spark: SparkSession, root: str, scene_names: Sequence[str] | None = None, max_scenes: int | None = None, kind: str = "nuscenes", lines: bool = False) -> dict[str, DataFrame]:
+def source_tables(spark: SparkSession, root: str, scene_names: Sequence[str] | None = None, max_scenes: int | None = None, kind: str = "nuscenes", lines: bool = False, range_bytes: int | None = 64 << 20) -> dict[str, DataFrame]:
     """The relational JSON tables of a scene-structured dataset; scenes by name, and the first ``max_scenes`` in source order.
 
-    With ``lines`` a file has a document a line, which lets Spark split it; else a file is one array, read in one task.
+    With ``lines`` a file has a document a line; else a file is one array, and read by ranges of ``range_bytes``, or with None
+    by Spark's own reader, in one task.
     """
     if kind != "nuscenes":
         raise ValueError(f"unsupported source format {kind}")
-    out = {name: spark.read.schema(schema).json(f"{root}/{name}.json", multiLine=not lines) for name, schema in schemas.SOURCE.items()}
-    scenes = out["scene"].withColumn("pos", F.monotonically_increasing_id())
+    if lines or range_bytes is None:
+        out = {name: spark.read.schema(schema).json(f"{root}/{name}.json", multiLine=not lines) for name, schema in schemas.SOURCE.items()}
+        scenes = out["scene"].withColumn("pos", F.monotonically_increasing_id())
+    else:
+        out = {name: json_array(spark, f"{root}/{name}.json", schema, range_bytes) for name, schema in schemas.SOURCE.items()}
+        scenes = out["scene"].withColumn("pos", F.struct("file", "at")).drop("file", "at")
+        out = {name: df.drop("file", "at") for name, df in out.items()}
     if scene_names is not None:
         scenes = scenes.where(F.col("name").isin(*scene_names))
     out["scene"] = scenes.orderBy("pos").limit(max_scenes) if max_scenes else scenes
@@ -56,18 +62,6 @@ def predictions(spark: SparkSession, path: str, lines: bool = False) -> DataFram
     return rows.select("scene_id", "sample_id", F.col("pred_pos").cast("long").alias("pred_pos"), "p.prediction_id", F.col("p.category_name").alias("category"), *xyz, "p.score", "p.lifting_status")
 
 
-def lidar_points(spark: SparkSession, path: str) -> DataFrame:
-    """frame_id (the file's name), point_pos, x, y and z of binary files of five 32-bit floats a point."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for at, content in zip(pdf["path"], pdf["content"], strict=True):
-                p = np.frombuffer(content, "<f4").reshape(-1, 5)[:, :3].astype(np.float64)
-                yield pd.DataFrame({"frame_id": at.rsplit("/", 1)[-1].split(".")[0], "point_pos": np.arange(len(p)), "x": p[:, 0], "y": p[:, 1], "z": p[:, 2]})
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "frame_id string, point_pos long, x double, y double, z double")
-
-
 def sensor_uri(root: Column, relative: Column) -> Column:
     """file:// URI of a path under a root that is a file URI or a bare path; another scheme is an error."""
     base = F.regexp_replace(F.regexp_replace(root, "^file://", ""), "/+$", "")
