@@ -12,6 +12,7 @@ from ..sources import readers as R
 from ..sources import writers as W
 from ..sources.arrays import json_array
 from ..sources.ranges import lidar_points, write_lidar_points
+from ..sources.snapshots import Snapshots
 from .adapters import ctes, table, view
 
 
@@ -115,6 +116,17 @@ def s1_split_arrays(spark, d):
     return json_array(spark, path, kind, 100_000).select("token", F.col("note.text").alias("text"), F.col("note.list")[1].alias("second"), "size")
 
 
+def s8_snapshots(spark, d):
+    """Versions behind a manifest: all scenes, one version reset, another kept as it was, and a staged run that is never committed."""
+    scenes = _scenes(spark, d)
+    store = Snapshots(spark, folder(spark, "snapshots"))
+    store.write(scenes)
+    store.reset(scenes.where("annotation_count > 0"), "ds-1", "v1")
+    store.write(scenes.where("dataset_id = 'ds-2'").withColumn("annotation_count", F.lit(-1).cast("long")), policy="keep")
+    store.stage(scenes.withColumn("sample_count", F.lit(-1).cast("long")))
+    return store.read(", ".join(f"{f.name} {f.dataType.simpleString()}" for f in scenes.schema.fields))
+
+
 S1A = rf"""with {ctes('raw_frames')} select frame_id as token, 'a "quoted" [\] {{' || channel || '}},' as text, '\"]' as second, timestamp_us as size from raw_frames"""
 
 
@@ -139,5 +151,6 @@ QUERIES = {
     "s3_scene_manifests": (s3_scene_manifests, S3),
     "s4_predictions": (s4_predictions, S4),
     "s7_written_tables": (s7_written_tables, S7),
+    "s8_snapshots": (s8_snapshots, f"{S7} where dataset_id <> 'ds-1' or annotation_count > 0"),
     "s8_reset_version": (s8_reset_version, f"{S7} where dataset_id <> 'ds-1' or annotation_count > 0"),
 }
