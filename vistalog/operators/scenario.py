@@ -106,10 +106,13 @@ def predicate(kind: str, **p) -> Column:
 
 
 def ego_speed(poses: DataFrame, key: str = "scene_id") -> DataFrame:
-    """Largest speed between consecutive poses of a scene, in units a second; poses of equal time have none."""
+    """Largest speed between consecutive poses of a scene along the axes x, y and z that they have, in units a second; poses of
+    equal time have none."""
     w = Window.partitionBy(key).orderBy("timestamp_us", "pos")
     step = lambda c: F.col(c) - F.lag(c).over(w)
-    speeds = poses.withColumn("_d", F.abs(step("x"))).withColumn("_t", step("timestamp_us"))
+    axes = [c for c in "xyz" if c in poses.columns]
+    way = F.abs(step(axes[0])) if len(axes) == 1 else F.sqrt(sum(step(c) * step(c) for c in axes))
+    speeds = poses.withColumn("_d", way).withColumn("_t", step("timestamp_us"))
     return speeds.groupBy(key).agg(F.max(F.try_divide(F.col("_d") * 1_000_000, F.nullif("_t", F.lit(0)))).alias("max_speed"))
 
 

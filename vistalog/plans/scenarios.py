@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import catalog as C
+from ..operators import predicates as P
 from ..operators import scenario as M
 from ..operators import views as L
-from .adapters import ctes, view
+from .adapters import ctes, table, view
 
 CHANNELS = ("CAM_FRONT", "LIDAR_TOP")
 FILTERS = {"profile": "detection_ready", "min_annotation_count": 2, "required_channels": CHANNELS}
@@ -213,6 +214,29 @@ X3S = f"""with {ctes('ego_poses')}, p as (select *, cast(pos % 50 as varchar) as
 select scene_id, round(max(v), 6) as max_speed from s group by scene_id"""
 
 
+def x3_definitions(spark, d):
+    """Definitions from a table: a row of each region asks for another number of boxes, of samples and of channels."""
+    k = F.col("r_regionkey")
+    one = lambda name, kind, params, weight, enabled: F.struct(F.lit(name).alias("predicate_id"), F.lit(kind).alias("type"), params.alias("params"), weight.cast("double").alias("weight"), enabled.alias("enabled"))
+    each = F.array(
+        one("boxes", "object_count", F.to_json(F.struct(F.lit("vehicle.car").alias("category"), k.alias("min_count"))), F.lit(2), F.lit(True)),
+        one("few", "object_count", F.to_json(F.struct((k + 3).alias("max_count"))), F.lit(1), k != 2),
+        one("front", "sensor_channel", F.to_json(F.struct(F.array(F.lit("CAM_FRONT")).alias("required_channels"))), F.lit(1), F.lit(True)),
+        one("samples", "custom", F.to_json(F.struct(F.concat(F.lit("sample_count > "), k.cast("string")).alias("expression"))), k, F.lit(True)),
+    )
+    rows = table(spark, d, "region").select(F.concat(F.lit("def-"), k.cast("string")).alias("definition_id"), F.inline(each))
+    scenes = _candidates(spark, d)
+    out = P.evaluate(scenes, view(spark, d, "annotations"), P.from_rows(rows), ["sample_count", "annotation_count"])
+    return out.select("definition_id", "scene_id", F.array_join("matched", ",").alias("matched"), F.array_join("failed", ",").alias("failed"), F.round("score", 6).alias("score"), "passes")
+
+
+X3D = f"""{_CANDIDATES.replace("with ", "with " + ctes("annotations").strip() + ", ", 1)}, boxes as (select scene_id, count(*) filter (category = 'vehicle.car') as cars from annotations group by scene_id),
+e as (select r_regionkey as k, scene_id, [coalesce(coalesce(cars, 0) >= r_regionkey, false), coalesce(annotation_count <= r_regionkey + 3, false), coalesce(list_contains(channels, 'CAM_FRONT'), false), coalesce(sample_count > r_regionkey, false)] as h from c left join boxes using (scene_id), region),
+p as (select k, scene_id, unnest(['boxes', 'few', 'front', 'samples']) as id, unnest(h) as holds, unnest([2.0::double, 1.0::double, 1.0::double, k::double]) as w from e)
+select 'def-' || k as definition_id, scene_id, coalesce(string_agg(id, ',' order by id) filter (holds), '') as matched, coalesce(string_agg(id, ',' order by id) filter (not holds), '') as failed,
+round(coalesce(sum(w) filter (holds), 0) / sum(w), 6) as score, bool_and(holds) as passes from p where k <> 2 or id <> 'few' group by k, scene_id"""
+
+
 def x4_strategies(spark, d):
     s = _scored(spark, d).select("scene_id", "score", "dataset_id")
     tag = lambda df, name: df.select("scene_id", F.lit(name).alias("strategy"))
@@ -255,6 +279,7 @@ QUERIES = {
     "x1_distribution": (x1_distribution, X1),
     "x1_distribution_sets": (x1_distribution_sets, X1S),
     "x3_predicates": (x3_predicates, X3),
+    "x3_definitions": (x3_definitions, X3D),
     "x3_ego_speed": (x3_ego_speed, X3S),
     "x4_strategies": (x4_strategies, X4),
     "x5_split": (x5_split, X5),
