@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import catalog as C
+from ..operators import diverse as V
+from ..operators import exports as X
 from ..operators import predicates as P
 from ..operators import scenario as M
 from ..operators import views as L
+from ..operators.steps import folder
 from .adapters import ctes, table, view
 
 CHANNELS = ("CAM_FRONT", "LIDAR_TOP")
@@ -256,6 +259,63 @@ def x5_split(spark, d):
 X5 = f"""with {ctes('scenes')}, s as (select dataset_id, cast('0x' || substr(sha256(scene_id), 1, 8) as bigint) % 100 as slot from scenes)
 select dataset_id, case when slot < 80 then 'train' when slot < 90 then 'val' else 'test' end as split, count(*) as scenes from s group by all"""
 
+
+def x4_balanced_keys(spark, d):
+    """A report of 300 scenes with quotas over dataset and status, twice the share for validated ones."""
+    s = _scored(spark, d).select("scene_id", "score", "dataset_id", "status")
+    return V.balanced(s, 300, ["dataset_id", "status"], F.when(F.col("status") == "validated", 2.0).otherwise(1.0))
+
+
+X4B = f"""{_SCORED}, n as (select scene_id, score, dataset_id, status, case when status = 'validated' then 2.0::double else 1.0::double end as w, row_number() over (partition by dataset_id, status order by score desc, scene_id) as rn from bucketed)
+select scene_id, score, dataset_id, status, row_number() over (order by (2 * rn - 1) / w, score desc, scene_id) as chosen_rank from n order by chosen_rank limit 300"""
+
+
+_DAY = 86_400_000_000
+
+
+def x4_k_centres(spark, d):
+    """24 scenes that lie far apart in size, age, dataset and status."""
+    s = _scored(spark, d).withColumn("age", F.floor(F.col("created_us") / _DAY))
+    out = V.k_centres(s, 24, {"annotation_count": 1.0, "sample_count": 1.0, "age": 0.0078125}, ["dataset_id", "status"])
+    return out.select("scene_id", "chosen_rank", F.round("distance", 6).alias("distance"))
+
+
+X4K = f"""{_SCORED.replace("with ", "with recursive ", 1)}, f as (select scene_id, score, annotation_count::double as a, sample_count::double as b, floor(created_us / {_DAY}::double) * 0.0078125::double as c, dataset_id as d, status as e from bucketed),
+g as (select 1 as step, *, null::double as dist, row_number() over (order by score desc, scene_id) = 1 as picked from f
+union all select step + 1, scene_id, score, a, b, c, d, e, dn, row_number() over (order by dn desc, score desc, scene_id) = 1 from (
+  select g.* exclude (dist, picked), least(coalesce(g.dist, 1e300::double), (g.a - p.a) ** 2 + (g.b - p.b) ** 2 + (g.c - p.c) ** 2 + (g.d <> p.d)::int + (g.e <> p.e)::int) as dn
+  from g, (select * from g where picked) p where not g.picked) where step < 24)
+select scene_id, step::bigint as chosen_rank, round(dist, 6) as distance from g where picked"""
+
+
+def _split_scenes(spark, d):
+    customers = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("scene_id"), F.col("o_custkey").alias("site"))
+    scenes = view(spark, d, "scenes").join(customers, "scene_id")
+    return X.stratified_split(scenes, "site", ["dataset_id", "has_ground_truth"])
+
+
+_SPLIT = f"""with {ctes('scenes')}, s as (select s.*, o.o_custkey as site from scenes s join orders o on s.scene_id = cast(o.o_orderkey as varchar)),
+c as (select site, dataset_id, has_ground_truth, count(*) as c from s group by all),
+h as (select site, sum(c)::bigint as n, arg_min(dataset_id, (-c, dataset_id, has_ground_truth)) as ds, arg_min(has_ground_truth, (-c, dataset_id, has_ground_truth)) as gt from c group by site),
+m as (select *, 2 * sum(n) over (partition by ds, gt order by sha256(':' || site), site rows unbounded preceding) - n as mid, sum(n) over (partition by ds, gt) as total from h),
+k as (select site, case when mid * 50 < total * 80 then 'train' when mid * 50 < total * 90 then 'val' else 'test' end as split from m),
+x as (select s.*, split from s join k using (site))"""
+
+
+def x5_stratified_split(spark, d):
+    return _split_scenes(spark, d).select("scene_id", "site", "split")
+
+
+def x5_export(spark, d):
+    """Scenes and their channels, written by split and shard, and the index read again."""
+    index = X.export(_split_scenes(spark, d), {"scene_channels": view(spark, d, "scene_channels"), "scene_runs": view(spark, d, "scene_runs")}, folder(spark, "export"), rows_per_shard=500)
+    return index.groupBy("table", "split").agg(F.count("*").alias("shards"), F.sum("row_count").alias("row_count"), F.min("first_key").alias("first_key"), F.max("last_key").alias("last_key"))
+
+
+X5E = f"""{_SPLIT.replace(ctes('scenes'), ctes('scenes', 'scene_channels', 'scene_runs'))}, z as (select split, ceil(count(*) / 500.0)::bigint as shards from x group by split),
+t as (select 'scenes' as "table", split, scene_id from x union all select 'scene_channels', split, scene_id from x join scene_channels using (scene_id) union all select 'scene_runs', split, scene_id from x join scene_runs using (scene_id))
+select "table", split, any_value(shards) as shards, count(*) as row_count, min(scene_id) as first_key, max(scene_id) as last_key from t join z using (split) group by all"""
+
 QUERIES = {
     "m1_filter_reasons": (m1_filter_reasons, f"{_CANDIDATES} select scene_id, reasons from r"),
     "m1_rejected": (m1_rejected, f"{_CANDIDATES} select scene_id, reasons from r where reasons <> ''"),
@@ -282,5 +342,9 @@ QUERIES = {
     "x3_definitions": (x3_definitions, X3D),
     "x3_ego_speed": (x3_ego_speed, X3S),
     "x4_strategies": (x4_strategies, X4),
+    "x4_balanced_keys": (x4_balanced_keys, X4B),
+    "x4_k_centres": (x4_k_centres, X4K),
     "x5_split": (x5_split, X5),
+    "x5_stratified_split": (x5_stratified_split, f"{_SPLIT} select scene_id, site, split from x"),
+    "x5_export": (x5_export, X5E),
 }
