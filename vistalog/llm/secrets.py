@@ -1,6 +1,6 @@
 """Secret scans: fixed patterns, and strings in a sensitive context that a primed compressor finds new.
 
-A candidate's novelty is what it adds to the compressed size of the text around it, under a dictionary of
+The context of a candidate is its line and the one before, up to 256 characters away. Its novelty is what it adds to the compressed size of the text around it, under a dictionary of
 identifiers: words, names and repeated strings add little, keys and tokens add nearly their length.
 """
 
@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -31,6 +32,14 @@ RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}(?:\.[A-Za-z0-9+/_=-]+)*")
 BEGIN = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY[A-Z ]*)-----")
 KEY_LINES = re.compile(r"(?:\s*[A-Za-z0-9+/]{16,}={0,2}(?!\S))+(?:\s+[A-Za-z0-9+/]{1,15}={1,2}(?!\S))?")
 _AROUND = 256
+#: What stands right before, or begins, an encoded string that says what it is: a digest or a file's bytes.
+PUBLIC = re.compile(r"""(?:\b(?:sha-?(?:1|224|256|384|512)|md5|blake[23][bs]?|integrity|checksum|digest|etag|fingerprint|ssh-(?:rsa|ed25519))["']?[-:=\s"'\x20]{1,4}|;base64,)$""", _FLAGS)
+DIGEST = re.compile(r"(?:sha(?:1|224|256|384|512)|md5)[-_:=]", _FLAGS)
+#: First characters of base64 for PNG, JPEG, GIF, ZIP, PDF, WOFF, WebP, SVG and XML files: fixed values.
+FILES = ("iVBORw0KGgo", "/9j/", "R0lGOD", "UEsDB", "JVBERi", "d09GR", "UklGR", "PHN2Zy", "PD94bWw")
+UUID = re.compile(r"[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}", _FLAGS)
+ADDRESS = re.compile(r"[a-z][a-z0-9+.-]*://|www\.|(?<![a-z0-9.-])[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,}/", _FLAGS)
+ONE_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 #: Priming text: identifiers and words usual in code and configuration.
 IDENTIFIERS = """
@@ -149,23 +158,44 @@ def wordlike(s: str, identifiers: str = IDENTIFIERS) -> bool:
     return known >= 0.75 * (n + sum(m.end() - m.start() for m in _DATE.finditer(s)))
 
 
+def spoken_for(text: str, start: int, end: int, words: list[int]) -> bool:
+    """Whether a sensitive word (``words`` has their starts) stands near ``text[start:end]``: in its line or the one before, at most
+    256 characters away. For a part of an address it must be within the address."""
+    line = text.rfind("\n", max(0, start - _AROUND), start)
+    first = start - _AROUND if line < 0 else max(start - _AROUND, text.rfind("\n", max(0, start - _AROUND), line) + 1)
+    after = text.find("\n", end, end + _AROUND)
+    last = end + _AROUND if after < 0 else after
+    before = text[max(0, start - _AROUND) : end].split()[-1]
+    at = ADDRESS.search(before)
+    if at:
+        first, last = end - len(before) + at.end(), end
+    k = bisect_left(words, first)
+    return k < len(words) and words[k] < last
+
+
+def public(text: str, start: int, end: int) -> bool:
+    """Whether a string says itself that it is no secret: a digest, a file's bytes, a UUID, or one word of any language."""
+    s = text[start:end]
+    return bool(s.startswith(FILES) or DIGEST.match(s) or UUID.fullmatch(s.strip("/=+_-")) or ONE_WORD.fullmatch(s.strip("/=+_-")) or PUBLIC.search(text[max(0, start - 24) : start]))
+
+
 def novel_spans(text: str, base: list[tuple[int, int, int, int]], measure: Novelty, least: float) -> list[tuple[int, int, int, int]]:
-    """Private key blocks, and candidates that no base span covers and whose novelty is at least ``least``, if the text
-    has a sensitive word anywhere.
+    """Private key blocks, and candidates that no base span covers, with a sensitive word near them and a novelty of at least ``least``.
 
-    A candidate has 16 characters or more and a letter, and is not made of words, since the compressor knows few of a
-    language's words. What dots join to a novel candidate belongs to it up to the last candidate, and all of it if it
-    starts as encoded JSON does.
+    A candidate has 16 characters or more and a letter, is not public(), and is not made of words, since the compressor knows few
+    of a language's words. What dots join to a novel candidate belongs to it up to the last candidate, and all of it if it
+    starts as encoded JSON does. Lines are only compressed where a word is near, so long encoded texts cost a search.
     """
-    if not SENSITIVE.search(text):
+    words = [m.start() for m in SENSITIVE.finditer(text)]
+    if not words:
         return []
     blocks = key_blocks(text)
     out = [(a, 3, e, a) for a, e in blocks]
     covers, k, reach = sorted([(a, e) for a, _, e, _ in base] + blocks), 0, 0
 
     def novel(m: re.Match) -> bool:
-        s = m.group()
-        return bool(re.search("[A-Za-z]", s)) and measure(text, m.start(), m.end()) >= least and not wordlike(s)
+        s, at = m.group(), m.span()
+        return bool(re.search("[A-Za-z]", s)) and spoken_for(text, *at, words) and not public(text, *at) and measure(text, *at) >= least and not wordlike(s)
 
     for run in RUN.finditer(text):
         start = None
