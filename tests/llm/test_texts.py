@@ -321,6 +321,34 @@ def test_a_language_that_was_not_learned_is_rejected(spark):
     assert own.where("rejected").count() < 0.02 * own.count()
 
 
+@pytest.mark.parametrize("out", [("de", "en"), ("de", "fr"), ("es", "fr")])
+def test_known_texts_stay_when_two_languages_are_not_learned(out):
+    """The share of unknown texts found depends on how unlike the learned languages are: 0.17 for the first pair, 0.99 for the last."""
+    rows = [r for r in pq.read_table("/root/testdata/sf0.01/documents.parquet").to_pylist() if r["lang"] and r["text"]]
+    held = lambda r: zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0
+    fit = [r for r in rows if r["lang"] not in out and not held(r)]
+    model = langid.train([r["text"] for r in fit], [r["lang"] for r in fit])
+    gone = lambda texts: langid.judged(model, texts)[2].mean()
+    known = [r["text"] for r in rows if r["lang"] not in out and held(r)]
+    assert gone(known) < 0.02 and gone([r["text"] for r in rows if r["lang"] in out]) > 5 * gone(known)
+    assert np.isfinite(model.bounds).all() and gone(["Привет мир это текст на русском языке", "日本語の文章です"]) == 1
+    half = [a[:400] + " " + b[:200] for a, b in zip(known, (r["text"] for r in rows if r["lang"] in out), strict=False)]
+    assert gone(half) < 0.05
+
+
+def test_familiarity_equals_a_plain_mean():
+    model = langid.train(["abc abd abe", "xyz xyw xyv"] * 40, ["aa", "bb"] * 40)
+    grams, _ = langid.subwords(["abc xyz"])
+    own = np.concatenate([model.familiar[0, b] for b, _ in grams])
+    tight = model._replace(least=0.0, spread=0.0, bounds=np.full(2, float(own.mean()) + 1e-4))
+    loose = tight._replace(bounds=np.full(2, -99.0))
+    p, _, gone = langid.judged(tight, ["abc xyz"])
+    if p[0].argmax() == 0:
+        assert gone[0]
+    assert not langid.judged(loose, ["abc xyz"])[2][0] and langid.judged(loose._replace(least=1.1), ["abc"])[2][0]
+    assert langid.train(["one text"] * 9, ["aa"] * 9).bounds.tolist() == [-np.inf]
+
+
 def test_too_many_languages_are_an_error(spark):
     df = spark.createDataFrame([(i, "some text", f"l{i}") for i in range(1, 30)], "doc_id long, text string, lang string")
     with pytest.raises(ValueError, match="more than 5"):

@@ -19,13 +19,21 @@ _BATCH = 100_000
 
 
 class Model(NamedTuple):
-    """``table`` has a row of class scores for each bin: embedding times softmax weights, which inference needs only as a product."""
+    """``table`` has a row of class scores for each bin: embedding times softmax weights, which inference needs only as a product.
+
+    A score under ``least`` says that a text could be of several languages, a mean under the bound of the likeliest one that its
+    subwords are not that language's.
+    """
 
     languages: list[str]
     table: np.ndarray
     bias: np.ndarray
     temperature: float
     least: float
+    #: Logarithms of each language's shares of bins, its bound of their mean over a text, and their usual spread within one.
+    familiar: np.ndarray | None = None
+    bounds: np.ndarray | None = None
+    spread: float = 0.0
 
 
 @lru_cache(maxsize=1)
@@ -58,8 +66,11 @@ def subwords(texts: list[str]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.
     return out, has
 
 
-def scores(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Calibrated probabilities (text, language), and which texts have a letter."""
+def judged(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Calibrated probabilities (text, language), which texts have a letter, and which of them are rejected.
+
+    A text whose mean is under its language's bound by less than three standard errors, which few subwords make large, is kept.
+    """
     grams, has = subwords(texts)
     total = np.zeros((len(texts), len(model.languages)))
     count = np.zeros(len(texts))
@@ -69,7 +80,58 @@ def scores(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
             total[:, j] += np.bincount(owner, weights=model.table[j, bins], minlength=len(texts))
     z = (total / np.maximum(count, 1)[:, None] + model.bias) / model.temperature
     p = np.exp(z - z.max(1, keepdims=True))
-    return p / p.sum(1, keepdims=True), has
+    p /= p.sum(1, keepdims=True)
+    rejected = ~has | (p.max(1) < model.least)
+    if model.familiar is not None:
+        best, seen = p.argmax(1), np.zeros(len(texts))
+        for bins, owner in grams:
+            seen += np.bincount(owner, weights=model.familiar[best[owner], bins], minlength=len(texts))
+        n = np.maximum(count, 1)
+        rejected |= seen / n + 3 * model.spread / np.sqrt(n) < model.bounds[best]
+    return p, has, rejected
+
+
+def scores(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Calibrated probabilities (text, language), and which texts have a letter."""
+    return judged(model, texts)[:2]
+
+
+def familiarity(names: int, y: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], fit: np.ndarray, held: np.ndarray, logits: np.ndarray, false_reject: float, part: float = 0.25) -> tuple[np.ndarray, np.ndarray, float]:
+    """familiar, bounds and spread of a Model.
+
+    For each language the calibration rows that are rightly taken for it are known ones; those of other languages that would be
+    taken for it if their own had not been learnt are foreign ones. The bound lies a ``part`` of the way from the foreign median to the
+    known one, as a text would of which that part is in the language and the rest is not, and lower if more than
+    ``false_reject`` of the known ones were under it. Without foreign rows, as with one language, nothing is rejected by it.
+    """
+    shares = np.zeros((names, BINS))
+    for i in fit:
+        shares[y[i], rows[i][0]] += rows[i][1]
+    texts = np.maximum(np.bincount(y[fit], minlength=names), 1)[:, None]
+    # A hundredth of each language's mass is spread over all bins, so a bin that was not seen counts as rare.
+    familiar = np.log(0.99 * shares / texts + 0.01 / BINS).astype(np.float32)
+    mean = lambda i, c: float(rows[i][1] @ familiar[c, rows[i][0]])
+    truth, best = y[held], logits.argmax(1) if len(held) else np.zeros(0, int)
+    known: list[list[float]] = [[] for _ in range(names)]
+    foreign: list[list[float]] = [[] for _ in range(names)]
+    spreads = []
+    for row, i in enumerate(held):
+        if not len(rows[i][0]):
+            continue
+        if best[row] == truth[row]:
+            at = mean(i, truth[row])
+            known[truth[row]].append(at)
+            spreads.append(rows[i][1] @ (familiar[truth[row], rows[i][0]] - at) ** 2)
+        if names > 1:
+            others = logits[row].copy()
+            others[truth[row]] = -np.inf
+            foreign[int(others.argmax())].append(mean(i, int(others.argmax())))
+    bounds = np.full(names, -np.inf)
+    for c in range(names):
+        if known[c] and foreign[c]:
+            low, own, other = sorted(known[c])[int(false_reject * len(known[c]))], float(np.median(known[c])), float(np.median(foreign[c]))
+            bounds[c] = min(low, other + part * (own - other))
+    return familiar, bounds, float(np.sqrt(np.mean(spreads))) if spreads else 0.0
 
 
 def train(texts: list[str], languages: list[str], dim: int = 16, epochs: int = 12, rate: float = 1.0, seed: int = 7, false_reject: float = 0.001) -> Model:
@@ -78,7 +140,8 @@ def train(texts: list[str], languages: list[str], dim: int = 16, epochs: int = 1
     Unseen bins keep a zero embedding, so that text of an unknown language gets an unsure score. The temperature
     minimises the calibration rows' loss. The least score kept is the one below which at most ``false_reject`` of the
     rightly recognised calibration rows lie, and at most a fifth of the way from chance, which is one in the number of
-    languages, to certainty, so that only texts unlike all languages go. Without rows the model has no language.
+    languages, to certainty. What is unlike all languages goes by the bounds of familiarity(), which the same calibration rows give.
+    Without rows the model has no language.
     """
     names = sorted(set(languages))
     if not names:
@@ -141,7 +204,7 @@ def train(texts: list[str], languages: list[str], dim: int = 16, epochs: int = 1
     right = np.sort(p.max(1)[p.argmax(1) == truth]) if len(held) else np.zeros(0)
     chance = 1 / len(names)
     least = min(chance + (1 - chance) / 5, float(right[int(false_reject * len(right))])) if len(right) else 0.0
-    return Model(names, table, bias, float(best), least)
+    return Model(names, table, bias, float(best), least, *familiarity(len(names), y, rows, fit, held, logits, false_reject))
 
 
 def sample(docs: DataFrame, per_language: int = 700, most_languages: int = 1000, most_chars: int = 20_000) -> tuple[list[str], list[str]]:
@@ -170,7 +233,7 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
 
     A null text, an empty one or one without a letter gets ``und``, score 0 and is rejected, as is any row when
     the model knows no language. Otherwise lang_pred is the likeliest language and score its probability; a row
-    whose score is under the model's least is rejected. Ties go to the first language by name. A null doc_id
+    whose score is under the model's least, or whose subwords are too rare in that language, is rejected. Ties go to the first language by name. A null doc_id
     counts as held out. Repeated rows get equal values; other columns are ignored.
     """
     spark = docs.sparkSession
@@ -189,11 +252,11 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
                     score += [0.0] * (b - a)
                     rejected += [True] * (b - a)
                     continue
-                p, has = scores(m, texts[a:b])
+                p, has, gone = judged(m, texts[a:b])
                 best, top = p.argmax(1), np.clip(np.round(p.max(1), 6), 0, 1)
                 names += [m.languages[k] if h else UNKNOWN for k, h in zip(best.tolist(), has.tolist(), strict=True)]
                 score += np.where(has, top, 0.0).tolist()
-                rejected += (~has | (p.max(1) < m.least)).tolist()
+                rejected += gone.tolist()
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], ["doc_id", "held_out", "lang_pred", "score", "rejected"])
 
     return base.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
@@ -215,8 +278,7 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
             keep = np.zeros(len(texts), bool)
             for a, b in slices([len(t) + 1 for t in texts], _BATCH):
                 if m.languages:
-                    p, has = scores(m, texts[a:b])
-                    keep[a:b] = has & (p.max(1) >= m.least)
+                    keep[a:b] = ~judged(m, texts[a:b])[2]
             yield batch.filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)
