@@ -1,22 +1,27 @@
 """Near-duplicate embeddings by binary codes of rotated vectors.
 
-A code has one bit a dimension, the sign after a random rotation, and a stored correction factor, the inner
-product of the vector and its code's direction. From a code and a whole vector follow an unbiased estimate of
-their inner product and a confidence bound; only pairs whose upper bound reaches the threshold are computed
-again exactly, in double precision.
-
-Pairs are sought in the cells of several tables. A table turns each vector at random, once for each of its keys, and a
-key is the axis that the vector comes nearest to, with its sign; all keys together name the cell. How many axes and keys a
-table has follows from the number of vectors, so that cells stay of one size and work grows a little faster than the
-rows; how many tables there are follows from the share of links at the threshold that must be found. A pair that meets in
-several tables counts in the first. Equal vectors are one node with a number of copies. A cell with many rows is cut into
-tiles of bounded size, and a tile gives counts for both ends of its links and one root for each node, never pairs.
+A code has four bits a dimension after a random rotation, the first of which is the sign, and a stored correction factor, the
+inner product of the vector and its code's direction. From two codes, or a code and a whole vector, follow an unbiased
+estimate of their inner product and a confidence bound; only pairs whose upper bound reaches the threshold are computed
+again exactly, in double precision. (Two codes of one rotation err alike for nearly equal vectors, which raises the
+estimate, so the upper bound holds.)
+
+Pairs are sought in the cells of several tables. A table turns each vector at random, once for each of its keys; a cell is
+an axis with its sign for each key, and a vector is placed in the few cells (probes) whose axes it comes nearest to in sum.
+How many axes and keys a table has follows from the number of vectors, so that cells stay of one size and work grows a
+little faster than the rows; tables and probes are the fewest placements that find the wanted share of links at the
+threshold. A pair that meets in several cells counts in the first. Equal vectors are one node with a number of copies.
+
+Cells get codes alone. A tile, a bounded part of a cell, tells which of its nodes have a partner that they may be linked with
+and meet there first; only these nodes' vectors are then sent to that tile, which gives counts for both ends of its links
+and one root for each node, never pairs.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -43,59 +48,111 @@ def key_axes(rows: int, dim: int, per_cell: int) -> list[int]:
     return out
 
 
+#: Most cells of a table that a vector is placed in, and bits a dimension of a code.
+PROBES, BITS = 6, 4
+
+
+def _top_cells(scores: list[np.ndarray], probes: int) -> np.ndarray:
+    """The cells, (vector, probe), with the highest sums of one score a key, best first."""
+    total, cell = np.zeros((len(scores[0]), 1), np.float32), np.zeros((len(scores[0]), 1), np.int64)
+    for key in scores:
+        few = min(probes, key.shape[1])
+        best = np.argpartition(-key, few - 1, axis=1)[:, :few]
+        sums = (total[:, :, None] + np.take_along_axis(key, best, 1)[:, None, :]).reshape(len(key), -1)
+        ids = (cell[:, :, None] * key.shape[1] + best[:, None, :]).reshape(len(key), -1)
+        order = np.argsort(-sums, axis=1, kind="stable")[:, :probes]
+        total, cell = np.take_along_axis(sums, order, 1), np.take_along_axis(ids, order, 1)
+    return cell
+
+
 @lru_cache(maxsize=64)
-def meeting(axes: tuple[int, ...], least: float, pairs: int = 20_000) -> float:
-    """The chance that two vectors of cosine ``least`` meet in a table: by simulation, as random axes make all such pairs alike."""
-    chance, rng = 1.0, np.random.default_rng(9)
+def meeting(axes: tuple[int, ...], least: float, pairs: int = 20_000) -> list[float]:
+    """The chance that two vectors of cosine ``least`` meet in a table, for 1, 2, ... probes: by simulation, as random axes
+    make all such pairs alike. Two standard errors are taken off."""
+    if not axes:
+        return [1.0]
+    rng, both = np.random.default_rng(9), ([], [])
     for m in axes:
         x = rng.standard_normal((pairs, m), dtype=np.float32)
         y = least * x + np.sqrt(1 - least * least) * rng.standard_normal((pairs, m), dtype=np.float32)
-        chance *= float((_nearest(x) == _nearest(y)).mean())
-    return chance
+        for side, z in zip(both, (x, y), strict=True):
+            side.append(np.concatenate([z, -z], axis=1))
+    a, b = (_top_cells(side, PROBES) for side in both)
+    out = []
+    for r in range(1, a.shape[1] + 1):
+        p = float((a[:, :r, None] == b[:, None, :r]).any((1, 2)).mean())
+        out.append(min(p, 1 - 3 / pairs) - 2 * math.sqrt(p * (1 - p) / pairs))
+    return out
 
 
-def tables_for(axes: list[int], least: float, recall: float) -> int:
+def tables_for(axes: list[int], least: float, recall: float, probes: int = 1) -> int:
     """Tables in which all but 1 - ``recall`` of the pairs at the threshold meet once at least."""
-    p = meeting(tuple(axes), least)
+    p = meeting(tuple(axes), least)[probes - 1]
     return 1 if p >= 1 else math.ceil(math.log(1 - recall) / math.log(1 - max(p, 1e-9)))
 
 
-def _nearest(near: np.ndarray) -> np.ndarray:
-    top = np.abs(near).argmax(1)
-    return top * 2 + (near[np.arange(len(near)), top] > 0)
+def placements(axes: list[int], least: float, recall: float) -> tuple[int, int]:
+    """Tables and probes whose product is least."""
+    each = [(tables_for(axes, least, recall, r), r) for r in range(1, len(meeting(tuple(axes), least)) + 1)]
+    return min(each, key=lambda tr: (tr[0] * tr[1], tr[1]))
 
 
-def cells_of(unit: np.ndarray, axes: list[int], tables: int) -> np.ndarray:
-    """The cell of each vector in each table, (vector, table)."""
-    dim, out = unit.shape[1], np.zeros((len(unit), tables), np.int64)
-    single = unit.astype(np.float32)
+def cells_of(unit: np.ndarray, axes: list[int], tables: int, probes: int) -> np.ndarray:
+    """The cells of each vector, (vector, table, probe), ascending; cells of later tables have higher numbers."""
+    dim, single = unit.shape[1], unit.astype(np.float32)
+    number = math.prod(2 * m for m in axes)
+    out = np.zeros((len(unit), tables, probes), np.int64)
     for t in range(tables):
+        scores = []
         for k, m in enumerate(axes):
             turned = single @ np.random.default_rng([20, dim, t, k]).standard_normal((dim, m), dtype=np.float32)
-            out[:, t] = out[:, t] * (2 * m) + _nearest(turned)
+            scores.append(np.concatenate([turned, -turned], axis=1))
+        if scores:
+            out[:, t] = np.sort(_top_cells(scores, probes), axis=1) + t * number
     return out
 
 
 def encode(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Packed codes and correction factors of unit vectors."""
-    dim = unit.shape[1]
+    n, dim = unit.shape
     turned = unit @ rotation(dim)
-    return np.packbits(turned > 0, axis=1), np.abs(turned).sum(1) / np.sqrt(dim)
+    # The best even steps for normal components of this standard deviation.
+    level = np.clip(np.floor(turned * (np.sqrt(dim) / 0.335)) + 2 ** (BITS - 1), 0, 2**BITS - 1).astype(np.uint8)
+    bits = np.unpackbits(level[:, :, None], axis=2)[:, :, 8 - BITS :]
+    codes = np.packbits(bits.reshape(n, -1), axis=1)
+    return codes, (turned * directions(codes, dim)).sum(1)
+
+
+def directions(codes: np.ndarray, dim: int) -> np.ndarray:
+    """The unit vectors, in rotated space, that codes stand for."""
+    bits = np.unpackbits(codes, axis=1, count=dim * BITS).reshape(len(codes), dim, BITS)
+    level = bits @ (2 ** np.arange(BITS)[::-1]).astype(np.float32) - np.float32((2**BITS - 1) / 2)
+    return level / np.sqrt((level * level).sum(1, keepdims=True))
+
+
+def _error(factors: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(0, 1 - factors * factors)) / factors
 
 
 def upper_bounds(queries: np.ndarray, codes: np.ndarray, factors: np.ndarray, deviations: float) -> np.ndarray:
     """Upper confidence bounds of inner products (query, code): the unbiased estimate plus ``deviations`` times its
     standard error."""
     dim = queries.shape[1]
-    signs = np.unpackbits(codes, axis=1, count=dim).astype(np.float32) * 2 - 1
     turned = (queries @ rotation(dim)).astype(np.float32)
-    estimate = (turned @ signs.T) / np.float32(np.sqrt(dim)) / factors.astype(np.float32)
-    error = np.sqrt(np.maximum(0, 1 - factors**2)) / factors / np.sqrt(max(dim - 1, 1))
-    return estimate + (deviations * error).astype(np.float32)
+    estimate = (turned @ directions(codes, dim).T) / factors.astype(np.float32)
+    return estimate + (deviations / np.sqrt(max(dim - 1, 1)) * _error(factors)).astype(np.float32)
+
 
+def code_bounds(a: np.ndarray, factors_a: np.ndarray, b: np.ndarray, factors_b: np.ndarray, deviations: float) -> np.ndarray:
+    """Upper confidence bounds of inner products (a, b) from directions and factors of both sides."""
+    errors = [_error(f).astype(np.float32) for f in (factors_a, factors_b)]
+    spread = np.sqrt(np.add.outer(errors[0] ** 2, errors[1] ** 2) + np.multiply.outer(errors[0] ** 2, errors[1] ** 2))
+    estimate = (a / factors_a.astype(np.float32)[:, None]) @ (b / factors_b.astype(np.float32)[:, None]).T
+    return estimate + np.float32(deviations / math.sqrt(max(a.shape[1] - 1, 1))) * spread
 
-def _units(raw: list[bytes], dim: int, kind: str) -> np.ndarray:
-    x = np.frombuffer(b"".join(raw), kind).reshape(-1, dim).astype(np.float64)
+
+def _units(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
     x = x / np.abs(x).max(1, keepdims=True)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
@@ -108,36 +165,50 @@ def valid(vector: Column) -> Column:
 
 
 def stored(vectors: DataFrame) -> str:
-    """The numpy type that holds the components as they are given."""
-    return "f4" if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else "f8"
+    """The type that holds the components as they are given."""
+    return "array<float>" if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else "array<double>"
+
 
+@dataclass(frozen=True)
+class Placing:
+    """How vectors of one dimension are placed."""
 
-def place(nodes: DataFrame, axes: dict[int, list[int]], tables: dict[int, int]) -> DataFrame:
-    """node, copies, dim, tab, cell, cells, vector, code and factor for each table of each node; ``nodes`` has node, copies, embedding."""
-    kind = stored(nodes)
+    axes: list[int]
+    tables: int
+    probes: int
+
+    @property
+    def kind(self) -> str:
+        """The numpy type that holds the numbers of cells."""
+        return "u4" if self.tables * math.prod(2 * m for m in self.axes) < 2**32 else "i8"
+
+
+def place(nodes: DataFrame, plan: dict[int, Placing]) -> DataFrame:
+    """node, dim, cell, before (the node's cells of lower number), code and factor for each cell of each node; ``nodes`` has
+    node and embedding."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in slices([1] * batch.num_rows, 512):
                 part = batch.slice(a, b - a)
-                lists = part.column(2)
+                lists = part.column(1)
                 sizes = np.diff(lists.offsets.to_numpy())
                 flat = lists.flatten().to_numpy(zero_copy_only=False)
                 ends = np.cumsum(sizes)
                 for dim in np.unique(sizes).tolist():
-                    rows, k = np.flatnonzero(sizes == dim), tables[dim]
-                    x = flat[(ends[rows] - dim)[:, None] + np.arange(dim)].astype(kind)
-                    unit = _units([x.tobytes()], dim, kind)
+                    rows, how = np.flatnonzero(sizes == dim), plan[dim]
+                    unit = _units(flat[(ends[rows] - dim)[:, None] + np.arange(dim)])
                     codes, factors = encode(unit)
-                    cells = cells_of(unit, axes[dim], k)
-                    at = pa.array(np.repeat(rows, k))
-                    each = lambda values: pa.array([v.tobytes() for v in values for _ in range(k)], pa.binary())  # noqa: E731, B023
+                    cells = cells_of(unit, how.axes, how.tables, how.probes).reshape(len(rows), -1)
+                    k = cells.shape[1]
+                    before = [c[:i].tobytes() for c in cells.astype(how.kind) for i in range(k)]
+                    code = [c.tobytes() for c in codes for _ in range(k)]
                     yield pa.RecordBatch.from_arrays(
-                        [part.column(0).take(at), part.column(1).take(at), pa.array(np.full(len(at), dim), pa.int32()), pa.array(np.tile(np.arange(k), len(rows)), pa.int32()), pa.array(cells.ravel()), each(cells), each(x), each(codes), pa.array(np.repeat(factors, k))],
-                        ["node", "copies", "dim", "tab", "cell", "cells", "vector", "code", "factor"],
+                        [part.column(0).take(pa.array(np.repeat(rows, k))), pa.array(np.full(len(rows) * k, dim), pa.int32()), pa.array(cells.ravel()), pa.array(before, pa.binary()), pa.array(code, pa.binary()), pa.array(np.repeat(factors, k).astype(np.float32))],
+                        ["node", "dim", "cell", "before", "code", "factor"],
                     )
 
-    return nodes.select("node", "copies", F.col("embedding").cast("array<float>" if kind == "f4" else "array<double>")).mapInArrow(run, "node long, copies long, dim int, tab int, cell long, cells binary, vector binary, code binary, factor double")
+    return nodes.select("node", F.col("embedding").cast(stored(nodes))).mapInArrow(run, "node long, dim int, cell long, before binary, code binary, factor float")
 
 
 def roots(links: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -146,54 +217,98 @@ def roots(links: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     row, col = np.arange(n), np.arange(n, n + m)
     far = n + m
     while True:
-        new_row = np.minimum(row, np.where(links, col, far).min(1, initial=far))
-        new_col = np.minimum(col, np.where(links, new_row[:, None], far).min(0, initial=far))
+        new_row, new_col = row.copy(), col.copy()
+        for s in range(0, n, 512):
+            part = links[s : s + 512]
+            new_row[s : s + 512] = np.minimum(row[s : s + 512], np.where(part, col, far).min(1, initial=far))
+            new_col = np.minimum(new_col, np.where(part, new_row[s : s + 512, None], far).min(0, initial=far))
         if (new_row == row).all() and (new_col == col).all():
             return row, col
         row, col = new_row, new_col
 
 
-def meet(group: pd.DataFrame, least: float, deviations: float, kind: str) -> pd.DataFrame:
+def _sides(group: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, bool]:
+    i, j = int(group["i"].iloc[0]), int(group["j"].iloc[0])
+    return (group, group, True) if i == j else (group[group["part"] == i], group[group["part"] == j], False)
+
+
+def _before(rows: pd.DataFrame, how: Placing, none: int) -> np.ndarray:
+    """Cells of lower number, (table, probe, row); places without one hold ``none``."""
+    out = np.full((len(rows), how.tables * how.probes), none, np.int64)
+    for row, raw in zip(out, rows["before"], strict=True):
+        row[: len(raw) // np.dtype(how.kind).itemsize] = np.frombuffer(raw, how.kind)
+    return np.ascontiguousarray(out.T).reshape(how.tables, how.probes, -1)
+
+
+def _first_met(bound: Callable[[slice], np.ndarray], left: pd.DataFrame, right: pd.DataFrame, same: bool, how: Placing, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of the pairs whose bound reaches ``least`` and that share no cell of lower number, a bounded number at a time."""
+    a, b = _before(left, how, -1), _before(right, how, -2)
+    for s in range(0, len(left), 512):
+        at, to = np.nonzero(bound(slice(s, s + 512)) >= least)
+        at = at + s
+        if same:
+            at, to = at[at < to], to[at < to]
+        for c in range(0, len(at), 1 << 18):
+            p, q = at[c : c + (1 << 18)], to[c : c + (1 << 18)]
+            met = np.zeros(len(p), bool)
+            for mine, theirs in zip(a, b, strict=True):
+                others = [x[q] for x in theirs]
+                for x in mine:
+                    mine_at = x[p]
+                    for other in others:
+                        met |= mine_at == other
+            if not met.all():
+                yield p[~met], q[~met]
+
+
+def screen(group: pd.DataFrame, plan: dict[int, Placing], least: float, deviations: float) -> pd.DataFrame:
+    """The rows of a tile that have a partner in it that they meet there first and, by their codes, may be linked with."""
+    left, right, same = _sides(group)
+    dim = int(group["dim"].iloc[0])
+    near_a, near_b = np.zeros(len(left), bool), np.zeros(len(right), bool)
+    if len(left) and len(right):
+        sides = []
+        for rows in (left, right):
+            codes = np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(len(rows), -1)
+            sides.append((directions(codes, dim), rows["factor"].to_numpy()))
+        (x, f), (y, g) = sides
+        for p, q in _first_met(lambda s: code_bounds(x[s], f[s], y, g, deviations), left, right, same, plan[dim], least):
+            near_a[p] = near_b[q] = True
+    kept = group[near_a | near_b] if same else pd.concat([left[near_a], right[near_b]])
+    return kept[["dim", "cell", "i", "j", "part", "node", "before"]]
+
+
+def meet(group: pd.DataFrame, plan: dict[int, Placing], least: float, deviations: float) -> pd.DataFrame:
     """node, links and root of the nodes that a tile's rows of one cell link: those of part i against those of part j."""
-    i, j, dim, tab = (int(group[c].iloc[0]) for c in ("i", "j", "dim", "tab"))
-    left = group[group["part"] == i] if i != j else group
-    right = group[group["part"] == j] if i != j else group
+    left, right, same = _sides(group)
+    dim = int(group["dim"].iloc[0])
     none = pd.DataFrame({"node": [], "links": [], "root": []}, dtype=np.int64)
     if not len(left) or not len(right):
         return none
-    matrix = lambda rows, c, t: np.frombuffer(b"".join(rows[c].tolist()), t).reshape(len(rows), -1)
-    links = np.triu(np.ones((len(left), len(right)), bool), 1) if i == j else np.ones((len(left), len(right)), bool)
-    met_a, met_b = matrix(left, "cells", np.int64), matrix(right, "cells", np.int64)
-    for t in range(tab):
-        links &= met_a[:, t, None] != met_b[None, :, t]
-    if not links.any():
-        return none
-    x, y = _units(left["vector"].tolist(), dim, kind), _units(right["vector"].tolist(), dim, kind)
-    links &= upper_bounds(x, matrix(right, "code", np.uint8), right["factor"].to_numpy(), deviations) >= least
-    at, to = np.nonzero(links)
-    if len(at) > links.size // 100:
-        links &= x @ y.T >= least
-    else:
-        for s in range(0, len(at), 50_000):
-            p, q = at[s : s + 50_000], to[s : s + 50_000]
-            links[p, q] = np.einsum("ij,ij->i", x[p], y[q]) >= least
+    x = _units(np.stack(left["embedding"].to_list()))
+    y = x if same else _units(np.stack(right["embedding"].to_list()))
+    codes, factors = encode(y)
+    links = np.zeros((len(left), len(right)), bool)
+    for p, q in _first_met(lambda s: upper_bounds(x[s], codes, factors, deviations), left, right, same, plan[dim], least):
+        for c in range(0, len(p), 50_000):
+            a, b = p[c : c + 50_000], q[c : c + 50_000]
+            links[a, b] = np.einsum("ij,ij->i", x[a], y[b]) >= least
     near_a, near_b = links.any(1), links.any(0)
     links = links[near_a][:, near_b]
     a, b = left["node"].to_numpy()[near_a], right["node"].to_numpy()[near_b]
     ids = np.concatenate([a, b])
     if not len(ids):
         return none
-    order = np.argsort(ids, kind="stable")
-    rank = np.empty(len(ids), np.int64)
-    rank[order] = np.arange(len(ids))
+    # A node of a tile of one part can be on both sides; it has one rank.
+    names, rank = np.unique(ids, return_inverse=True)
     group_of = np.concatenate(roots(links))
-    lowest = np.full(len(ids), len(ids))
+    lowest = np.full(len(ids), len(names))
     np.minimum.at(lowest, group_of, rank)
     counted = [links @ right["copies"].to_numpy()[near_b], left["copies"].to_numpy()[near_a] @ links]
-    return pd.DataFrame({"node": ids, "links": np.concatenate(counted), "root": ids[order][lowest[group_of]]})
+    return pd.DataFrame({"node": ids, "links": np.concatenate(counted), "root": names[lowest[group_of]]})
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.9, recall: float = 0.999, deviations: float = 4.5, per_cell: int = 1024, tile: int = 2048) -> DataFrame:
+def near_duplicates(vectors: DataFrame, least: float = 0.9, recall: float = 0.999, deviations: float = 4.5, per_cell: int = 1024, tile: int = 4096) -> DataFrame:
     """vec_id, n_links, component_id and kept for each row of ``vectors`` (vec_id, embedding).
 
     Two rows are linked if their embeddings' cosine is at least ``least``; n_links counts a row's other linked rows,
@@ -201,10 +316,9 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, recall: float = 0.99
     null or non-finite component links with nothing, nor do vectors of different dimensions. Repeated rows are
     linked copies. A null vec_id is counted as a copy but heads no component: such a row gets its copies' component,
     or null. Found links are exact, and both ends count them. Of links at the threshold a share of ``recall`` is found
-    on average, whatever the dimension, and more of nearer ones; all are found among up to ``per_cell`` vectors, which
-    are one cell. Runs jobs that write to the shared folder.
+    on average, whatever the dimension, and more of nearer ones; among up to ``per_cell`` vectors, which are
+    one cell, only those are missed whose bound fails at ``deviations`` standard errors. Runs jobs that write to the shared folder.
     """
-    kind = stored(vectors)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").withColumn("ok", valid(F.col("embedding")))
     key = [F.xxhash64("embedding").alias("k1"), F.xxhash64(F.lit(1), "embedding").alias("k2")]
     same = rows.where("ok").select(*key, "vec_id", "embedding").groupBy("k1", "k2")
@@ -213,15 +327,18 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, recall: float = 0.99
     # A row for each dimension in the table.
     sizes = {r["dim"]: r["n"] for r in named.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n")).collect()}
     axes = {dim: key_axes(n, dim, per_cell) for dim, n in sizes.items()}
-    tables = {dim: tables_for(axes[dim], least, recall) for dim in sizes}
-    placed = place(named, axes, tables)
-    counts = placed.groupBy("dim", "tab", "cell").agg(F.count("*").alias("n")).where("n > 1")
-    counts = written(counts.select("dim", "tab", "cell", F.ceil(F.col("n") / tile).cast("int").alias("parts")), "cells")
-    cut = placed.join(counts, ["dim", "tab", "cell"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    plan = {dim: Placing(keys, *placements(keys, least, recall)) for dim, keys in axes.items()}
+    placed = place(named, plan)
+    large = placed.groupBy("dim", "cell").agg(F.count("*").alias("n")).where(F.col("n") > tile)
+    large = written(large.select("dim", "cell", F.ceil(F.col("n") / tile).cast("int").alias("parts")), "cells")
+    cut = placed.join(large, ["dim", "cell"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    cut = cut.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     tiles = cut.withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other")).drop("parts", "other")
-    found_in = tiles.groupBy("dim", "tab", "cell", "i", "j").applyInPandas(lambda g: meet(g, least, deviations, kind), "node long, links long, root long")
-    met = written(found_in, "met")
+    at = ["dim", "cell", "i", "j"]
+    maybe = written(tiles.groupBy(at).applyInPandas(lambda g: screen(g, plan, least, deviations), "dim int, cell long, i int, j int, part int, node long, before binary"), "candidates")
+    whole = maybe.join(named.select("node", "copies", F.col("embedding").cast(stored(named)).alias("embedding")), "node")
+    met = written(whole.groupBy(at).applyInPandas(lambda g: meet(g, plan, least, deviations), "node long, links long, root long"), "met")
     found = components(met.select(F.col("node").alias("a"), F.col("root").alias("b")))
     linked = met.groupBy("node").agg(F.sum("links").alias("links")).join(found, "node", "full")
     known = nodes.select("k1", "k2", "node", "copies").join(linked, "node", "left")
