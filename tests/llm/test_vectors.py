@@ -75,6 +75,34 @@ def test_bounds_hold_and_estimates_are_unbiased():
     assert abs((V.upper_bounds(x, codes, factors, 0.0) - true).mean()) < 0.001
 
 
+@pytest.mark.parametrize("dim", [64, 256])
+def test_codes_alone_keep_links_and_drop_most_other_pairs(dim):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3000, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = 0.901 * x + np.sqrt(1 - 0.901**2) * (lambda o: o / np.linalg.norm(o, axis=1, keepdims=True))((o := rng.normal(size=x.shape)) - (o * x).sum(1, keepdims=True) * x)
+    sides = []
+    for v in (x, y):
+        codes, factors = V.encode(v)
+        sides.append((V.directions(codes, dim) / factors[:, None].astype(np.float32), np.sqrt(1 - factors**2) / factors))
+    (a, errors), (b, others) = sides
+    reach = V.may_reach(a, errors, b, others.max(), 0.9, 4.5)
+    assert reach.diagonal().all()
+    assert reach.sum() < 3000 * 1.1
+
+
+def test_a_pair_is_counted_in_its_first_common_cell():
+    axes = V.key_axes(40_000, 16, 64)
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(200, 16))
+    cells = V.cells_of(x / np.linalg.norm(x, axis=1, keepdims=True), axes, 3, 4)
+    assert cells.shape == (200, 3, 4)
+    flat = cells.reshape(200, -1)
+    assert (np.diff(flat, axis=1) > 0).all()
+    total, number = 3 * np.prod([2 * m for m in axes]), len({int(c) for c in flat.ravel()})
+    assert flat.max() < total and number > 100
+
+
 def test_empty_and_null_ids(spark):
     df = spark.createDataFrame([(None, [1.0, 0.0]), (5, [1.0, 0.0]), (None, [0.0, 1.0])], "vec_id long, embedding array<float>")
     rows = sorted(map(tuple, V.near_duplicates(df).collect()), key=str)

@@ -143,12 +143,12 @@ def upper_bounds(queries: np.ndarray, codes: np.ndarray, factors: np.ndarray, de
     return estimate + (deviations / np.sqrt(max(dim - 1, 1)) * _error(factors)).astype(np.float32)
 
 
-def code_bounds(a: np.ndarray, factors_a: np.ndarray, b: np.ndarray, factors_b: np.ndarray, deviations: float) -> np.ndarray:
-    """Upper confidence bounds of inner products (a, b) from directions and factors of both sides."""
-    errors = [_error(f).astype(np.float32) for f in (factors_a, factors_b)]
-    spread = np.sqrt(np.add.outer(errors[0] ** 2, errors[1] ** 2) + np.multiply.outer(errors[0] ** 2, errors[1] ** 2))
-    estimate = (a / factors_a.astype(np.float32)[:, None]) @ (b / factors_b.astype(np.float32)[:, None]).T
-    return estimate + np.float32(deviations / math.sqrt(max(a.shape[1] - 1, 1))) * spread
+def may_reach(a: np.ndarray, errors: np.ndarray, b: np.ndarray, largest: float, least: float, deviations: float) -> np.ndarray:
+    """Pairs (a, b) whose upper confidence bound reaches ``least``, by directions over factors of both sides; ``errors``
+    are those of a, and b counts with its ``largest``."""
+    spread = np.sqrt(errors**2 + largest**2 + (errors * largest) ** 2)
+    bar = least - deviations / math.sqrt(max(a.shape[1] - 1, 1)) * spread
+    return a @ b.T >= bar.astype(np.float32)[:, None]
 
 
 def _units(x: np.ndarray) -> np.ndarray:
@@ -240,12 +240,13 @@ def _before(rows: pd.DataFrame, how: Placing, none: int) -> np.ndarray:
     return np.ascontiguousarray(out.T).reshape(how.tables, how.probes, -1)
 
 
-def _first_met(bound: Callable[[slice], np.ndarray], left: pd.DataFrame, right: pd.DataFrame, same: bool, how: Placing, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Positions of the pairs whose bound reaches ``least`` and that share no cell of lower number, a bounded number at a time."""
+def _first_met(reach: Callable[[slice, slice], np.ndarray], left: pd.DataFrame, right: pd.DataFrame, same: bool, how: Placing) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of the pairs that ``reach`` marks and that share no cell of lower number, a bounded number at a time."""
     a, b = _before(left, how, -1), _before(right, how, -2)
     for s in range(0, len(left), 512):
-        at, to = np.nonzero(bound(slice(s, s + 512)) >= least)
-        at = at + s
+        start = s if same else 0
+        at, to = np.nonzero(reach(slice(s, s + 512), slice(start, None)))
+        at, to = at + s, to + start
         if same:
             at, to = at[at < to], to[at < to]
         for c in range(0, len(at), 1 << 18):
@@ -270,9 +271,10 @@ def screen(group: pd.DataFrame, plan: dict[int, Placing], least: float, deviatio
         sides = []
         for rows in (left, right):
             codes = np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(len(rows), -1)
-            sides.append((directions(codes, dim), rows["factor"].to_numpy()))
-        (x, f), (y, g) = sides
-        for p, q in _first_met(lambda s: code_bounds(x[s], f[s], y, g, deviations), left, right, same, plan[dim], least):
+            factors = rows["factor"].to_numpy()
+            sides.append((directions(codes, dim) / factors[:, None], _error(factors)))
+        (x, errors), (y, others) = sides
+        for p, q in _first_met(lambda r, c: may_reach(x[r], errors[r], y[c], others.max(), least, deviations), left, right, same, plan[dim]):
             near_a[p] = near_b[q] = True
     kept = group[near_a | near_b] if same else pd.concat([left[near_a], right[near_b]])
     return kept[["dim", "cell", "i", "j", "part", "node", "before"]]
@@ -289,7 +291,7 @@ def meet(group: pd.DataFrame, plan: dict[int, Placing], least: float, deviations
     y = x if same else _units(np.stack(right["embedding"].to_list()))
     codes, factors = encode(y)
     links = np.zeros((len(left), len(right)), bool)
-    for p, q in _first_met(lambda s: upper_bounds(x[s], codes, factors, deviations), left, right, same, plan[dim], least):
+    for p, q in _first_met(lambda r, c: upper_bounds(x[r], codes[c], factors[c], deviations) >= least, left, right, same, plan[dim]):
         for c in range(0, len(p), 50_000):
             a, b = p[c : c + 50_000], q[c : c + 50_000]
             links[a, b] = np.einsum("ij,ij->i", x[a], y[b]) >= least
