@@ -80,3 +80,14 @@ def test_filter_holds_all_members(spark):
     assert f.has(members + np.uint64(1)).mean() < 0.1
     small = phrases.Filter.of(df, "h", most_bits=phrases._SEGMENT)
     assert small.has(members).all()
+
+
+def test_words_of_later_waves_that_pass_the_filter_of_an_earlier_one_count_once(spark):
+    """8000 rare words fill 3 % of the first wave's filter, so dozens of the 1500 usual ones pass it."""
+    rare = [("en", f"r{i} r{i + 1}. " * 2) for i in range(0, 8000, 2)]
+    usual = [("en", f"u{i} u{i + 1}. " * 160) for i in range(0, 1500, 2)]
+    rows = rare + usual
+    docs = spark.createDataFrame(rows, "lang string, text string").coalesce(4)
+    got = sorted(tuple(r) for r in phrases.mine(docs, least=2, top=4500, shares=(1 / 16, 1.0)).collect())
+    assert len({r[2] for r in got}) == len(got)
+    assert got == plain(rows, 2, 4500)

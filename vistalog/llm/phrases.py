@@ -326,7 +326,9 @@ def mine(docs: DataFrame, least: int = 100, longest: int = 5, top: int = 2000, s
             filters[k] = found
         if len(filters) == 1:
             continue
-        own = written(counted(ids, filters).where(F.col("a") >= least), "phrases")
+        # A filter lets a few words of other waves through: their phrases belong to that wave alone.
+        own = counted(ids, filters).where(F.col("a") >= least)
+        own = written(own.join(nodes.select(F.col("id").alias("first")), F.col("g")[0] == F.col("first"), "left_semi"), "phrases")
         grams = own if grams is None else grams.union(own)
         inside = (F.size("g") < longest) & ((F.col("before") != 0) | (F.col("after") != 0))
         free = own.where(~inside)
