@@ -282,7 +282,7 @@ def d6_prediction_records(spark, d):
 
 
 D6 = f"""{D12.replace("select detection_id, round(cs", ", bx as (select detection_id, round(cs", 1)})
-select sample_id || '-gdino-' || lpad(cast(det_pos as varchar), 4, '0') as prediction_id, category, case when b.detection_id is not null then 'frustum_lidar' else 'none' end as lifting_method,
+select sample_id || '-gdino-' || case when det_pos < 10000 then lpad(cast(det_pos as varchar), 4, '0') else cast(det_pos as varchar) end as prediction_id, category, case when b.detection_id is not null then 'frustum_lidar' else 'none' end as lifting_method,
 case when lift_failed then 'failed' when b.detection_id is not null then 'succeeded' else 'not_applicable' end as lifting_status, cluster_point_count, coalesce(tx, 0.0) as tx from detections d left join bx b using (detection_id)"""
 
 QUERIES = {
