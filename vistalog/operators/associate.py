@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -31,55 +32,106 @@ def associate(anchors: DataFrame, frames: DataFrame, targets: DataFrame, strateg
     return joined.withColumn("frame_id", F.col("found.frame_id")).withColumn("offset_us", F.col("found.timestamp_us") - F.col("timestamp_us")).drop("found")
 
 
-def _chosen(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The pairs that anchors choose in order, each the best frame that is neither used yet nor in ``_used``.
+def _chosen(rows: DataFrame, keys: Sequence[str], strategy: str, tolerance_us: int) -> DataFrame:
+    """What anchors choose in order, each the best frame that is not used yet: the keys, _bucket, anchor_index, frame_id and frame_us.
 
+    ``rows`` are frames (_kind 0), at the first time at which an anchor can reach them, and anchors (_kind 1). Frames stand in order of
+    time, and those used are skipped by links to the nearest free one on each side, so an anchor costs about as much in a crowd as elsewhere.
     A frame that has fallen behind all that anchors can reach is forgotten, so the state is as wide as the tolerance.
     """
 
     def start():
-        used, done, most = None, None, 64
-
-        def step(anchor: int, frame: str, frame_us: int, low: int, before: list[str] | None) -> bool:
-            nonlocal used, done, most
-            if used is None:
-                used = dict.fromkeys(before or ())
-            if anchor == done or frame in used:
-                return False
-            used[frame], done = frame_us, anchor
-            if len(used) > most:
-                used = {f: t for f, t in used.items() if t is None or t >= low}
-                most = 2 * len(used) + 64
-            return True
+        times: list[int] = []
+        ids: list[str] = []
+        # left[i + 1] and right[i] lead to the nearest free frame at or before, and at or after i; 0 and len(times) stand for none.
+        left, right = [0], [0]
+        used: set[str] = set()
+        most = 1024
+
+        def root(links: list[int], i: int) -> int:
+            end = i
+            while links[end] != end:
+                end = links[end]
+            while links[i] != end:
+                links[i], i = end, links[i]
+            return end
+
+        def add(us: int, frame: str) -> None:
+            times.append(us)
+            ids.append(frame)
+            left.append(len(times))
+            right.append(len(times))
+
+        def use(i: int) -> None:
+            left[i + 1], right[i] = i, i + 1
+
+        def forget(low: int) -> None:
+            first = bisect_left(times, low)
+            used.difference_update(ids[:first])
+            kept = [(times[i], ids[i], left[i + 1] == i + 1) for i in range(first, len(times))]
+            times.clear(), ids.clear(), left.clear(), right.clear()
+            left.append(0), right.append(0)
+            for us, frame, free in kept:
+                add(us, frame)
+                if not free:
+                    use(len(times) - 1)
+
+        def best(us: int) -> int | None:
+            at, found = bisect_right(times, us), None
+            if strategy != "next" and (i := root(left, at) - 1) >= 0 and us - times[i] <= tolerance_us:
+                # Of frames of one time the first is the best.
+                found = root(right, bisect_left(times, times[i]))
+            if strategy != "previous":
+                i = root(right, bisect_left(times, us) if strategy == "next" else at)
+                if i < len(times) and times[i] - us <= tolerance_us and (found is None or times[i] - us < us - times[found]):
+                    found = i
+            return found
+
+        def step(kind: int, at: int, us: int, frame: str | None) -> dict | None:
+            nonlocal most
+            if kind == 0:
+                if len(times) > most:
+                    forget(at - tolerance_us)
+                    most = 2 * len(times) + 1024
+                add(us, frame)
+                return None
+            while (i := best(us)) is not None:
+                use(i)
+                if ids[i] not in used:
+                    used.add(ids[i])
+                    return {"frame_id": ids[i], "frame_us": times[i]}
+            return None
 
         return step
 
-    inputs = ["anchor_index", "frame_id", "frame_us", "_low", "_used"]
-    folded = sorted_fold(pairs, keys, ["anchor_index", "_gap", "frame_us", "pos"], inputs, start, "_chosen", "boolean")
-    return folded.where("_chosen").drop("_chosen", "_used")
+    folded = sorted_fold(rows, keys, ["_at", "_kind", "_n"], ["_kind", "_at", "_us", "frame_id"], start, "_found", "struct<frame_id:string,frame_us:long>")
+    names = dict.fromkeys([*keys, "_bucket"])
+    return folded.where("_found is not null").select(*names, F.col("_n").alias("anchor_index"), "_found.frame_id", "_found.frame_us")
 
 
 def associate_once(anchors: DataFrame, frames: DataFrame, targets: DataFrame, strategy: str = "nearest", tolerance_us: int = 100_000, rounds: int = 6) -> DataFrame:
     """As associate(), but a frame serves one anchor: anchors choose in order among frames not yet used.
 
-    Only frames within tolerance can be chosen, so candidates come from a join on time buckets of that width. The choice
-    folds over wider buckets at once, each as if the bucket before had used none of its frames; then the buckets for which
+    The choice folds over time buckets at once, each as if the bucket before had used none of its frames; then the buckets for which
     that was wrong are folded again from what the bucket before did use, until none is. What an anchor chooses reaches
     few anchors after it, so few buckets are wrong; keys with buckets still wrong after ``rounds`` are folded whole, in order.
+    A fold takes anchors and frames in order of time, not pairs of them, so its work follows their number however dense they are.
     ``anchor_index`` follows time. Runs jobs that write to the shared folder.
     """
     if strategy not in DIRECTIONS:
         raise ValueError(f"strategy must be one of {', '.join(DIRECTIONS)}")
-    width = max(1, tolerance_us)
-    asks = anchors.join(targets, "segment_id").withColumn("slot", F.floor(F.col("timestamp_us") / width))
-    side = frames.select("segment_id", "channel", F.col("timestamp_us").alias("frame_us"), "pos", "frame_id", F.explode(F.array(*[F.floor(F.col("timestamp_us") / width) + d for d in (-1, 0, 1)])).alias("slot"))
-    gap = F.col("frame_us") - F.col("timestamp_us")
-    near = {"nearest": F.abs(gap) <= tolerance_us, "previous": (gap <= 0) & (gap >= -tolerance_us), "next": (gap >= 0) & (gap <= tolerance_us)}[strategy]
-    pairs = asks.join(side, ["segment_id", "channel", "slot"]).where(near)
-    key, wide = ["segment_id", "channel"], 64 * width
-    pairs = pairs.select(*key, "anchor_index", "frame_us", "pos", "frame_id", F.abs(gap).alias("_gap"), (F.col("timestamp_us") - tolerance_us).alias("_low"), F.floor(F.col("timestamp_us") / wide).alias("_bucket"))
-    pairs, none = written(pairs, "pairs"), F.lit(None).cast("array<string>")
-    chosen = written(_chosen(pairs.withColumn("_used", none), [*key, "_bucket"]), "chosen")
+    asks = anchors.join(targets, "segment_id")
+    key, wide = ["segment_id", "channel"], 64 * max(1, tolerance_us)
+    known = " and ".join(f"{c} is not null" for c in (*key, "timestamp_us"))
+    bucket = lambda c: F.floor(c / wide)
+    us = F.col("timestamp_us")
+    asking = asks.where(known).select(*key, bucket(us).alias("_bucket"), F.lit(1).alias("_kind"), us.alias("_at"), us.alias("_us"), F.col("anchor_index").cast("long").alias("_n"), F.lit(None).cast("string").alias("frame_id"), F.lit(True).alias("_home"))
+    # A frame stands in its bucket and, near a border, in the one beyond, whose anchors reach it too.
+    reach = F.explode(F.sequence(bucket(us - tolerance_us), bucket(us + tolerance_us)))
+    side = frames.where(known).select(*key, reach.alias("_bucket"), F.lit(0).alias("_kind"), (us - tolerance_us).alias("_at"), us.alias("_us"), F.col("pos").cast("long").alias("_n"), "frame_id", bucket(us).alias("_own"))
+    rows = written(asking.unionByName(side.withColumn("_home", F.col("_bucket") == F.col("_own")).drop("_own")), "stream")
+    fold = lambda df, keys: _chosen(df, keys, strategy, tolerance_us)
+    chosen = written(fold(rows, [*key, "_bucket"]), "chosen")
     # What a bucket has used of the next one's frames; buckets are wider than two tolerances, so no other can.
     passed = lambda df: df.where(F.col("frame_us") >= (F.col("_bucket") + 1) * wide - tolerance_us).groupBy(*key, (F.col("_bucket") + 1).alias("_bucket")).agg(F.array_sort(F.collect_list("frame_id")).alias("_used"))
     assumed = None
@@ -90,19 +142,19 @@ def associate_once(anchors: DataFrame, frames: DataFrame, targets: DataFrame, st
         else:
             both = now.join(assumed.withColumnRenamed("_used", "_old"), [*key, "_bucket"], "full")
             wrong = both.where(~F.col("_used").eqNullSafe(F.col("_old"))).select(*key, "_bucket", "_used")
-        wrong = written(wrong.join(pairs.select(*key, "_bucket").distinct(), [*key, "_bucket"], "left_semi"), "wrong")
+        wrong = written(wrong.join(rows.where("_kind = 1").select(*key, "_bucket").distinct(), [*key, "_bucket"], "left_semi"), "wrong")
         if wrong.isEmpty():
             break
         if last:
             again = wrong.select(*key).distinct()
-            redone = _chosen(pairs.join(again, key, "left_semi").withColumn("_used", none), key)
+            redone = fold(rows.where("_home").join(again, key, "left_semi"), key)
             chosen = chosen.join(again, key, "left_anti").unionByName(redone)
         else:
             assumed = written(now, "assumed")
-            redone = _chosen(pairs.join(wrong, [*key, "_bucket"]), [*key, "_bucket"])
-            chosen = written(chosen.join(wrong, [*key, "_bucket"], "left_anti").unionByName(redone), "chosen")
-    chosen = chosen.select(*key, "anchor_index", "frame_id", "frame_us")
-    out = asks.drop("slot").join(chosen, [*key, "anchor_index"], "left")
+            gone = wrong.select(*key, "_bucket", F.explode("_used").alias("frame_id"))
+            free = rows.join(wrong, [*key, "_bucket"], "left_semi").join(gone, [*key, "_bucket", "frame_id"], "left_anti")
+            chosen = written(chosen.join(wrong, [*key, "_bucket"], "left_anti").unionByName(fold(free, [*key, "_bucket"])), "chosen")
+    out = asks.join(chosen.select(*key, "anchor_index", "frame_id", "frame_us"), [*key, "anchor_index"], "left")
     return out.withColumn("offset_us", F.col("frame_us") - F.col("timestamp_us")).drop("frame_us")
 
 

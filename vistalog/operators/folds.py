@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-_ARROW = {"long": pa.int64(), "boolean": pa.bool_()}
+_ARROW = {"long": pa.int64(), "boolean": pa.bool_(), "struct<frame_id:string,frame_us:long>": pa.struct([("frame_id", pa.string()), ("frame_us", pa.int64())])}
 
 
 def sorted_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], inputs: Sequence[str], start: Callable[[], Callable], name: str, kind: str) -> DataFrame:
