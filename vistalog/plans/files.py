@@ -95,22 +95,24 @@ def s8_reset_version(spark, d):
 
 
 def s1_split_arrays(spark, d):
-    """Files that are one array each, and one trailing mark, read by ranges far smaller than a file."""
+    """Files that are one array each, and one trailing mark, read by ranges far smaller than a file: three files, and more beyond half a million frames."""
     path = folder(spark, "arrays")
     kind = "token string, note struct<text:string,list:array<string>>, size long"
     note = F.struct(F.concat(F.lit('a "quoted" [\\] {'), "channel", F.lit("},")).alias("text"), F.array("frame_id", F.lit('\\"]')).alias("list"))
-    rows = view(spark, d, "raw_frames").select(F.col("frame_id").alias("token"), note.alias("note"), F.col("timestamp_us").alias("size"))
-    lines = rows.select(F.to_json(F.struct("*")).alias("value")).repartition(3, "value")
+    frames = view(spark, d, "raw_frames")
+    rows = frames.select(F.col("frame_id").alias("token"), note.alias("note"), F.col("timestamp_us").alias("size"))
+    lines = rows.select(F.to_json(F.struct("*")).alias("value")).repartition(max(3, frames.count() // 200_000), "value")
 
     def bracketed(batches):
-        held = "["
+        held = None
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                if held != "[":
-                    yield pa.RecordBatch.from_arrays([pa.array([held])], ["value"])
-                    held = ""
-                held += text
-        yield pa.RecordBatch.from_arrays([pa.array([held + "]"])], ["value"])
+            texts = batch.column(0).to_pylist()
+            if not texts:
+                continue
+            now = ["[" + texts[0] if held is None else held, *(texts[1:] if held is None else texts)]
+            held = now.pop()
+            yield pa.RecordBatch.from_arrays([pa.array(now, pa.string())], ["value"])
+        yield pa.RecordBatch.from_arrays([pa.array([("[" if held is None else held) + "]"])], ["value"])
 
     lines.mapInArrow(bracketed, "value string").write.option("lineSep", ",").text(path)
     return json_array(spark, path, kind, 100_000).select("token", F.col("note.text").alias("text"), F.col("note.list")[1].alias("second"), "size")

@@ -122,6 +122,6 @@ def json_array(spark: SparkSession, path: str, schema: str, range_bytes: int = 6
     crossing = parts.where("not (begins and ends)").withColumn("at_first", F.max(F.when(F.col("begins"), F.col("at"))).over(Window.partitionBy("file").orderBy("at")))
     joined = crossing.groupBy("file", F.col("at_first").alias("at")).agg(F.array_sort(F.collect_list(F.struct(F.col("at").alias("k"), "data"))).alias("parts"))
     text = F.decode(F.unhex(F.array_join(F.transform("parts", lambda p: F.hex(p["data"])), "")), "UTF-8")
-    elements = whole.unionByName(joined.select("file", "at", text.alias("text"))).where(F.trim(F.regexp_replace("text", r"\s+", " ")) != "")
+    elements = whole.unionByName(joined.select("file", "at", text.alias("text"))).where(F.col("text").rlike(r"\S"))
     parsed = elements.withColumn("v", F.from_json("text", schema, {"mode": "FAILFAST"}))
     return parsed.select("v.*", "file", "at")

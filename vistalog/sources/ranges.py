@@ -67,6 +67,20 @@ class RangeReader(DataSourceReader):
         yield pa.RecordBatch.from_arrays([pa.array([part.path]), pa.array([part.start], pa.int64()), pa.array([self.bytes_of(part)], pa.binary())], ["path", "start", "data"])
 
 
+class TaskReader(RangeReader):
+    """Ranges as rows, consecutive ones of a file in one task: of at most 64 MB, and of few enough bytes for 128 tasks."""
+
+    def partitions(self) -> list[Range]:
+        files = _files(self.path)
+        most = min(64 << 20, sum(f.size for f in files) // 128) // self.step
+        size = self.step * max(1, most)
+        return [Range(f.path, start, min(size, f.size - start)) for f in files for start in range(0, f.size, size)]
+
+    def read(self, part: Range) -> Iterator[pa.RecordBatch]:
+        for start in range(part.start, part.start + part.size, self.step):
+            yield from super().read(Range(part.path, start, min(self.step, part.start + part.size - start)))
+
+
 class ByteRanges(DataSource):
     """path, start and data of each range of the files under ``path``."""
 
@@ -77,8 +91,8 @@ class ByteRanges(DataSource):
     def schema(self) -> str:
         return "path string, start long, data binary"
 
-    def reader(self, schema) -> RangeReader:
-        return RangeReader(self.options)
+    def reader(self, schema) -> TaskReader:
+        return TaskReader(self.options)
 
 
 class PointReader(RangeReader):
