@@ -64,12 +64,20 @@ def linked_samples(scenes: DataFrame, samples: DataFrame) -> DataFrame:
     return named.withColumn("sample_id", F.format_string("%s-s%04d", "scene_id", "frame_index"))
 
 
-def annotations(ordered: DataFrame, boxes: DataFrame, attributes: DataFrame) -> DataFrame:
-    """Boxes of ordered samples with the names of their attributes in order; tokens of unknown attributes are left out."""
+def annotations(ordered: DataFrame, boxes: DataFrame, attributes: DataFrame, lists: DataFrame | None = None) -> DataFrame:
+    """Boxes of ordered samples with the names of their attributes in order; tokens of unknown attributes are left out.
+
+    Boxes share few lists of attributes, so names are found once a list, and boxes meet them by their list. ``lists``
+    (attribute_tokens) may give all lists that boxes can have, where they are cheaper to read than from ``boxes``. Runs a job
+    that writes the lists' names to the shared folder, so that Spark knows their size.
+    """
     keyed = boxes.join(ordered.select(F.col("token").alias("sample_token"), "scene_id", "sample_id", "timestamp_us"), "sample_token")
-    pairs = keyed.select("token", F.posexplode("attribute_tokens").alias("p", "attribute_token")).join(attributes.select(F.col("token").alias("attribute_token"), "name"), "attribute_token")
-    names = pairs.groupBy("token").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "name"))), lambda s: s["name"]).alias("attributes"))
-    return keyed.drop("attribute_tokens").join(names, "token", "left").withColumn("attributes", F.coalesce("attributes", F.array().cast("array<string>")))
+    each = (boxes if lists is None else lists).select("attribute_tokens").distinct()
+    pairs = each.select("attribute_tokens", F.posexplode("attribute_tokens").alias("p", "attribute_token")).join(attributes.select(F.col("token").alias("attribute_token"), "name"), "attribute_token")
+    names = pairs.groupBy("attribute_tokens").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "name"))), lambda s: s["name"]).alias("attributes"))
+    joined = keyed.join(written(names, "attribute-lists"), "attribute_tokens", "left")
+    rest = [c for c in keyed.columns if c not in ("token", "attribute_tokens")]
+    return joined.select("token", *rest, F.coalesce("attributes", F.array().cast("array<string>")).alias("attributes"))
 
 
 def velocities(boxes: DataFrame, max_step_us: int = 1_500_000) -> DataFrame:

@@ -85,15 +85,21 @@ select *, scene_id || '-s' || lpad(cast(frame_index as varchar), 4, '0') as samp
 
 
 def _boxes(spark, d):
-    boxes = I.registry(_view(spark, d, "src_boxes").withColumn("pos", F.struct("sample_token", "category", "timestamp_us", "x", "y", "z", "attribute_list")), ["token"]).drop("pos")
-    return boxes.withColumn("attribute_tokens", F.split("attribute_list", ","))
+    """Columns that order boxes of one token are in ``pos`` alone, so they are shuffled once."""
+    boxes = _view(spark, d, "src_boxes").select("token", "instance_token", F.struct("sample_token", "category", "timestamp_us", "x", "y", "z", "attribute_list").alias("pos"))
+    return I.registry(boxes, ["token"]).select("token", "instance_token", "pos.*").withColumn("attribute_tokens", F.split("attribute_list", ","))
 
 
 _BOXES = "boxes as (select * exclude rn from (select *, row_number() over (partition by token order by sample_token desc, category desc, timestamp_us desc, x desc, y desc, z desc, attribute_list desc) as rn from src_boxes) where rn = 1)"
 
 
+def _annotations(spark, d):
+    lists = _view(spark, d, "src_boxes").select(F.split("attribute_list", ",").alias("attribute_tokens"))
+    return I.annotations(_ordered(spark, d), _boxes(spark, d).drop("timestamp_us"), _view(spark, d, "src_attributes"), lists)
+
+
 def i2_annotations(spark, d):
-    out = I.annotations(_ordered(spark, d), _boxes(spark, d).drop("timestamp_us"), _view(spark, d, "src_attributes"))
+    out = _annotations(spark, d)
     return out.select("token", "scene_id", "sample_id", "category", F.array_join("attributes", ",").alias("attributes"))
 
 
@@ -154,8 +160,7 @@ def i7_modalities(spark, d):
 
 
 def _rollup(spark, d):
-    boxes = I.annotations(_ordered(spark, d), _boxes(spark, d).drop("timestamp_us"), _view(spark, d, "src_attributes"))
-    return I.scene_rollup(_ordered(spark, d), _frames(spark, d), boxes)
+    return I.scene_rollup(_ordered(spark, d), _frames(spark, d), _annotations(spark, d))
 
 
 _ROLLUP = f"""{_FRAMES}, {_BOXES}, ff as (select * from f where channel in ('CAM_FRONT', 'LIDAR_TOP')), s as (select scene_id, count(*) as sample_count, min(timestamp_us) as start_us, max(timestamp_us) as end_us from ordered group by scene_id),
