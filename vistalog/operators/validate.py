@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,17 +21,34 @@ def empty_scenes(scenes: DataFrame) -> DataFrame:
     return _issue(scenes.where("sample_count = 0"), "empty_scene", blocking=True)
 
 
+def _has(required: Sequence[str]) -> list[Column]:
+    """Aggregates has0, has1, ... of rows with a channel: whether each of ``required`` is among them."""
+    return [F.coalesce(F.bool_or(F.col("channel") == c), F.lit(False)).alias(f"has{i}") for i, c in enumerate(required)]
+
+
+def _lost(required: Sequence[str]) -> Column:
+    """A row for each of ``required``, repeated ones too, whose has is false or null."""
+    each = [F.struct(F.lit(c).alias("channel"), F.coalesce(F.col(f"has{i}"), F.lit(False)).alias("has")) for i, c in enumerate(required)]
+    return F.explode(F.transform(F.filter(F.array(*each), lambda x: ~x["has"]), lambda x: x["channel"])).alias("channel")
+
+
 def missing_channels(scenes: DataFrame, scene_channels: DataFrame, required: Sequence[str]) -> DataFrame:
     """A blocking issue for each required channel, repeated ones too, that a scene lacks."""
-    wanted = scenes.select("scene_id", F.explode(F.array(*[F.lit(c) for c in required])).alias("channel")) if required else scenes.select("scene_id", F.lit("").alias("channel")).limit(0)
-    return _issue(wanted.join(scene_channels.select("scene_id", "channel"), ["scene_id", "channel"], "left_anti"), "missing_channel", F.col("channel"), blocking=True)
+    if not required:
+        return _issue(scenes.limit(0), "missing_channel", blocking=True)
+    found = scene_channels.groupBy("scene_id").agg(*_has(required))
+    return _issue(scenes.select("scene_id").join(found, "scene_id", "left").select("scene_id", _lost(required)), "missing_channel", F.col("channel"), blocking=True)
 
 
 def sample_missing_channels(frames: DataFrame, required: Sequence[str], block: bool = False) -> DataFrame:
-    """An issue for each sample and required channel without a frame."""
-    samples = frames.select("scene_id", "sample_id").distinct()
-    wanted = samples.withColumn("channel", F.explode(F.array(*[F.lit(c) for c in required])))
-    return _issue(wanted.join(frames.select("sample_id", "channel"), ["sample_id", "channel"], "left_anti"), "sample_missing_channel", F.col("channel"), F.col("sample_id"), block)
+    """An issue for each sample and required channel without a frame; a sample in several scenes has the frames of all.
+
+    One aggregation by sample, so a frame is shuffled once.
+    """
+    found = frames.groupBy("sample_id").agg(F.collect_set(F.struct("scene_id")).alias("_scenes"), *_has(required))
+    found = found.withColumns({f"has{i}": F.col(f"has{i}") & F.col("sample_id").isNotNull() for i in range(len(required))})
+    rows = found.select("sample_id", "_scenes", _lost(required)).select("sample_id", "channel", F.explode("_scenes.scene_id").alias("scene_id"))
+    return _issue(rows, "sample_missing_channel", F.col("channel"), F.col("sample_id"), block)
 
 
 def resolved(frames: DataFrame, calibrations: DataFrame, poses: DataFrame) -> DataFrame:
@@ -55,10 +73,14 @@ def frame_issues(found: DataFrame) -> DataFrame:
     return rows.select("scene_id", "type", "channel", F.col("frame_id").alias("ref_id"), F.lit(False).alias("blocking"))
 
 
-def issues(scenes: DataFrame, scene_channels: DataFrame, frames: DataFrame, calibrations: DataFrame, poses: DataFrame, required: Sequence[str] = (), validate_samples: bool = True, block_on_samples: bool = False) -> DataFrame:
-    """Every rule's issues, frames being read once."""
-    out = empty_scenes(scenes).unionByName(missing_channels(scenes, scene_channels, required)).unionByName(frame_issues(resolved(frames, calibrations, poses)))
-    return out.unionByName(sample_missing_channels(frames, required, block_on_samples)) if validate_samples and required else out
+def issues(scenes: DataFrame, scene_channels: DataFrame, frames: DataFrame, calibrations: DataFrame, poses: DataFrame, required: Sequence[str] = (), validate_samples: bool = True, block_on_samples: bool = False, kinds: Sequence[str] | None = None) -> DataFrame:
+    """Every rule's issues; with ``kinds`` those types alone, and only rules that can yield them read their tables."""
+    rules = {"empty_scene": lambda: empty_scenes(scenes), "missing_channel": lambda: missing_channels(scenes, scene_channels, required), "": lambda: frame_issues(resolved(frames, calibrations, poses))}
+    if validate_samples and required:
+        rules["sample_missing_channel"] = lambda: sample_missing_channels(frames, required, block_on_samples)
+    own = [rule for kind, rule in rules.items() if kinds is None or kind in kinds or not kind and set(kinds) - set(rules)]
+    out = reduce(DataFrame.unionByName, [rule() for rule in own]) if own else empty_scenes(scenes.limit(0))
+    return out if kinds is None else out.where(F.col("type").isin(*kinds))
 
 
 def verdicts(scenes: DataFrame, found: DataFrame) -> DataFrame:
@@ -69,13 +91,22 @@ def verdicts(scenes: DataFrame, found: DataFrame) -> DataFrame:
     return out.select("scene_id", status.alias("validation_status"), F.col("errors").alias("error_count"), F.col("warnings").alias("warning_count"))
 
 
+def batch_verdicts(verdict: DataFrame, batches: Mapping[str, tuple[Column, int]]) -> DataFrame:
+    """A row for each batch (name to condition and number of unreadable manifests) over the scenes for which its condition holds, in one pass.
+
+    An unreadable manifest is a blocking issue, and no scene at all is one too.
+    """
+    sums = lambda c, holds: F.coalesce(F.sum(F.when(holds, F.col(c))), F.lit(0)).cast("long")
+    each = [F.struct(F.lit(name).alias("batch"), F.lit(n).cast("long").alias("unreadable"), F.count_if(holds).alias("scene_count"), sums("error_count", holds).alias("e"), sums("warning_count", holds).alias("w")) for name, (holds, n) in batches.items()]
+    total = verdict.agg(F.array(*each).alias("_batches")).select(F.inline("_batches"))
+    errors = F.col("e") + F.col("unreadable") + F.when((F.col("scene_count") == 0) & (F.col("unreadable") == 0), 1).otherwise(0)
+    status = F.when(errors > 0, "failed").when(F.col("w") > 0, "warning").otherwise("ready")
+    return total.select("batch", "scene_count", status.alias("status"), errors.cast("long").alias("error_count"), F.col("w").alias("warning_count"), (errors + F.col("w")).cast("long").alias("issue_count"))
+
+
 def batch_verdict(verdict: DataFrame, unreadable: int = 0) -> DataFrame:
     """One row over all scenes; an unreadable manifest is a blocking issue, and no scene at all is one too."""
-    total = verdict.agg(F.count("*").alias("scene_count"), F.coalesce(F.sum("error_count"), F.lit(0)).alias("e"), F.coalesce(F.sum("warning_count"), F.lit(0)).alias("w"))
-    none = (F.col("scene_count") == 0) & F.lit(unreadable == 0)
-    errors = F.col("e") + unreadable + F.when(none, 1).otherwise(0)
-    status = F.when(errors > 0, "failed").when(F.col("w") > 0, "warning").otherwise("ready")
-    return total.select("scene_count", status.alias("status"), errors.cast("long").alias("error_count"), F.col("w").cast("long").alias("warning_count"), (errors + F.col("w")).cast("long").alias("issue_count"))
+    return batch_verdicts(verdict, {"all": (F.lit(True), unreadable)}).drop("batch")
 
 
 def required_channels(given: Column, version: Column) -> Column:
