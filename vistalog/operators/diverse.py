@@ -67,6 +67,8 @@ def k_centres(candidates: DataFrame, k: int, features: Mapping[str, float], keys
     """
     n, m = len(features), len(keys)
     finite = lambda c: F.when(c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")), 0.0).otherwise(c)
+    # Passes and the last join read one table, so what leads to the candidates is done once.
+    candidates = written(candidates, "candidates")
     value, own = F.col(score).cast("double"), F.col(id_column).cast("string").alias("id")
     narrow = [finite(F.col(c).cast("double") * float(s)).alias(f"f{i}") for i, (c, s) in enumerate(features.items())]
     narrow += [F.xxhash64(F.lit(i), F.coalesce(F.col(c).cast("string"), F.lit("")), F.col(c).isNull()).alias(f"m{i}") for i, c in enumerate(keys)]

@@ -10,7 +10,7 @@ from ..operators import exports as X
 from ..operators import predicates as P
 from ..operators import scenario as M
 from ..operators import views as L
-from ..operators.steps import folder
+from ..operators.steps import folder, written
 from .adapters import ctes, table, view
 
 CHANNELS = ("CAM_FRONT", "LIDAR_TOP")
@@ -241,7 +241,8 @@ round(coalesce(sum(w) filter (holds), 0) / sum(w), 6) as score, bool_and(holds)
 
 
 def x4_strategies(spark, d):
-    s = _scored(spark, d).select("scene_id", "score", "dataset_id")
+    # Four strategies read the scored scenes, which are made once.
+    s = written(_scored(spark, d).select("scene_id", "score", "dataset_id"), "scored")
     tag = lambda df, name: df.select("scene_id", F.lit(name).alias("strategy"))
     out = tag(M.choose(s, "top_k", {"k": 100}), "top_k").union(tag(M.choose(s, "threshold", {"least": 0.8}), "threshold"))
     return out.union(tag(M.choose(s, "balanced", {"by": "dataset_id", "per_value": 20}), "balanced")).union(tag(M.choose(s, "diversity", {"by": "dataset_id", "k": 33}), "diversity"))
@@ -275,7 +276,7 @@ _DAY = 86_400_000_000
 
 def x4_k_centres(spark, d):
     """24 scenes that lie far apart in size, age, dataset and status."""
-    s = _scored(spark, d).withColumn("age", F.floor(F.col("created_us") / _DAY))
+    s = _scored(spark, d).withColumn("age", F.floor(F.col("created_us") / _DAY)).select("scene_id", "score", "annotation_count", "sample_count", "age", "dataset_id", "status")
     out = V.k_centres(s, 24, {"annotation_count": 1.0, "sample_count": 1.0, "age": 0.0078125}, ["dataset_id", "status"])
     return out.select("scene_id", "chosen_rank", F.round("distance", 6).alias("distance"))
 
