@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .steps import written
+
 SHARES = (("train", 80), ("val", 10), ("test", 10))
 #: Hexadecimal digits of a group's hash that name its slot, so a stratum has at most 65 536 slots.
 _DIGITS = 4
@@ -58,27 +60,26 @@ def export(rows: DataFrame, tables: Mapping[str, DataFrame], path: str, key: str
     """Write ``rows`` (``key``, split and more) and ``tables`` that have ``key``, each to a folder of ``path`` by split and shard; the index.
 
     The number of a split's shards follows from its rows. A table's rows stand in the split and shard of their key, and those of
-    other keys are left out. The index has table, split, shard, row_count, first_key and last_key, counted from what was written, and is
-    written last, so an export without ``index`` is not a whole one. Spark rebalances before it writes, which cuts a shard that is
-    hot into several files. ``path`` must be new.
+    other keys are left out. The index has table, split, shard, row_count, first_key and last_key, and is written last, so an
+    export without ``index`` is not a whole one. Rows are staged in the shared folder with their places; shards are written and the
+    index is counted from there, as shards are many small files, slow to list and to open. Spark rebalances before it writes, which
+    cuts a shard that is hot into several files, and tasks move their own files in place. ``path`` must be new.
     """
+    staged = written(rows, "export")
     # A row for each split.
-    needed = {r["split"]: r["n"] for r in rows.groupBy("split").agg(F.ceil(F.count("*") / rows_per_shard).alias("n")).collect()}
+    needed = {r["split"]: r["n"] for r in staged.groupBy("split").agg(F.ceil(F.count("*") / rows_per_shard).alias("n")).collect()}
     if not needed:
         return rows.sparkSession.createDataFrame([], "table string, split string, shard long, row_count long, first_key string, last_key string")
     shards = F.create_map(*[F.lit(x) for kv in sorted(needed.items()) for x in kv])[F.col("split")]
-    placed = rows.withColumn("shard", F.pmod(F.xxhash64(key), shards.cast("long")))
-    put = lambda df, at: df.hint("rebalance", "split", "shard").write.partitionBy("split", "shard").parquet(f"{path}/{at}")
-    put(placed, name)
+    placed = staged.withColumn("shard", F.pmod(F.xxhash64(key), shards.cast("long")))
+    put = lambda df, at: df.hint("rebalance", "split", "shard").write.partitionBy("split", "shard").option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(f"{path}/{at}")
     spark = rows.sparkSession
-    read = lambda at, kind: spark.read.schema(kind).parquet(f"{path}/{at}")
-    where = read(name, placed.schema).select(key, "split", "shard").distinct()
+    where = placed.select(key, "split", "shard").distinct()
     index = None
     for at, df in {name: None, **tables}.items():
-        if df is not None:
-            df = df.drop("split", "shard").join(where, key)
-            put(df, at)
-        counted = read(at, placed.schema if df is None else df.schema).groupBy("split", "shard").agg(F.count("*").alias("row_count"), F.min(F.col(key).cast("string")).alias("first_key"), F.max(F.col(key).cast("string")).alias("last_key"))
+        df = placed if df is None else written(df.drop("split", "shard").join(where, key), "export")
+        put(df, at)
+        counted = df.groupBy("split", "shard").agg(F.count("*").alias("row_count"), F.min(F.col(key).cast("string")).alias("first_key"), F.max(F.col(key).cast("string")).alias("last_key"))
         counted = counted.select(F.lit(at).alias("table"), "split", "shard", "row_count", "first_key", "last_key")
         index = counted if index is None else index.unionByName(counted)
     index.write.parquet(f"{path}/index")
